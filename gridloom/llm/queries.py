@@ -6,20 +6,32 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm.common import table
 from gridloom.llm.exact_dedup import exact_dedup
+from gridloom.llm.packing import pack_documents
 from gridloom.llm.sharding import shard_documents
+from gridloom.llm.tokens import token_counts
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), limit=2048)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), capacity=4096, end_id=2)
+
+
 QUERIES = {
     "op2_sharding": op2_sharding,
+    "op4_token_counts": op4_token_counts,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_packing": op10_packing,
 }
 
 ORACLE_SQL = {
