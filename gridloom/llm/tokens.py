@@ -1,7 +1,7 @@
 """Token counts by a two-tier lookup next to the scan.
 
-Texts are cut at white space, where the tokenizer's own pattern never joins,
-so a text's ids are those of its pre-tokens in a row. Lengths of frequent
+Texts are cut into pre-tokens by the tokenizer's own pattern, which never joins
+two of them, so a text's ids are those of its pre-tokens in a row. Lengths of frequent
 pre-tokens come from a broadcast table of bounded size; the rest is encoded
 once per worker and remembered there in a bounded cache. No pre-token is
 shuffled: the frequent ones are found by Misra-Gries summaries, one per task,
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 from collections import Counter
 from collections.abc import Iterator
 from pathlib import Path
@@ -29,16 +30,19 @@ from gridloom.llm.exact_dedup import misra_gries
 #: Pre-tokens in the broadcast table, and the longest that may be in it (bytes): 4 MB at most.
 FREQUENT, FREQUENT_BYTES = 32_768, 64
 #: Pre-tokens that a worker remembers, twice.
-REMEMBERED = 250_000
+REMEMBERED = 500_000
 
-#: Characters for which Python's lower() and white space agree with the tokenizer's and NFC changes nothing.
+#: All but the characters for which Python's lower() and the classes below agree with the tokenizer's and NFC changes nothing.
 UNSAFE = re.compile("[^\t\n\r\x20-\x7e¡-¬®-įı-ſ‐-‧‰-⁞]")
-#: The one pipeline of normaliser and pattern for which texts may be cut at white space.
+#: The pattern below for these characters, lower-cased: letters, single numerals, anything else but white space.
+_LETTERS, _NUMERALS = "a-zªµºß-öø-ÿĀ-ſ", "0-9²³¹¼½¾"
+PRETOKEN = re.compile(f"[{_LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d|[{_NUMERALS}]|[^\\s{_LETTERS}{_NUMERALS}]+")
+#: The one pipeline of normaliser and pattern for which texts may be cut beforehand.
 SPLITTABLE = (["NFC", "Replace", "Lowercase"], "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+")
 
 
 def splittable(spec: dict) -> bool:
-    """Does this tokenizer work on each stretch between white space by itself?"""
+    """Does this tokenizer work on each match of the known pattern by itself?"""
     steps = (spec.get("normalizer") or {}).get("normalizers", [])
     parts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
     if [s["type"] for s in steps] != SPLITTABLE[0] or len(parts) != 2 or parts[1]["type"] != "ByteLevel":
@@ -93,7 +97,7 @@ class Encoder:
             self.model.no_truncation()
             self.model.no_padding()
             self.split = splittable(json.loads(blob))
-        self.ids_of = Remembered(lambda part: np.array(self.encode(part), dtype="<u4").tobytes())
+        self.ids_of = Remembered(self.part_ids)
         self.lengths: Lengths | None = None
 
     def encode(self, text: str) -> list[int]:
@@ -105,7 +109,11 @@ class Encoder:
         """The pre-tokens of a text, or None if it has to be encoded in one piece."""
         if not self.split or "<|" in text or UNSAFE.search(text):
             return None
-        return text.lower().split()
+        return PRETOKEN.findall(text.lower())
+
+    def part_ids(self, part: str) -> bytes:
+        ids = self.encode(part)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def id_bytes(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
@@ -185,7 +193,7 @@ def token_counts(
     Returns ``<id_col>, n_bytes, n_tokens, over_limit`` for each row, rows
     repeated in the input included. A null text counts as empty (no tokens), a
     null id stays null, further columns are ignored, an empty table gives an
-    empty result. Texts with characters for which cutting at white space is
+    empty result. Texts with characters for which cutting beforehand is
     not proven equal go through the library in one piece.
     """
     blob, kind = load(tokenizer or default_tokenizer())
