@@ -11,6 +11,7 @@ from gridloom.llm.minhash import near_duplicates
 from gridloom.llm.packing import pack_documents
 from gridloom.llm.sharding import shard_documents
 from gridloom.llm.tokens import token_counts
+from gridloom.llm.toxicity import fit_toxicity, score_toxicity
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +30,11 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -42,6 +48,7 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op4_token_counts": op4_token_counts,
     "op6_minhash": op6_minhash,
+    "op7_toxicity": op7_toxicity,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_packing": op10_packing,
 }
@@ -64,8 +71,8 @@ lens AS (SELECT DISTINCT n FROM w),
 dp AS (SELECT doc_id, n, unnest(range(1, len(ws) - n + 2)) AS p, ws FROM d, lens WHERE len(ws) >= n),
 dg AS (SELECT doc_id, n, p, array_to_string(ws[p:p + n - 1], ' ') AS gram FROM dp),
 m AS (SELECT DISTINCT doc_id, n, p, item_id FROM dg JOIN w USING (n, gram)),
-pos AS (SELECT doc_id, unnest(range(p, p + n)) AS at FROM (SELECT DISTINCT doc_id, n, p FROM m)),
-hit AS (SELECT doc_id, count(DISTINCT at) AS n_hit FROM pos GROUP BY doc_id),
+pos AS (SELECT doc_id, unnest(range(p, p + n)) AS spot FROM (SELECT DISTINCT doc_id, n, p FROM m)),
+hit AS (SELECT doc_id, count(DISTINCT spot) AS n_hit FROM pos GROUP BY doc_id),
 its AS (
   SELECT doc_id, count(*) AS n_items, sha256(string_agg(s, ',' ORDER BY s)) AS items_sha256
   FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM m) GROUP BY doc_id)
