@@ -8,6 +8,9 @@ Iterative plans and results that several later steps read are cut with
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,3 +34,18 @@ def cut(df: DataFrame) -> DataFrame:
     """Compute ``df`` once, keep it in the checkpoint folder, forget its lineage."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder below the checkpoint folder, removed on leaving.
+
+    For written tables that only the work inside needs; what leaves has to be
+    cut.
+    """
+    folder = f"{checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    try:
+        yield folder
+    finally:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
