@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gridloom.llm.common import table
 from gridloom.llm.decontaminate import decontaminate
 from gridloom.llm.exact_dedup import exact_dedup
+from gridloom.llm.line_dedup import dedup_lines
 from gridloom.llm.minhash import near_duplicates
 from gridloom.llm.packing import pack_documents
 from gridloom.llm.sharding import shard_documents
@@ -14,6 +15,10 @@ from gridloom.llm.tokens import token_counts
 from gridloom.llm.toxicity import fit_toxicity, score_toxicity
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=24)
 
@@ -44,6 +49,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_sharding": op2_sharding,
     "op3_decontamination": op3_decontamination,
     "op4_token_counts": op4_token_counts,
@@ -54,6 +60,39 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_line_dedup": """
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos
+  FROM documents WHERE text IS NOT NULL),
+w AS (
+  SELECT doc_id, pos, line, list_sort(list_distinct(list_filter(string_split_regex(
+    translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x09-\\x0D\\x20]+'), x -> x <> ''))) AS ws
+  FROM l),
+c AS (
+  SELECT ws, min(doc_id) AS d, arg_min(pos, (doc_id, pos)) AS p, row_number() OVER (ORDER BY min(doc_id), arg_min(pos, (doc_id, pos))) AS k
+  FROM w WHERE len(ws) >= 5 GROUP BY ws),
+u AS (SELECT k, len(ws) AS n, unnest(ws) AS word FROM c),
+f AS (SELECT word, count(*) AS df FROM u GROUP BY word),
+r AS (SELECT k, n, word, row_number() OVER (PARTITION BY k ORDER BY df, word) AS rk FROM u JOIN f USING (word)),
+pre AS (SELECT * FROM r WHERE rk <= n - CAST(ceil(n * 4 / 5.0) AS BIGINT) + 1),
+cand AS (
+  SELECT DISTINCT a.k AS ka, b.k AS kb FROM pre a JOIN pre b ON a.word = b.word AND a.k < b.k
+  WHERE a.n * 5 >= b.n * 4 AND b.n * 5 >= a.n * 4),
+gone AS (
+  SELECT DISTINCT kb AS k FROM cand JOIN c x ON x.k = ka JOIN c y ON y.k = kb
+  WHERE 5 * len(list_intersect(x.ws, y.ws)) >= 4 * (len(x.ws) + len(y.ws) - len(list_intersect(x.ws, y.ws)))),
+m AS (
+  SELECT w.doc_id, w.pos, w.line,
+         len(w.ws) < 5 OR (c.d = w.doc_id AND c.p = w.pos AND c.k NOT IN (SELECT k FROM gone)) AS stays
+  FROM w LEFT JOIN c ON len(w.ws) >= 5 AND c.ws = w.ws),
+t AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE stays) AS text, count(*) AS n_lines,
+         count(*) FILTER (WHERE NOT stays) AS n_removed
+  FROM m GROUP BY doc_id)
+SELECT documents.doc_id, CASE WHEN documents.text IS NULL THEN NULL ELSE coalesce(t.text, '') END AS text,
+       CAST(coalesce(n_lines, 0) AS INTEGER) AS n_lines, CAST(coalesce(n_removed, 0) AS INTEGER) AS n_removed
+FROM documents LEFT JOIN t USING (doc_id)
+""",
     "op3_decontamination": """
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
