@@ -7,12 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from gridloom.llm.common import table
 from gridloom.llm.decontaminate import decontaminate
 from gridloom.llm.exact_dedup import exact_dedup
+from gridloom.llm.html_extract import main_text
 from gridloom.llm.line_dedup import dedup_lines
 from gridloom.llm.minhash import near_duplicates
 from gridloom.llm.packing import pack_documents
 from gridloom.llm.sharding import shard_documents
 from gridloom.llm.tokens import token_counts
 from gridloom.llm.toxicity import fit_toxicity, score_toxicity
+from gridloom.llm.warc import archive_pages
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +33,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), limit=2048)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(table(spark, sf_dir, "pages"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
@@ -40,6 +46,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -53,8 +63,10 @@ QUERIES = {
     "op2_sharding": op2_sharding,
     "op3_decontamination": op3_decontamination,
     "op4_token_counts": op4_token_counts,
+    "op5_warc": op5_warc,
     "op6_minhash": op6_minhash,
     "op7_toxicity": op7_toxicity,
+    "op8_html_extraction": op8_html_extraction,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_packing": op10_packing,
 }
@@ -66,7 +78,7 @@ WITH l AS (
   FROM documents WHERE text IS NOT NULL),
 w AS (
   SELECT doc_id, pos, line, list_sort(list_distinct(list_filter(string_split_regex(
-    translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x09-\\x0D\\x20]+'), x -> x <> ''))) AS ws
+    translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x09-\\x0D\\x20]+'), lambda x: x <> ''))) AS ws
   FROM l),
 c AS (
   SELECT ws, min(doc_id) AS d, arg_min(pos, (doc_id, pos)) AS p, row_number() OVER (ORDER BY min(doc_id), arg_min(pos, (doc_id, pos))) AS k
@@ -119,6 +131,15 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BI
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
+""",
+    "op5_warc": """
+WITH t AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM t)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes < 100 OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN payload_bytes < 100 OR page_id = first THEN NULL ELSE first END AS refers_to
+FROM f
 """,
     "op9_exact_dedup": """
 WITH t AS (
