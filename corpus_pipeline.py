@@ -1,8 +1,71 @@
-"""Placeholder until the stages exist."""
+"""From raw documents to packed training sequences.
 
-STAGES = []
+Each stage takes what the one before it kept and, but for the last, returns
+the columns of ``documents``. The driver may write and reread the result of
+each; :func:`run` does so in the shared checkpoint folder.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridloom.llm.common import table, without_ids
+from gridloom.llm.decontaminate import decontaminate
+from gridloom.llm.line_dedup import dedup_lines
+from gridloom.llm.minhash import near_duplicates
+from gridloom.llm.packing import pack_documents
+from gridloom.llm.toxicity import fit_toxicity, reject_toxic
+from gridloom.plans.durable import scratch
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below one half."""
+    return reject_toxic(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that an earlier line is equal or similar to."""
+    cleaned = dedup_lines(docs).select(docs.columns)
+    if "n_chars" in docs.columns:
+        n_chars = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+        cleaned = cleaned.withColumn("n_chars", F.coalesce(n_chars, F.col("n_chars")))
+    return cleaned
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near duplicates (five words, 0.8)."""
+    return without_ids(docs, near_duplicates(docs, words=5, percent=80).where(~F.col("kept")), "doc_id")
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than a twentieth is benchmark text."""
+    judged = decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return without_ids(docs, judged.where("contaminated"), "doc_id")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 4096 tokens."""
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("minhash_near_dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("packing", pack),
+]
+
+#: Toxicity and packing have no SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; the result does not depend on the tables written between them."""
+    docs = table(spark, sf_dir, "documents")
+    with scratch(spark) as folder:
+        for name, stage in STAGES[:-1]:
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+            docs = spark.read.parquet(f"{folder}/{name}")
+        return STAGES[-1][1](spark, docs, sf_dir)

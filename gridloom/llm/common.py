@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.plans.durable import cut
 from gridloom.plans.shipping import ship
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -122,3 +123,12 @@ def default_tokenizer() -> str:
 
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """Rows of ``docs`` whose id is not in ``ids``; rows with a null id stay.
+
+    The ids are broadcast if there are few, else joined by a shuffle.
+    """
+    gone = cut(ids.select(id_col).where(F.col(id_col).isNotNull()).distinct())
+    return docs.join(F.broadcast(gone) if gone.count() <= broadcast_rows else gone, id_col, "left_anti").select(docs.columns)
