@@ -330,7 +330,7 @@ def score_toxicity(
     among such examples. Only the text is an input of the score. Further
     columns are ignored.
     """
-    return _scored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), model, 1).select(
+    return _scored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), model, 1, explain=True).select(
         F.col("id").alias(id_col),
         held_out(F.col("id")).alias("held_out"),
         "score",
@@ -341,14 +341,13 @@ def score_toxicity(
 
 def reject_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text scores below the threshold."""
-    scored = _scored(docs, model, docs.columns.index(text_col), "toxicity__score")
-    return scored.where(F.col("toxicity__score") < threshold).drop("toxicity__score", "evidence")
+    scored = _scored(docs, model, docs.columns.index(text_col), name="toxicity__score")
+    return scored.where(F.col("toxicity__score") < threshold).drop("toxicity__score")
 
 
-def _scored(source: DataFrame, model: ToxicityModel, at: int, name: str = "score") -> DataFrame:
-    """All columns of ``source``, of which ``at`` is the text, then score and (for two columns) evidence."""
+def _scored(source: DataFrame, model: ToxicityModel, at: int, name: str = "score", explain: bool = False) -> DataFrame:
+    """All columns of ``source``, of which ``at`` is the text, then the score; to explain, the first column, score and evidence."""
     shared = source.sparkSession.sparkContext.broadcast(model)
-    explain = len(source.columns) == 2 and at == 1
     kind = source.schema[0].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
