@@ -7,10 +7,12 @@ Iterative plans and results that several later steps read are cut with
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +32,33 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().get()
 
 
+#: With this setting Spark removes an execution's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+Made = TypeVar("Made", bound=Callable[..., DataFrame])
+
+
+def tidy(operator: Made) -> Made:
+    """Let each step of an operator remove its shuffle files when it ends.
+
+    For operators that cut what they read again. Their result is a plan made
+    under the session's own setting, so it can be run any number of times.
+    """
+
+    @functools.wraps(operator)
+    def run(df: DataFrame, *args, **kwargs) -> DataFrame:
+        conf = df.sparkSession.conf
+        before = conf.get(CLEANUP, "false")
+        conf.set(CLEANUP, "true")
+        try:
+            result = operator(df, *args, **kwargs)
+        finally:
+            conf.set(CLEANUP, before)
+        return result.select("*")
+
+    return run
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute ``df`` once, keep it in the checkpoint folder, forget its lineage."""
     checkpoint_dir(df.sparkSession)
