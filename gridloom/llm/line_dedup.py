@@ -1,14 +1,16 @@
 """Near-duplicate line removal by an exact set-similarity join, all in DataFrame operations.
 
-Distinct lines (A-Z lower-cased) are sets of words. Words are ordered by
+Distinct lines (lower-cased) are sets of words. Words are ordered by
 rarity, so that the first few of each line - as many as a partner cannot miss
 all of - are rare. Lines that share such a prefix word and pass the length and
 position filters are candidates; their Jaccard similarity is computed on the
 words themselves. A line goes if a similar or equal one comes before it.
 
 Candidates come in two rounds, so that a cluster of many similar lines does
-not cost all its pairs: first every line with the earliest line of each of its
-prefix words, then only lines not yet removed with all others.
+not cost all its pairs: first the lines of long word lists with the earliest
+line of each list, then pairs of which not both are known to go. A bitmap of
+each line's words travels along and rules out most pairs before their texts
+are fetched; it never rules out a similar one.
 """
 
 from __future__ import annotations
@@ -19,139 +21,150 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.exact_dedup import normal_form
-from gridloom.plans.durable import cut, scratch
+from gridloom.plans.durable import cut, scratch, tidy
 
 #: Lines with fewer different words are left alone.
 LEAST_WORDS = 5
 #: Similarity as a fraction: 4/5.
 NUMERATOR, DENOMINATOR = 4, 5
-#: Hash buckets of the word frequencies; their levels travel as so many bytes.
+#: Hash buckets of the word frequencies, counted by two hashes; their levels travel as so many bytes each.
 BUCKETS = 1 << 16
-#: Line ids that may be broadcast to filter by.
-BROADCAST_IDS = 1_000_000
+#: Lines that share a prefix word from which on the earliest of them comes first.
+LONG_LIST = 24
+#: Ids or words that may be broadcast to filter by.
+BROADCAST_ROWS = 1_000_000
 _HASH_BITS = 58
 
 
 def line_words(line: Column) -> Column:
-    """The different words of a normalised line; they end at ASCII white space."""
-    return F.array_distinct(F.filter(F.split(line, "[\\x09-\\x0D\\x20]+"), lambda w: w != ""))
+    """The different words of a line; they end at ASCII white space."""
+    return F.array_remove(F.array_distinct(F.split(line, "[\\x09-\\x0D\\x20]+")), "")
 
 
-def _bucket(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(BUCKETS))
+def _buckets(word: Column) -> tuple[Column, Column]:
+    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int"), F.pmod(F.hash(word), F.lit(BUCKETS)).cast("int")
 
 
-def rarity_levels(lines: DataFrame) -> bytes:
-    """For each hash bucket, the logarithm of how often its words occur.
+def rarity_levels(lines: DataFrame) -> list[bytes]:
+    """For the buckets of each hash, the logarithm of how often their words occur.
 
-    The number of buckets is fixed, so the table that tells rare words from
-    common ones does not grow with the vocabulary.
+    The number of buckets is fixed, so the tables that tell rare words from
+    common ones do not grow with the vocabulary.
     """
     words = lines.select(F.explode("words").alias("word"))
-    counts = words.groupBy(_bucket(F.col("word")).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    levels = bytearray(BUCKETS)
-    for b, n in counts.collect():  # at most BUCKETS rows
-        levels[b] = min(31, int(2 * math.log2(n)) // 2 + 1)
-    return bytes(levels)
+    which = F.explode(F.array(*(F.lit(k * BUCKETS) + b for k, b in enumerate(_buckets(F.col("word"))))))
+    counts = words.select(which.alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    levels = bytearray(2 * BUCKETS)
+    for b, n in counts.collect():  # at most twice BUCKETS rows
+        levels[b] = min(31, int(math.log2(n)) + 1)
+    return [bytes(levels[:BUCKETS]), bytes(levels[BUCKETS:])]
 
 
-def rarest_first(words: Column, levels: bytes) -> Column:
-    """Words as numbers that sort by rarity level, then by hash."""
-    table = F.lit(levels)
+def rarest_first(words: Column, levels: list[bytes]) -> Column:
+    """Words as numbers that sort by rarity level, the lesser of the two hashes', then by hash."""
 
     def number(word: Column) -> Column:
-        h = F.xxhash64(word)
-        level = F.ascii(F.substring(table, F.pmod(h, F.lit(BUCKETS)).cast("int") + 1, F.lit(1)).cast("string"))
-        return F.shiftleft(level.cast("long"), _HASH_BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH_BITS))
+        level = F.least(
+            *(F.ascii(F.substring(F.lit(t), b + 1, F.lit(1)).cast("string")) for t, b in zip(levels, _buckets(word), strict=True))
+        )
+        return F.shiftleft(level.cast("long"), _HASH_BITS).bitwiseOR(F.shiftrightunsigned(F.xxhash64(word), 64 - _HASH_BITS))
 
     return F.sort_array(F.transform(words, number))
 
 
-def _least_overlap(n_a: Column, n_b: Column) -> Column:
-    """Words in common that the similarity needs, from the two sizes."""
-    return F.ceil((n_a + n_b) * F.lit(NUMERATOR) / F.lit(NUMERATOR + DENOMINATOR))
+def _bit(word: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), word.bitwiseAND(F.lit(63)).cast("int"))
 
 
-def _prefixes(lines: DataFrame, levels: bytes) -> DataFrame:
-    """Rows (word, id, d, n, at): a prefix word of a line, the line's size and the word's place in it."""
-    ordered = lines.select("id", "d", F.size("words").alias("n"), rarest_first(F.col("words"), levels).alias("w"))
-    length = F.col("n") - F.ceil(F.col("n") * F.lit(NUMERATOR) / F.lit(DENOMINATOR)).cast("int") + 1
-    return ordered.select("id", "d", "n", F.posexplode(F.slice("w", F.lit(1), length)).alias("at", "word"))
+def _prefix_length(n: Column) -> Column:
+    return n - F.ceil(n * F.lit(NUMERATOR) / F.lit(DENOMINATOR)).cast("int") + 1
 
 
-def _may_match(n_a: Column, at_a: Column, n_b: Column, at_b: Column) -> Column:
-    """Length filter and positional filter for a first word in common."""
+def _may_match(a: str, b: str) -> Column:
+    """Length filter, positional filter for a first word in common, and the bound of the bitmaps on the words not in common."""
+    n_a, n_b = F.col(f"{a}.n"), F.col(f"{b}.n")
     in_size = (n_a * DENOMINATOR >= n_b * NUMERATOR) & (n_b * DENOMINATOR >= n_a * NUMERATOR)
-    return in_size & (F.least(n_a - at_a, n_b - at_b) >= _least_overlap(n_a, n_b))
+    common = F.ceil((n_a + n_b) * F.lit(NUMERATOR) / F.lit(NUMERATOR + DENOMINATOR))
+    ahead = F.least(n_a - F.col(f"{a}.at"), n_b - F.col(f"{b}.at")) >= common
+    apart = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
+    return in_size & ahead & (apart <= n_a + n_b - 2 * common)
 
 
-def _side(index: DataFrame, name: str) -> DataFrame:
-    return index.select("word", *(F.col(c).alias(f"{c}_{name}") for c in ("id", "d", "n", "at")))
+def _broadcast_if_few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def _leader_pairs(index: DataFrame) -> DataFrame:
-    first = index.groupBy("word").agg(F.min(F.struct("d", "id", "n", "at")).alias("f"))
-    leaders = first.select("word", *(F.col(f"f.{c}").alias(f"{c}_a") for c in ("d", "id", "n", "at")))
-    others = _side(index, "b")
-    matching = _may_match(F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("at_b"))
-    met = others.join(leaders, (others["word"] == leaders["word"]) & (F.col("id_a") != F.col("id_b")) & matching)
-    return met.select("id_a", "id_b").distinct()
+    """Lines with the earliest one of each long word list they are in."""
+    long = cut(index.groupBy("word").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= LONG_LIST).select("word"))
+    rows = cut(index.join(_broadcast_if_few(long), "word", "left_semi"))
+    first = rows.groupBy("word").agg(F.min(F.struct("d", "id", "n", "at", "bits")).alias("f")).select("word", "f.*")
+    other = (F.col("a.word") == F.col("b.word")) & (F.col("a.id") != F.col("b.id"))
+    met = rows.alias("b").join(first.alias("a"), other & _may_match("a", "b"))
+    return met.select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
 
 
 def _all_pairs(index: DataFrame, removed: DataFrame) -> DataFrame:
-    """Pairs whose later line is not in ``removed``; order by (d, id), which is that of documents wherever d differs."""
-    small = removed.count() <= BROADCAST_IDS
-    left = _without(index, F.broadcast(removed) if small else removed)
-    one, two = _side(index, "a"), _side(left, "b")
-    earlier = (F.col("d_a") < F.col("d_b")) | ((F.col("d_a") == F.col("d_b")) & (F.col("id_a") != F.col("id_b")))
-    met = one.join(two, (one["word"] == two["word"]) & earlier & _may_match(F.col("n_a"), F.col("at_a"), F.col("n_b"), F.col("at_b")))
-    return met.select("id_a", "id_b").distinct()
+    """Pairs that share a prefix word, unless both are removed already."""
+    gone = _broadcast_if_few(removed).withColumn("gone", F.lit(1))
+    rows = index.join(gone, "id", "left").select("word", "id", "bits", "n", (F.col("at") * 2 + F.coalesce("gone", F.lit(0))).alias("code"))
 
+    def side(name: str) -> DataFrame:
+        spread = rows.select("word", "id", "bits", "n", F.shiftright("code", 1).alias("at"), (F.col("code") % 2).alias("gone"))
+        return spread.alias(name)
 
-def _order(kind: T.DataType) -> Column:
-    """A number that grows with the order of ``first.d``, null first; the same for all where ids are no integers."""
-    if isinstance(kind, T.IntegralType):
-        return F.coalesce(F.col("first.d").cast("long"), F.lit(-(1 << 63)))
-    return F.lit(0).cast("long")
-
-
-def _without(index: DataFrame, ids: DataFrame) -> DataFrame:
-    return index.join(ids, "id", "left_anti")
+    new = (F.col("a.word") == F.col("b.word")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.gone") + F.col("b.gone") < 2)
+    met = side("a").join(side("b"), new & _may_match("a", "b"))
+    return met.select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
 
 
 def _removed(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """Ids of lines that come after a line they are similar to, among candidate pairs."""
     pairs = cut(pairs)
     needed = cut(pairs.select(F.col("id_a").alias("id")).union(pairs.select(F.col("id_b").alias("id"))).distinct())
-    small = needed.count() <= BROADCAST_IDS
-    texts = lines.join(F.broadcast(needed) if small else needed, "id", "left_semi").select("id", "first", "words")
-    a = texts.select(F.col("id").alias("id_a"), F.col("first").alias("first_a"), F.col("words").alias("words_a"))
-    b = texts.select(F.col("id").alias("id_b"), F.col("first").alias("first_b"), F.col("words").alias("words_b"))
-    both = pairs.join(a, "id_a").join(b, "id_b")
-    common = F.size(F.array_intersect("words_a", "words_b"))
-    union = F.size("words_a") + F.size("words_b") - common
-    similar = both.where(common * DENOMINATOR >= union * NUMERATOR)
+    texts = lines.join(_broadcast_if_few(needed), "id", "left_semi").select("id", "first", "n", "line")
+    a, b = (texts.select(*(F.col(c).alias(f"{c}_{side}") for c in texts.columns)) for side in ("a", "b"))
+    common = F.size(F.array_intersect(F.split("line_a", " "), F.split("line_b", " ")))
+    # common / (n_a + n_b - common) >= NUMERATOR / DENOMINATOR, with the costly side named once
+    enough = common * (NUMERATOR + DENOMINATOR) >= (F.col("n_a") + F.col("n_b")) * NUMERATOR
+    similar = pairs.join(a, "id_a").join(b, "id_b").where(enough)
     later = F.when(F.col("first_a") < F.col("first_b"), F.col("id_b")).otherwise(F.col("id_a"))
     return cut(similar.select(later.alias("id")).distinct())
 
 
+def _order(kind: T.DataType) -> Column:
+    """A number that grows with the order of ``first.d``, null first; the same for all where ids are no integers."""
+    if isinstance(kind, T.IntegralType):
+        return F.coalesce(F.col("first.d").cast("long"), F.lit(-(1 << 63)))
+    return F.lit(0).cast("long")
+
+
+@tidy
 def kept_lines(docs: DataFrame) -> DataFrame:
     """``d, h, kept`` of ``d, h, text``: places of the lines that stay, among those with enough words."""
     spark: SparkSession = docs.sparkSession
     with scratch(spark) as folder:
-        lines = docs.select("d", "h", F.posexplode(F.split(normal_form(F.col("text")), "\n")).alias("at", "line"))
-        classes = lines.groupBy("line").agg(F.min(F.struct("d", "h", "at")).alias("first"))
+
+        def stored(df: DataFrame, name: str) -> DataFrame:
+            df.write.option("compression", "zstd").parquet(f"{folder}/{name}")
+            return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+        split = docs.select("d", "h", F.posexplode(F.split(F.lower("text"), "\n")).alias("at", "line"))
+        classes = split.groupBy("line").agg(F.min(F.struct("d", "h", "at")).alias("first"))
         classes = classes.select(F.xxhash64("line").alias("id"), "first", line_words(F.col("line")).alias("words"))
-        classes = classes.where(F.size("words") >= LEAST_WORDS).select(
-            "id", "first", _order(docs.schema["d"].dataType).alias("d"), F.concat_ws(" ", "words").alias("line")
-        )
-        classes.write.option("compression", "zstd").parquet(folder)
-        stored = spark.read.schema(classes.schema).parquet(folder).select("id", "first", "d", F.split("line", " ").alias("words"))
-        index = _prefixes(stored, rarity_levels(stored))
-        removed = _removed(_leader_pairs(index), stored)
-        removed = removed.union(_removed(_all_pairs(index, removed), stored)).distinct()
-        stay = stored.select("id", "first").join(removed, "id", "left_anti")
+        classes = classes.where(F.size("words") >= LEAST_WORDS)
+        lines = stored(classes.select("id", "first", F.size("words").alias("n"), F.concat_ws(" ", "words").alias("line")), "lines")
+
+        words = lines.select("id", _order(docs.schema["d"].dataType).alias("d"), F.split("line", " ").alias("words"))
+        ordered = words.select("id", "d", rarest_first(F.col("words"), rarity_levels(words)).alias("w"))
+        bits = F.aggregate("w", F.lit(0).cast("long"), lambda seen, w: seen.bitwiseOR(_bit(w)))
+        measured = ordered.select("id", "d", F.size("w").alias("n"), bits.alias("bits"), F.slice("w", F.lit(1), _prefix_length(F.size("w"))).alias("prefix"))
+        prefixes = stored(measured, "prefixes")
+        index = prefixes.select("id", "d", "n", "bits", F.posexplode("prefix").alias("at", "word"))
+
+        removed = _removed(_leader_pairs(index), lines)
+        removed = cut(removed.union(_removed(_all_pairs(index, removed), lines)).distinct())
+        stay = lines.select("id", "first").join(_broadcast_if_few(removed), "id", "left_anti")
         return cut(stay.groupBy("first.d", "first.h").agg(F.collect_set("first.at").alias("kept")).toDF("d", "h", "kept"))
 
 
@@ -175,7 +188,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lines = F.split(F.col(text_col), "\n")
     stay = F.coalesce("line_dedup__kept", F.array().cast("array<int>"))
     left = F.filter(
-        lines, lambda line, at: F.array_contains(stay, at.cast("int")) | (F.size(line_words(normal_form(line))) < LEAST_WORDS)
+        lines, lambda line, at: F.array_contains(stay, at.cast("int")) | (F.size(line_words(F.lower(line))) < LEAST_WORDS)
     )
     marked = marked.withColumn("line_dedup__left", left)
     out = [

@@ -78,7 +78,7 @@ WITH l AS (
   FROM documents WHERE text IS NOT NULL),
 w AS (
   SELECT doc_id, pos, line, list_sort(list_distinct(list_filter(string_split_regex(
-    translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x09-\\x0D\\x20]+'), lambda x: x <> ''))) AS ws
+    lower(line), '[\\x09-\\x0D\\x20]+'), lambda x: x <> ''))) AS ws
   FROM l),
 c AS (
   SELECT ws, min(doc_id) AS d, arg_min(pos, (doc_id, pos)) AS p, row_number() OVER (ORDER BY min(doc_id), arg_min(pos, (doc_id, pos))) AS k
