@@ -15,6 +15,7 @@ are fetched; it never rules out a similar one.
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,6 +34,8 @@ BUCKETS = 1 << 16
 LONG_LIST = 24
 #: Ids or words that may be broadcast to filter by.
 BROADCAST_ROWS = 1_000_000
+#: Candidates are verified in so many parts; the shuffle files of one are gone before the next.
+VERIFY_PARTS = 4
 _HASH_BITS = 58
 
 
@@ -120,7 +123,12 @@ def _all_pairs(index: DataFrame, removed: DataFrame) -> DataFrame:
 
 def _removed(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """Ids of lines that come after a line they are similar to, among candidate pairs."""
-    pairs = cut(pairs)
+    pairs = cut(pairs.withColumn("part", F.pmod("id_a", F.lit(VERIFY_PARTS))))
+    found = [cut(_later_of_similar(pairs.where(F.col("part") == k).drop("part"), lines)) for k in range(VERIFY_PARTS)]
+    return functools.reduce(DataFrame.union, found).distinct()
+
+
+def _later_of_similar(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     needed = cut(pairs.select(F.col("id_a").alias("id")).union(pairs.select(F.col("id_b").alias("id"))).distinct())
     texts = lines.join(_broadcast_if_few(needed), "id", "left_semi").select("id", "first", "n", "line")
     a, b = (texts.select(*(F.col(c).alias(f"{c}_{side}") for c in texts.columns)) for side in ("a", "b"))
@@ -129,7 +137,7 @@ def _removed(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     enough = common * (NUMERATOR + DENOMINATOR) >= (F.col("n_a") + F.col("n_b")) * NUMERATOR
     similar = pairs.join(a, "id_a").join(b, "id_b").where(enough)
     later = F.when(F.col("first_a") < F.col("first_b"), F.col("id_b")).otherwise(F.col("id_a"))
-    return cut(similar.select(later.alias("id")).distinct())
+    return similar.select(later.alias("id")).distinct()
 
 
 def _order(kind: T.DataType) -> Column:
