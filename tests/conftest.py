@@ -2,6 +2,8 @@ import os
 import sys
 from pathlib import Path
 
+import numpy as np
+import pandas as pd
 import pytest
 
 ROOT = Path(__file__).resolve().parent.parent
@@ -40,7 +42,7 @@ def duck():
 
 def plain(value):
     """Values that compare equal in both engines: whole floats as integers, missing as None."""
-    if value is None or value != value:
+    if value is None or (not isinstance(value, (list, tuple, np.ndarray)) and pd.isna(value)):
         return None
     if hasattr(value, "item"):
         value = value.item()
