@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridloom.plans.bounded import broadcast_if_small
 from gridloom.plans.durable import cut
 from gridloom.plans.shipping import ship
 
@@ -30,7 +31,7 @@ def heat_borders(sources: DataFrame, n: int) -> DataFrame:
         "left": (F.col("at"), F.lit(-1), F.col("y"), F.col("x")),
         "right": (F.col("at"), F.lit(n), F.col("y"), 1 - F.col("x")),
     }
-    points = t.crossJoin(F.broadcast(sources.limit(10_000)))
+    points = t.crossJoin(broadcast_if_small(sources))
     parts = []
     for i, j, along, away in sides.values():
         distance = F.sqrt((F.col("t") - along) * (F.col("t") - along) + away * away)

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.plans.bounded import broadcast_if_small
 from gridloom.plans.shipping import ship
 
 #: Coefficients of studio-range luma and chroma.
@@ -85,7 +86,7 @@ def cosine_basis(spark) -> DataFrame:
 
 def inverse_dct(coefficients: DataFrame, quantisers: DataFrame) -> DataFrame:
     """``block, place, value``: samples 0..255 of ``block, k, c`` with ``k, q``."""
-    scaled = coefficients.join(F.broadcast(quantisers.limit(64)), "k").select("block", "k", (F.col("c") * F.col("q")).alias("f"))
+    scaled = coefficients.join(broadcast_if_small(quantisers), "k").select("block", "k", (F.col("c") * F.col("q")).alias("f"))
     spread = scaled.join(F.broadcast(cosine_basis(coefficients.sparkSession)), "k")
     sums = spread.groupBy("block", "place").agg(F.sum(F.col("f") * F.col("w")).alias("s"))
     return sums.select("block", "place", F.least(F.lit(255), F.greatest(F.lit(0), F.round(F.round(F.col("s"), 6) + 128).cast("int"))).alias("value"))

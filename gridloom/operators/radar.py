@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridloom.plans.bounded import broadcast_if_small
 from gridloom.plans.shipping import ship
 
 #: Real chirp coefficients; the imaginary parts are zero.
@@ -114,7 +115,7 @@ def _summed(parts: tuple[Column, Column]) -> list[Column]:
 def pulse_compression(signal: DataFrame, taps: DataFrame, gates: int) -> DataFrame:
     """``ant, pulse, gate, re, im``: sliding sums of the taps' products; as many gates fewer as there are taps, but one."""
     n = taps.count()
-    met = signal.alias("s").crossJoin(F.broadcast(taps.limit(1024).alias("t")))
+    met = signal.alias("s").crossJoin(broadcast_if_small(taps).alias("t"))
     out = met.select("s.ant", "s.pulse", (F.col("s.gate") - F.col("t.tap")).alias("gate"), *(p.alias(c) for p, c in zip(_times("s", "t"), ("re", "im"), strict=True)))
     return out.where(F.col("gate").between(0, gates - n)).groupBy("ant", "pulse", "gate").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
 

@@ -70,3 +70,53 @@ def test_simulation_files(spark, tmp_path):
     (tmp_path / "mesh").write_text("\n".join([point] * 125) + "\n0.5 0.25\n")
     points, nodes = simulations.read_mesh(spark, f"file://{tmp_path}/mesh", 1, 2)
     assert points.count() == 125 and points.first().iglob == 4 and [r.rmass for r in nodes.orderBy("iglob").collect()] == [0.5, 0.25]
+
+
+def encode_jpeg(blocks, width, height, restart):
+    """A file of one grey and two half-sized colour planes of constant blocks, with codes of eight bits for all symbols."""
+    table = bytes([0] * 7 + [255] + [0] * 8) + bytes(range(255))
+    bits = ""
+
+    def block(difference):
+        nonlocal bits
+        size = abs(difference).bit_length()
+        value = difference if difference > 0 else difference + (1 << size) - 1
+        bits += f"{size:08b}" + (f"{value:0{size}b}" if size else "") + f"{0:08b}"
+
+    parts, before, out = [], [0, 0, 0], b""
+    for n, unit in enumerate(blocks):
+        for comp, levels in enumerate(unit):
+            for level in levels:
+                block(level - before[comp])
+                before[comp] = level
+        if (n + 1) % restart == 0 or n + 1 == len(blocks):
+            bits += "1" * (-len(bits) % 8)
+            parts.append(int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\x00"))
+            bits, before = "", [0, 0, 0]
+    for n, part in enumerate(parts):
+        out += part + (bytes([0xFF, 0xD0 + n % 8]) if n + 1 < len(parts) else b"")
+
+    def segment(marker, body):
+        return bytes([0xFF, marker]) + (len(body) + 2).to_bytes(2, "big") + body
+
+    frame = b"\x08" + height.to_bytes(2, "big") + width.to_bytes(2, "big") + bytes([3, 1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])
+    head = segment(0xDB, b"\x00" + bytes([8] * 64)) + segment(0xC4, b"\x00" + table) + segment(0xC4, b"\x10" + table)
+    head += segment(0xC0, frame) + segment(0xDD, restart.to_bytes(2, "big")) + segment(0xDA, bytes([3, 1, 0, 2, 0, 3, 0, 0, 63, 0]))
+    return b"\xff\xd8" + head + out + b"\xff\xd9"
+
+
+def test_jpeg(spark, tmp_path):
+    from gridloom.sources import jpeg
+
+    assert jpeg.ZIGZAG[:6] == [0, 1, 8, 16, 9, 2] and sorted(jpeg.ZIGZAG) == list(range(64))
+    units = [([10, -20, 30, 40], [5], [-6]), ([0, 0, 7, -128], [0], [0]), ([1, 2, 3, 4], [-3], [9])]
+    (tmp_path / "a.jpg").write_bytes(encode_jpeg(units, 48, 16, 2))
+    read = jpeg.read_jpeg(spark, f"file://{tmp_path}/a.jpg")
+    assert sorted((r.comp, r.bx, r.by, r.c) for r in read.collect() if r.comp == 0)[:4] == [(0, 0, 0, 10), (0, 0, 1, 30), (0, 1, 0, -20), (0, 1, 1, 40)]
+    pixels = {(r.x, r.y): (r.b, r.g, r.r) for r in jpeg.jpeg_pixels(read).collect()}
+    assert len(pixels) == 48 * 16
+    luma, cb, cr = 128 - 20, 128 + 5 - 128, 128 - 6 - 128
+    assert pixels[12, 3] == (round(luma + 1.772 * cb), round(luma - 0.34414 * cb - 0.71414 * cr), round(luma + 1.402 * cr))
+    (tmp_path / "b.jpg").write_bytes(b"\xff\xd8\xff\xc2\x00\x04\x00\x00")
+    with pytest.raises(ValueError, match="baseline"):
+        jpeg.parse_header((tmp_path / "b.jpg").read_bytes())
