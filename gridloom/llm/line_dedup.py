@@ -9,14 +9,15 @@ words themselves. A line goes if a similar or equal one comes before it.
 Candidates come in two rounds, so that a cluster of many similar lines does
 not cost all its pairs: first the lines of long word lists with the earliest
 line of each list, then pairs of which not both are known to go. A bitmap of
-each line's words travels along and rules out most pairs before their texts
-are fetched; it never rules out a similar one.
+each line's words travels along and rules out nearly all other pairs before
+their texts are fetched; it never rules out a similar one.
 """
 
 from __future__ import annotations
 
 import functools
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,8 +35,10 @@ BUCKETS = 1 << 16
 LONG_LIST = 24
 #: Ids or words that may be broadcast to filter by.
 BROADCAST_ROWS = 1_000_000
-#: Candidates are verified in so many parts; the shuffle files of one are gone before the next.
-VERIFY_PARTS = 4
+#: The words are dealt with in so many parts, so that only one part's exchange is on disk at a time.
+WORD_PARTS = 4
+#: Columns of a line's bitmap, 64 bits each.
+BITS = ("bits0", "bits1", "bits2", "bits3")
 _HASH_BITS = 58
 
 
@@ -75,8 +78,15 @@ def rarest_first(words: Column, levels: list[bytes]) -> Column:
     return F.sort_array(F.transform(words, number))
 
 
-def _bit(word: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), word.bitwiseAND(F.lit(63)).cast("int"))
+def _with_bit(part: int):
+    """Adds the bit of a word to a part of the bitmap, if it belongs there."""
+
+    def add(seen: Column, word: Column) -> Column:
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), word.bitwiseAND(F.lit(63)).cast("int"))
+        here = F.shiftright(word, 6).bitwiseAND(F.lit(len(BITS) - 1)) == part
+        return F.when(here, seen.bitwiseOR(bit)).otherwise(seen)
+
+    return add
 
 
 def _prefix_length(n: Column) -> Column:
@@ -89,7 +99,7 @@ def _may_match(a: str, b: str) -> Column:
     in_size = (n_a * DENOMINATOR >= n_b * NUMERATOR) & (n_b * DENOMINATOR >= n_a * NUMERATOR)
     common = F.ceil((n_a + n_b) * F.lit(NUMERATOR) / F.lit(NUMERATOR + DENOMINATOR))
     ahead = F.least(n_a - F.col(f"{a}.at"), n_b - F.col(f"{b}.at")) >= common
-    apart = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
+    apart = sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in BITS), F.lit(0))
     return in_size & ahead & (apart <= n_a + n_b - 2 * common)
 
 
@@ -97,11 +107,17 @@ def _broadcast_if_few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _in_parts(pairs_of: Callable[[DataFrame], DataFrame], index: DataFrame) -> DataFrame:
+    """Candidate pairs of all words, a part of the words at a time."""
+    parts = [cut(pairs_of(index.where(F.pmod("word", F.lit(WORD_PARTS)) == k))) for k in range(WORD_PARTS)]
+    return functools.reduce(DataFrame.union, parts).distinct()
+
+
 def _leader_pairs(index: DataFrame) -> DataFrame:
     """Lines with the earliest one of each long word list they are in."""
     long = cut(index.groupBy("word").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= LONG_LIST).select("word"))
-    rows = cut(index.join(_broadcast_if_few(long), "word", "left_semi"))
-    first = rows.groupBy("word").agg(F.min(F.struct("d", "id", "n", "at", "bits")).alias("f")).select("word", "f.*")
+    rows = index.join(_broadcast_if_few(long), "word", "left_semi")
+    first = rows.groupBy("word").agg(F.min(F.struct("d", "id", "n", "at", *BITS)).alias("f")).select("word", "f.*")
     other = (F.col("a.word") == F.col("b.word")) & (F.col("a.id") != F.col("b.id"))
     met = rows.alias("b").join(first.alias("a"), other & _may_match("a", "b"))
     return met.select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
@@ -109,11 +125,11 @@ def _leader_pairs(index: DataFrame) -> DataFrame:
 
 def _all_pairs(index: DataFrame, removed: DataFrame) -> DataFrame:
     """Pairs that share a prefix word, unless both are removed already."""
-    gone = _broadcast_if_few(removed).withColumn("gone", F.lit(1))
-    rows = index.join(gone, "id", "left").select("word", "id", "bits", "n", (F.col("at") * 2 + F.coalesce("gone", F.lit(0))).alias("code"))
+    gone = removed.withColumn("gone", F.lit(1))
+    rows = index.join(gone, "id", "left").select("word", "id", *BITS, "n", (F.col("at") * 2 + F.coalesce("gone", F.lit(0))).alias("code"))
 
     def side(name: str) -> DataFrame:
-        spread = rows.select("word", "id", "bits", "n", F.shiftright("code", 1).alias("at"), (F.col("code") % 2).alias("gone"))
+        spread = rows.select("word", "id", *BITS, "n", F.shiftright("code", 1).alias("at"), (F.col("code") % 2).alias("gone"))
         return spread.alias(name)
 
     new = (F.col("a.word") == F.col("b.word")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.gone") + F.col("b.gone") < 2)
@@ -123,12 +139,7 @@ def _all_pairs(index: DataFrame, removed: DataFrame) -> DataFrame:
 
 def _removed(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """Ids of lines that come after a line they are similar to, among candidate pairs."""
-    pairs = cut(pairs.withColumn("part", F.pmod("id_a", F.lit(VERIFY_PARTS))))
-    found = [cut(_later_of_similar(pairs.where(F.col("part") == k).drop("part"), lines)) for k in range(VERIFY_PARTS)]
-    return functools.reduce(DataFrame.union, found).distinct()
-
-
-def _later_of_similar(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    pairs = cut(pairs)
     needed = cut(pairs.select(F.col("id_a").alias("id")).union(pairs.select(F.col("id_b").alias("id"))).distinct())
     texts = lines.join(_broadcast_if_few(needed), "id", "left_semi").select("id", "first", "n", "line")
     a, b = (texts.select(*(F.col(c).alias(f"{c}_{side}") for c in texts.columns)) for side in ("a", "b"))
@@ -137,7 +148,7 @@ def _later_of_similar(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     enough = common * (NUMERATOR + DENOMINATOR) >= (F.col("n_a") + F.col("n_b")) * NUMERATOR
     similar = pairs.join(a, "id_a").join(b, "id_b").where(enough)
     later = F.when(F.col("first_a") < F.col("first_b"), F.col("id_b")).otherwise(F.col("id_a"))
-    return similar.select(later.alias("id")).distinct()
+    return cut(similar.select(later.alias("id")).distinct())
 
 
 def _order(kind: T.DataType) -> Column:
@@ -165,13 +176,15 @@ def kept_lines(docs: DataFrame) -> DataFrame:
 
         words = lines.select("id", _order(docs.schema["d"].dataType).alias("d"), F.split("line", " ").alias("words"))
         ordered = words.select("id", "d", rarest_first(F.col("words"), rarity_levels(words)).alias("w"))
-        bits = F.aggregate("w", F.lit(0).cast("long"), lambda seen, w: seen.bitwiseOR(_bit(w)))
-        measured = ordered.select("id", "d", F.size("w").alias("n"), bits.alias("bits"), F.slice("w", F.lit(1), _prefix_length(F.size("w"))).alias("prefix"))
+        bits = [F.aggregate("w", F.lit(0).cast("long"), _with_bit(k)).alias(c) for k, c in enumerate(BITS)]
+        measured = ordered.select("id", "d", F.size("w").alias("n"), *bits, F.slice("w", F.lit(1), _prefix_length(F.size("w"))).alias("prefix"))
         prefixes = stored(measured, "prefixes")
-        index = prefixes.select("id", "d", "n", "bits", F.posexplode("prefix").alias("at", "word"))
+        index = prefixes.select("id", "d", "n", *BITS, F.posexplode("prefix").alias("at", "word"))
 
-        removed = _removed(_leader_pairs(index), lines)
-        removed = cut(removed.union(_removed(_all_pairs(index, removed), lines)).distinct())
+        first = _removed(_in_parts(_leader_pairs, index), lines)
+        known = _broadcast_if_few(first)
+        rest = _removed(_in_parts(lambda part: _all_pairs(part, known), index), lines)
+        removed = cut(first.union(rest).distinct())
         stay = lines.select("id", "first").join(_broadcast_if_few(removed), "id", "left_anti")
         return cut(stay.groupBy("first.d", "first.h").agg(F.collect_set("first.at").alias("kept")).toDF("d", "h", "kept"))
 
