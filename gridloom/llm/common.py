@@ -51,7 +51,7 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
 class WordHashes(dict):
     """Word bytes to a signed 64-bit hash, with a bounded memory of words seen."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 150_000):
         super().__init__()
         self.limit = limit
 

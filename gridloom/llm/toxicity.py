@@ -88,7 +88,7 @@ class Vocabulary:
 
     def of(self, word: bytes) -> tuple:
         if self.memory is None:
-            self.memory = Remembered(self._of, 300_000)
+            self.memory = Remembered(self._of, 50_000)
         return self.memory[word]
 
     def counts(self, text: str | None) -> Counter:

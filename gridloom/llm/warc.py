@@ -19,7 +19,6 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gridloom.llm.common import map_arrow
 from gridloom.plans.durable import cut, scratch
@@ -212,7 +211,3 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
         .select(id_col, "payload_bytes", "payload_digest", "record_type", "refers_to")
     )
 
-
-def empty_archive_schema() -> T.StructType:
-    """Columns of :func:`archive_pages` for long ids."""
-    return T.StructType.fromDDL("page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
