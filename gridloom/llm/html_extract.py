@@ -5,8 +5,9 @@ with the same path of tags and classes are one node of the site's tree. How
 evenly a node's texts are spread over the pages tells its content importance
 (the same text on every page: none), how its children's layouts vary its
 presentation importance; branches of low importance are removed from each
-page. What a page declares an article or main part is important by that
-declaration, and menus, adverts, forms and the like are noise by theirs.
+page. What a page declares an article or main part has a prior of importance
+by that declaration, what lies outside of it a prior against it; menus,
+adverts, forms and the like are noise by theirs.
 """
 
 from __future__ import annotations
@@ -27,6 +28,9 @@ from gridloom.plans.durable import cut
 
 #: Composite importance below which a branch goes, and pages of a host needed for a judgement.
 LEAST_IMPORTANCE, LEAST_PAGES = 0.35, 5
+#: Weight of a page's declaration of an article against the importance, and the limits that follow inside and outside of it.
+PRIOR = 0.3
+LEAST_INSIDE, LEAST_OUTSIDE = (LEAST_IMPORTANCE - PRIOR) / (1 - PRIOR), LEAST_IMPORTANCE / (1 - PRIOR)
 #: Weight of what lies below a node against its own presentation, per child.
 DAMPING = 0.9
 #: Bytes of low-importance branches of all hosts that may be broadcast.
@@ -156,11 +160,17 @@ def parse_page(source: str) -> tuple[list[Block], list[tuple[str, str]], bool]:
     return blocks, layouts, declared
 
 
-def extract(source: str, low: frozenset[str]) -> str:
-    """Main text of a page, without the branches in ``low`` unless they lie inside a declared article."""
+def extract(source: str, low: frozenset[str], repeated: frozenset[str] = frozenset(), own: frozenset[str] = frozenset()) -> str:
+    """Main text of a page, without the branches in ``low``.
+
+    On a page that declares an article, its text without the nodes
+    ``repeated`` on the site, and outside of it the nodes whose texts are the
+    page's ``own``. An article of repeated nodes only is kept.
+    """
     blocks, _, declared = parse_page(source)
     if declared:
-        return " ".join(b.text for b in blocks if b.inside)
+        kept = [b for b in blocks if (b.path not in repeated if b.inside else b.path in own)]
+        return " ".join(b.text for b in (kept if any(b.inside for b in kept) else blocks) if b.inside or b.path in own)
     if not low:
         return " ".join(b.text for b in blocks)
 
@@ -177,49 +187,55 @@ def host_of(url: Column) -> Column:
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """``host, path, importance, pages`` of the nodes of each host's tree, from ``host, html``.
+    """``host, path, importance, pages, has_text, outside`` of the nodes of each host's tree, from ``host, html``.
 
     For a node on m > 1 pages, an entropy H is taken to base m: over its
     texts it is 0 for texts of one page only and 1 for those of all pages,
     and 1 less their mean is the content importance; over its layouts it is
     the presentation importance. A node's composite is its content where it
     has text, else its presentation, which counts the less the fewer
-    different layouts there are.
+    different layouts there are. Equal pages of a host count once. ``outside``
+    nodes have text outside of declared articles.
     """
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, paths, kinds, keys = [], [], [], []
+            hosts, paths, kinds, keys, pages = [], [], [], [], []
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                blocks, layouts, declared = parse_page(source or "")
-                found = {(b.path, 0, xxhash.xxh3_64_intdigest(b.text)) for b in blocks if not b.inside}
-                found |= {(p, 1, xxhash.xxh3_64_intdigest(x)) for p, x in layouts if not declared or p.count("/") < 3}
+                blocks, layouts, _ = parse_page(source or "")
+                page = xxhash.xxh3_64_intdigest(source or "")
+                found = {(b.path, 2 if b.inside else 0, xxhash.xxh3_64_intdigest(b.text)) for b in blocks}
+                found |= {(p, 1, xxhash.xxh3_64_intdigest(x)) for p, x in layouts}
                 for path, kind, key in found:
                     hosts.append(host)
                     paths.append(path)
                     kinds.append(kind)
                     keys.append(key - ((key >> 63) << 64))
+                    pages.append(page - ((page >> 63) << 64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(kinds, pa.int32()), pa.array(keys, pa.int64())],
-                ["host", "path", "kind", "key"],
+                [pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(kinds, pa.int32()), *(pa.array(x, pa.int64()) for x in (keys, pages))],
+                ["host", "path", "kind", "key", "page"],
             )
 
-    seen = map_arrow(pages, features, "host string, path string, kind int, key long")
-    counts = seen.groupBy("host", "path", "kind", "key").agg(F.count(F.lit(1)).alias("n"))
-    text, layout = F.col("kind") == 0, F.col("kind") == 1
+    seen = map_arrow(pages, features, "host string, path string, kind int, key long, page long")
+    counts = seen.groupBy("host", "path", "kind", "key").agg(F.count_distinct("page").alias("n"))
+    text, layout = F.col("kind") != 1, F.col("kind") == 1
     nodes = counts.groupBy("host", "path").agg(
         F.sum(F.when(layout, F.col("n"))).alias("pages"),
         F.sum(F.when(text, F.lit(1))).alias("texts"),
         F.sum(F.when(text, F.log("n"))).alias("log_n"),
         F.sum(F.when(layout, F.lit(1))).alias("layouts"),
         F.sum(F.when(layout, F.col("n") * F.log("n"))).alias("n_log_n"),
+        F.max(F.col("kind") == 0).alias("outside"),
     )
     m = F.greatest(F.coalesce("pages", F.lit(1)), F.lit(2))
     content = 1 - F.col("log_n") / F.col("texts") / F.log(m)
     presentation = (F.log("pages") - F.col("n_log_n") / F.col("pages")) / F.log(m)
     weight = F.pow(F.lit(DAMPING), F.col("layouts"))
     composite = F.when(F.col("texts") > 0, content).otherwise((1 - weight) * presentation + weight)
-    return nodes.select("host", "path", F.greatest(composite, F.lit(0.0)).alias("importance"), F.coalesce("pages", F.lit(0)).alias("pages"))
+    importance, pages_seen = F.greatest(composite, F.lit(0.0)), F.coalesce("pages", F.lit(0))
+    has_text = F.coalesce(F.col("texts") > 0, F.lit(False))
+    return nodes.select("host", "path", importance.alias("importance"), pages_seen.alias("pages"), has_text.alias("has_text"), "outside")
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -229,25 +245,35 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     space, blocks are joined by one space. Null pages have an empty text; a
     null or odd url belongs to a site without a name. Where no article is
     declared, branches whose importance on the site is below
-    LEAST_IMPORTANCE, judged from LEAST_PAGES pages or more, are left out.
+    LEAST_IMPORTANCE, judged from LEAST_PAGES pages or more, are left out;
+    where one is, nodes with text inside it below LEAST_INSIDE are, and those
+    outside from LEAST_OUTSIDE on are taken in.
     Repeated rows are extracted alike, further columns ignored.
     """
     source = pages.select(
         F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host")
     )
     tree = style_tree(source.select("host", "html"))
-    low = tree.where((F.col("importance") < LEAST_IMPORTANCE) & (F.col("pages") >= LEAST_PAGES))
-    low = cut(low.groupBy("host").agg(F.collect_set("path").alias("low")))
-    size = low.agg(F.coalesce(F.sum(F.octet_length(F.array_join("low", ",")) + 64), F.lit(0))).first()[0]
+    importance = F.col("importance")
+    kinds = {
+        "low": importance < LEAST_IMPORTANCE,
+        "repeated": F.col("has_text") & (importance < LEAST_INSIDE),
+        "own": F.col("outside") & (importance >= LEAST_OUTSIDE),
+    }
+    judged = tree.where(F.col("pages") >= LEAST_PAGES).where(kinds["low"] | kinds["own"])
+    low = cut(judged.groupBy("host").agg(*(F.collect_set(F.when(k, F.col("path"))).alias(c) for c, k in kinds.items())))
+    length = sum((F.octet_length(F.array_join(c, ",")) for c in kinds), F.lit(64))
+    size = low.agg(F.coalesce(F.sum(length), F.lit(0))).first()[0]
     joined = source.join(F.broadcast(low) if size <= BROADCAST_BYTES else low, "host", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [extract(h or "", frozenset(p or ())) for h, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            columns = (batch.column(c).to_pylist() for c in range(2, 6))
+            texts = [extract(h or "", *(frozenset(p or ()) for p in sets)) for h, *sets in zip(*columns, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
                 ["id", "url", "text", "n_chars"],
             )
 
     schema = T.StructType([*source.schema.fields[:2], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    return map_arrow(joined.select("id", "url", "html", "low"), run, schema).withColumnRenamed("id", id_col).withColumnRenamed("url", "url")
+    return map_arrow(joined.select("id", "url", "html", *kinds), run, schema).withColumnRenamed("id", id_col).withColumnRenamed("url", "url")

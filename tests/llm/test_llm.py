@@ -287,6 +287,18 @@ def test_style_tree_removes_what_a_site_repeats(spark):
     assert got[3] == "Story 3 of its own" and got[90] == "" and got[91] == "alone"
 
 
+def test_style_tree_acts_on_declared_articles(spark):
+    page = (
+        "<body><div class=strap>All the news</div><div class=byline>By writer {0}</div>"
+        "<article><p>Story {0} of its own</p><div class=about>Our paper was founded long ago</div></article></body>"
+    )
+    pages = [(i, f"http://h.example/{i}", page.format(i)) for i in range(12)]
+    pages += [(100 + i, "http://copies.example/", page.format(7)) for i in range(12)] + [(200, "http://few.example/", page.format(1))]
+    got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[3] == "By writer 3 Story 3 of its own"
+    assert got[105] == "Story 7 of its own Our paper was founded long ago" and got[200] == "Story 1 of its own Our paper was founded long ago"
+
+
 def test_html_on_articles(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     for r, text in [(r, t.text) for r, t in zip(pages.orderBy("page_id").collect(), html_extract.main_text(pages).orderBy("page_id").collect(), strict=True)]:
