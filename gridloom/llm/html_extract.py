@@ -52,7 +52,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style title textarea noscript iframe noembed noframes template xmp svg math".split())
 #: Elements that are never main text.
 NOISE_TAGS = frozenset("head nav aside footer form menu dialog select button fieldset object canvas audio video map".split())
-#: Words in class, id and role that mark noise anywhere, and those that do so outside the article.
+#: Words of which a name in class, id or role is made that marks noise anywhere, and those that do so outside the article.
 NOISE_WORDS = frozenset(
     """ad ads adv advert adverts advertisement advertising adbox adslot banner banners breadcrumb breadcrumbs comment comments
     commentlist consent cookie cookies dialog disqus footer gdpr login menu modal nav navbar navigation newsletter notice notices
@@ -71,6 +71,9 @@ class Element:
     inside: bool
     noise: bool
     children: list[str] = field(default_factory=list)
+    at: int = -1
+    hard: bool = False
+    article: bool = False
 
 
 @dataclass
@@ -80,12 +83,23 @@ class Block:
     inside: bool
 
 
-def parse_page(source: str) -> tuple[list[Block], list[tuple[str, str]], bool]:
-    """Blocks that no declaration marks as noise, (path, layout) of their elements, and whether an article is declared."""
+def _made_of(names: list[str], words: frozenset[str]) -> bool:
+    """Whether all parts of one of the names are such words: ``cookie-notice``, but not ``no-sidebar`` or ``has-comments``."""
+    return any(parts and words.issuperset(parts) for parts in (re.findall(r"[^\W_]+", name) for name in names))
+
+
+def parse_page(source: str, spared: frozenset[int] = frozenset()) -> tuple[list[Block], list[tuple[str, str]], bool]:
+    """Blocks that no declaration marks as noise, (path, layout) of their elements, and whether an article with text is declared.
+
+    Names do not count on html and body. Where they would leave a page
+    without its articles, they do not count on these and on what holds them
+    (``spared``, by the places of the tags).
+    """
     blocks: list[Block] = []
     layouts: list[tuple[str, str]] = []
     root = Element("", "", False, False)
-    stack, buffer, declared = [root], [], False
+    stack, buffer = [root], []
+    holders: set[int] = set()
 
     def flush() -> None:
         text = " ".join("".join(buffer).split())
@@ -105,7 +119,7 @@ def parse_page(source: str) -> tuple[list[Block], list[tuple[str, str]], bool]:
     at, size = 0, len(source)
     while at < size:
         match = _TOKEN.match(source, at)
-        at = match.end()
+        start, at = at, match.end()
         text = match[7]
         if text is not None:
             if not stack[-1].noise:
@@ -131,12 +145,16 @@ def parse_page(source: str) -> tuple[list[Block], list[tuple[str, str]], bool]:
                 buffer.append(" ") if tag == "br" else flush()
             continue
         names: set[str] = set()
+        whole: list[str] = []
         if attributes:
             for groups in _NAMES.findall(attributes):
-                names.update(re.split(r"[^a-z0-9]+", "".join(groups).lower()))
+                whole += "".join(groups).lower().split()
+            for name in whole:
+                names.update(re.split(r"[^a-z0-9]+", name))
+        named = bool(whole) and start not in spared and tag not in ("html", "body") and _made_of(whole, NOISE_WORDS)
         if tag in INLINE:
-            if names & NOISE_WORDS and not stack[-1].noise:
-                stack.append(Element(tag, stack[-1].path, stack[-1].inside, True))
+            if named and not stack[-1].noise:
+                stack.append(Element(tag, stack[-1].path, stack[-1].inside, True, at=start, hard=stack[-1].hard, article=stack[-1].article))
             continue
         flush()
         if stack[-1].tag == "p" or tag == "p":
@@ -147,16 +165,22 @@ def parse_page(source: str) -> tuple[list[Block], list[tuple[str, str]], bool]:
             close_down_to(len(stack) - 1)
         parent = stack[-1]
         article = tag in ("article", "main") or "main" in names and "role" in attributes.lower()
-        noise = parent.noise or tag in NOISE_TAGS or bool(names & NOISE_WORDS)
-        if not parent.inside and not article and (tag == "header" or names & OUTER_NOISE_WORDS) and tag not in ("html", "body"):
+        hard = parent.hard or tag in NOISE_TAGS or (tag == "header" and not parent.inside and not article)
+        noise = parent.noise or hard or named
+        if not parent.inside and not article and tag not in ("html", "body") and start not in spared and _made_of(whole, OUTER_NOISE_WORDS):
             noise = True
+        if article and not hard and not parent.article:
+            holders.update(e.at for e in stack)
+            holders.add(start)
         inside = parent.inside or (article and not noise)
-        declared = declared or inside
         key = tag + "".join(f".{n}" for n in sorted(names) if n)
         parent.children.append(key)
-        stack.append(Element(tag, f"{parent.path}/{key}", inside, noise))
+        stack.append(Element(tag, f"{parent.path}/{key}", inside, noise, at=start, hard=hard, article=parent.article or article))
     flush()
     close_down_to(0)
+    declared = any(b.inside for b in blocks)
+    if holders and not spared and not declared:
+        return parse_page(source, frozenset(holders))
     return blocks, layouts, declared
 
 

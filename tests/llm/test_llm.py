@@ -280,6 +280,22 @@ def test_html_blocks():
     assert html_extract.extract("plain < text <b", frozenset()) == "plain < text"
 
 
+def test_html_names_spare_the_text():
+    for page in (
+        "<html class=search><body class='no-sidebar widget'><p>text</p></body></html>",
+        "<body><div class='content with-banner'><p>text</p></div></body>",
+        "<body><article class='post has-comments'>text</article></body>",
+        "<body><article id='notice-12'>text</article></body>",
+        "<body><div id=top class=widget><main class=search>text<div class=share>tweet</div></main></div></body>",
+        "<body><span class=promo><article class=notice>text</article></span></body>",
+        "<body><article>text<div id=comments><article class=comment>rude</article></div></article></body>",
+        "<body><article class=notice>text<div id=comments><article class=comment>rude</article></div></article></body>",
+        "<body><article>text</article><div class=related><article>more</article></div></body>",
+        "<body><div class='cookie_notice'>ok?</div><div class='social-share'>tweet</div><p>text</p></body>",
+    ):
+        assert html_extract.extract(page, frozenset()) == "text", page
+
+
 def test_style_tree_removes_what_a_site_repeats(spark):
     pages = [(i, f"http://h.example/{i}", f"<body><div><p>Same words on all pages</p></div><div><section><p>Story {i} of its own</p></section></div>") for i in range(12)]
     pages += [(90, None, None), (91, "", "<p>alone</p>"), (91, "", "<p>alone</p>")]
