@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 
 from gridloom.plans.durable import cut, scratch, tidy
 
-#: Lines with fewer different words are left alone.
-LEAST_WORDS = 5
+#: Lines with fewer different words are left alone: those without words.
+LEAST_WORDS = 1
 #: Similarity as a fraction: 4/5.
 NUMERATOR, DENOMINATOR = 4, 5
 #: Hash buckets of the word frequencies, counted by two hashes; their levels travel as so many bytes each.
@@ -93,6 +93,13 @@ def _prefix_length(n: Column) -> Column:
     return n - F.ceil(n * F.lit(NUMERATOR) / F.lit(DENOMINATOR)).cast("int") + 1
 
 
+def _prefix(words: Column) -> Column:
+    """The words of which a partner has at least one; so few that partners have equal sets are one word together."""
+    n = F.size(words)
+    equal = n * (DENOMINATOR - NUMERATOR) < NUMERATOR  # one word more or less is below the threshold
+    return F.when(equal, F.array(F.xxhash64(words))).otherwise(F.slice(words, F.lit(1), _prefix_length(n)))
+
+
 def _may_match(a: str, b: str) -> Column:
     """Length filter, positional filter for a first word in common, and the bound of the bitmaps on the words not in common."""
     n_a, n_b = F.col(f"{a}.n"), F.col(f"{b}.n")
@@ -159,7 +166,7 @@ def _order(kind: T.DataType) -> Column:
 
 
 @tidy
-def kept_lines(docs: DataFrame) -> DataFrame:
+def kept_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """``d, h, kept`` of ``d, h, text``: places of the lines that stay, among those with enough words."""
     spark: SparkSession = docs.sparkSession
     with scratch(spark) as folder:
@@ -171,13 +178,13 @@ def kept_lines(docs: DataFrame) -> DataFrame:
         split = docs.select("d", "h", F.posexplode(F.split(F.lower("text"), "\n")).alias("at", "line"))
         classes = split.groupBy("line").agg(F.min(F.struct("d", "h", "at")).alias("first"))
         classes = classes.select(F.xxhash64("line").alias("id"), "first", line_words(F.col("line")).alias("words"))
-        classes = classes.where(F.size("words") >= LEAST_WORDS)
+        classes = classes.where(F.size("words") >= least_words)
         lines = stored(classes.select("id", "first", F.size("words").alias("n"), F.concat_ws(" ", "words").alias("line")), "lines")
 
         words = lines.select("id", _order(docs.schema["d"].dataType).alias("d"), F.split("line", " ").alias("words"))
         ordered = words.select("id", "d", rarest_first(F.col("words"), rarity_levels(words)).alias("w"))
         bits = [F.aggregate("w", F.lit(0).cast("long"), _with_bit(k)).alias(c) for k, c in enumerate(BITS)]
-        measured = ordered.select("id", "d", F.size("w").alias("n"), *bits, F.slice("w", F.lit(1), _prefix_length(F.size("w"))).alias("prefix"))
+        measured = ordered.select("id", "d", F.size("w").alias("n"), *bits, _prefix(F.col("w")).alias("prefix"))
         prefixes = stored(measured, "prefixes")
         index = prefixes.select("id", "d", "n", *BITS, F.posexplode("prefix").alias("at", "word"))
 
@@ -189,19 +196,20 @@ def kept_lines(docs: DataFrame) -> DataFrame:
         return cut(stay.groupBy("first.d", "first.h").agg(F.collect_set("first.at").alias("kept")).toDF("d", "h", "kept"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """All columns of ``docs`` with near-duplicate lines taken out of the text, and ``n_lines, n_removed``.
 
-    Lines end at newlines. A line of at least LEAST_WORDS different words goes
+    Lines end at newlines. A line of at least ``least_words`` different words goes
     if an equal or similar one (4/5 of the words of both in common) comes
     before it, in an earlier row by id or earlier in the same text, whether
-    that one stays or not. Shorter lines stay. Rows that repeat an id are
+    that one stays or not. Shorter lines stay, lines without words always. Rows that repeat an id are
     ordered by a hash of their texts, rows equal in both count as one. Null
     ids come first. A null text stays null and has no lines; an empty text is
     one empty line. A text that loses all lines becomes empty.
     """
     key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    kept = kept_lines(docs.select(F.col(id_col).alias("d"), key.alias("h"), F.col(text_col).alias("text")))
+    least_words = max(1, least_words)
+    kept = kept_lines(docs.select(F.col(id_col).alias("d"), key.alias("h"), F.col(text_col).alias("text")), least_words)
     kept = kept.toDF("line_dedup__d", "line_dedup__h", "line_dedup__kept")
     marked = docs.withColumn("line_dedup__key", key).join(
         kept, F.col(id_col).eqNullSafe(F.col("line_dedup__d")) & (F.col("line_dedup__key") == F.col("line_dedup__h")), "left"
@@ -209,7 +217,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lines = F.split(F.col(text_col), "\n")
     stay = F.coalesce("line_dedup__kept", F.array().cast("array<int>"))
     left = F.filter(
-        lines, lambda line, at: F.array_contains(stay, at.cast("int")) | (F.size(line_words(F.lower(line))) < LEAST_WORDS)
+        lines, lambda line, at: F.array_contains(stay, at.cast("int")) | (F.size(line_words(F.lower(line))) < least_words)
     )
     marked = marked.withColumn("line_dedup__left", left)
     out = [

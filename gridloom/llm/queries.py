@@ -18,7 +18,8 @@ from gridloom.llm.warc import archive_pages
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Lines of five different words or more, as the SQL has it."""
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), least_words=5)
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

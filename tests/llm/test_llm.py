@@ -240,6 +240,17 @@ def test_line_dedup_of_a_cluster(spark):
         assert (got[i] == "") == gone
 
 
+def test_line_dedup_of_short_lines(spark):
+    rng = np.random.default_rng(8)
+    lines = [" ".join(f"w{k}" for k in rng.integers(0, 7, rng.integers(1, 8))) for _ in range(400)] + ["Les.", "les.", "", "", " "]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(4)
+    sets = [set(t.lower().split()) for t in lines]
+    gone = [bool(own) and any(5 * len(own & s) >= 4 * len(own | s) for s in sets[:i]) for i, own in enumerate(sets)]
+    for out in (line_dedup.dedup_lines(docs), corpus_pipeline.drop_repeated_lines(spark, docs, SF)):
+        got = {r.doc_id: r.text for r in out.collect()}
+        assert [got[i] for i in range(len(lines))] == ["" if g else t for t, g in zip(lines, gone, strict=True)]
+
+
 def test_toxicity_held_out(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     scored = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels)).join(labels, "doc_id").where("held_out").collect()
