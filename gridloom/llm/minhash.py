@@ -11,7 +11,9 @@ Regions that are large at first go in rounds, so that links found early spare
 the comparisons inside a group: each member with the least one of its deep
 region, then with those members of the large region that have most confirmed
 links, then with all of its deep regions; the last two only where the two
-sides are not yet in one group.
+sides are not yet in one group. The members of large regions that still hold
+several groups are joined exactly, by the rarest shingles of their sets, so
+that no link across groups is left there.
 """
 
 from __future__ import annotations
@@ -46,6 +48,9 @@ SLACK = 4.5
 #: Ids of documents to confirm that may be broadcast.
 BROADCAST_IDS = 1_000_000
 
+#: Hash buckets of the shingle frequencies, counted by two parts of the hash.
+BUCKETS = 1 << 16
+
 _HASHES = WordHashes()
 _FACTORS = mixed(np.arange(HASHES, dtype=np.int64)) | np.uint64(1)
 
@@ -235,6 +240,80 @@ def _rest_pairs(grouped: DataFrame) -> DataFrame:
     return pairs.union(_hub_pairs(sized.where(F.col("n") > SMALL).drop("n"))).distinct()
 
 
+def _buckets(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (shingles & np.uint64(BUCKETS - 1)).astype(np.int64), ((shingles >> np.uint64(32)) & np.uint64(BUCKETS - 1)).astype(np.int64) + BUCKETS
+
+
+def _rarity_levels(texts: DataFrame, words: int) -> np.ndarray:
+    """For the buckets of both parts of the hash, the logarithm of how often their shingles occur in ``id, text``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(2 * BUCKETS, dtype=np.int64)
+        for batch in batches:
+            for text in as_bytes(batch.column(1)):
+                for b in _buckets(shingle_set(text, words)):
+                    counts += np.bincount(b, minlength=2 * BUCKETS)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["b", "n"])
+
+    levels = np.zeros(2 * BUCKETS, dtype=np.uint8)
+    for b, n in map_arrow(texts, run, "b long, n long").groupBy("b").agg(F.sum("n")).collect():  # at most twice BUCKETS rows
+        levels[b] = int(n).bit_length()
+    return levels
+
+
+def _prefixes(texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """``id, n, at, token``: of each set the rarest shingles, as many as a similar set cannot miss all of."""
+    levels = _rarity_levels(texts, words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            taken, sizes, places, tokens = [], [], [], [np.empty(0, dtype=np.uint64)]
+            for row, text in enumerate(as_bytes(batch.column(1))):
+                shingles = shingle_set(text, words)
+                n = len(shingles)
+                length = n - -(-percent * n // 100) + 1 if n else 0
+                one, two = _buckets(shingles)
+                tokens.append(shingles[np.lexsort((shingles, np.minimum(levels[one], levels[two])))[:length]])
+                taken += [row] * length
+                sizes += [n] * length
+                places += range(length)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(taken, pa.int64())), pa.array(sizes, pa.int64()), pa.array(places, pa.int64()), pa.array(np.concatenate(tokens).view(np.int64))],
+                ["id", "n", "at", "token"],
+            )
+
+    schema = T.StructType([texts.schema["id"], *(T.StructField(c, T.LongType()) for c in ("n", "at", "token"))])
+    return map_arrow(texts, run, schema)
+
+
+def _exact_pairs(grouped: DataFrame, source: DataFrame, words: int, percent: int) -> DataFrame:
+    """All pairs across groups, among the members of regions, that their sizes and rarest shingles do not rule out."""
+    members = cut(grouped.select("id", "component").distinct())
+    small = members.count() <= BROADCAST_IDS
+    texts = cut(source.join(F.broadcast(members) if small else members, "id", "left_semi").select("id", "text"))
+    index = _prefixes(texts, words, percent).distinct().join(F.broadcast(members) if small else members, "id")
+    # the members of a group with a word stay together, so that pairs inside a group are never made
+    bounds = F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("at")).alias("left")
+    lists = index.groupBy("token", "component").agg(F.collect_list(F.struct("id", "n", "at")).alias("m"), *bounds)
+    several = lists.groupBy("token").agg(F.count(F.lit(1)).alias("groups")).where("groups > 1").select("token")
+    lists = cut(lists.join(several, "token", "left_semi"))
+    one, two = (lists.select("token", *(F.col(c).alias(f"{c}_{x}") for c in lists.columns if c != "token")) for x in "xy")
+    # what no pair of two lists can meet is left out before they are dealt out
+    may = (
+        (F.col("component_x") < F.col("component_y"))
+        & (100 * F.col("most_x") >= percent * F.col("least_y"))
+        & (100 * F.col("most_y") >= percent * F.col("least_x"))
+        & (F.least("left_x", "left_y") * (100 + percent) >= (F.col("least_x") + F.col("least_y")) * percent)
+    )
+    met = one.alias("one").join(two.alias("two"), (F.col("one.token") == F.col("two.token")) & may)
+    met = met.select(F.explode("m_x").alias("x"), "m_y").select("x", F.explode("m_y").alias("y"))
+    n_x, n_y = F.col("x.n"), F.col("y.n")
+    in_size = (100 * n_x >= percent * n_y) & (100 * n_y >= percent * n_x)
+    ahead = F.least(n_x - F.col("x.at"), n_y - F.col("y.at")) * (100 + percent) >= (n_x + n_y) * percent
+    return met.where(in_size & ahead).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
 @tidy
 def near_duplicates(
     docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
@@ -266,6 +345,9 @@ def near_duplicates(
         for pairs_of, members in ((_hub_pairs, large), (_rest_pairs, deep)):
             pairs = pairs_of(_grouped(members, links))
             links = cut(links.union(_confirmed(_screened(pairs, nodes, percent), source, words, percent)))
+        mixed_regions = cut(_grouped(large, links))
+        if not mixed_regions.isEmpty():
+            links = cut(links.union(_confirmed(_exact_pairs(mixed_regions, source, words, percent), source, words, percent)))
     groups = connected_components(links.union(copies), "a", "b")
     return signed.join(groups.withColumnRenamed("node", "id"), "id", "left").select(
         F.col("id").alias(id_col),

@@ -205,6 +205,24 @@ def test_near_duplicates_in_a_large_group(spark):
     assert sum(got[i] != expected[i] for i in got) <= 1
 
 
+def test_near_duplicates_of_large_regions_are_whole(spark, monkeypatch):
+    # regions so shallow that nearly all documents share large ones, with few rounds that find links there
+    monkeypatch.setattr(minhash, "HUBS", 1)
+    monkeypatch.setattr(minhash, "FIRST_TREES", 0)
+    monkeypatch.setattr(minhash, "DEPTHS", (1, 24))
+    rng = np.random.default_rng(9)
+    base, rows = [f"w{i}" for i in range(120)], []
+    for i in range(100):
+        words = list(base)
+        for at in (i % 10 * 12 + 3, i % 10 * 12 + 7, *rng.choice(120, rng.integers(0, 3), replace=False)):
+            words[at] = f"x{i}_{at}"
+        rows.append((i, " ".join(words)))
+    rows += [(100 + i, f"{text} end") for i, text in rows[:3]] + [(i, rows[i][1]) for i in (0, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, 3, 85).collect()}
+    assert got == brute_components(dict(rows).items(), 3, 85)
+
+
 def test_near_duplicates_edges(odd, empty):
     got = [tuple(r) for r in minhash.near_duplicates(odd, 3, 85).collect()]
     assert len(got) == len(ODD)
