@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.catalog.tables import table
 from gridloom.operators import images as m
+from gridloom.plans.durable import cut
 
 SIDE, ANGLE, POINTS = 64, 30, 64
 
@@ -57,24 +58,37 @@ def _signal(spark, sf_dir):
     return numbered.select("i", F.col("value").alias("re"), F.lit(0.0).alias("im"))
 
 
+def _lines(spark, sf_dir):
+    """All events in lines of POINTS consecutive ones; the last is filled up with zeros."""
+    events = table(spark, sf_dir, "events").select("event_id", "value")
+    parts = events.repartitionByRange("event_id").sortWithinPartitions("event_id").withColumn("part", F.spark_partition_id())
+    parts = cut(parts.withColumn("k", F.monotonically_increasing_id() % (1 << 33)))
+    sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    starts = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("start"))  # a row of each partition
+    at = F.col("k") + F.col("start")
+    placed = parts.join(F.broadcast(starts), "part").select(F.expr(f"(k + start) div {POINTS}").alias("line"), (at % POINTS).alias("i"), F.col("value").alias("re"))
+    slots = placed.select("line").distinct().crossJoin(spark.range(POINTS).select(F.col("id").alias("i")))
+    return cut(slots.join(placed, ["line", "i"], "left").select("line", "i", F.coalesce("re", F.lit(0.0)).alias("re"), F.lit(0.0).alias("im")))
+
+
 def dft(spark, sf_dir):
     out = m.dft(_signal(spark, sf_dir), POINTS)
     return out.select("k", F.round("re", 4) + 0.0, F.round("im", 4) + 0.0).toDF("k", "re", "im")
 
 
 def fft_roundtrip(spark, sf_dir):
-    """Forward and back gives the signal times its length."""
-    signal = _signal(spark, sf_dir).withColumn("line", F.lit(0))
-    forward = m.fft_lines(signal, "line", "i")
-    back = m.fft_lines(forward, "line", "i", inverse=True)
-    scaled = back.select("i", (F.col("re") / POINTS).alias("re"), (F.col("im") / POINTS).alias("im"))
-    return m.differences(scaled, signal, ["i"]).select((F.col("largest") < 1e-9).alias("ok"))
+    """Forward and back gives the signal times its length, on every line of events."""
+    signal = _lines(spark, sf_dir)
+    back = m.fft_lines(m.fft_lines(signal, "line", "i"), "line", "i", inverse=True)
+    scaled = back.select("line", "i", (F.col("re") / POINTS).alias("re"), (F.col("im") / POINTS).alias("im"))
+    return m.differences(scaled, signal, ["line", "i"]).select((F.col("largest") < 1e-9).alias("ok"))
 
 
 def fft_matches_dft(spark, sf_dir):
-    signal = _signal(spark, sf_dir).withColumn("line", F.lit(0))
+    """Both transforms of every line of events."""
+    signal = _lines(spark, sf_dir)
     fast = m.fft_lines(signal, "line", "i").withColumnRenamed("i", "k")
-    return m.differences(fast, m.dft(signal, POINTS), ["k"]).select((F.col("largest") < 1e-6).alias("ok"), (F.col("mean") <= F.col("largest")).alias("ordered"))
+    return m.differences(fast, m.dft(signal, POINTS, by=("line",)), ["line", "k"]).select((F.col("largest") < 1e-6).alias("ok"), (F.col("mean") <= F.col("largest")).alias("ordered"))
 
 
 def fft_plane(spark, sf_dir):
