@@ -19,8 +19,8 @@ ASCII_LOWER = ASCII_UPPER.lower()
 #: Cells into which rows that need a gapless number are dealt by hash.
 NUMBERING_CELLS = 512
 
-#: Rows in one Arrow batch sent to a Python worker: 128 texts of 100 kB are 13 MB.
-ARROW_ROWS = 256
+#: Rows and bytes in one Arrow batch sent to a Python worker, at most; a larger row is a batch of its own.
+ARROW_ROWS, ARROW_BYTES = 256, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,11 +35,12 @@ def ascii_lower(text: Column) -> Column:
 def map_arrow(df: DataFrame, fn, schema) -> DataFrame:
     """``mapInArrow`` with batches small enough for very long texts.
 
-    The batch size is a session setting read when the plan is made into a
-    physical one, so it stays at the small value.
+    The batch sizes are session settings read when the plan is made into a
+    physical one, by whoever runs it, so they stay at the small values.
     """
     ship(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return df.mapInArrow(fn, schema)
 
 

@@ -370,6 +370,51 @@ def test_warc_roundtrip(spark, tmp_path):
     assert warc.archive_pages(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("broadcast_rows", [0, 1, 1000])
+def test_warc_hot_payloads(spark, broadcast_rows):
+    pages = [(i, f"http://h/{i}", "<p>hot</p>" * 20 if i % 3 else f"<p>{i % 7} twice</p>" * 15) for i in range(60, 0, -1)] + [(99, None, "tiny")]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)
+    got = {r.page_id: r for r in warc.archive_pages(frame, broadcast_rows=broadcast_rows).collect()}
+    first = {}
+    for i, _, text in sorted(pages):
+        first.setdefault(text, i)
+    assert len(got) == len(pages)
+    for i, _, text in pages:
+        assert got[i].refers_to == (None if first[text] == i else first[text]) and got[i].payload_bytes == len(text)
+
+
+def test_warc_revisits_name_their_response(spark, tmp_path):
+    frame = spark.createDataFrame([(i, f"http://h/{i}", "<p>same</p>" * 30) for i in range(5)], "page_id long, url string, html string")
+    warc.write_warc(frame, f"file://{tmp_path}/archive")
+    rows = warc.read_warc(spark, f"file://{tmp_path}/archive").collect()
+    response = {r.record_id for r in rows if r.kind == "response"}
+    assert len(response) == 1 and {r.refers for r in rows if r.kind == "revisit"} == response
+
+
+def test_warc_malformed_records(spark, tmp_path):
+    import gzip
+
+    good = b"WARC/1.1\r\nWARC-Type: metadata\r\nWARC-Record-ID: <%d>\r\nContent-Length: 4\r\n\r\nWARC\r\n\r\n"
+    bad = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <x>\r\nContent-Length: many\r\n\r\nbody\r\n\r\n"
+    nameless = b"WARC/1.1\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+    whole = b"junk WARC/\r\n" + good % 1 + bad + nameless + good % 2 + (good % 3)[:-9]
+    member = gzip.compress(good % 4)
+    files = {"plain": whole, "zip": gzip.compress(whole), "members": member + gzip.compress(good % 5), "cut": member + member[:-20], "torn": member + b"\x1f\x8bnothing", "empty": b""}
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    found = Counter(r.record_id for r in warc.read_warc(spark, f"file://{tmp_path}").collect())
+    assert found == {"<1>": 2, "<2>": 2, "<4>": 3, "<5>": 1}
+    for size in (1, 7, 1000):
+        pieces = [whole[at : at + size] for at in range(0, len(whole), size)]
+        assert [f["warc-record-id"] for f, b in warc.parse_records(pieces) if b] == ["<1>", "<2>"]
+
+
+def test_warc_of_a_long_payload(spark):
+    frame = spark.createDataFrame([(1, "u", "é<p>" * 6_000_000), (2, "u", "é<p>" * 6_000_000)], "page_id long, url string, html string")
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.archive_pages(frame).collect()}
+    assert got == {1: (30_000_000, "response", None), 2: (30_000_000, "revisit", 1)}
+
+
 def test_pipeline(spark):
     docs, sf = spark.read.parquet(f"{SF}/documents.parquet"), SF
     columns, seen = docs.columns, {r.doc_id for r in docs.collect()}
