@@ -304,9 +304,9 @@ def test_html_blocks():
         "<article><h1>Head &amp; line</h1><p>one <b>two</b><br>three<p>caf&eacute; &#x263a;\n\n  four<div class='share'>tweet</div>"
         "<section id=comments><p>rude</p></section><script>var x='<p>no</p>';</script></article><aside>more</aside><footer>&copy;</footer>"
     )
-    assert html_extract.extract(page, frozenset()) == "Head & line one two three café ☺ four"
-    assert html_extract.extract("", frozenset()) == ""
-    assert html_extract.extract("plain < text <b", frozenset()) == "plain < text"
+    assert html_extract.extract(page) == "Head & line one two three café ☺ four"
+    assert html_extract.extract("") == ""
+    assert html_extract.extract("plain < text <b") == "plain < text"
 
 
 def test_html_names_spare_the_text():
@@ -322,7 +322,7 @@ def test_html_names_spare_the_text():
         "<body><article>text</article><div class=related><article>more</article></div></body>",
         "<body><div class='cookie_notice'>ok?</div><div class='social-share'>tweet</div><p>text</p></body>",
     ):
-        assert html_extract.extract(page, frozenset()) == "text", page
+        assert html_extract.extract(page) == "text", page
 
 
 def test_style_tree_removes_what_a_site_repeats(spark):
@@ -344,6 +344,101 @@ def test_style_tree_acts_on_declared_articles(spark):
     assert got[105] == "Story 7 of its own Our paper was founded long ago" and got[200] == "Story 1 of its own Our paper was founded long ago"
 
 
+def test_html_of_odd_pages():
+    for page, text in (
+        ('<body class="has-sidebar comments-open"><article><p>hello world</p></article></body>', "hello world"),
+        ('<article class="post widget-area related"><p>hello world</p></article>', "hello world"),
+        ('<article><p>a</p><svg viewBox="0"/><p>b</p><p>c</p></article>', "a b c"),
+        ("<article><p>a</p><iframe><p>b</p><title><p>c</p></article>", "a b c"),
+        ('<article><p class="alert">mind</p><p>x <math><mi>y</mi></math></p></article>', "mind x y"),
+        ("<body><div><h1>Headline</h1><article><p>text</p></article></div></body>", "Headline text"),
+        ("<p>a<script>b", "a"),
+    ):
+        assert html_extract.extract(page) == text, page
+
+
+def test_html_of_deep_pages():
+    import time
+    import tracemalloc
+
+    for page in ("<div>" * 100_000 + "text", "<b class=x><p>" * 60_000 + "</i></b>" * 60_000 + "text", "<div class=ad>" * 50_000 + "</p></table>" * 50_000 + "</div>" * 50_000 + "text"):
+        tracemalloc.start()
+        began = time.process_time()
+        assert html_extract.extract(page) == "text"
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 600 * len(page) and time.process_time() - began < 30
+
+
+def plain_importance(pages):
+    """Composite importances by the definition, from the pages' blocks and layouts."""
+    import math
+
+    seen = {}
+    for page in set(pages):
+        blocks, layouts, _ = html_extract.parse_page(page)
+        for node, kind, value in {(b.node, "text", b.text) for b in blocks} | {(n, "layout", x) for n, x in layouts}:
+            seen.setdefault(node, {}).setdefault(kind, Counter())[value] += 1
+    out = {}
+    for node, kinds in seen.items():
+        layouts = kinds.get("layout", Counter())
+        total = sum(layouts.values())
+        m = max(total, 2)
+        if "text" in kinds:
+            entropies = [-sum(1 / n * math.log(1 / n, m) for _ in range(n)) for n in kinds["text"].values()]
+            out[node] = (1 - sum(entropies) / len(entropies), total)
+        else:
+            own = -sum(n / total * math.log(n / total, m) for n in layouts.values())
+            weight = html_extract.DAMPING ** len(layouts)
+            out[node] = ((1 - weight) * own + weight, total)
+    return out
+
+
+def test_importance_by_definition(spark):
+    rng = np.random.default_rng(3)
+    pages = []
+    for i in range(40):
+        body = f"<nav>m</nav><div class=x>stock {rng.integers(5)}</div><div><h2>title {i}</h2>" + "".join(f"<p>text {i} {k}</p>" for k in range(rng.integers(0, 4)))
+        pages.append((f"http://h{i % 2}.example/", f"<body>{body}</div>" + ("<ul><li>a<li>b</ul>" if i % 3 else "")))
+    pages += pages[:3]
+    frame = spark.createDataFrame(pages, "url string, html string").repartition(3)
+    counts = html_extract.page_features(frame.select(html_extract.host_of(F.col("url")).alias("host"), "html"))
+    tree = html_extract.style_tree(counts, "host").collect()
+    for host in ("h0.example", "h1.example"):
+        expected = plain_importance([h for u, h in pages if host in u])
+        got = {r.path: (r.importance, r.pages) for r in tree if r.host == host}
+        assert got.keys() == expected.keys()
+        assert all(np.allclose(got[k], expected[k]) for k in got)
+
+
+def test_style_tree_without_declarations(spark, monkeypatch):
+    # pages of the tables without the tag of the article and without any list of words: what is left is the tree's work
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    expected = {r.page_id: r.text for r in html_extract.main_text(pages).collect()}
+    plain = pages.withColumn("html", F.regexp_replace(F.regexp_replace("html", "<article>", "<div class=x>"), "</article>", "</div>"))
+    monkeypatch.setattr(html_extract, "NOISE_WORDS", frozenset())
+    monkeypatch.setattr(html_extract, "OUTER_NOISE_WORDS", frozenset())
+    rows = [(r.host, r.html, r.page_id) for r in plain.select(html_extract.host_of(F.col("url")).alias("host"), "html", "page_id").collect()]
+    counts = Counter()
+    for host, source, page in {r[:2]: r for r in rows}.values():
+        blocks, layouts, _ = html_extract.parse_page(source)
+        counts.update({(host, b.node, 0, hash(b.text)) for b in blocks} | {(host, n, 1, hash(x)) for n, x in layouts})
+    frame = spark.createDataFrame([(*k, n) for k, n in counts.items()], "host string, path long, kind int, key long, n long")
+    verdicts = {r.host: html_extract.Verdicts(*(frozenset(x) for x in (r.low, r.repeated, r.own))) for r in html_extract.judged_nodes(frame).collect()}
+    none = html_extract.Verdicts()
+    alike = sum(html_extract.extract(source, verdicts.get(host, none)) == expected[page] for host, source, page in rows)
+    by_no_tree = sum(html_extract.extract(source) == expected[page] for _, source, page in rows)
+    assert alike == len(rows) and by_no_tree == 0
+
+
+def test_html_of_an_empty_table(spark):
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    assert html_extract.main_text(none).count() == 0
+    odd = spark.createDataFrame([(None, None, None, 1, "x"), (None, "u", "<p>a", 1, "x"), (None, "u", "<p>a", 1, "x")], "nr long, link string, body string, host int, text string")
+    got = html_extract.main_text(odd, "nr", "link", "body").collect()
+    assert sorted((r.link or "", r.text) for r in got) == [("", ""), ("u", "a"), ("u", "a")]
+
+
 def test_html_on_articles(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     for r, text in [(r, t.text) for r, t in zip(pages.orderBy("page_id").collect(), html_extract.main_text(pages).orderBy("page_id").collect(), strict=True)]:
