@@ -160,6 +160,55 @@ def test_decontamination_paths_agree(spark, odd):
     assert got[1].items_sha256 == hashlib.sha256(b"1,5").hexdigest()
 
 
+def plain_decontamination(docs, items, window=13):
+    """By all windows of all items, as the contract has it."""
+    out = []
+    windows = {}
+    for item, text in items:
+        words = decontaminate.words_of(text.encode()) if text is not None and item is not None else []
+        n = min(window, len(words))
+        for at in range(len(words) - n + 1 if n else 0):
+            windows.setdefault(n, {}).setdefault(tuple(words[at : at + n]), set()).add(item)
+    for doc, text in docs:
+        words, hit, found = decontaminate.words_of(text.encode() if text else None), set(), set()
+        for n, grams in windows.items():
+            for at in range(len(words) - n + 1):
+                got = grams.get(tuple(words[at : at + n]))
+                if got:
+                    found |= got
+                    hit.update(range(at, at + n))
+        out.append((doc, len(words), len(hit), len(found), decontaminate.items_digest(found), bool(hit) and 20 * len(hit) >= len(words)))
+    return Counter(out)
+
+
+@pytest.mark.parametrize("hash_bits", [2, 64])  # of two bits most hashes are equal by chance
+@pytest.mark.parametrize("broadcast_bytes", [0, 1 << 24])
+def test_decontamination_against_brute_force(spark, hash_bits, broadcast_bytes):
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(6)]
+    items = [(i, " ".join(rng.choice(words, rng.integers(1, 40)))) for i in range(25)] + [(3, "w1 w2"), (90, None), (91, ""), (None, "w1")]
+    docs = [(i, " ".join([*rng.choice(words, rng.integers(0, 60)), *(items[i % 25][1].split()[: rng.integers(1, 30)]), *rng.choice(words, rng.integers(0, 9))])) for i in range(60)]
+    docs += [(1, docs[4][1]), (None, docs[5][1]), (70, None), (71, " .. ")]
+    frame = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, decontaminate__n string").repartition(3)
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    expected = plain_decontamination(docs, items)
+    got = Counter(tuple(r) for r in decontaminate.decontaminate(frame, benchmark, hash_bits=hash_bits, broadcast_bytes=broadcast_bytes).collect())
+    assert got == expected
+    clean = decontaminate.clean_documents(frame, benchmark, hash_bits=hash_bits, broadcast_bytes=broadcast_bytes)
+    texts = dict(docs)
+    assert clean.columns == frame.columns
+    verdicts = {(d, t): [r for r in plain_decontamination([(d, t)], items)][0][-1] for d, t in docs}
+    assert Counter((r.doc_id, r.text) for r in clean.collect()) == Counter(k for k in docs if not verdicts[k]) and texts
+
+
+def test_winnowing_keeps_a_place_of_every_run():
+    rng = np.random.default_rng(5)
+    for n in (0, 3, 6, 7, 50):
+        grams = rng.integers(0, 9, n).astype(np.uint64)
+        expected = sorted({at + int(np.argmin(grams[at : at + 7])) for at in range(n - 6)}) if n >= 7 else []
+        assert decontaminate.winnow(grams, 7).tolist() == expected
+
+
 def test_decontamination_without_rows(odd, empty):
     assert decontaminate.decontaminate(empty, odd.selectExpr("doc_id as item_id", "text")).count() == 0
     assert not any(r.n_items for r in decontaminate.decontaminate(odd, empty.selectExpr("doc_id as item_id", "text")).collect())
