@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import WordHashes, as_bytes, gram_hashes, map_arrow, mixed
+from gridloom.llm.common import WordHashes, as_bytes, gram_hashes, map_arrow, mixed, without_ids
 from gridloom.plans.components import connected_components
 from gridloom.plans.durable import cut, tidy
 
@@ -355,3 +355,19 @@ def near_duplicates(
         F.coalesce("component", "id").alias("component_id"),
         (F.coalesce("component", "id").eqNullSafe(F.col("id"))).alias("kept"),
     )
+
+
+def distinct_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, of which one of each group of near duplicates is left: that with the smallest id.
+
+    Every row is a document of its own, also where ids are missing (they come
+    last) or repeated (then one of the rows stays). Rows without words are
+    like no other and stay. An empty table gives an empty result.
+    """
+    odd = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.col(id_col).isNull())
+    if odd.isEmpty():
+        return without_ids(docs, near_duplicates(docs, words, percent, id_col, text_col).where(~F.col("kept")), id_col)
+    # numbers that grow with the ids; they are fixed once the rows are cut
+    number = "distinct_documents__row"
+    rows = cut(docs.orderBy(F.col(id_col).asc_nulls_last()).withColumn(number, F.monotonically_increasing_id()))
+    return without_ids(rows, near_duplicates(rows, words, percent, number, text_col).where(~F.col("kept")), number).drop(number)
