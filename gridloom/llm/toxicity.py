@@ -8,8 +8,12 @@ upper bounds, and blocks that cannot reach the k-th best are never opened.
 The votes of the neighbours, weighted by closeness, are calibrated on the
 examples themselves, each with itself left out.
 
-The examples are a bounded sample of the labelled rows (``EXAMPLES``), as is
-the vocabulary (``FEATURES``); document frequencies count all documents.
+The examples are a bounded sample of the labelled rows (``EXAMPLES``), and
+so bound the vocabulary: every word or beginning among them that goes with the
+label beyond chance is a feature. Words that do not are left out because they
+drown the label: over all words of the examples the nearest ones share a
+language and a subject, not toxicity. Document frequencies count all
+documents.
 """
 
 from __future__ import annotations
@@ -32,12 +36,12 @@ from gridloom.plans.durable import cut
 
 #: Labelled rows that the index is made of, at most; taken by hash of their id.
 EXAMPLES = 16_384
-#: Features, at most, and the G statistic and toxic examples that one needs.
-FEATURES, LEAST_G, LEAST_TOXIC = 512, 20.0, 3
+#: The G statistic and toxic examples that a feature needs.
+LEAST_G, LEAST_TOXIC = 20.0, 3
 #: How many times more toxic than all examples those with a feature have to be.
 LEAST_LIFT = 3.0
-#: Features that are looked at more closely for each one taken.
-LOOKED_AT = 8
+#: Examples with features whose calibration counts as much as the plain vote, and its weight with very many.
+CALIBRATION_EXAMPLES, CALIBRATION = 5, 0.9
 #: Lengths of the word beginnings that are features besides whole words.
 BEGINNINGS = (4, 5, 6)
 NEIGHBOURS, BLOCK = 15, 64
@@ -180,7 +184,9 @@ class ToxicityModel:
         vote, rows, cosines = self.vote(counts)
         score = vote
         if self.knots is not None:
-            score = 0.9 * float(np.interp(vote, *self.knots)) + 0.1 * vote
+            n = len(self.index.ids)
+            weight = CALIBRATION * n / (n + CALIBRATION_EXAMPLES)
+            score = weight * float(np.interp(vote, *self.knots)) + (1 - weight) * vote
         evidence = [(self.index.ids[r], float(c), int(self.index.labels[r])) for r, c in zip(rows, cosines, strict=True)]
         return min(1.0, max(0.0, score)), evidence
 
@@ -239,7 +245,7 @@ def _independent(rows: DataFrame, leading: list, toxic: int, total: int) -> Voca
         telling = hits * total >= LEAST_LIFT * toxic * (hits + r["seen"] - r["toxic"])
         if hits >= LEAST_TOXIC and g >= LEAST_G and telling:
             rated.append((-g, r["feature"]))
-    return Vocabulary({f: i for i, (_, f) in enumerate(sorted(rated)[:FEATURES])})
+    return Vocabulary({f: i for i, (_, f) in enumerate(sorted(rated))})
 
 
 def _document_frequencies(docs: DataFrame, text_col: str, vocabulary: Vocabulary) -> tuple[np.ndarray, int]:
@@ -281,9 +287,9 @@ def fit_toxicity(
         .agg(F.max("text").alias("text"))
     )
     total, toxic = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
-    strong = _feature_counts(rows).where(F.col("toxic") >= LEAST_TOXIC).where(F.col("toxic") * total > F.col("seen") * toxic)
-    expected = F.col("seen") * toxic / max(total, 1)
-    leading = strong.orderBy(F.desc(F.col("toxic") * F.log(F.col("toxic") / expected)), "feature").limit(LOOKED_AT * FEATURES).collect()
+    # what _independent asks of a feature is harder, so nothing that it would take is lost
+    strong = _feature_counts(rows).where(F.col("toxic") >= LEAST_TOXIC).where(F.col("toxic") * total >= F.lit(LEAST_LIFT * toxic) * F.col("seen"))
+    leading = strong.orderBy("feature").collect()  # of the words of `examples` texts
     vocabulary = _independent(rows, leading, toxic, total)
     frequency, n_docs = _document_frequencies(docs, text_col, vocabulary)
     idf = np.log((n_docs + 1) / (frequency + 1)) + 1
@@ -313,7 +319,7 @@ def fit_toxicity(
     vectors = [model.vector(c) for _, _, c in held]
     labels_of = np.array([y for _, y, _ in held], dtype=np.float64)
     model.index = BlockMaxIndex(vectors, labels_of, [i for i, _, _ in held], len(vocabulary.numbers))
-    if len(held) >= 50:
+    if held:
         votes = np.array([model.vote(c, without=row)[0] for row, (_, _, c) in enumerate(held)])
         model.knots = pool_adjacent(votes, labels_of)
     return model

@@ -378,6 +378,68 @@ def test_block_max_search_is_exact():
         assert np.allclose(dense[rows] @ row, cosines)
 
 
+def test_toxicity_scores_against_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet") for name in ("documents", "labels"))
+    model = toxicity.fit_toxicity(docs, labels)
+    names, texts = model.vocabulary.numbers, {r.doc_id: r.text for r in docs.collect()}
+    toxic = {}
+    for r in labels.collect():
+        if r.toxic is not None and zlib.crc32(str(r.doc_id).encode()) % 5:
+            toxic[r.doc_id] = max(r.toxic, toxic.get(r.doc_id, 0))
+    examples = sorted(i for i in toxic if i in texts)
+
+    def found(text):
+        return Counter(names[f] for w in toxicity.plain_words(text) for f in toxicity.features_of(w) if f in names)
+
+    frequency = Counter(f for t in texts.values() for f in found(t))
+    idf = np.log((len(texts) + 1) / (np.array([frequency[f] for f in range(len(names))]) + 1)) + 1
+
+    def dense(text):
+        counts = found(text)
+        vector = np.array([1 + np.log(counts[f]) if counts[f] else 0 for f in range(len(names))]) * idf
+        return vector / (np.linalg.norm(vector) or 1)
+
+    rows = np.array([dense(texts[i]) for i in examples])
+    marks = np.array([toxic[i] for i in examples], dtype=float)
+    bare = ~rows.any(axis=1)
+    prior = marks.mean()
+
+    def vote(vector, without=None):
+        cosines = rows @ vector
+        if without is not None:
+            cosines[without] = 0
+        best = sorted((k for k in range(len(rows)) if cosines[k] > 0), key=lambda k: (-round(cosines[k], 12), k))[: toxicity.NEIGHBOURS]
+        return (cosines[best] @ marks[best] + prior) / (cosines[best].sum() + 1)
+
+    own = [k for k in range(len(rows)) if not bare[k]]
+    knots = toxicity.pool_adjacent(np.array([vote(rows[k], k) for k in own]), marks[own])
+    weight = toxicity.CALIBRATION * len(own) / (len(own) + toxicity.CALIBRATION_EXAMPLES)
+    scores = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, model).collect()}
+    for i, text in texts.items():
+        vector = dense(text)
+        plain = vote(vector) if vector.any() else None
+        expected = (marks[bare].sum() + 0.5) / (bare.sum() + 2) if plain is None else weight * np.interp(plain, *knots) + (1 - weight) * plain
+        assert np.isclose(scores[i], expected), i
+
+
+def test_toxicity_takes_every_telling_word(spark):
+    # a hundred words, each in a hundredth of the toxic texts
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(12000):
+        words = [f"w{k}" for k in rng.integers(0, 3000, 12)]
+        bad = i % 10 == 0
+        if bad:
+            words.insert(int(rng.integers(0, 12)), f"q{i // 10 % 100:02d}z")
+        rows.append((i, " ".join(words), int(bad)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit_toxicity(frame, frame)
+    assert {f"q{k:02d}z" for k in range(100)} <= set(model.vocabulary.numbers)
+    scored = {r.doc_id: r for r in toxicity.score_toxicity(frame, model).collect()}
+    held = [r for r in rows if scored[r[0]].held_out]
+    assert sum(scored[i].predicted == y for i, _, y in held) >= 0.99 * len(held)
+
+
 def test_html_blocks():
     page = (
         "<html><head><title>t</title><style>p{}</style></head><body><header>top</header><nav><a>menu</a></nav><div class='cookie-notice'>ok?</div>"
