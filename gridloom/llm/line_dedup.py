@@ -6,17 +6,21 @@ all of - are rare. Lines that share such a prefix word and pass the length and
 position filters are candidates; their Jaccard similarity is computed on the
 words themselves. A line goes if a similar or equal one comes before it.
 
-Candidates come in two rounds, so that a cluster of many similar lines does
-not cost all its pairs: first the lines of long word lists with the earliest
-line of each list, then pairs of which not both are known to go. A bitmap of
+A line's place (the order of its row, then its place in the text) is its name
+as well, so every pair is known in its order: only pairs whose later line is
+not known to go yet are met. Candidates come in two rounds, so that a cluster
+of many similar lines does not cost all its pairs: first the lines of long
+word lists with the earliest line of each list, then the rest. A bitmap of
 each line's words travels along and rules out nearly all other pairs before
 their texts are fetched; it never rules out a similar one.
+
+Where candidates are sought words are told apart by the rarity and 58 bits of
+their hash.
 """
 
 from __future__ import annotations
 
 import functools
-import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,149 +29,154 @@ from pyspark.sql import types as T
 
 from gridloom.plans.durable import cut, scratch, tidy
 
-#: Lines with fewer different words are left alone: those without words.
-LEAST_WORDS = 1
 #: Similarity as a fraction: 4/5.
 NUMERATOR, DENOMINATOR = 4, 5
-#: Hash buckets of the word frequencies, counted by two hashes; their levels travel as so many bytes each.
-BUCKETS = 1 << 16
-#: Lines that share a prefix word from which on the earliest of them comes first.
-LONG_LIST = 24
-#: Ids or words that may be broadcast to filter by.
+#: Hash buckets of the word frequencies; their levels travel as so many bytes.
+BUCKETS = 1 << 20
+#: Levels of buckets that travel in one number to the driver, five bits each.
+PACKED = 12
+#: The level from which on words may be in many prefixes: in 32 lines or more.
+LONG_LEVEL = 6
+#: Ids that may be broadcast to filter by.
 BROADCAST_ROWS = 1_000_000
 #: The words are dealt with in so many parts, so that only one part's exchange is on disk at a time.
-WORD_PARTS = 4
-#: Columns of a line's bitmap, 64 bits each.
-BITS = ("bits0", "bits1", "bits2", "bits3")
+WORD_PARTS = 2
 _HASH_BITS = 58
+#: White space in a line besides the blank.
+_ODD_SPACE = "\t\x0b\x0c\r"
+_PLACE_BITS = 31
 
 
 def line_words(line: Column) -> Column:
-    """The different words of a line; they end at ASCII white space."""
-    return F.array_remove(F.array_distinct(F.split(line, "[\\x09-\\x0D\\x20]+")), "")
+    """The words of a line, which may repeat; they end at ASCII white space."""
+    odd = functools.reduce(lambda a, b: a | b, (F.contains(line, F.lit(c)) for c in _ODD_SPACE))
+    split = F.when(odd, F.split(line, "[\\x09-\\x0D\\x20]+")).otherwise(F.split(line, " "))
+    return F.array_remove(split, "")
+
 
+def _blank(line: Column) -> Column:
+    return F.btrim(line, F.lit(f" {_ODD_SPACE}")) == ""
 
-def _buckets(word: Column) -> tuple[Column, Column]:
-    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int"), F.pmod(F.hash(word), F.lit(BUCKETS)).cast("int")
 
+def _bucket(word: Column) -> Column:
+    return F.xxhash64(word).bitwiseAND(F.lit(BUCKETS - 1))
 
-def rarity_levels(lines: DataFrame) -> list[bytes]:
-    """For the buckets of each hash, the logarithm of how often their words occur.
 
-    The number of buckets is fixed, so the tables that tell rare words from
-    common ones do not grow with the vocabulary.
+def rarity_levels(lines: DataFrame) -> bytes:
+    """For each bucket of hashes, the logarithm of how often its words occur in ``line``.
+
+    The number of buckets is fixed, so the table that tells rare words from
+    common ones does not grow with the vocabulary; words that share a bucket
+    with a common one only seem more common than they are.
     """
-    words = lines.select(F.explode("words").alias("word"))
-    which = F.explode(F.array(*(F.lit(k * BUCKETS) + b for k, b in enumerate(_buckets(F.col("word"))))))
-    counts = words.select(which.alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n"))
-    levels = bytearray(2 * BUCKETS)
-    for b, n in counts.collect():  # at most twice BUCKETS rows
-        levels[b] = min(31, int(math.log2(n)) + 1)
-    return [bytes(levels[:BUCKETS]), bytes(levels[BUCKETS:])]
+    words = lines.select(F.explode(line_words(F.col("line"))).alias("word"))
+    counts = words.select(_bucket(F.col("word")).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    level = F.least(F.lit(31), F.floor(F.log2("n") + F.lit(1e-9)) + 1).cast("long")
+    bits = F.call_function("shiftleft", level, (F.col("b") % PACKED * 5).cast("int"))
+    packed = counts.groupBy(F.floor(F.col("b") / PACKED).alias("at")).agg(F.bit_or(bits).alias("bits"))
+    levels = bytearray(BUCKETS + PACKED)
+    for at, value in packed.collect():  # BUCKETS / PACKED rows at most
+        levels[at * PACKED : (at + 1) * PACKED] = bytes(value >> shift & 31 for shift in range(0, 5 * PACKED, 5))
+    return bytes(levels[:BUCKETS])
 
 
-def rarest_first(words: Column, levels: list[bytes]) -> Column:
-    """Words as numbers that sort by rarity level, the lesser of the two hashes', then by hash."""
+def rarest_first(words: Column, levels: bytes) -> Column:
+    """The different words as numbers that sort by rarity level, then by hash."""
 
     def number(word: Column) -> Column:
-        level = F.least(
-            *(F.ascii(F.substring(F.lit(t), b + 1, F.lit(1)).cast("string")) for t, b in zip(levels, _buckets(word), strict=True))
-        )
+        at = (_bucket(word) + 1).cast("int")
+        level = F.ascii(F.substring(F.lit(levels), at, F.lit(1)).cast("string"))
         return F.shiftleft(level.cast("long"), _HASH_BITS).bitwiseOR(F.shiftrightunsigned(F.xxhash64(word), 64 - _HASH_BITS))
 
-    return F.sort_array(F.transform(words, number))
-
-
-def _with_bit(part: int):
-    """Adds the bit of a word to a part of the bitmap, if it belongs there."""
-
-    def add(seen: Column, word: Column) -> Column:
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), word.bitwiseAND(F.lit(63)).cast("int"))
-        here = F.shiftright(word, 6).bitwiseAND(F.lit(len(BITS) - 1)) == part
-        return F.when(here, seen.bitwiseOR(bit)).otherwise(seen)
-
-    return add
+    return F.sort_array(F.array_distinct(F.transform(words, number)))
 
 
-def _prefix_length(n: Column) -> Column:
-    return n - F.ceil(n * F.lit(NUMERATOR) / F.lit(DENOMINATOR)).cast("int") + 1
+def _with_bit(seen: Column, word: Column) -> Column:
+    return seen.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), word.bitwiseAND(F.lit(63)).cast("int")))
 
 
 def _prefix(words: Column) -> Column:
     """The words of which a partner has at least one; so few that partners have equal sets are one word together."""
     n = F.size(words)
     equal = n * (DENOMINATOR - NUMERATOR) < NUMERATOR  # one word more or less is below the threshold
-    return F.when(equal, F.array(F.xxhash64(words))).otherwise(F.slice(words, F.lit(1), _prefix_length(n)))
+    length = n - F.ceil(n * F.lit(NUMERATOR) / F.lit(DENOMINATOR)).cast("int") + 1
+    return F.when(equal, F.array(F.xxhash64(words))).otherwise(F.slice(words, F.lit(1), length))
 
 
-def _may_match(a: str, b: str) -> Column:
-    """Length filter, positional filter for a first word in common, and the bound of the bitmaps on the words not in common."""
+def _candidate(a: str, b: str) -> Column:
+    """``a`` before ``b``, length filter, positional filter for a first word in common, and the bitmaps' bound on the words not in common."""
     n_a, n_b = F.col(f"{a}.n"), F.col(f"{b}.n")
+    before = (F.col(f"{a}.o") < F.col(f"{b}.o")) | ((F.col(f"{a}.o") == F.col(f"{b}.o")) & (F.col(f"{a}.x") < F.col(f"{b}.x")))
     in_size = (n_a * DENOMINATOR >= n_b * NUMERATOR) & (n_b * DENOMINATOR >= n_a * NUMERATOR)
-    common = F.ceil((n_a + n_b) * F.lit(NUMERATOR) / F.lit(NUMERATOR + DENOMINATOR))
+    # words in common at least: both times NUMERATOR by NUMERATOR + DENOMINATOR, rounded up in whole numbers
+    common = F.expr(f"((`{a}`.n + `{b}`.n) * {NUMERATOR} + {NUMERATOR + DENOMINATOR - 1}) div {NUMERATOR + DENOMINATOR}")
     ahead = F.least(n_a - F.col(f"{a}.at"), n_b - F.col(f"{b}.at")) >= common
-    apart = sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in BITS), F.lit(0))
-    return in_size & ahead & (apart <= n_a + n_b - 2 * common)
+    apart = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
+    return in_size & ahead & (apart <= n_a + n_b - 2 * common) & before
 
 
 def _broadcast_if_few(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def _in_parts(pairs_of: Callable[[DataFrame], DataFrame], index: DataFrame) -> DataFrame:
+def _index(prefixes: DataFrame, part: int, *more: str) -> DataFrame:
+    rows = prefixes.select("o", "x", "n", "bits", *more, F.posexplode("prefix").alias("at", "word"))
+    return rows.where(F.pmod("word", F.lit(WORD_PARTS)) == part)
+
+
+def _in_parts(pairs_of: Callable[[int], DataFrame]) -> DataFrame:
     """Candidate pairs of all words, a part of the words at a time."""
-    parts = [cut(pairs_of(index.where(F.pmod("word", F.lit(WORD_PARTS)) == k))) for k in range(WORD_PARTS)]
+    met = [F.col(f"{side}.{c}").alias(f"{c}_{side}") for side in "ab" for c in "ox"]
+    parts = [cut(pairs_of(k).select(*met).distinct()) for k in range(WORD_PARTS)]
     return functools.reduce(DataFrame.union, parts).distinct()
 
 
-def _leader_pairs(index: DataFrame) -> DataFrame:
+def _leader_pairs(prefixes: DataFrame, part: int) -> DataFrame:
     """Lines with the earliest one of each long word list they are in."""
-    long = cut(index.groupBy("word").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= LONG_LIST).select("word"))
-    rows = index.join(_broadcast_if_few(long), "word", "left_semi")
-    first = rows.groupBy("word").agg(F.min(F.struct("d", "id", "n", "at", *BITS)).alias("f")).select("word", "f.*")
-    other = (F.col("a.word") == F.col("b.word")) & (F.col("a.id") != F.col("b.id"))
-    met = rows.alias("b").join(first.alias("a"), other & _may_match("a", "b"))
-    return met.select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
-
+    long = F.shiftrightunsigned("word", _HASH_BITS) >= LONG_LEVEL
+    # words that stand for whole sets have no level; their lists are those of equal lines
+    rows = _index(prefixes, part).where(long | (F.col("n") < NUMERATOR))
+    first = rows.groupBy("word").agg(F.min(F.struct("o", "x", "n", "at", "bits")).alias("f")).select("word", "f.*")
+    return rows.alias("b").join(first.alias("a"), (F.col("a.word") == F.col("b.word")) & _candidate("a", "b"))
 
-def _all_pairs(index: DataFrame, removed: DataFrame) -> DataFrame:
-    """Pairs that share a prefix word, unless both are removed already."""
-    gone = removed.withColumn("gone", F.lit(1))
-    rows = index.join(gone, "id", "left").select("word", "id", *BITS, "n", (F.col("at") * 2 + F.coalesce("gone", F.lit(0))).alias("code"))
 
-    def side(name: str) -> DataFrame:
-        spread = rows.select("word", "id", *BITS, "n", F.shiftright("code", 1).alias("at"), (F.col("code") % 2).alias("gone"))
-        return spread.alias(name)
-
-    new = (F.col("a.word") == F.col("b.word")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.gone") + F.col("b.gone") < 2)
-    met = side("a").join(side("b"), new & _may_match("a", "b"))
-    return met.select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b")).distinct()
+def _other_pairs(prefixes: DataFrame, removed: DataFrame, part: int) -> DataFrame:
+    """Pairs that share a prefix word and whose later line is not removed yet."""
+    rows = _index(prefixes.join(removed.withColumn("gone", F.lit(True)), ["o", "x"], "left"), part, "gone")
+    both = (F.col("a.word") == F.col("b.word")) & F.col("b.gone").isNull()
+    return rows.alias("a").join(rows.alias("b"), both & _candidate("a", "b"))
 
 
 def _removed(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """Ids of lines that come after a line they are similar to, among candidate pairs."""
+    """``o, x`` of lines that come after a line they are similar to, among candidate pairs."""
     pairs = cut(pairs)
-    needed = cut(pairs.select(F.col("id_a").alias("id")).union(pairs.select(F.col("id_b").alias("id"))).distinct())
-    texts = lines.join(_broadcast_if_few(needed), "id", "left_semi").select("id", "first", "n", "line")
-    a, b = (texts.select(*(F.col(c).alias(f"{c}_{side}") for c in texts.columns)) for side in ("a", "b"))
-    common = F.size(F.array_intersect(F.split("line_a", " "), F.split("line_b", " ")))
+    ends = [pairs.select(*(F.col(f"{c}_{side}").alias(c) for c in "ox")) for side in "ab"]
+    needed = cut(ends[0].union(ends[1]).distinct())
+    texts = lines.join(_broadcast_if_few(needed), ["o", "x"], "left_semi").select("o", "x", F.array_distinct(line_words(F.col("line"))).alias("w"))
+    a, b = (texts.select(*(F.col(c).alias(f"{c}_{side}") for c in texts.columns)) for side in "ab")
+    common = F.size(F.array_intersect("w_a", "w_b"))
     # common / (n_a + n_b - common) >= NUMERATOR / DENOMINATOR, with the costly side named once
-    enough = common * (NUMERATOR + DENOMINATOR) >= (F.col("n_a") + F.col("n_b")) * NUMERATOR
-    similar = pairs.join(a, "id_a").join(b, "id_b").where(enough)
-    later = F.when(F.col("first_a") < F.col("first_b"), F.col("id_b")).otherwise(F.col("id_a"))
-    return cut(similar.select(later.alias("id")).distinct())
+    enough = common * (NUMERATOR + DENOMINATOR) >= (F.size("w_a") + F.size("w_b")) * NUMERATOR
+    similar = pairs.join(a, ["o_a", "x_a"]).join(b, ["o_b", "x_b"]).where(enough)
+    return cut(similar.select(F.col("o_b").alias("o"), F.col("x_b").alias("x")).distinct())
+
+
+def _ordered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``o``, a number that grows with ``d``, null first."""
+    if isinstance(docs.schema["d"].dataType, T.IntegralType):
+        return docs.withColumn("o", F.coalesce(F.col("d").cast("long"), F.lit(-(1 << 63))))
+    known = docs.select("d").distinct().orderBy(F.col("d").asc_nulls_first())
+    numbers = cut(known.withColumn("o", F.monotonically_increasing_id())).withColumnRenamed("d", "d2")
+    return docs.join(numbers, F.col("d").eqNullSafe(F.col("d2"))).drop("d2")
 
 
-def _order(kind: T.DataType) -> Column:
-    """A number that grows with the order of ``first.d``, null first; the same for all where ids are no integers."""
-    if isinstance(kind, T.IntegralType):
-        return F.coalesce(F.col("first.d").cast("long"), F.lit(-(1 << 63)))
-    return F.lit(0).cast("long")
+def _text_bits(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit(""))).bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
 
 
 @tidy
-def kept_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``d, h, kept`` of ``d, h, text``: places of the lines that stay, among those with enough words."""
+def kept_lines(docs: DataFrame) -> DataFrame:
+    """``o, h, kept`` of ``o, h, text``: in order, the places of the lines with words that stay."""
     spark: SparkSession = docs.sparkSession
     with scratch(spark) as folder:
 
@@ -175,54 +184,47 @@ def kept_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
             df.write.option("compression", "zstd").parquet(f"{folder}/{name}")
             return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
-        split = docs.select("d", "h", F.posexplode(F.split(F.lower("text"), "\n")).alias("at", "line"))
-        classes = split.groupBy("line").agg(F.min(F.struct("d", "h", "at")).alias("first"))
-        classes = classes.select(F.xxhash64("line").alias("id"), "first", line_words(F.col("line")).alias("words"))
-        classes = classes.where(F.size("words") >= least_words)
-        lines = stored(classes.select("id", "first", F.size("words").alias("n"), F.concat_ws(" ", "words").alias("line")), "lines")
+        split = docs.select("o", "h", F.posexplode(F.split(F.lower("text"), "\n")).alias("at", "line")).where(~_blank(F.col("line")))
+        place = F.call_function("shiftleft", F.col("h"), F.lit(_PLACE_BITS)).bitwiseOR(F.col("at").cast("long"))
+        named = split.select("o", place.alias("x"), "line", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"))
+        # equal lines by 128 bits
+        classes = named.groupBy("k1", "k2").agg(F.min(F.struct("o", "x")).alias("first"), F.first("line").alias("line"))
+        lines = stored(classes.select("first.o", "first.x", "line"), "lines")
 
-        words = lines.select("id", _order(docs.schema["d"].dataType).alias("d"), F.split("line", " ").alias("words"))
-        ordered = words.select("id", "d", rarest_first(F.col("words"), rarity_levels(words)).alias("w"))
-        bits = [F.aggregate("w", F.lit(0).cast("long"), _with_bit(k)).alias(c) for k, c in enumerate(BITS)]
-        measured = ordered.select("id", "d", F.size("w").alias("n"), *bits, _prefix(F.col("w")).alias("prefix"))
-        prefixes = stored(measured, "prefixes")
-        index = prefixes.select("id", "d", "n", *BITS, F.posexplode("prefix").alias("at", "word"))
+        ordered = lines.select("o", "x", rarest_first(line_words(F.col("line")), rarity_levels(lines)).alias("w"))
+        bits = F.aggregate("w", F.lit(0).cast("long"), _with_bit)
+        prefixes = stored(ordered.select("o", "x", F.size("w").alias("n"), bits.alias("bits"), _prefix(F.col("w")).alias("prefix")), "prefixes")
 
-        first = _removed(_in_parts(_leader_pairs, index), lines)
+        first = _removed(_in_parts(functools.partial(_leader_pairs, prefixes)), lines)
         known = _broadcast_if_few(first)
-        rest = _removed(_in_parts(lambda part: _all_pairs(part, known), index), lines)
+        rest = _removed(_in_parts(functools.partial(_other_pairs, prefixes, known)), lines)
         removed = cut(first.union(rest).distinct())
-        stay = lines.select("id", "first").join(_broadcast_if_few(removed), "id", "left_anti")
-        return cut(stay.groupBy("first.d", "first.h").agg(F.collect_set("first.at").alias("kept")).toDF("d", "h", "kept"))
+        stay = prefixes.select("o", "x").join(_broadcast_if_few(removed), ["o", "x"], "left_anti")
+        at = F.col("x").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)).cast("int")
+        return cut(stay.groupBy("o", F.shiftright("x", _PLACE_BITS).alias("h")).agg(F.collect_list(at).alias("kept")))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` with near-duplicate lines taken out of the text, and ``n_lines, n_removed``.
 
-    Lines end at newlines. A line of at least ``least_words`` different words goes
-    if an equal or similar one (4/5 of the words of both in common) comes
-    before it, in an earlier row by id or earlier in the same text, whether
-    that one stays or not. Shorter lines stay, lines without words always. Rows that repeat an id are
-    ordered by a hash of their texts, rows equal in both count as one. Null
-    ids come first. A null text stays null and has no lines; an empty text is
-    one empty line. A text that loses all lines becomes empty.
+    Lines end at newlines. A line goes if an equal or similar one (4/5 of the
+    words of both in common) comes before it, in an earlier row by id or
+    earlier in the same text, whether that one stays or not. Lines without
+    words always stay. Rows that repeat an id are ordered by a hash of their
+    texts, rows equal in both count as one. Null ids come first. A null text
+    stays null and has no lines; an empty text is one empty line. A text that
+    loses all lines becomes empty. Columns named like the two counts give way
+    to them.
     """
-    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    least_words = max(1, least_words)
-    kept = kept_lines(docs.select(F.col(id_col).alias("d"), key.alias("h"), F.col(text_col).alias("text")), least_words)
-    kept = kept.toDF("line_dedup__d", "line_dedup__h", "line_dedup__kept")
-    marked = docs.withColumn("line_dedup__key", key).join(
-        kept, F.col(id_col).eqNullSafe(F.col("line_dedup__d")) & (F.col("line_dedup__key") == F.col("line_dedup__h")), "left"
-    )
-    lines = F.split(F.col(text_col), "\n")
-    stay = F.coalesce("line_dedup__kept", F.array().cast("array<int>"))
-    left = F.filter(
-        lines, lambda line, at: F.array_contains(stay, at.cast("int")) | (F.size(line_words(F.lower(line))) < least_words)
-    )
-    marked = marked.withColumn("line_dedup__left", left)
-    out = [
-        F.when(F.col(text_col).isNotNull(), F.array_join("line_dedup__left", "\n")).alias(text_col) if c == text_col else F.col(c)
-        for c in docs.columns
-    ]
-    n = F.when(F.col(text_col).isNotNull(), F.size(lines)).otherwise(0)
-    return marked.select(*out, n.alias("n_lines"), (n - F.when(F.col(text_col).isNotNull(), F.size("line_dedup__left")).otherwise(0)).alias("n_removed"))
+    own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    keyed = _ordered(docs.select(F.col(id_col).alias("d"), _text_bits(F.col(text_col)).alias("h"), F.struct(*(F.col(f"`{c}`") for c in own)).alias("row")))
+    text = F.col("row").getField(text_col)
+    kept = kept_lines(keyed.select("o", "h", text.alias("text")))
+    lines = F.split(text, "\n")
+    blanks = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda at: _blank(F.get("line_dedup", at)))
+    marked = keyed.join(kept, ["o", "h"], "left").withColumn("line_dedup", lines)
+    places = F.sort_array(F.concat(F.coalesce("kept", F.array().cast("array<int>")), blanks))
+    marked = marked.withColumn("left", F.transform(places, lambda at: F.get("line_dedup", at)))
+    out = [F.array_join("left", "\n").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in own]
+    n = F.when(text.isNotNull(), F.size("line_dedup")).otherwise(0)
+    return marked.select(*out, n.alias("n_lines"), F.when(text.isNotNull(), n - F.size("left")).otherwise(0).alias("n_removed"))

@@ -18,8 +18,7 @@ from gridloom.llm.warc import archive_pages
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of five different words or more, as the SQL has it."""
-    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), least_words=5)
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +82,7 @@ w AS (
   FROM l),
 c AS (
   SELECT ws, min(doc_id) AS d, arg_min(pos, (doc_id, pos)) AS p, row_number() OVER (ORDER BY min(doc_id), arg_min(pos, (doc_id, pos))) AS k
-  FROM w WHERE len(ws) >= 5 GROUP BY ws),
+  FROM w WHERE len(ws) > 0 GROUP BY ws),
 u AS (SELECT k, len(ws) AS n, unnest(ws) AS word FROM c),
 f AS (SELECT word, count(*) AS df FROM u GROUP BY word),
 r AS (SELECT k, n, word, row_number() OVER (PARTITION BY k ORDER BY df, word) AS rk FROM u JOIN f USING (word)),
@@ -96,8 +95,8 @@ gone AS (
   WHERE 5 * len(list_intersect(x.ws, y.ws)) >= 4 * (len(x.ws) + len(y.ws) - len(list_intersect(x.ws, y.ws)))),
 m AS (
   SELECT w.doc_id, w.pos, w.line,
-         len(w.ws) < 5 OR (c.d = w.doc_id AND c.p = w.pos AND c.k NOT IN (SELECT k FROM gone)) AS stays
-  FROM w LEFT JOIN c ON len(w.ws) >= 5 AND c.ws = w.ws),
+         len(w.ws) = 0 OR (c.d = w.doc_id AND c.p = w.pos AND c.k NOT IN (SELECT k FROM gone)) AS stays
+  FROM w LEFT JOIN c ON len(w.ws) > 0 AND c.ws = w.ws),
 t AS (
   SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE stays) AS text, count(*) AS n_lines,
          count(*) FILTER (WHERE NOT stays) AS n_removed

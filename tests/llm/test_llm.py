@@ -321,6 +321,23 @@ def test_line_dedup_edges(spark, odd, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_of_odd_rows(spark):
+    rows = [("b", "one two\tthree four\r\nLes.\n", 7, "x"), ("a", "Four  three two one\n \nles.", 7, "x"), (None, "LES.", 7, "x"), ("c", None, None, None), ("c", "", 7, "x")]
+    docs = spark.createDataFrame(rows, "name string, body string, n_lines int, left string").repartition(3)
+    out = line_dedup.dedup_lines(docs, "name", "body")
+    assert out.columns == ["name", "body", "left", "n_lines", "n_removed"]
+    got = {(r.name, r.body, r.n_lines, r.n_removed) for r in out.collect()}
+    assert got == {("b", "", 3, 2), ("a", "Four  three two one\n ", 3, 1), (None, "LES.", 1, 0), ("c", None, 0, 0), ("c", "", 1, 0)}
+
+
+def test_line_dedup_of_a_hot_line(spark):
+    words = [f"w{i}" for i in range(12)]
+    rows = [(i, "\n".join([" ".join(words), " ".join(words[: 10 + i % 3]), f"only {i} here at all", "yes"])) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
+    assert got[0] == f"{' '.join(words)}\nonly 0 here at all\nyes" and all(got[i] == f"only {i} here at all" for i in range(1, 400))
+
+
 def test_line_dedup_of_a_cluster(spark):
     rng = np.random.default_rng(7)
     words = [f"w{i}" for i in range(30)]
