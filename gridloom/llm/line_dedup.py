@@ -40,7 +40,10 @@ LONG_LEVEL = 6
 #: Ids that may be broadcast to filter by.
 BROADCAST_ROWS = 1_000_000
 #: The words are dealt with in so many parts, so that only one part's exchange is on disk at a time.
-WORD_PARTS = 2
+WORD_PARTS = 4
+#: Lines of more words have a bitmap of four parts, 64 bits each; that of others is the four on top of each other.
+SHORT_LINE = 64
+PARTS = ("bits0", "bits1", "bits2", "bits3")
 _HASH_BITS = 58
 #: White space in a line besides the blank.
 _ODD_SPACE = "\t\x0b\x0c\r"
@@ -91,8 +94,30 @@ def rarest_first(words: Column, levels: bytes) -> Column:
     return F.sort_array(F.array_distinct(F.transform(words, number)))
 
 
-def _with_bit(seen: Column, word: Column) -> Column:
-    return seen.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), word.bitwiseAND(F.lit(63)).cast("int")))
+def _bitmaps(words: Column) -> list[Column]:
+    """The columns of a line's bitmap: a word's bit is its last six of the hash, its part the two before; short lines have the first only."""
+    none, long = F.lit(0).cast("long"), F.size(words) > SHORT_LINE
+
+    def bit(word: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), word.bitwiseAND(F.lit(63)).cast("int"))
+
+    def of(part: int) -> Column:
+        here = F.lit(len(PARTS) - 1 << 6)
+        return F.aggregate(words, none, lambda seen, w: F.when(w.bitwiseAND(here) == part << 6, seen.bitwiseOR(bit(w))).otherwise(seen))
+
+    whole = F.aggregate(words, none, lambda seen, w: seen.bitwiseOR(bit(w)))
+    return [F.when(long, of(k)).otherwise(whole if k == 0 else F.lit(None).cast("long")).alias(c) for k, c in enumerate(PARTS)]
+
+
+def _apart(a: str, b: str) -> Column:
+    """How many bits of the bitmaps differ: no more than words do."""
+
+    def folded(side: str) -> Column:
+        parts = [F.col(f"{side}.{c}") for c in PARTS]
+        return F.when(parts[1].isNull(), parts[0]).otherwise(functools.reduce(Column.bitwiseOR, parts))
+
+    by_part = sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in PARTS), F.lit(0))
+    return F.coalesce(by_part, F.bit_count(folded(a).bitwiseXOR(folded(b))))
 
 
 def _prefix(words: Column) -> Column:
@@ -111,8 +136,7 @@ def _candidate(a: str, b: str) -> Column:
     # words in common at least: both times NUMERATOR by NUMERATOR + DENOMINATOR, rounded up in whole numbers
     common = F.expr(f"((`{a}`.n + `{b}`.n) * {NUMERATOR} + {NUMERATOR + DENOMINATOR - 1}) div {NUMERATOR + DENOMINATOR}")
     ahead = F.least(n_a - F.col(f"{a}.at"), n_b - F.col(f"{b}.at")) >= common
-    apart = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
-    return in_size & ahead & (apart <= n_a + n_b - 2 * common) & before
+    return in_size & ahead & before & (_apart(a, b) <= n_a + n_b - 2 * common)
 
 
 def _broadcast_if_few(df: DataFrame) -> DataFrame:
@@ -120,7 +144,7 @@ def _broadcast_if_few(df: DataFrame) -> DataFrame:
 
 
 def _index(prefixes: DataFrame, part: int, *more: str) -> DataFrame:
-    rows = prefixes.select("o", "x", "n", "bits", *more, F.posexplode("prefix").alias("at", "word"))
+    rows = prefixes.select("o", "x", "n", *PARTS, *more, F.posexplode("prefix").alias("at", "word"))
     return rows.where(F.pmod("word", F.lit(WORD_PARTS)) == part)
 
 
@@ -136,7 +160,7 @@ def _leader_pairs(prefixes: DataFrame, part: int) -> DataFrame:
     long = F.shiftrightunsigned("word", _HASH_BITS) >= LONG_LEVEL
     # words that stand for whole sets have no level; their lists are those of equal lines
     rows = _index(prefixes, part).where(long | (F.col("n") < NUMERATOR))
-    first = rows.groupBy("word").agg(F.min(F.struct("o", "x", "n", "at", "bits")).alias("f")).select("word", "f.*")
+    first = rows.groupBy("word").agg(F.min(F.struct("o", "x", "n", "at", *PARTS)).alias("f")).select("word", "f.*")
     return rows.alias("b").join(first.alias("a"), (F.col("a.word") == F.col("b.word")) & _candidate("a", "b"))
 
 
@@ -152,11 +176,12 @@ def _removed(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     pairs = cut(pairs)
     ends = [pairs.select(*(F.col(f"{c}_{side}").alias(c) for c in "ox")) for side in "ab"]
     needed = cut(ends[0].union(ends[1]).distinct())
-    texts = lines.join(_broadcast_if_few(needed), ["o", "x"], "left_semi").select("o", "x", F.array_distinct(line_words(F.col("line"))).alias("w"))
+    texts = lines.join(_broadcast_if_few(needed), ["o", "x"], "left_semi").select("o", "x", "line")
     a, b = (texts.select(*(F.col(c).alias(f"{c}_{side}") for c in texts.columns)) for side in "ab")
-    common = F.size(F.array_intersect("w_a", "w_b"))
-    # common / (n_a + n_b - common) >= NUMERATOR / DENOMINATOR, with the costly side named once
-    enough = common * (NUMERATOR + DENOMINATOR) >= (F.size("w_a") + F.size("w_b")) * NUMERATOR
+    one, two = (line_words(F.col(f"line_{side}")) for side in "ab")
+    union = F.size(F.array_union(one, two))
+    # the words in common are those of both sides less the union; they are NUMERATOR / DENOMINATOR of it or more
+    enough = (F.size(F.array_distinct(one)) + F.size(F.array_distinct(two)) - union) * DENOMINATOR >= union * NUMERATOR
     similar = pairs.join(a, ["o_a", "x_a"]).join(b, ["o_b", "x_b"]).where(enough)
     return cut(similar.select(F.col("o_b").alias("o"), F.col("x_b").alias("x")).distinct())
 
@@ -192,8 +217,7 @@ def kept_lines(docs: DataFrame) -> DataFrame:
         lines = stored(classes.select("first.o", "first.x", "line"), "lines")
 
         ordered = lines.select("o", "x", rarest_first(line_words(F.col("line")), rarity_levels(lines)).alias("w"))
-        bits = F.aggregate("w", F.lit(0).cast("long"), _with_bit)
-        prefixes = stored(ordered.select("o", "x", F.size("w").alias("n"), bits.alias("bits"), _prefix(F.col("w")).alias("prefix")), "prefixes")
+        prefixes = stored(ordered.select("o", "x", F.size("w").alias("n"), *_bitmaps(F.col("w")), _prefix(F.col("w")).alias("prefix")), "prefixes")
 
         first = _removed(_in_parts(functools.partial(_leader_pairs, prefixes)), lines)
         known = _broadcast_if_few(first)
