@@ -43,6 +43,8 @@ BROADCAST_ROWS = 1_000_000
 WORD_PARTS = 4
 #: Lines of more words have a bitmap of four parts, 64 bits each; that of others is the four on top of each other.
 SHORT_LINE = 64
+#: What is told about each text besides its lines.
+COUNTS = ("n_lines", "n_removed")
 PARTS = ("bits0", "bits1", "bits2", "bits3")
 _HASH_BITS = 58
 #: White space in a line besides the blank.
@@ -238,9 +240,19 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     texts, rows equal in both count as one. Null ids come first. A null text
     stays null and has no lines; an empty text is one empty line. A text that
     loses all lines becomes empty. Columns named like the two counts give way
-    to them.
+    to them; :func:`without_repeated_lines` returns the columns as they were.
     """
-    own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    counted = _cleaned(docs, [c for c in docs.columns if c not in COUNTS], id_col, text_col)
+    return counted.withColumnsRenamed({f"line_dedup__{c}": c for c in COUNTS})
+
+
+def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All rows and columns of ``docs`` with texts as :func:`dedup_lines` leaves them."""
+    return _cleaned(docs, docs.columns, id_col, text_col).drop(*(f"line_dedup__{c}" for c in COUNTS))
+
+
+def _cleaned(docs: DataFrame, own: list[str], id_col: str, text_col: str) -> DataFrame:
+    """The columns ``own`` and the counts as ``line_dedup__...``."""
     keyed = _ordered(docs.select(F.col(id_col).alias("d"), _text_bits(F.col(text_col)).alias("h"), F.struct(*(F.col(f"`{c}`") for c in own)).alias("row")))
     text = F.col("row").getField(text_col)
     kept = kept_lines(keyed.select("o", "h", text.alias("text")))
@@ -251,4 +263,5 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     marked = marked.withColumn("left", F.transform(places, lambda at: F.get("line_dedup", at)))
     out = [F.array_join("left", "\n").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in own]
     n = F.when(text.isNotNull(), F.size("line_dedup")).otherwise(0)
-    return marked.select(*out, n.alias("n_lines"), F.when(text.isNotNull(), n - F.size("left")).otherwise(0).alias("n_removed"))
+    removed = F.when(text.isNotNull(), n - F.size("left")).otherwise(0)
+    return marked.select(*out, n.alias("line_dedup__n_lines"), removed.alias("line_dedup__n_removed"))

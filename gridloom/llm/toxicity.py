@@ -38,8 +38,8 @@ from gridloom.plans.durable import cut
 EXAMPLES = 16_384
 #: The G statistic and toxic examples that a feature needs.
 LEAST_G, LEAST_TOXIC = 20.0, 3
-#: How many times more toxic than all examples those with a feature have to be.
-LEAST_LIFT = 3.0
+#: How many times the odds of being toxic of all examples those with a feature have to have.
+LEAST_ODDS = 4.0
 #: Examples with features whose calibration counts as much as the plain vote, and its weight with very many.
 CALIBRATION_EXAMPLES, CALIBRATION = 5, 0.9
 #: Lengths of the word beginnings that are features besides whole words.
@@ -242,7 +242,7 @@ def _independent(rows: DataFrame, leading: list, toxic: int, total: int) -> Voca
     for i, r in enumerate(leading):
         hits = min(r["toxic"], contexts.get(i, 0))
         g = g_statistic(hits, hits + r["seen"] - r["toxic"], toxic, total)
-        telling = hits * total >= LEAST_LIFT * toxic * (hits + r["seen"] - r["toxic"])
+        telling = hits * (total - toxic) >= LEAST_ODDS * toxic * (r["seen"] - r["toxic"])
         if hits >= LEAST_TOXIC and g >= LEAST_G and telling:
             rated.append((-g, r["feature"]))
     return Vocabulary({f: i for i, (_, f) in enumerate(sorted(rated))})
@@ -288,7 +288,9 @@ def fit_toxicity(
     )
     total, toxic = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
     # what _independent asks of a feature is harder, so nothing that it would take is lost
-    strong = _feature_counts(rows).where(F.col("toxic") >= LEAST_TOXIC).where(F.col("toxic") * total >= F.lit(LEAST_LIFT * toxic) * F.col("seen"))
+    strong = _feature_counts(rows).where(F.col("toxic") >= LEAST_TOXIC).where(
+        F.col("toxic") * (total - toxic) >= F.lit(LEAST_ODDS * toxic) * (F.col("seen") - F.col("toxic"))
+    )
     leading = strong.orderBy("feature").collect()  # of the words of `examples` texts
     vocabulary = _independent(rows, leading, toxic, total)
     frequency, n_docs = _document_frequencies(docs, text_col, vocabulary)
