@@ -3,6 +3,11 @@
 Each stage takes what the one before it kept and, but for the last, returns
 the columns of ``documents``. The driver may write and reread the result of
 each; :func:`run` does so in the shared checkpoint folder.
+
+Every stage judges rows, not ids: rows with a null or repeated id are
+documents like any other. An empty table passes through all stages, further
+columns are carried along whatever their names, except that the last stage
+returns its own.
 """
 
 from __future__ import annotations
@@ -10,42 +15,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import table, without_ids
-from gridloom.llm.decontaminate import decontaminate
-from gridloom.llm.line_dedup import dedup_lines
-from gridloom.llm.minhash import near_duplicates
+from gridloom.llm.common import table
+from gridloom.llm.decontaminate import clean_documents
+from gridloom.llm.line_dedup import without_repeated_lines
+from gridloom.llm.minhash import distinct_documents
 from gridloom.llm.packing import pack_documents
 from gridloom.llm.toxicity import fit_toxicity, reject_toxic
 from gridloom.plans.durable import scratch
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below one half."""
+    """The rows whose text scores below one half.
+
+    Null and empty texts score like examples without any telling word.
+    """
     return reject_toxic(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that an earlier line is equal or similar to."""
-    cleaned = dedup_lines(docs).select(docs.columns)
+    """All rows, without lines that an earlier line is equal or similar to.
+
+    A null text stays null, a text that loses all lines becomes empty, and
+    ``n_chars`` follows the text where it is not null.
+    """
+    cleaned = without_repeated_lines(docs)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
     if "n_chars" in docs.columns:
-        n_chars = F.char_length("text").cast(docs.schema["n_chars"].dataType)
-        cleaned = cleaned.withColumn("n_chars", F.coalesce(n_chars, F.col("n_chars")))
-    return cleaned
+        n_chars = F.coalesce(F.char_length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))
+        columns[docs.columns.index("n_chars")] = n_chars.alias("n_chars")
+    return cleaned.select(*columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates (five words, 0.8)."""
-    return without_ids(docs, near_duplicates(docs, words=5, percent=80).where(~F.col("kept")), "doc_id")
+    """One row of each group of near duplicates (five words, 0.8), that with the smallest id; texts without words stay."""
+    return distinct_documents(docs, words=5, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth is benchmark text."""
-    judged = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return without_ids(docs, judged.where("contaminated"), "doc_id")
+    """The rows of which less than a twentieth is benchmark text; texts without words are never contaminated."""
+    return clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 4096 tokens."""
+    """Pieces of all rows in sequences of 4096 tokens; a null or empty text is its end token."""
     return pack_documents(docs)
 
 
