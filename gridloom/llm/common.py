@@ -16,8 +16,8 @@ from gridloom.plans.shipping import ship
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
 
-#: Cells into which rows that need a gapless number are dealt by hash.
-NUMBERING_CELLS = 512
+#: Rows that are put in order together to get gapless numbers, about.
+CELL_ROWS = 2_000
 
 #: Rows and bytes in one Arrow batch sent to a Python worker, at most; a larger row is a batch of its own.
 ARROW_ROWS, ARROW_BYTES = 256, 8 << 20
@@ -92,17 +92,18 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return value
 
 
-def numbered(df: DataFrame, within: list[str], order: list[str], name: str, cells: int = NUMBERING_CELLS) -> DataFrame:
-    """Add ``name``: gapless numbers from 0 within each value of ``within``.
+def numbered(df: DataFrame, within: list[str], order: list[str], name: str, largest: int, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Add ``name``: gapless numbers from 0 within each value of ``within``, of which the most frequent has ``largest`` rows.
 
     A window over ``within`` alone puts a hot value into one task. Here rows
-    are dealt by hash of ``order`` into cells; a cell's first number comes from
-    counts of the cells, so only one cell's rows are ordered together.
-    Rows that agree in all of ``order`` may swap numbers.
+    are dealt by hash of ``order`` into cells of some ``cell_rows`` rows; a
+    cell's first number comes from counts of the cells, so only one cell's
+    rows are ordered together. Rows that agree in all of ``order`` may swap
+    numbers.
     """
     from pyspark.sql import Window
 
-    cell = f"{name}__cell"
+    cell, cells = f"{name}__cell", max(1, -(-largest // cell_rows))
     dealt = df.withColumn(cell, F.pmod(F.xxhash64(*order), F.lit(cells)).cast("int"))
     counts = dealt.groupBy(*within, cell).agg(F.count(F.lit(1)).alias(f"{name}__n"))
     before = Window.partitionBy(*within).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)

@@ -146,7 +146,7 @@ def pack_documents(
     pieces = cut(token_pieces(docs, tokenizer or default_tokenizer(), capacity, end_id, id_col, text_col))
     histogram = {int(k): int(n) for k, n in pieces.groupBy("length").count().collect()}
     places = docs.sparkSession.sparkContext.broadcast(slots(fill_bins(histogram, capacity)))
-    ranked = numbered(pieces, ["length"], ["id", "start", "ids_crc32"], "rank", cells=64)
+    ranked = numbered(pieces, ["length"], ["id", "start", "ids_crc32"], "rank", max(histogram.values(), default=0))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = places.value

@@ -118,7 +118,8 @@ def shard_documents(
     borders, _ = minimax_borders(groups, shards)
     passed = [(F.col("digest") >= b).cast("int") for b in borders]
     placed = sized.withColumn("shard", sum(passed, F.lit(0)).cast("int"))
-    return numbered(placed, ["shard"], ["id", "digest"], "slot").select(
+    largest = placed.groupBy("shard").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    return numbered(placed, ["shard"], ["id", "digest"], "slot", largest).select(
         F.col("id").alias(id_col),
         "size",
         "text_crc32",

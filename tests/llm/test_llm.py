@@ -11,7 +11,7 @@ from conftest import SF, assert_same
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gridloom.llm import decontaminate, exact_dedup, html_extract, line_dedup, minhash, packing, queries, sharding, tokens, toxicity, warc
+from gridloom.llm import common, decontaminate, exact_dedup, html_extract, line_dedup, minhash, packing, queries, sharding, tokens, toxicity, warc
 from gridloom.llm.common import default_tokenizer
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -129,6 +129,26 @@ def test_packing_places_every_id(odd, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
+def test_packing_pads_little(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    used = packing.pack_documents(docs).groupBy("sequence_id").agg(F.sum("length").alias("n")).toPandas()
+    assert len(used) == -(-int(used.n.sum()) // 4096)  # no packing has fewer sequences
+
+
+@pytest.mark.parametrize("cell_rows", [1, 7, 10_000])
+def test_numbers_are_gapless(spark, cell_rows):
+    frame = spark.range(500).selectExpr("id", "cast(if(id % 3 = 0, 0, id % 40) as int) as g", "id % 60 as o").repartition(5)
+    got = common.numbered(frame, ["g"], ["o"], "nr", 180, cell_rows).toPandas()
+    assert all(sorted(x) == list(range(len(x))) for _, x in got.groupby("g").nr) and len(got) == 500
+
+
+def test_token_counts_of_a_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.collect()
+    expected = Counter((r.doc_id, len(ids)) for r, ids in zip(rows, reference_ids([r.text for r in rows]), strict=True))
+    assert Counter((r.doc_id, r.n_tokens) for r in tokens.token_counts(docs).collect()) == expected
+
+
 def test_closest_fill_against_brute_force():
     rng = np.random.default_rng(5)
     for _ in range(60):
