@@ -8,6 +8,7 @@ Iterative plans and results that several later steps read are cut with
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,14 +21,16 @@ from pyspark.sql import DataFrame, SparkSession
 def checkpoint_dir(spark: SparkSession) -> str:
     """The session's shared checkpoint folder.
 
-    A folder of our own is set only where the cluster named none (tests,
-    notebooks on one machine).
+    A folder of our own is set only where none is named and driver and
+    executors are one machine (tests, notebooks); a cluster has to name one.
     """
     context = spark.sparkContext._jsc.sc()
     current = context.getCheckpointDir()
     if current.isDefined():
         return current.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="gridloom-"))
     return context.getCheckpointDir().get()
 
