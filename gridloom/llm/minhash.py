@@ -361,13 +361,18 @@ def distinct_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_co
     """The rows of ``docs``, with all their columns, of which one of each group of near duplicates is left: that with the smallest id.
 
     Every row is a document of its own, also where ids are missing (they come
-    last) or repeated (then one of the rows stays). Rows without words are
-    like no other and stay. An empty table gives an empty result.
+    last) or repeated (then one of the rows stays). Rows without words, null
+    texts among them, are copies of each other: one of them stays. An empty
+    table gives an empty result.
     """
     odd = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.col(id_col).isNull())
-    if odd.isEmpty():
-        return without_ids(docs, near_duplicates(docs, words, percent, id_col, text_col).where(~F.col("kept")), id_col)
-    # numbers that grow with the ids; they are fixed once the rows are cut
-    number = "distinct_documents__row"
-    rows = cut(docs.orderBy(F.col(id_col).asc_nulls_last()).withColumn(number, F.monotonically_increasing_id()))
-    return without_ids(rows, near_duplicates(rows, words, percent, number, text_col).where(~F.col("kept")), number).drop(number)
+    number, rows = id_col, docs
+    if not odd.isEmpty():
+        # numbers that grow with the ids; they are fixed once the rows are cut
+        number = "distinct_documents__row"
+        rows = cut(docs.orderBy(F.col(id_col).asc_nulls_last()).withColumn(number, F.monotonically_increasing_id()))
+    judged = cut(near_duplicates(rows, words, percent, number, text_col))
+    wordless = F.col("n_shingles") == 0
+    first = judged.where(wordless).agg(F.min(number)).first()[0]
+    gone = judged.where(~F.col("kept") | (wordless & (F.col(number) > F.lit(first))))
+    return without_ids(rows, gone, number).select(*(F.col(f"`{c}`") for c in docs.columns))
