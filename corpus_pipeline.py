@@ -47,7 +47,10 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates (five words, 0.8), that with the smallest id; texts without words stay."""
+    """One row of each group of near duplicates (five words, 0.8), that with the smallest id.
+
+    Texts without words, to which line dedup brings copies, are one group.
+    """
     return distinct_documents(docs, words=5, percent=80)
 
 
