@@ -53,9 +53,11 @@ def inverse_dct(spark, sf_dir):
 
 
 def _signal(spark, sf_dir):
-    first = table(spark, sf_dir, "events").orderBy("event_id").limit(POINTS)
-    numbered = first.withColumn("i", (F.row_number().over(Window.orderBy("event_id")) - 1).cast("long"))  # POINTS rows
-    return numbered.select("i", F.col("value").alias("re"), F.lit(0.0).alias("im"))
+    """All events, added up by their number modulo POINTS."""
+    slot = (F.col("event_id") % POINTS).alias("i")
+    summed = table(spark, sf_dir, "events").groupBy(slot).agg(F.sum("value").alias("re"))
+    slots = spark.range(POINTS).select(F.col("id").alias("i"))
+    return slots.join(F.broadcast(summed), "i", "left").select("i", F.coalesce("re", F.lit(0.0)).alias("re"), F.lit(0.0).alias("im"))
 
 
 def _lines(spark, sf_dir):
@@ -73,7 +75,7 @@ def _lines(spark, sf_dir):
 
 def dft(spark, sf_dir):
     out = m.dft(_signal(spark, sf_dir), POINTS)
-    return out.select("k", F.round("re", 4) + 0.0, F.round("im", 4) + 0.0).toDF("k", "re", "im")
+    return out.select("k", F.round("re", 3) + 0.0, F.round("im", 3) + 0.0).toDF("k", "re", "im")
 
 
 def fft_roundtrip(spark, sf_dir):
@@ -92,11 +94,17 @@ def fft_matches_dft(spark, sf_dir):
 
 
 def fft_plane(spark, sf_dir):
-    """Two axes of an 8 x 8 picture of the signal; the first value is the sum of all."""
+    """Two axes of an 8 x 8 picture of the signal."""
     picture = _signal(spark, sf_dir).select(F.expr("i div 8").alias("r"), (F.col("i") % 8).alias("c"), "re", "im")
-    rows = m.fft_lines(picture, "r", "c").withColumn("r", F.col("r").cast("long"))
-    both = m.fft_lines(rows, "c", "r")
-    return both.select(F.col("c").cast("long").alias("c"), "r", F.round("re", 4) + 0.0, F.round("im", 4) + 0.0).toDF("c", "r", "re", "im").where("r = 0 and c = 0")
+    both = m.fft_axes(picture, ("r", "c"))
+    return both.select("c", "r", F.round("re", 3) + 0.0, F.round("im", 3) + 0.0).toDF("c", "r", "re", "im")
+
+
+def fft_cube(spark, sf_dir):
+    """Three axes of a 4 x 4 x 4 cube of the signal."""
+    cube = _signal(spark, sf_dir).select(F.expr("i div 16").alias("z"), F.expr("i div 4 % 4").alias("y"), (F.col("i") % 4).alias("x"), "re", "im")
+    out = m.fft_axes(cube, ("z", "y", "x"))
+    return out.select("z", "y", "x", F.round("re", 3) + 0.0, F.round("im", 3) + 0.0).toDF("z", "y", "x", "re", "im")
 
 
 def md5_documents(spark, sf_dir):
@@ -106,12 +114,12 @@ def md5_documents(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        test_image, rgb_to_yuv, rotate_image, rotated_canvas, ycbcr_to_bgr, inverse_dct, dft, fft_roundtrip, fft_matches_dft, fft_plane, md5_documents,
+        test_image, rgb_to_yuv, rotate_image, rotated_canvas, ycbcr_to_bgr, inverse_dct, dft, fft_roundtrip, fft_matches_dft, fft_plane, fft_cube, md5_documents,
     )
 }
 
 _PIX = f"px AS (SELECT x, y, (x * 5 + y * 3) % 256 AS r, (x * 7 + y) % 256 AS g, (x + y * 11) % 256 AS b FROM range({SIDE}) a(x), range({SIDE}) c(y))"
-_SIG = f"sg AS (SELECT CAST(row_number() OVER (ORDER BY event_id) - 1 AS BIGINT) AS i, value AS re FROM events ORDER BY event_id LIMIT {POINTS})"
+_SIG = f"sg AS (SELECT i, coalesce(sum(value), 0) AS re FROM range({POINTS}) t(i) LEFT JOIN events ON event_id % {POINTS} = i GROUP BY i)"
 _W, _H = m.rotated_size(SIDE, SIDE, ANGLE)
 _C, _S = math.cos(math.radians(ANGLE)), math.sin(math.radians(ANGLE))
 
@@ -135,10 +143,13 @@ CAST(least(255, greatest(0, floor((l + 1436 * cr) / 1024.0))) AS INTEGER) AS r F
 s AS (SELECT block, place, sum(f * CASE WHEN k // 8 = 0 THEN sqrt(1 / 8.0) ELSE 0.5 END * CASE WHEN k % 8 = 0 THEN sqrt(1 / 8.0) ELSE 0.5 END
   * cos((2 * (place % 8) + 1) * (k % 8) * pi() / 16) * cos((2 * (place // 8) + 1) * (k // 8) * pi() / 16)) AS s FROM c, range(64) t(place) GROUP BY block, place)
 SELECT block, place, CAST(least(255, greatest(0, round(round(s, 6) + 128))) AS INTEGER) AS value FROM s""",
-    "dft": f"""WITH {_SIG} SELECT k, round(sum(re * cos(2 * pi() * ((i * k) % {POINTS}) / {POINTS})), 4) + 0.0 AS re,
-round(-sum(re * sin(2 * pi() * ((i * k) % {POINTS}) / {POINTS})), 4) + 0.0 AS im FROM sg, range({POINTS}) t(k) GROUP BY k""",
+    "dft": f"""WITH {_SIG} SELECT k, round(sum(re * cos(2 * pi() * ((i * k) % {POINTS}) / {POINTS})), 3) + 0.0 AS re,
+round(-sum(re * sin(2 * pi() * ((i * k) % {POINTS}) / {POINTS})), 3) + 0.0 AS im FROM sg, range({POINTS}) t(k) GROUP BY k""",
     "fft_roundtrip": "SELECT true AS ok",
     "fft_matches_dft": "SELECT true AS ok, true AS ordered",
-    "fft_plane": f"WITH {_SIG} SELECT CAST(0 AS BIGINT) AS c, CAST(0 AS BIGINT) AS r, round(sum(re), 4) + 0.0 AS re, CAST(0 AS DOUBLE) AS im FROM sg",
+    "fft_plane": f"""WITH {_SIG}, t AS (SELECT c, r, re, 2 * pi() * ((i // 8 * r + i % 8 * c) % 8) / 8 AS a FROM sg, range(8) x(r), range(8) y(c))
+SELECT c, r, round(sum(re * cos(a)), 3) + 0.0 AS re, round(-sum(re * sin(a)), 3) + 0.0 AS im FROM t GROUP BY c, r""",
+    "fft_cube": f"""WITH {_SIG}, t AS (SELECT z, y, x, re, 2 * pi() * ((i // 16 * z + i // 4 % 4 * y + i % 4 * x) % 4) / 4 AS a FROM sg, range(4) p(z), range(4) q(y), range(4) r(x))
+SELECT z, y, x, round(sum(re * cos(a)), 3) + 0.0 AS re, round(-sum(re * sin(a)), 3) + 0.0 AS im FROM t GROUP BY z, y, x""",
     "md5_documents": "SELECT doc_id, md5(text) AS md5 FROM documents",
 }

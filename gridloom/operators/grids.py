@@ -13,8 +13,8 @@ from gridloom.plans.shipping import ship
 
 #: Sum of squared changes below which relaxation stops, and the sweeps between two tests.
 STOP, CHECK_EVERY = 5e-5, 1000
-#: Cells that one task may hold for an order-dependent sweep.
-MOST_CELLS = 1 << 22
+#: Cells along the side of a block that one task sweeps in order.
+BLOCK = 1024
 
 
 def heat_borders(sources: DataFrame, n: int) -> DataFrame:
@@ -77,19 +77,26 @@ def relax(grid: DataFrame, n: int, most: int, sweep=jacobi_sweep, check_every: i
     return grid, most
 
 
-def _ordered_sweep(grid: DataFrame, n: int, sweep) -> DataFrame:
-    """A sweep whose updates feed later ones: the whole grid in one task, so for MOST_CELLS cells at most."""
-    if n * n > MOST_CELLS:
-        raise ValueError(f"an order-dependent sweep may have {MOST_CELLS} cells, not {n * n}")
-    ship(grid.sparkSession)
+def _swept_blocks(cells: DataFrame, n: int, block: int, chosen: Column) -> DataFrame:
+    """New ``i, j, u`` of the blocks ``bi, bj`` that are ``chosen``, each swept in order with the lines around it as they are in ``cells``."""
+    ship(cells.sparkSession)
+    reach = [(0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)]
+    near = F.array(*(F.struct((F.col("i") + di).alias("i"), (F.col("j") + dj).alias("j")) for di, dj in reach))
+    inside = F.filter(near, lambda c: c["i"].between(0, n - 1) & c["j"].between(0, n - 1))
+    blocks = F.array_distinct(F.transform(inside, lambda c: F.struct(F.floor(c["i"] / block).alias("bi"), F.floor(c["j"] / block).alias("bj"))))
+    sent = cells.select("i", "j", "u", F.explode(blocks).alias("b")).select("i", "j", "u", "b.bi", "b.bj").where(chosen)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        u = np.zeros((n + 2, n + 2))
-        u[rows.i.to_numpy() + 1, rows.j.to_numpy() + 1] = rows.u.to_numpy()
-        sweep(u)
-        return pd.DataFrame({"i": rows.i, "j": rows.j, "u": u[rows.i.to_numpy() + 1, rows.j.to_numpy() + 1]})
+        top, left = int(rows.bi.iloc[0]) * block, int(rows.bj.iloc[0]) * block
+        height, width = min(block, n - top), min(block, n - left)
+        i, j = rows.i.to_numpy() - top + 1, rows.j.to_numpy() - left + 1
+        u = np.zeros((height + 2, width + 2))
+        u[i, j] = rows.u.to_numpy()
+        sweep_in_order(u, 1, 1, height, width)
+        own = (i >= 1) & (i <= height) & (j >= 1) & (j <= width)
+        return pd.DataFrame({"i": rows.i[own], "j": rows.j[own], "u": u[i[own], j[own]]})
 
-    return grid.withColumn("whole", F.lit(0)).groupBy("whole").applyInPandas(run, "i long, j long, u double")
+    return sent.groupBy("bi", "bj").applyInPandas(run, "i long, j long, u double")
 
 
 def sweep_in_order(u: np.ndarray, top: int, left: int, height: int, width: int) -> None:
@@ -104,22 +111,40 @@ def sweep_in_order(u: np.ndarray, top: int, left: int, height: int, width: int)
         u[r, c] = 0.25 * ((u[r, c - 1] + u[r, c + 1]) + (u[r - 1, c] + u[r + 1, c]))
 
 
-def gauss_seidel_sweep(grid: DataFrame, n: int) -> DataFrame:
-    return _ordered_sweep(grid, n, lambda u: sweep_in_order(u, 1, 1, n, n))
+def gauss_seidel_sweep(grid: DataFrame, n: int, block: int = BLOCK) -> DataFrame:
+    """A row-major sweep in which each cell sees the new values above and to the left.
+
+    Blocks of an anti-diagonal do not depend on each other, so they are swept
+    side by side, one job for each anti-diagonal; a job reads the blocks of
+    three anti-diagonals. All results are those of the row-major walk.
+    """
+    side = -(-n // block)
+    own = F.floor(F.col("i") / block) + F.floor(F.col("j") / block)
+    inside = F.col("i").between(0, n - 1) & F.col("j").between(0, n - 1)
+    border = cut(grid.where(~inside))
+    parts = [grid.where(inside & (own == d)) for d in range(2 * side - 1)]
+    for d in range(2 * side - 1):
+        around = border
+        for part in parts[max(0, d - 1) : d + 2]:
+            around = around.unionByName(part)
+        parts[d] = cut(_swept_blocks(around, n, block, F.col("bi") + F.col("bj") == d))
+    for part in parts:
+        border = border.unionByName(part)
+    return border
 
 
 def red_black_sweep(block: int):
-    """Sweeps first over the blocks of even, then of odd colour; inside a block in order."""
+    """Sweeps first over the blocks of even, then of odd colour, each colour in one job; inside a block in order."""
 
-    def both(u: np.ndarray, n: int) -> None:
+    def sweep(grid: DataFrame, n: int) -> DataFrame:
+        inside = F.col("i").between(0, n - 1) & F.col("j").between(0, n - 1)
+        own = (F.floor(F.col("i") / block) + F.floor(F.col("j") / block)) % 2
         for colour in (0, 1):
-            for bi in range(-(-n // block)):
-                for bj in range(-(-n // block)):
-                    if (bi + bj) % 2 == colour:
-                        at = bi * block, bj * block
-                        sweep_in_order(u, at[0] + 1, at[1] + 1, min(block, n - at[0]), min(block, n - at[1]))
+            swept = _swept_blocks(grid, n, block, (F.col("bi") + F.col("bj")) % 2 == colour)
+            grid = cut(grid.where(~inside | (own != colour)).unionByName(swept))
+        return grid
 
-    return lambda grid, n: _ordered_sweep(grid, n, lambda u: both(u, n))
+    return sweep
 
 
 def raster(grid: DataFrame, levels: int = 256) -> DataFrame:
@@ -138,6 +163,18 @@ def heat_colour(level: Column) -> tuple[Column, Column, Column]:
     return red.cast("int"), green.cast("int"), blue.cast("int")
 
 
+def heat_palette(spark: SparkSession, levels: int = 256) -> DataFrame:
+    """``level, red, green, blue``: the colours of all levels, as a table to look them up in."""
+    red, green, blue = heat_colour(F.col("level"))
+    table = spark.range(levels).select(F.col("id").cast("int").alias("level"))
+    return table.select("level", red.alias("red"), green.alias("green"), blue.alias("blue"))
+
+
+def coloured(levels: DataFrame, palette: DataFrame) -> DataFrame:
+    """``i, j, level`` with the colour that the palette has for each level."""
+    return levels.join(F.broadcast(palette), "level").select("i", "j", "level", "red", "green", "blue")
+
+
 def star_weights(radius: int = 2) -> list[tuple[int, int, float]]:
     """Offsets and weights of a discrete divergence along the axes."""
     found = []
@@ -198,21 +235,29 @@ def stream_rounds(table: DataFrame, scalar: float, rounds: int = 10) -> DataFram
     return table
 
 
-def integral_histogram(pixels: DataFrame, height: int, width: int, bins: int, bin_width: float) -> DataFrame:
+def cell_histogram(pixels: DataFrame, bins: int, bin_width: float, by: tuple[str, ...] = ("r", "c")) -> DataFrame:
+    """``*by, bin, n`` of values; values beyond the last bin are counted nowhere."""
+    counted = pixels.withColumn("bin", F.floor(F.col("value") / bin_width)).where(F.col("bin").between(0, bins - 1))
+    return counted.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"))
+
+
+def integral_histogram(pixels: DataFrame, height: int, width: int, bins: int, bin_width: float, image: str | None = None) -> DataFrame:
     """``r, c, bin, n`` of ``r, c, value``: pixels of the bin above and to the left, inclusive, for every cell.
 
-    Values beyond the last bin are counted nowhere. Scans run along rows,
-    then along columns, each line in a partition of its own.
+    With the name of a column ``image`` those of each of its images. Values
+    beyond the last bin are counted nowhere. Scans run along rows, then along
+    columns, each line in a partition of its own.
     """
-    spark = pixels.sparkSession
-    counted = pixels.withColumn("bin", F.floor(F.col("value") / bin_width)).where(F.col("bin").between(0, bins - 1))
-    counted = counted.groupBy("r", "c", "bin").agg(F.count(F.lit(1)).alias("n"))
+    spark, by = pixels.sparkSession, [image] if image else []
+    counted = cell_histogram(pixels, bins, bin_width, (*by, "r", "c"))
     cells = spark.range(height * width * bins).select(
         F.expr(f"id div {width * bins}").alias("r"), F.expr(f"id div {bins} % {width}").alias("c"), (F.col("id") % bins).alias("bin")
     )
-    full = cells.join(counted, ["r", "c", "bin"], "left").select("r", "c", "bin", F.coalesce("n", F.lit(0)).alias("n"))
-    along = Window.partitionBy("r", "bin").orderBy("c").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy("c", "bin").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
+    if image:
+        cells = cells.crossJoin(broadcast_if_small(pixels.select(image).distinct()))
+    full = cells.join(counted, [*by, "r", "c", "bin"], "left").select(*by, "r", "c", "bin", F.coalesce("n", F.lit(0)).alias("n"))
+    along = Window.partitionBy(*by, "r", "bin").orderBy("c").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*by, "c", "bin").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
     return full.withColumn("n", F.sum("n").over(along)).withColumn("n", F.sum("n").over(down))
 
 

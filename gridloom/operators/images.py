@@ -119,6 +119,17 @@ def fft_lines(signal: DataFrame, line: str, place: str, inverse: bool = False) -
     return named.groupBy("line").applyInPandas(run, "line string, place long, re double, im double").withColumnsRenamed({"line": line, "place": place})
 
 
+def fft_axes(signal: DataFrame, axes: tuple[str, ...], inverse: bool = False) -> DataFrame:
+    """Transform of ``*axes, re, im`` along all axes, one after the other."""
+    for place in axes:
+        others = [a for a in axes if a != place]
+        keyed = signal.withColumn("line", F.concat_ws(",", *others))
+        moved = fft_lines(keyed, "line", place, inverse)
+        parts = F.split("line", ",")
+        signal = moved.select(*(parts[others.index(a)].cast("long").alias(a) if a in others else F.col(a) for a in axes), "re", "im")
+    return signal
+
+
 def differences(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """``largest, mean`` absolute difference of two complex signals."""
     both = a.join(b.select(*keys, F.col("re").alias("re2"), F.col("im").alias("im2")), keys)
