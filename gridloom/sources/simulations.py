@@ -6,10 +6,11 @@ import re
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.particles import Box
+from gridloom.sources.numbers import _counted, _lines, _numbers
 
 #: Numbers of one radar burst: pulses, antennas, gates.
 BURST = (32, 5, 95)
@@ -60,28 +61,64 @@ def write_dump(atoms: DataFrame, path: str, box: Box, step: int) -> None:
     first.unionByName(body).repartitionByRange(1, "id").sortWithinPartitions("id").select("value").write.mode("overwrite").text(path)
 
 
+def read_script(spark: SparkSession, path: str) -> dict:
+    """The settings of a simulation script that matter here: ``cutoff, run, timestep, dump, pair_coeff``, those that it has."""
+    found: dict = {}
+    for line in whole(spark, path).splitlines():
+        words = line.split("#")[0].split()
+        if not words:
+            continue
+        if words[0] == "pair_style":
+            found["cutoff"] = float(words[-1])
+        elif words[0] == "run":
+            found["run"] = int(words[1])
+        elif words[0] == "timestep":
+            found["timestep"] = float(words[1])
+        elif words[0] in ("read_dump", "dump"):
+            found["dump"] = words[1] if words[0] == "read_dump" else words[-1]
+        elif words[0] == "pair_coeff":
+            found["pair_coeff"] = tuple(float(x) for x in words[3:5])
+    return found
+
+
 def read_stimuli(spark: SparkSession, path: str, shape: tuple[int, int, int] = BURST) -> DataFrame:
-    """``burst, period, pulse, ant, gate, re, im`` of bursts that each begin with ``Tr=``."""
-    parts, rows = re.split(r"Tr=", whole(spark, path))[1:], []
+    """``burst, period, pulse, ant, gate, re, im`` of bursts that each begin with ``Tr=``; lines are numbered where they are read."""
+    lines = _lines(spark, path).where(F.col("line") != "")
+    marked = lines.select("at", F.explode(F.split(F.regexp_replace("line", "Tr\\s*=\\s*", " Tr= "), "(?=Tr=)")).alias("line"))
+    fields = marked.select("at", F.posexplode(F.filter(F.split("line", "\\s+"), lambda x: x != "")).alias("k", "text"))
+    values = _counted(fields.select("at", "k", F.when(F.col("text") == "Tr=", F.lit(None)).otherwise(F.col("text")).cast("double").alias("x")))
+    starts = values.where("x IS NULL").select(F.col("at").alias("start"))  # a row of each burst
+    bursts = starts.select("start", (F.row_number().over(Window.orderBy("start")) - 1).cast("long").alias("burst"), F.lead("start").over(Window.orderBy("start")).alias("end"))
+    inside = (F.col("at") > F.col("start")) & (F.col("end").isNull() | (F.col("at") < F.col("end")))
+    placed = values.where("x IS NOT NULL").join(F.broadcast(bursts), inside).select("burst", (F.col("at") - F.col("start") - 1).alias("k"), "x")
+    periods = placed.where("k = 0").select("burst", F.col("x").alias("period"))
     _, antennas, gates = shape
-    for burst, part in enumerate(parts):
-        numbers = [float(x) for x in part.split()]
-        pairs = zip(numbers[1::2], numbers[2::2], strict=True)
-        rows += [(burst, numbers[0], n // (antennas * gates), n // gates % antennas, n % gates, re_, im) for n, (re_, im) in enumerate(pairs)]
-    return spark.createDataFrame(rows, "burst long, period double, pulse long, ant long, gate long, re double, im double")
+    pairs = placed.where("k > 0").groupBy("burst", F.expr("(k - 1) div 2").alias("n"))
+    pairs = pairs.agg(F.max(F.when(F.col("k") % 2 == 1, F.col("x"))).alias("re"), F.max(F.when(F.col("k") % 2 == 0, F.col("x"))).alias("im"))
+    place = [F.expr(f"n div {antennas * gates}").alias("pulse"), F.expr(f"n div {gates} % {antennas}").alias("ant"), (F.col("n") % gates).alias("gate")]
+    return pairs.join(F.broadcast(periods), "burst").select("burst", "period", *place, "re", "im")
 
 
 def read_mesh(spark: SparkSession, path: str, elements: int, nodes: int) -> tuple[DataFrame, DataFrame]:
     """Points ``elem, p, jacobian (9), kappa, mu, iglob`` and nodes ``iglob, rmass`` of a mesh database; nodes count from zero."""
-    numbers = [float(x) for x in whole(spark, path).split()]
-    points = [
-        (n // 125, n % 125, numbers[12 * n : 12 * n + 9], numbers[12 * n + 9], numbers[12 * n + 10], int(numbers[12 * n + 11]) - 1) for n in range(125 * elements)
-    ]
-    masses = list(enumerate(numbers[1500 * elements : 1500 * elements + nodes]))
-    return (
-        spark.createDataFrame(points, "elem long, p long, jacobian array<double>, kappa double, mu double, iglob long"),
-        spark.createDataFrame(masses, "iglob long, rmass double"),
+    values = _numbers(spark, path)
+    last = 1500 * elements
+    own = values.where(F.col("at") < last).groupBy(F.expr("at div 12").alias("n")).agg(F.array_sort(F.collect_list(F.struct((F.col("at") % 12).alias("k"), "x"))).alias("f"))
+    f = F.transform("f", lambda y: y["x"])
+    points = own.select(
+        F.expr("n div 125").alias("elem"), (F.col("n") % 125).alias("p"), F.slice(f, 1, 9).alias("jacobian"), f[9].alias("kappa"), f[10].alias("mu"),
+        (f[11].cast("long") - 1).alias("iglob"),
     )
+    masses = values.where(F.col("at").between(last, last + nodes - 1)).select((F.col("at") - last).alias("iglob"), F.col("x").alias("rmass"))
+    return points, masses
+
+
+def read_derivatives(spark: SparkSession, path: str, elements: int, nodes: int, points: int = 5) -> DataFrame:
+    """``i, j, v``: the square derivative matrix that follows the masses of a mesh database, row by row."""
+    first = 1500 * elements + nodes
+    at = F.col("at") - first
+    inside = _numbers(spark, path).where((at >= 0) & (at < points * points))
+    return inside.select(F.expr(f"(at - {first}) div {points}").alias("i"), (at % points).alias("j"), F.col("x").alias("v"))
 
 
 def write_plots(plots: DataFrame, path: str, gate_size: float) -> None:
