@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.catalog.tables import QUANTITY_MATRIX, RAMP, quantity_matrix, ramp, square, square_sql, table
-from gridloom.operators import factorise
+from gridloom.operators import factorise, tiles, toolkit
 from gridloom.operators import matrices as m
+from gridloom.plans.durable import cut
 
 TILE, N_SPD, N_LU = 8, 16, 8
 
@@ -50,7 +51,8 @@ def matmul(spark, sf_dir):
 
 def matmul_tiles(spark, sf_dir):
     a = quantity_matrix(spark, sf_dir)
-    return _rounded(m.multiply_tiles(a, a, TILE))
+    t = cut(tiles.to_tiles(a, TILE))
+    return _rounded(tiles.from_tiles(tiles.product(t, t, TILE), TILE))
 
 
 def tile_layout(spark, sf_dir):
@@ -171,7 +173,7 @@ def lu_blocks(spark, sf_dir):
 
 
 def _factor(spark):
-    return m.sparse_lu(lu_pattern(spark), N_LU)
+    return tiles.block_lu(lu_pattern(spark), N_LU, 4)
 
 
 def sparse_lu(spark, sf_dir):
@@ -203,33 +205,134 @@ def cholesky_residual(spark, sf_dir):
 
 
 def spd_inverse(spark, sf_dir):
-    grouped = positive_matrix(spark).withColumn("g", F.lit(0).cast("long"))
-    return _rounded(factorise.per_group(grouped, factorise.positive_inverse).drop("g"), places=8)
+    return _rounded(tiles.positive_inverse(positive_matrix(spark), N_SPD, 6), places=8)
 
 
 def inverse_residual(spark, sf_dir):
     a = positive_matrix(spark)
-    inverse = factorise.per_group(a.withColumn("g", F.lit(0).cast("long")), factorise.positive_inverse).drop("g")
-    off = m.scaled_sum(m.multiply(a, inverse), m.identity_like(square(spark, N_SPD)), 1.0, -1.0)
+    off = m.scaled_sum(m.multiply(a, tiles.positive_inverse(a, N_SPD, 6)), m.identity_like(square(spark, N_SPD)), 1.0, -1.0)
     return m.row_norm(off).select((F.col("norm") < 1e-10).alias("ok"))
 
 
 def triangular_inverse(spark, sf_dir):
-    lower = positive_matrix(spark).where("i >= j").withColumn("g", F.lit(0).cast("long"))
-    full = lower.unionByName(square(spark, N_SPD).where("i < j").select(F.lit(0).cast("long").alias("g"), "i", "j", F.lit(0.0).alias("v")))
-    return _rounded(factorise.per_group(full, factorise.lower_inverse).drop("g"), places=8)
+    """L times its inverse: the identity."""
+    lower = tiles.triangle(positive_matrix(spark))
+    return _present(m.multiply(lower, tiles.lower_inverse(lower, N_SPD, 6)))
+
+
+def _present(a, places=6):
+    """Entries that are not zero but for rounding."""
+    return a.where(F.abs("v") > 1e-9).select("i", "j", F.round("v", places).alias("v"))
+
+
+def trmm(spark, sf_dir):
+    a = positive_matrix(spark)
+    return _present(tiles.triangular_product(a, a, 2.0, lower=True, trans=True))
+
+
+def trsm(spark, sf_dir):
+    """What a triangle was multiplied by comes back."""
+    a = positive_matrix(spark)
+    return _present(tiles.triangular_solve(a, tiles.triangular_product(a, a, side="right", lower=False), N_SPD, N_SPD, side="right", lower=False, tile=6))
+
+
+def gemm(spark, sf_dir):
+    a = positive_matrix(spark).where("i < 9")
+    return _present(tiles.general_product(a, a, a, 2.0, -1.0, True, False))
+
+
+def syrk(spark, sf_dir):
+    a = positive_matrix(spark)
+    return _present(tiles.symmetric_update(a, a, 1.0, 0.5))
+
+
+def lauum(spark, sf_dir):
+    return _present(tiles.gram(positive_matrix(spark), N_SPD, 6))
+
+
+def block_qr(spark, sf_dir):
+    """Q times R, and the products of Q's columns."""
+    a = positive_matrix(spark)
+    q, r = tiles.block_qr(a, N_SPD, N_SPD, 6)
+    q = cut(q)
+    back = _present(m.multiply(q, r)).select(F.lit("qr").alias("part"), "i", "j", "v")
+    return back.unionByName(_present(m.multiply(m.transpose(q), q)).select(F.lit("qq").alias("part"), "i", "j", "v"))
+
+
+def block_entries(spark, blocks: int = 24, side: int = 4) -> DataFrame:
+    """Numbers in the blocks of the sparse LU input, with a heavy diagonal."""
+    n = blocks * side
+    cells = square(spark, n).withColumns({"bi": F.expr(f"i div {side}"), "bj": F.expr(f"j div {side}")}).join(block_pattern(spark, blocks), ["bi", "bj"])
+    v = ((F.col("i") * 7 + F.col("j") * 5) % 11 - 5.5) / 11
+    return cells.select("i", "j", (v + F.when(F.col("i") == F.col("j"), float(n)).otherwise(0.0)).alias("v"))
+
+
+def block_lu_product(spark, sf_dir):
+    """L times U of a block-sparse matrix: the matrix."""
+    lu = cut(tiles.block_lu(block_entries(spark), 96, 16))
+    return _present(m.multiply(m.unit_lower(lu), m.upper(lu)))
+
+
+def _solved(spark, method: str, part=lambda a: a):
+    """The known vector comes back from its product with what the method reads."""
+    a = positive_matrix(spark)
+    known = ramp(spark, N_SPD)
+    right = m.times_vector(part(a), known)
+    g = F.lit(0).cast("long").alias("g")
+    return toolkit.solve(a.select(g, "i", "j", "v"), right.select(g, "i", "x"), method).select("i", F.round("x", 8).alias("x"))
+
+
+def lu_solve(spark, sf_dir):
+    return _solved(spark, "lu")
+
+
+def cholesky_solve(spark, sf_dir):
+    return _solved(spark, "cholesky")
+
+
+def qr_solve(spark, sf_dir):
+    return _solved(spark, "qr")
+
+
+def triangular_solves(spark, sf_dir):
+    """All four triangular solves, each of its own product."""
+    parts = {
+        "lower": tiles.triangle, "upper": lambda a: tiles.triangle(a, False),
+        "lower_transposed": lambda a: m.transpose(tiles.triangle(a)), "upper_transposed": lambda a: m.transpose(tiles.triangle(a, False)),
+    }
+    made = [_solved(spark, k, part).select(F.lit(k).alias("kind"), "i", "x") for k, part in parts.items()]
+    return made[0].unionByName(made[1]).unionByName(made[2]).unionByName(made[3])
+
+
+def incomplete_lu(spark, sf_dir):
+    """L times U without fill-in gives the matrix on its own entries."""
+    a = lu_pattern(spark)
+    lu = toolkit.incomplete_lu(a.withColumn("g", F.lit(0).cast("long"))).drop("g")
+    return m.multiply(m.unit_lower(lu), m.upper(lu)).join(a.select("i", "j"), ["i", "j"], "left_semi").select("i", "j", (F.round("v", 6) + 0.0).alias("v"))
+
+
+def cholesky_update(spark, sf_dir):
+    """The factor with a vector added, times its transpose."""
+    lower = factorise.tiled_cholesky(positive_matrix(spark), N_SPD, 4).withColumn("g", F.lit(0).cast("long"))
+    new = toolkit.updated_factor(lower, ramp(spark, N_SPD).withColumn("g", F.lit(0).cast("long"))).drop("g")
+    return _present(m.multiply(new, m.transpose(new)))
+
+
+def permuted_symmetric(spark, sf_dir):
+    p = spark.range(N_SPD).select(F.col("id").alias("old"), ((F.col("id") * 7 + 3) % N_SPD).alias("new"))
+    return _present(toolkit.permuted_symmetric(positive_matrix(spark), p))
 
 
 def tall_qr(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 8).alias("vec"))
-    _, r = factorise.tall_qr(rows, 8)
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    _, r = factorise.tall_qr(rows, 64)
     return _rounded(r, places=5)
 
 
 def tall_qr_q(spark, sf_dir):
     """Products of the columns of Q: the identity."""
-    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 8).alias("vec"))
-    q, _ = factorise.tall_qr(rows, 8)
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    q, _ = factorise.tall_qr(rows, 64)
     spread = q.select("id", F.posexplode("q").alias("i", "x"))
     pairs = spread.join(spread.select("id", F.col("i").alias("j"), F.col("x").alias("y")), "id")
     return pairs.groupBy("i", "j").agg((F.round(F.sum(F.col("x") * F.col("y")), 6) + 0.0).alias("v"))
@@ -242,6 +345,8 @@ QUERIES = {
         spmv_transposed, spmv_scaled, transpose_matrix, matrix_sum, sum_duplicates, drop_entries, permute_matrix, permute_vector,
         running_sum, symmetric_expansion, zero_based, diagonal_blocks, matrix_norms, vector_dots, vector_updates, tile_errors, lu_input,
         lu_blocks, sparse_lu, lu_split, lu_check, cholesky, cholesky_residual, spd_inverse, inverse_residual, triangular_inverse, tall_qr, tall_qr_q,
+        trmm, trsm, gemm, syrk, lauum, block_qr, block_lu_product, lu_solve, cholesky_solve, qr_solve, triangular_solves, incomplete_lu, cholesky_update,
+        permuted_symmetric,
     )
 }
 
@@ -270,6 +375,9 @@ def _lu_steps() -> str:
 _F = f"f{N_LU - 1}"
 _PRODUCT = "SELECT a.i, b.j, round(sum(a.v * b.v), 3) AS v FROM a JOIN a b ON a.j = b.i GROUP BY a.i, b.j"
 
+_SPD = "p AS (SELECT i, j, CAST((i + j) % 7 / 10.0 AS DOUBLE) + CASE WHEN i = j THEN 16 ELSE 0 END AS v FROM range(16) a(i), range(16) b(j))"
+_KNOWN = "SELECT i, 1.0::DOUBLE + i % 7 AS x FROM range(16) t(i)"
+
 ORACLE_SQL = {
     "matmul": f"WITH {_A} {_PRODUCT}",
     "matmul_tiles": f"WITH {_A} {_PRODUCT}",
@@ -318,5 +426,26 @@ SELECT coalesce(a.i, b.i) // 4 AS bi, coalesce(a.j, b.j) // 4 AS bj,
 FROM f0 a FULL JOIN pr b ON a.i = b.i AND a.j = b.j GROUP BY 1, 2""",
     "cholesky_residual": "SELECT true AS ok",
     "inverse_residual": "SELECT true AS ok",
-    "tall_qr_q": "SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0 END AS v FROM range(8) a(i), range(8) b(j)",
+    "tall_qr_q": "SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0 END AS v FROM range(64) a(i), range(64) b(j)",
+    "triangular_inverse": "SELECT i, i AS j, 1.0::DOUBLE AS v FROM range(16) t(i)",
+    "trmm": f"WITH {_SPD} SELECT x.j AS i, y.j, round(sum(2 * x.v * y.v), 6) AS v FROM p x JOIN p y ON y.i = x.i WHERE x.i >= x.j GROUP BY 1, 2 HAVING abs(sum(x.v * y.v)) > 1e-9",
+    "trsm": f"WITH {_SPD} SELECT i, j, round(v, 6) AS v FROM p WHERE v <> 0",
+    "gemm": f"""WITH {_SPD}, q AS (SELECT x.j AS i, y.j, 2 * sum(x.v * y.v) AS v FROM p x JOIN p y ON y.i = x.i WHERE x.i < 9 GROUP BY 1, 2)
+SELECT q.i, q.j, round(q.v - CASE WHEN q.i < 9 THEN p.v ELSE 0 END, 6) AS v FROM q JOIN p USING (i, j) WHERE abs(q.v - CASE WHEN q.i < 9 THEN p.v ELSE 0 END) > 1e-9""",
+    "syrk": f"""WITH {_SPD}, q AS (SELECT x.i, y.i AS j, sum(x.v * y.v) AS v FROM p x JOIN p y ON y.j = x.j GROUP BY 1, 2)
+SELECT q.i, q.j, round(q.v + 0.5 * p.v, 6) AS v FROM q JOIN p USING (i, j) WHERE q.i >= q.j""",
+    "lauum": f"WITH {_SPD} SELECT x.j AS i, y.j, round(sum(x.v * y.v), 6) AS v FROM p x JOIN p y ON y.i = x.i WHERE x.i >= x.j AND y.i >= y.j GROUP BY 1, 2 HAVING abs(sum(x.v * y.v)) > 1e-9",
+    "block_qr": f"""WITH {_SPD} SELECT 'qr' AS part, i, j, round(v, 6) AS v FROM p WHERE v <> 0
+UNION ALL SELECT 'qq', i, i, 1.0::DOUBLE FROM range(16) t(i)""",
+    "block_lu_product": """WITH c AS (SELECT i, j, i // 4 AS bi, j // 4 AS bj FROM range(96) a(i), range(96) b(j)),
+k AS (SELECT * FROM c WHERE abs(bi - bj) <= 1 OR NOT ((bi < bj AND bi % 3 <> 0) OR (bi > bj AND bj % 3 <> 0) OR bi % 2 = 1 OR bj % 2 = 1))
+SELECT i, j, round(CAST(((i * 7 + j * 5) % 11 - 5.5) / 11 AS DOUBLE) + CASE WHEN i = j THEN 96 ELSE 0 END, 6) AS v FROM k""",
+    "lu_solve": _KNOWN,
+    "cholesky_solve": _KNOWN,
+    "qr_solve": _KNOWN,
+    "triangular_solves": f"SELECT kind, i, x FROM ({_KNOWN}), (VALUES ('lower'), ('upper'), ('lower_transposed'), ('upper_transposed')) t(kind)",
+    "incomplete_lu": "SELECT i, j, CASE WHEN i = j THEN 20.0::DOUBLE ELSE -1 END AS v FROM range(8) a(i), range(8) b(j) WHERE abs(i - j) <= 1 OR (i + j) % 3 = 0",
+    "cholesky_update": f"WITH {_SPD} SELECT i, j, round(v + (1.0 + i % 7) * (1.0 + j % 7), 6) AS v FROM p",
+    "permuted_symmetric": f"""WITH {_SPD} SELECT least((i * 7 + 3) % 16, (j * 7 + 3) % 16) AS i, greatest((i * 7 + 3) % 16, (j * 7 + 3) % 16) AS j, round(v, 6) AS v
+FROM p WHERE i <= j AND v <> 0""",
 }

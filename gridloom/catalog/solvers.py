@@ -67,12 +67,21 @@ def cg_pipelined(spark, sf_dir):
     return _rounded(s.one_reduction_gradient(s.poisson(spark, P), _b(spark), 3, pipelined=True))
 
 
+def cg_fused(spark, sf_dir):
+    """The pipelined form with a test of convergence every five steps."""
+    a, b = s.poisson(spark, P), _b(spark)
+    x = s.one_reduction_gradient(a, b, None, pipelined=True, threshold=1e-8, check_every=5)
+    off = s.times_vector(a, x).withColumnRenamed("x", "ax").join(b, "i")
+    return off.agg((F.max(F.abs(F.col("ax") - F.col("x"))) < 1e-6).alias("ok"))
+
+
 def cg_gropp(spark, sf_dir):
     return _rounded(s.gropp_gradient(s.poisson(spark, P), _b(spark), 3))
 
 
 def block_jacobi(spark, sf_dir):
-    z = s.block_jacobi(s.poisson(spark, P), _b(spark), 1)
+    """Blocks of four unknowns: one line of the grid each."""
+    z = s.block_jacobi(s.poisson(spark, P), _b(spark), P)
     return z.select("i", (F.round("z", 9) + 0.0).alias("z"))
 
 
@@ -89,7 +98,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         poisson7, poisson19, poisson27, right_hand_side, cg_steps, cg_converged, cg_residual, pcg_converged, cg_one_reduction, cg_pipelined,
-        cg_gropp, block_jacobi, graph_levels, graph_components,
+        cg_gropp, cg_fused, block_jacobi, graph_levels, graph_components,
     )
 }
 
@@ -130,7 +139,11 @@ ORACLE_SQL = {
     "cg_residual": f"""WITH a AS ({_poisson(7)}), b AS ({_B}),
 d AS (SELECT b.i, b.x AS b, sum(a.v * 0.5 * y.x) - b.x AS d FROM b JOIN a ON a.i = b.i JOIN b y ON y.i = a.j GROUP BY b.i, b.x)
 SELECT round(sqrt(sum(d * d)), 6) AS absolute, round(sqrt(sum(d * d) / sum(b * b)), 6) AS relative FROM d""",
-    "block_jacobi": f"WITH b AS ({_B}) SELECT i, round(x / 6, 9) + 0.0 AS z FROM b",
+    # the inverse of a line's block (6 on the diagonal, -1 beside it) by the determinants of its leading parts
+    "block_jacobi": f"""WITH b AS ({_B}), d(k, v) AS (VALUES (0, 1), (1, 6), (2, 35), (3, 204), (4, 1189))
+SELECT r.i, round(sum(x.v * y.v * b.x) / 1189.0::DOUBLE, 9) + 0.0 AS z FROM range({N}) r(i) JOIN b ON b.i // 4 = r.i // 4
+JOIN d x ON x.k = least(r.i, b.i) % 4 JOIN d y ON y.k = 3 - greatest(r.i, b.i) % 4 GROUP BY r.i""",
+    "cg_fused": "SELECT true AS ok",
     "graph_levels": f"""WITH RECURSIVE {_EDGES},
 w AS (SELECT CAST(0 AS BIGINT) AS node, 0 AS level UNION SELECT e.v, w.level + 1 FROM w JOIN e ON e.u = w.node WHERE w.level < 8)
 SELECT node, min(level) AS level FROM w GROUP BY node""",

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.plans.durable import cut
-
 
 def multiply(a: DataFrame, b: DataFrame) -> DataFrame:
     """Matrix product: join on the inner index, sum per entry with map-side partials."""
@@ -15,13 +13,6 @@ def multiply(a: DataFrame, b: DataFrame) -> DataFrame:
     return left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
 
 
-def multiply_tiles(a: DataFrame, b: DataFrame, tile: int) -> DataFrame:
-    """The same with all entries of a pair of tiles met in one task: rows are dealt by tile numbers."""
-    left = a.select("i", F.col("j").alias("k"), F.col("v").alias("x"), F.expr(f"j div {tile}").alias("bk"))
-    right = b.select(F.col("i").alias("k"), "j", F.col("v").alias("y"), F.expr(f"i div {tile}").alias("bk"))
-    return left.join(right, ["bk", "k"]).groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
-
-
 def times_vector(a: DataFrame, x: DataFrame) -> DataFrame:
     """``i, x`` of A x."""
     terms = a.join(x.withColumnRenamed("i", "j"), "j")
@@ -163,21 +154,3 @@ def squared_error(a: DataFrame, b: DataFrame, tile: int) -> DataFrame:
 def dots(pairs: dict[str, tuple[str, str]]) -> list[Column]:
     """Several dot products of columns as aggregates of one pass."""
     return [F.sum(F.col(a) * F.col(b)).alias(name) for name, (a, b) in pairs.items()]
-
-
-def eliminate(a: DataFrame, k: int) -> DataFrame:
-    """One step of LU without pivoting: multipliers take the place of column ``k``, fill-in appears where needed."""
-    row = a.where((F.col("i") == k) & (F.col("j") >= k))
-    pivot = F.broadcast(row.where(F.col("j") == k).select(F.col("v").alias("p")))
-    factors = a.where((F.col("j") == k) & (F.col("i") > k)).crossJoin(pivot).select("i", (F.col("v") / F.col("p")).alias("l"))
-    change = factors.crossJoin(row.where(F.col("j") > k).select("j", F.col("v").alias("u"))).select("i", "j", (F.col("l") * F.col("u")).alias("change"))
-    updated = a.join(change, ["i", "j"], "full").join(F.broadcast(factors), "i", "left")
-    value = F.when((F.col("j") == k) & F.col("l").isNotNull(), F.col("l")).otherwise(F.coalesce("v", F.lit(0.0)) - F.coalesce("change", F.lit(0.0)))
-    return updated.select("i", "j", value.alias("v"))
-
-
-def sparse_lu(a: DataFrame, n: int) -> DataFrame:
-    """Combined factor of an ``n`` x ``n`` matrix, one elimination at a time; each step is cut, as the next reads it often."""
-    for k in range(n - 1):
-        a = cut(eliminate(a, k))
-    return a

@@ -122,8 +122,14 @@ def conjugate_gradient(
     return state.select("i", "x"), most
 
 
-def one_reduction_gradient(a: DataFrame, b: DataFrame, steps: int, pipelined: bool = False) -> DataFrame:
-    """``i, x`` after ``steps`` steps of the forms with one reduction a step.
+def one_reduction_gradient(
+    a: DataFrame, b: DataFrame, steps: int | None, pipelined: bool = False, threshold: float = 1e-10, check_every: int = 1
+) -> DataFrame:
+    """``i, x`` by the forms with one reduction a step.
+
+    Makes ``steps`` steps exactly, or else stops at a squared residual of
+    threshold^2 times that of b, tested every ``check_every`` steps as fused
+    iterations do, and after ten steps for each unknown.
 
     Both scalars come from one pass over r, w = A r. The pipelined form keeps
     A p and A s by recurrences, so its product is ready before the scalars.
@@ -131,9 +137,10 @@ def one_reduction_gradient(a: DataFrame, b: DataFrame, steps: int, pipelined: bo
     state = b.select("i", F.lit(0.0).alias("x"), F.col("x").alias("r"), *(F.lit(0.0).alias(c) for c in ("p", "s", "z")))
     state = cut(_product(a, state, "r", "w"))
     before = alpha = None
-    for _ in range(steps):
+    limit = threshold**2 * _sum(state, ("r", "r"))[0]
+    for done in range(steps or 10 * state.count()):
         gamma, delta = _sum(state, ("r", "r"), ("w", "r"))
-        if gamma == 0:
+        if gamma == 0 or (steps is None and done % check_every == 0 and gamma <= limit):
             break
         beta = gamma / before if before else 0.0
         alpha = gamma / (delta - beta * gamma / alpha) if before else gamma / delta

@@ -58,11 +58,16 @@ def solve(a: DataFrame, b: DataFrame, method: str) -> DataFrame:
         full = np.zeros((rows, columns))
         np.add.at(full, (matrix.i.to_numpy(), matrix.j.to_numpy()), matrix.v.to_numpy())
         side = np.zeros(rows)
-        side[right.i.to_numpy()] = right.x.to_numpy()
+        side[right["at"].to_numpy()] = right.value.to_numpy()
         x = SOLVERS[method](full, side)
         return pd.DataFrame({"g": matrix.g.iloc[0], "i": range(len(x)), "x": x})
 
-    return a.groupBy("g").cogroup(b.groupBy("g")).applyInPandas(run, "g long, i long, x double")
+    return a.groupBy("g").cogroup(_renamed(b)).applyInPandas(run, "g long, i long, x double")
+
+
+def _renamed(b: DataFrame):
+    """A right side by matrix, with names of its own, as both sides may come from one frame."""
+    return b.select(F.col("g").alias("of"), F.col("i").alias("at"), F.col("x").alias("value")).groupBy("of")
 
 
 def _pivoted(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -153,7 +158,7 @@ def updated_factor(lower: DataFrame, w: DataFrame, sign: int = 1) -> DataFrame:
     def run(rows: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         n = int(rows.i.max()) + 1
         factor, x = np.tril(_dense(n, rows)), np.zeros(n)
-        x[right.i.to_numpy()] = right.x.to_numpy()
+        x[right["at"].to_numpy()] = right.value.to_numpy()
         for k in range(n):
             square = factor[k, k] ** 2 + sign * x[k] ** 2
             if square <= 0:
@@ -166,7 +171,7 @@ def updated_factor(lower: DataFrame, w: DataFrame, sign: int = 1) -> DataFrame:
         i, j = np.tril_indices(n)
         return pd.DataFrame({"g": rows.g.iloc[0], "i": i, "j": j, "v": factor[i, j]})
 
-    return lower.groupBy("g").cogroup(w.groupBy("g")).applyInPandas(run, "g long, i long, j long, v double")
+    return lower.groupBy("g").cogroup(_renamed(w)).applyInPandas(run, "g long, i long, j long, v double")
 
 
 def _above(n: int, rows: pd.DataFrame) -> list[list[int]]:
