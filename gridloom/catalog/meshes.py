@@ -84,6 +84,34 @@ def amr_refined(spark, sf_dir):
     return blocks.withColumn("kept", F.lit(not amr.drifted(before, after, 8)))
 
 
+def _variables(spark):
+    """Three variables on the mixed mesh."""
+    return _mixed(spark).crossJoin(F.broadcast(spark.range(3).select(F.col("id").alias("var")))).withColumn("v", F.col("v") * (F.col("var") + 1.0))
+
+
+def amr_mean7_mixed(spark, sf_dir):
+    return _rounded(amr.smooth(_mixed(spark), MESH, 7), "v")
+
+
+def amr_variables(spark, sf_dir):
+    """Sums of each variable after a smoothing of all."""
+    return _rounded(amr.checksum(amr.smooth(_variables(spark), MESH, 7, ("var",)), ("var",)), "total", places=6)
+
+
+def amr_block_counts(spark, sf_dir):
+    return amr.block_counts(_mixed(spark))
+
+
+def amr_touched_round(spark, sf_dir):
+    """Half spheroids and cylinders, surfaces and solids."""
+    parts = None
+    for kind in (*range(4, 16), *range(20, 26)):
+        one = spark.createDataFrame([(kind, False, 0.45, 0.55, 0.4, 0.0, 0.0, 0.0, 0.3, 0.35, 0.25, 0.0, 0.0, 0.0)], COLUMNS)
+        found = amr.touched_blocks(amr.blocks_of(_mixed(spark)), one, MESH).withColumn("kind", F.lit(kind))
+        parts = found if parts is None else parts.unionByName(found)
+    return parts
+
+
 def _bridge(spark):
     """Two by two by two elements that share faces: nodes on a 9 x 9 x 9 grid."""
     points = spark.range(8 * 125).select(F.expr("id div 125").alias("elem"), (F.col("id") % 125).alias("p"))
@@ -121,6 +149,17 @@ def mesh_stress(spark, sf_dir):
     return _rounded(sums, "fx", "fy", "fz", places=6)
 
 
+def mesh_stress_mapped(spark, sf_dir):
+    """Elements of half the size by their own jacobian: the forces of plain cubes."""
+    bridge = _bridge(spark)
+    shift = bridge.select("elem", "p", (F.col("p") % 5 * 0.1).alias("ux"), (F.col("p") % 7 * 0.2).alias("uy"), (F.col("elem") * 0.3 * (F.col("p") % 3)).alias("uz"))
+    jacobian = F.array(*(F.lit(4.0 if k % 4 == 0 else 0.0) for k in range(9)))
+    mapped = m.stress_mapped(shift.withColumns({"jacobian": jacobian, "kappa": F.lit(3.0), "mu": F.lit(1.0)}))
+    plain = m.stress(shift, 3.0, 1.0, 0.5).withColumnsRenamed({f"f{a}": f"g{a}" for a in "xyz"})
+    off = sum((F.abs(F.col(f"f{a}") - F.col(f"g{a}")) for a in "xyz"), F.lit(0.0))
+    return mapped.join(plain, ["elem", "p"]).groupBy("elem").agg((F.max(off) < 1e-9).alias("ok"), F.count(F.lit(1)).alias("points"))
+
+
 def mesh_step(spark, sf_dir):
     """One whole step: the largest displacement."""
     bridge, nodes = _bridge(spark), m.predict(_nodes(spark), 0.01)
@@ -147,7 +186,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         amr_cells, amr_mean7, amr_mean27, amr_checksum, amr_split, amr_consolidate, amr_ghosts, amr_ghosts_uniform, amr_object_motion, amr_touched,
-        amr_refined, mesh_predictor, mesh_gather, mesh_scatter, mesh_stress, mesh_step, mesh_corrector, mesh_largest, mesh_connectivity,
+        amr_refined, amr_mean7_mixed, amr_variables, amr_block_counts, amr_touched_round, mesh_predictor, mesh_gather, mesh_scatter, mesh_stress, mesh_stress_mapped, mesh_step, mesh_corrector, mesh_largest, mesh_connectivity,
     )
 }
 
@@ -163,6 +202,65 @@ JOIN c n ON n.x = least(greatest(c.x + o.x, 0), {NX - 1}) AND n.y = least(greate
 GROUP BY c.level, c.x, c.y, c.z"""
 
 
+_MIXED = f"""{_CELLS}, m AS (SELECT level, x, y, z, v FROM c WHERE x >= {NX // 2}
+UNION ALL SELECT 1, x * 2 + i, y * 2 + j, z * 2 + k, v / 8 FROM c, range(2) o(i), range(2) p(j), range(2) q(k) WHERE x < {NX // 2}),
+o AS (SELECT CAST(x AS INTEGER) AS ox, CAST(y AS INTEGER) AS oy, CAST(z AS INTEGER) AS oz FROM range(-1, 2) a(x), range(-1, 2) b(y), range(-1, 2) d(z) WHERE abs(x) + abs(y) + abs(z) = 1),
+f AS (SELECT m.*, ox, oy, oz, x + ox AS tx, y + oy AS ty, z + oz AS tz, x + ox BETWEEN 0 AND {NX} * (1 << level) - 1 AND y + oy BETWEEN 0 AND {NY} * (1 << level) - 1
+  AND z + oz BETWEEN 0 AND {NZ} * (1 << level) - 1 AS inside FROM m, o),
+g AS (SELECT level, x, y, z, ox, oy, oz, v AS ghost FROM f WHERE NOT inside
+UNION ALL SELECT f.level, f.x, f.y, f.z, ox, oy, oz, n.v FROM f JOIN m n ON n.level = f.level AND n.x = tx AND n.y = ty AND n.z = tz WHERE inside
+UNION ALL SELECT f.level, f.x, f.y, f.z, ox, oy, oz, n.v / 4 FROM f JOIN m n ON n.level = f.level - 1 AND n.x = tx // 2 AND n.y = ty // 2 AND n.z = tz // 2 WHERE inside
+UNION ALL SELECT f.level, f.x, f.y, f.z, ox, oy, oz, sum(n.v) FROM f JOIN m n ON n.level = f.level + 1
+  AND CASE WHEN ox = 1 THEN n.x = 2 * tx WHEN ox = -1 THEN n.x = 2 * tx + 1 ELSE n.x // 2 = tx END
+  AND CASE WHEN oy = 1 THEN n.y = 2 * ty WHEN oy = -1 THEN n.y = 2 * ty + 1 ELSE n.y // 2 = ty END
+  AND CASE WHEN oz = 1 THEN n.z = 2 * tz WHEN oz = -1 THEN n.z = 2 * tz + 1 ELSE n.z // 2 = tz END
+  WHERE inside GROUP BY ALL)"""
+_BLOCKS = f"bl AS (SELECT DISTINCT level, x // {amr.SIDE} AS bx, y // {amr.SIDE} AS by, z // {amr.SIDE} AS bz FROM m)"
+
+
+def _touched_sql(objects: list) -> str:
+    """Blocks and objects by their distances, scaled by the object's size along each axis."""
+    names = [c.split()[0] for c in COLUMNS.split(", ")]
+    rows = ", ".join("(" + ", ".join(str(v) if isinstance(v, (bool, int)) else f"{v}::DOUBLE" for v in r) + ")" for r in objects)
+    box = ", ".join(f"bl.b{a} / ({n} * (1 << level))::DOUBLE AS l{a}, (bl.b{a} + 1) / ({n} * (1 << level))::DOUBLE AS h{a}" for a, n in zip("xyz", MESH.blocks, strict=True))
+    near = ", ".join(f"greatest(0, l{a} - c{a}, c{a} - h{a}) / s{a} AS n{a}, greatest(abs(l{a} - c{a}), abs(h{a} - c{a})) / s{a} AS f{a}" for a in "xyz")
+    shapes = ["WHEN kind IN (0, 1) THEN {0}x <= 1 AND {0}y <= 1 AND {0}z <= 1", "WHEN kind IN (2, 3) THEN {0}x * {0}x + {0}y * {0}y + {0}z * {0}z {1} 1"]
+    cases = {"n": [], "f": []}
+    for p, less in (("n", "<="), ("f", "<")):
+        cases[p] += [t.format(p, less) for t in shapes]
+        for half in range(6):
+            a, upper = "xyz"[half // 2], half % 2 == 1
+            side = (f"h{a} >= c{a}" if upper else f"l{a} <= c{a}") if p == "n" else (f"l{a} > c{a}" if upper else f"h{a} < c{a}")
+            cases[p].append(f"WHEN kind IN ({4 + 2 * half}, {5 + 2 * half}) THEN {p}x * {p}x + {p}y * {p}y + {p}z * {p}z {less} 1 AND {side}")
+        for k, a in enumerate("xyz"):
+            u, w = (o for o in "xyz" if o != a)
+            cases[p].append(f"WHEN kind IN ({20 + 2 * k}, {21 + 2 * k}) THEN {p}{a} <= 1 AND {p}{u} * {p}{u} + {p}{w} * {p}{w} {less} 1")
+    solid, inside = (f"CASE {' '.join(cases[p])} END" for p in "nf")
+    return f"""WITH {_MIXED}, {_BLOCKS}, ob({', '.join(names)}) AS (VALUES {rows}), bo AS (SELECT *, {box} FROM bl, ob), di AS (SELECT *, {near} FROM bo)
+SELECT level, bx, di.by, bz, CASE WHEN kind % 2 = 1 THEN {solid} ELSE {solid} AND NOT ({inside}) END AS touched, kind FROM di"""
+
+
+def _moved_sql(objects: list) -> str:
+    names = [c.split()[0] for c in COLUMNS.split(", ")]
+    rows = ", ".join("(" + ", ".join(str(v) if isinstance(v, (bool, int)) else f"{v}::DOUBLE" for v in r) + ")" for r in objects)
+    parts = []
+    for a in "xyz":
+        hit = f"bounce AND ((c{a} + m{a} + s{a} > 1 AND m{a} > 0) OR (c{a} + m{a} - s{a} < 0 AND m{a} < 0))"
+        parts += [f"round(c{a} + m{a}, 9) + 0.0 AS c{a}", f"round(CASE WHEN {hit} THEN -m{a} ELSE m{a} END, 9) + 0.0 AS m{a}", f"round(s{a} + i{a}, 9) + 0.0 AS s{a}", f"i{a}"]
+    return f"WITH ob({', '.join(names)}) AS (VALUES {rows}) SELECT kind, bounce, {', '.join(parts)} FROM ob"
+
+
+_ROUND = [(k, False, 0.45, 0.55, 0.4, 0.0, 0.0, 0.0, 0.3, 0.35, 0.25, 0.0, 0.0, 0.0) for k in (*range(4, 16), *range(20, 26))]
+_PUSH = f"1e4::DOUBLE * (1 - 2 * a * tau * tau) * exp(-a * tau * tau) / {m.DENSITY}"
+
+
+def _corrected() -> str:
+    source = f"(SELECT {_PUSH} FROM (SELECT pow(pi() * {m.FREQUENCY!r}::DOUBLE, 2) AS a, 55.0::DOUBLE - {m.DELAY!r}::DOUBLE AS tau))"
+    new = {a: f"0.5 * (u{a} + CASE WHEN iglob = 10 THEN {source} / 0.5 ELSE 0 END)" if a == "z" else f"0.5 * u{a}" for a in "xyz"}
+    parts = ", ".join(f"round(v{a} + 0.25 * ({new[a]}), 6) + 0.0 AS v{a}, round({new[a]}, 6) + 0.0 AS a{a}" for a in "xyz")
+    return f"WITH {_NODES} SELECT iglob, {parts} FROM no"
+
+
 _BRIDGE = """br AS (SELECT elem, p, (elem // 4 * 4 + p // 25) * 81 + (elem // 2 % 2 * 4 + p // 5 % 5) * 9 + elem % 2 * 4 + p % 5 AS iglob FROM range(8) a(elem), range(125) b(p))"""
 _NODES = "no AS (SELECT iglob, " + ", ".join(
     f"CAST((iglob * {step} % 7) / {scale} AS DOUBLE) AS {k}{a}" for k, scale in (("u", 7.0), ("v", 70.0), ("a", 700.0)) for a, step in (("x", 3), ("y", 5), ("z", 2))
@@ -180,10 +278,20 @@ FROM c, range(2) o(i), range(2) p(j), range(2) q(k)""",
   FROM range(-1, 2) a(x), range(-1, 2) b(y), range(-1, 2) d(z) WHERE abs(x) + abs(y) + abs(z) = 1)
 SELECT c.level, c.x, c.y, c.z, ox, oy, oz, round(coalesce(n.v, c.v), 9) + 0.0 AS ghost FROM c CROSS JOIN o
 LEFT JOIN c n ON n.x = c.x + ox AND n.y = c.y + oy AND n.z = c.z + oz""",
+    "amr_ghosts": f"WITH {_MIXED} SELECT level, x, y, z, ox, oy, oz, round(ghost, 9) + 0.0 AS ghost FROM g",
+    "amr_mean7_mixed": f"""WITH {_MIXED} SELECT level, x, y, z, round((v + s) / 7, 9) + 0.0 AS v FROM m JOIN (SELECT level, x, y, z, sum(ghost) AS s FROM g GROUP BY ALL) USING (level, x, y, z)""",
+    "amr_variables": f"""WITH {_MIXED}, t AS (SELECT ((SELECT sum(v) FROM m) + (SELECT sum(ghost) FROM g)) / 7 AS total)
+SELECT var, round(total * (var + 1), 6) + 0.0 AS total FROM t, range(3) r(var)""",
+    "amr_block_counts": f"WITH {_MIXED}, {_BLOCKS} SELECT level, count(*) AS blocks FROM bl GROUP BY level",
+    "amr_object_motion": _moved_sql(OBJECTS),
+    "amr_touched": _touched_sql(OBJECTS),
+    "amr_touched_round": _touched_sql(_ROUND),
+    "mesh_corrector": _corrected(),
     "mesh_predictor": f"""WITH {_NODES} SELECT iglob, {', '.join(f'round(u{a} + 0.5 * v{a} + 0.125 * a{a}, 9) + 0.0 AS u{a}, round(v{a} + 0.25 * a{a}, 9) + 0.0 AS v{a}, CAST(0 AS DOUBLE) AS a{a}' for a in 'xyz')} FROM no""",
     "mesh_gather": f"WITH {_BRIDGE}, {_NODES} SELECT elem, p, round(ux, 9) + 0.0 AS ux, round(uy, 9) + 0.0 AS uy, round(uz, 9) + 0.0 AS uz FROM br JOIN no USING (iglob)",
     "mesh_scatter": f"WITH {_BRIDGE} SELECT iglob, CAST(sum(p) AS DOUBLE) AS fx, CAST(sum(elem) AS DOUBLE) AS fy, CAST(count(*) AS DOUBLE) AS fz FROM br GROUP BY iglob",
     "mesh_stress": "SELECT elem, CAST(0 AS DOUBLE) AS fx, CAST(0 AS DOUBLE) AS fy, CAST(0 AS DOUBLE) AS fz FROM range(8) t(elem)",
+    "mesh_stress_mapped": "SELECT elem, true AS ok, CAST(125 AS BIGINT) AS points FROM range(8) t(elem)",
     "mesh_largest": f"WITH {_NODES} SELECT round(max(sqrt(ux * ux + uy * uy + uz * uz)), 9) + 0.0 AS norm FROM no",
     "mesh_connectivity": f"WITH {_BRIDGE} SELECT elem // 2 AS zone, iglob // 100 AS part, count(*) AS n FROM br GROUP BY 1, 2",
 }

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridloom.catalog.tables import table
@@ -109,16 +108,54 @@ def ambiguity_removal(spark, sf_dir):
     return _rounded(r.unambiguous(plots, periods, 4, 0.03), "power")
 
 
-def radar_burst(spark, sf_dir):
-    """The whole chain on the first events' values."""
+#: Gate, angle and velocity bin of the planted target, and its amplitude.
+TARGET, AMPLITUDE = (4, 2, 3), 1e7
+
+
+def _echo(spark):
+    """What a target of TARGET sends back: the chirp at its gate, with its phases at each antenna and pulse."""
+    gate, th, v = TARGET
+    taps = r.chirp(spark).select("tap", F.col("re").alias("w"))
+    bearing = F.lit(math.radians(RADAR.beam_angle)) + r.angle_of(F.lit(th), RADAR.angles, RADAR.beam_width)
+    wave = 2 * math.pi / RADAR.wavelength
+    velocity = r.velocity_of(F.lit(v), RADAR.velocities, RADAR.fastest)
+    cells = r._grid(spark, ant=RADAR.antennas, pulse=RECEIVED).crossJoin(F.broadcast(taps))
+    phase = wave * RADAR.spacing * F.col("ant") * F.cos(bearing) - 2 * wave * velocity * RADAR.period * F.col("pulse")
+    strong = F.col("w") * AMPLITUDE
+    return cells.select("ant", "pulse", (F.col("tap") + gate).alias("gate"), (strong * F.cos(phase)).alias("re"), (strong * F.sin(phase)).alias("im"))
+
+
+def _burst_signal(spark, sf_dir):
+    """All events' values, added up in the cells of a burst by their number, around the echo of one target."""
     n = RADAR.antennas * RECEIVED * 24
-    first = table(spark, sf_dir, "events").orderBy("event_id").limit(n)
-    placed = first.withColumn("at", F.row_number().over(Window.orderBy("event_id")) - 1)  # n rows
-    signal = placed.select(
-        F.expr(f"at div {RECEIVED * 24}").cast("long").alias("ant"), F.expr(f"at div 24 % {RECEIVED}").cast("long").alias("pulse"),
-        (F.col("at") % 24).cast("long").alias("gate"), F.col("value").alias("re"), F.lit(0.0).alias("im"),
+    at = F.col("event_id") % n
+    noise = table(spark, sf_dir, "events").select(
+        F.expr(f"event_id % {n} div {RECEIVED * 24}").alias("ant"), F.expr(f"event_id % {n} div 24 % {RECEIVED}").alias("pulse"), (at % 24).alias("gate"),
+        F.col("value").alias("re"), (F.col("value") * ((F.col("event_id") % 7) - 3)).alias("im"),
     )
-    return _rounded(r.burst(signal, RADAR, 24, RECEIVED), "power", places=3)
+    return noise.unionByName(_echo(spark)).groupBy("ant", "pulse", "gate").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+
+
+def radar_burst(spark, sf_dir):
+    """The whole chain on all events and a planted target."""
+    return _rounded(r.burst(_burst_signal(spark, sf_dir), RADAR, 24, RECEIVED), "power", places=3)
+
+
+def radar_target(spark, sf_dir):
+    """Gate and angle of the strongest detection: the target's."""
+    found = r.burst(_burst_signal(spark, sf_dir), RADAR, 24, RECEIVED)
+    return found.agg(F.max_by(F.struct("rg", "th"), "power").alias("t")).select("t.rg", "t.th")
+
+
+def filtered_target(spark, sf_dir):
+    """The filter of the target's angle and velocity passes an echo without noise as it is; where nothing is, it gives nothing."""
+    cells = _echo(spark).where(F.col("gate") == TARGET[0] + 3)
+    weights = r.steering(spark, RADAR).where((F.col("th") == TARGET[1]) & (F.col("v") == TARGET[2])).withColumn("gate", F.lit(TARGET[0] + 3).cast("long"))
+    n = RADAR.antennas * RADAR.pulses
+    even = weights.select("gate", "th", "v", "k", (F.col("re") / n).alias("re"), (F.col("im") / n).alias("im"))
+    trains = r.apply_filter(cells, even, RADAR, RECEIVED)
+    power = F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")) / AMPLITUDE
+    return trains.select("gate", "th", "v", "k", F.round(power, 3).alias("gain"))
 
 
 QUERIES = {
@@ -126,7 +163,7 @@ QUERIES = {
     for f in (
         chirp_taps, steering_vectors, doppler_phases, velocity_bins, pulse_compression, space_time_covariance, covariance_inverse, filter_gain,
         doppler_integration, mean_angle_power, padded_cube, cfar_detection, strongest_angle, corrected_velocity, detection_list,
-        ambiguity_removal, radar_burst,
+        ambiguity_removal, radar_burst, radar_target, filtered_target,
     )
 }
 
@@ -176,4 +213,17 @@ SELECT th, rg, v, CASE WHEN n = 1 THEN re ELSE 0 END AS re, CASE WHEN n = 1 THEN
 b AS (SELECT th, rg, v, re, im, CAST(least(greatest(floor(1e-5 + CASE WHEN w >= 0 THEN w ELSE w + {2 * RADAR.fastest!r}::DOUBLE END / {RADAR.fastest / 2!r}::DOUBLE), 0), 3) AS BIGINT) AS n FROM o)
 SELECT th, rg, n AS v, arg_max(re, v) AS re, arg_max(im, v) AS im FROM b GROUP BY th, rg, n""",
     "detection_list": f"WITH {_CUBE} SELECT rg, v, th, re * re + im * im AS power FROM cu WHERE re * re + im * im > 1e-5 ORDER BY rg, v, th LIMIT 100",
+    "ambiguity_removal": """WITH pl AS (SELECT burst, rg, (rg + th) % 4 AS v, th, rg * 10.0::DOUBLE + th + burst AS power FROM range(3) a(burst), range(6) b(rg), range(5) c(th) WHERE (rg + th + burst) % 3 <> 0),
+pe(burst, period) AS (VALUES (0, 0.0005::DOUBLE), (1, 0.00055::DOUBLE), (2, 0.0006::DOUBLE)),
+f AS (SELECT burst, 0.03::DOUBLE / (4 * period) AS f FROM pe), f0 AS (SELECT max(f) AS f0 FROM f),
+s AS (SELECT rg, th, power, (2.0 * v + 1) * (f / 4) - CASE WHEN v >= 2 THEN 2 * f ELSE 0 END + 2 * k * f AS w, f0 FROM pl JOIN f USING (burst), f0, range(-2, 3) t(k)),
+b AS (SELECT rg, th, power, CAST(least(greatest(floor(1e-5 + CASE WHEN w >= 0 THEN w ELSE w + 4 * f0 END / (4 * f0 / 8)), 0), 7) AS BIGINT) AS v FROM s WHERE abs(w) < 2 * f0),
+c AS (SELECT rg, v, th, sum(power) AS power, count(*) AS hits FROM b GROUP BY rg, v, th),
+n AS (SELECT x.rg, x.v, x.th, max(y.power) AS most, sum(y.power) AS more, sum(y.hits) AS h FROM c x JOIN c y
+  ON abs(x.rg - y.rg) <= 1 AND abs(x.v - y.v) <= 1 AND abs(x.th - y.th) <= 1 AND NOT (x.rg = y.rg AND x.v = y.v AND x.th = y.th) GROUP BY 1, 2, 3)
+SELECT c.rg, c.v, c.th, round(c.power + coalesce(more, 0), 6) + 0.0 AS power FROM c LEFT JOIN n USING (rg, v, th)
+WHERE c.power >= coalesce(most, 0) AND hits + coalesce(h, 0) >= 0.8 * 3""",
+    "radar_target": f"SELECT CAST({TARGET[0]} AS BIGINT) AS rg, CAST({TARGET[1]} AS BIGINT) AS th",
+    "filtered_target": f"""SELECT CAST({TARGET[0] + 3} AS BIGINT) AS gate, CAST({TARGET[1]} AS BIGINT) AS th, CAST({TARGET[2]} AS BIGINT) AS v, k,
+round(abs({r.CHIRP[3]!r}::DOUBLE), 3) AS gain FROM range({RECEIVED - RADAR.pulses + 1}) t(k)""",
 }

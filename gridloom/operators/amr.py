@@ -48,26 +48,36 @@ def _offsets(spark: SparkSession, faces_only: bool) -> DataFrame:
     return F.broadcast(spark.createDataFrame(found, "ox int, oy int, oz int"))
 
 
-def smooth(cells: DataFrame, mesh: Mesh, points: int) -> DataFrame:
-    """Mean of 7 or 27 values around each cell of one level; beyond the domain the nearest cell inside stands in."""
-    reach = cells.crossJoin(_offsets(cells.sparkSession, points == 7))
+def smooth(cells: DataFrame, mesh: Mesh, points: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Mean of 7 or 27 values around each cell, for each value of ``by`` (variables).
+
+    Seven values are the cell's and what it sees over its faces, whatever the
+    levels there. For 27, all cells have to be of one level; beyond the
+    domain the nearest cell inside stands in.
+    """
+    if points == 7:
+        seen = face_ghosts(cells, mesh, by).groupBy("level", *by, *AXES).agg(F.sum("ghost").alias("s"))
+        return cells.join(seen, ["level", *by, *AXES]).select("level", *by, *AXES, ((F.col("v") + F.col("s")) / points).alias("v"))
+    if cells.select("level").distinct().limit(2).count() > 1:
+        raise ValueError("a mean of 27 values needs cells of one level")
+    reach = cells.crossJoin(_offsets(cells.sparkSession, False))
     target = [
         F.least(F.greatest(F.col(a) + F.col(f"o{a}"), F.lit(0)), mesh.cells(i, F.col("level")) - 1).alias(a) for i, a in enumerate(AXES)
     ]
-    wanted = reach.select("level", *(F.col(a).alias(f"own_{a}") for a in AXES), *target)
-    sums = wanted.join(cells, ["level", *AXES]).groupBy("level", *(f"own_{a}" for a in AXES)).agg((F.sum("v") / points).alias("v"))
-    return sums.select("level", *(F.col(f"own_{a}").alias(a) for a in AXES), "v")
+    wanted = reach.select("level", *by, *(F.col(a).alias(f"own_{a}") for a in AXES), *target)
+    sums = wanted.join(cells, ["level", *by, *AXES]).groupBy("level", *by, *(f"own_{a}" for a in AXES)).agg((F.sum("v") / points).alias("v"))
+    return sums.select("level", *by, *(F.col(f"own_{a}").alias(a) for a in AXES), "v")
 
 
-def face_ghosts(cells: DataFrame, mesh: Mesh) -> DataFrame:
-    """``level, x, y, z, ox, oy, oz, ghost``: what each cell sees over each face.
+def face_ghosts(cells: DataFrame, mesh: Mesh, by: tuple[str, ...] = ()) -> DataFrame:
+    """``level, *by, x, y, z, ox, oy, oz, ghost``: what each cell sees over each face.
 
     A cell of the same level as it is, a coarser one a quarter of its value,
     finer ones the sum of the four at the face, and nothing beyond the domain
     but the cell itself.
     """
     faces = cells.crossJoin(_offsets(cells.sparkSession, True)).where("ox <> 0 or oy <> 0 or oz <> 0")
-    keys = ["level", *AXES, "ox", "oy", "oz"]
+    keys = ["level", *by, *AXES, "ox", "oy", "oz"]
     beyond = [F.col(a) + F.col(f"o{a}") for a in AXES]
     outside = F.lit(False)
     for i, b in enumerate(beyond):
@@ -75,36 +85,37 @@ def face_ghosts(cells: DataFrame, mesh: Mesh) -> DataFrame:
     seen = cut(faces.select(*keys, "v", *(b.alias(f"t{a}") for a, b in zip(AXES, beyond, strict=True)), outside.alias("outside")))
     there = [F.col(a).alias(f"t{a}") for a in AXES]
     inner = seen.where(~F.col("outside")).drop("v")
-    same = inner.join(cells.select("level", *there, F.col("v").alias("ghost")), ["level", "tx", "ty", "tz"])
+    same = inner.join(cells.select("level", *by, *there, F.col("v").alias("ghost")), ["level", *by, "tx", "ty", "tz"])
     coarse = inner.withColumn("up", F.col("level") - 1).withColumns({f"u{a}": F.expr(f"t{a} div 2") for a in AXES})
-    coarse = coarse.join(cells.select(F.col("level").alias("up"), *(F.col(a).alias(f"u{a}") for a in AXES), (F.col("v") / 4).alias("ghost")), ["up", "ux", "uy", "uz"])
+    coarse = coarse.join(cells.select(F.col("level").alias("up"), *by, *(F.col(a).alias(f"u{a}") for a in AXES), (F.col("v") / 4).alias("ghost")), ["up", *by, "ux", "uy", "uz"])
     # a finer neighbour's cells at the face: along the face's axis the near one of two, along the others both
     fine = cells.where("level > 0").crossJoin(_offsets(cells.sparkSession, True)).where("ox <> 0 or oy <> 0 or oz <> 0")
     near = F.lit(True)
     for a in AXES:
         near = near & F.when(F.col(f"o{a}") == 0, True).otherwise(F.col(a) % 2 == F.when(F.col(f"o{a}") > 0, 0).otherwise(1))
-    parents = fine.where(near).select((F.col("level") - 1).alias("level"), *((F.expr(f"{a} div 2") - F.col(f"o{a}")).alias(a) for a in AXES), "ox", "oy", "oz", "v")
-    finer = parents.groupBy(*keys).agg(F.sum("v").alias("ghost")).join(cells.select("level", *AXES), ["level", *AXES])
+    parents = fine.where(near).select((F.col("level") - 1).alias("level"), *by, *((F.expr(f"{a} div 2") - F.col(f"o{a}")).alias(a) for a in AXES), "ox", "oy", "oz", "v")
+    finer = parents.groupBy(*keys).agg(F.sum("v").alias("ghost")).join(cells.select("level", *by, *AXES), ["level", *by, *AXES])
     edge = seen.where("outside").select(*keys, F.col("v").alias("ghost"))
     return same.select(*keys, "ghost").unionByName(coarse.select(*keys, "ghost")).unionByName(finer.select(*keys, "ghost")).unionByName(edge)
 
 
-def split(cells: DataFrame) -> DataFrame:
+def split(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Eight children of each cell, each with an eighth of its value."""
     spark = cells.sparkSession
     child = F.broadcast(spark.createDataFrame([(a, b, c) for a in (0, 1) for b in (0, 1) for c in (0, 1)], "ox int, oy int, oz int"))
     return cells.crossJoin(child).select(
-        (F.col("level") + 1).alias("level"), *((F.col(a) * 2 + F.col(f"o{a}")).alias(a) for a in AXES), (F.col("v") / 8).alias("v")
+        (F.col("level") + 1).alias("level"), *by, *((F.col(a) * 2 + F.col(f"o{a}")).alias(a) for a in AXES), (F.col("v") / 8).alias("v")
     )
 
 
-def consolidate(cells: DataFrame) -> DataFrame:
+def consolidate(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """One parent of eight children, with their sum."""
-    return cells.groupBy((F.col("level") - 1).alias("level"), *(F.expr(f"{a} div 2").alias(a) for a in AXES)).agg(F.sum("v").alias("v"))
+    return cells.groupBy((F.col("level") - 1).alias("level"), *by, *(F.expr(f"{a} div 2").alias(a) for a in AXES)).agg(F.sum("v").alias("v"))
 
 
-def checksum(cells: DataFrame) -> DataFrame:
-    return cells.agg(F.sum("v").alias("total"))
+def checksum(cells: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``*by, total``: the sum of all values, of each variable."""
+    return cells.groupBy(*by).agg(F.sum("v").alias("total"))
 
 
 def drifted(before: float, after: float, digits: int) -> bool:
@@ -227,13 +238,49 @@ def balanced(marked: DataFrame) -> DataFrame:
             return state.select(*keys, (F.col("goal") - F.col("level")).alias("mark"))
 
 
-def remeshed(cells: DataFrame, marked: DataFrame) -> DataFrame:
+def aimed(marked: DataFrame, least: int, most: int, mesh: Mesh) -> DataFrame:
+    """Marks changed so that the number of blocks afterwards is between the two, as far as single splits and joins allow.
+
+    Too few: further blocks that stay are split, the coarsest first. Too
+    many: blocks to be split stay, the finest first, then whole families
+    are joined. Ties go by place; each change is worth seven blocks.
+    """
+    keys = ["level", "bx", "by", "bz"]
+    blocks = marked.agg(F.sum(F.when(F.col("mark") == 1, 8.0).when(F.col("mark") == -1, 0.125).otherwise(1.0))).first()[0] or 0
+    if blocks < least:
+        more = marked.where((F.col("mark") == 0) & (F.col("level") < mesh.deepest)).orderBy(*keys).limit(-(-int(least - blocks) // 7)).select(*keys, F.lit(1).alias("new"))
+        return marked.join(F.broadcast(more), keys, "left").select(*keys, F.coalesce("new", "mark").alias("mark"))
+    if blocks <= most:
+        return marked
+    surplus = -(-int(blocks - most) // 7)
+    fewer = cut(marked.where("mark = 1").orderBy(F.desc("level"), *keys[1:]).limit(surplus).select(*keys, F.lit(0).alias("new")))
+    kept = marked.join(F.broadcast(fewer), keys, "left").select(*keys, F.coalesce("new", "mark").alias("mark"))
+    surplus -= fewer.count()
+    if surplus <= 0:
+        return kept
+    family = ["level", *(F.expr(f"b{a} div 2").alias(f"p{a}") for a in AXES)]
+    idle = kept.where("level > 0").groupBy(*family).agg(F.count(F.lit(1)).alias("n"), F.max(F.abs("mark")).alias("most")).where("n = 8 and most = 0")
+    joined = idle.orderBy(F.desc("level"), "px", "py", "pz").limit(surplus).select("level", "px", "py", "pz", F.lit(-1).alias("new"))
+    placed = kept.withColumns({f"p{a}": F.expr(f"b{a} div 2") for a in AXES}).join(F.broadcast(joined), ["level", "px", "py", "pz"], "left")
+    return placed.select(*keys, F.coalesce("new", "mark").alias("mark"))
+
+
+def block_counts(cells: DataFrame) -> DataFrame:
+    """``level, blocks``: how many blocks each level has."""
+    return blocks_of(cells).groupBy("level").agg(F.count(F.lit(1)).alias("blocks"))
+
+
+def remeshed(cells: DataFrame, marked: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Cells after the marks: blocks split, kept or joined with their siblings."""
     placed = cells.withColumns({f"b{a}": F.expr(f"{a} div {SIDE}") for a in AXES}).join(marked, ["level", "bx", "by", "bz"])
-    own = ["level", *AXES, "v"]
-    parts = split(placed.where("mark = 1").select(own)), placed.where("mark = 0").select(own), consolidate(placed.where("mark = -1").select(own))
+    own = ["level", *by, *AXES, "v"]
+    parts = split(placed.where("mark = 1").select(own), by), placed.where("mark = 0").select(own), consolidate(placed.where("mark = -1").select(own), by)
     return parts[0].select(own).unionByName(parts[1]).unionByName(parts[2].select(own))
 
 
-def refine(cells: DataFrame, objects: DataFrame, mesh: Mesh) -> DataFrame:
-    return cut(remeshed(cells, balanced(marks(touched_blocks(blocks_of(cells), objects, mesh), mesh))))
+def refine(cells: DataFrame, objects: DataFrame, mesh: Mesh, least: int = 0, most: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """Cells after one round of marks; with ``least`` or ``most`` the number of blocks is brought towards them before the balance."""
+    wanted = marks(touched_blocks(blocks_of(cells), objects, mesh), mesh)
+    if least or most is not None:
+        wanted = aimed(cut(wanted), least, most if most is not None else 1 << 60, mesh)
+    return cut(remeshed(cells, balanced(wanted), by))

@@ -87,6 +87,36 @@ def stress(points: DataFrame, bulk: float, shear: float, size: float) -> DataFra
     return points.groupBy("elem").applyInPandas(run, "elem long, p long, fx double, fy double, fz double")
 
 
+def mapped_forces(u: np.ndarray, jacobian: np.ndarray, kappa: np.ndarray, mu: np.ndarray) -> np.ndarray:
+    """Forces of one element of any shape: ``jacobian[a, i]`` is the derivative of its own axis a by direction i at each point."""
+    _, w, h = lobatto()
+    own = np.stack([np.einsum("il,czyl->czyi", h, u), np.einsum("jl,czlx->czjx", h, u), np.einsum("kl,clyx->ckyx", h, u)], axis=1)
+    gradient = np.einsum("cazyx,aizyx->cizyx", own, jacobian)
+    strain = (gradient + gradient.transpose(1, 0, 2, 3, 4)) / 2
+    trace = np.einsum("iizyx->zyx", strain)
+    stress = 2 * mu * strain
+    for i in range(3):
+        stress[i, i] += (kappa - 2 * mu / 3) * trace
+    volume = 1 / np.abs(np.linalg.det(np.moveaxis(jacobian, (0, 1), (-2, -1))))
+    flux = np.einsum("cizyx,aizyx->cazyx", stress, jacobian) * w[:, None, None] * w[None, :, None] * w[None, None, :] * volume
+    return -(np.einsum("li,czyl->czyi", h, flux[:, 0]) + np.einsum("lj,czlx->czjx", h, flux[:, 1]) + np.einsum("lk,clyx->ckyx", h, flux[:, 2]))
+
+
+def stress_mapped(points: DataFrame) -> DataFrame:
+    """``elem, p, fx, fy, fz`` from ``elem, p, ux, uy, uz, jacobian, kappa, mu``: shape and material of each point as a mesh has them."""
+    ship(points.sparkSession)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("p")
+        cube = (POINTS, POINTS, POINTS)
+        u = rows[["ux", "uy", "uz"]].to_numpy().T.reshape(3, *cube)
+        jacobian = np.stack(rows.jacobian.to_numpy()).T.reshape(3, 3, *cube)
+        f = mapped_forces(u, jacobian, rows.kappa.to_numpy().reshape(cube), rows.mu.to_numpy().reshape(cube)).reshape(3, -1)
+        return pd.DataFrame({"elem": rows.elem, "p": rows.p, "fx": f[0], "fy": f[1], "fz": f[2]})
+
+    return points.groupBy("elem").applyInPandas(run, "elem long, p long, fx double, fy double, fz double")
+
+
 def source_term(time: float) -> float:
     """Vertical force of the source at a time, before the mass is divided out."""
     a, tau = (math.pi * FREQUENCY) ** 2, time - DELAY

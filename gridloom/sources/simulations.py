@@ -124,3 +124,11 @@ def read_derivatives(spark: SparkSession, path: str, elements: int, nodes: int,
 def write_plots(plots: DataFrame, path: str, gate_size: float) -> None:
     """Distance, velocity, angle and power of targets as CSV."""
     plots.select((F.col("rg") * gate_size).alias("distance"), "v", "th", "power").write.mode("overwrite").csv(path, header=True)
+
+
+def write_blocks(blocks: DataFrame, path: str) -> None:
+    """Blocks ``level, bx, by, bz`` of an adaptive mesh as a list in one text file: their number, then a line for each."""
+    order = ["level", "bx", "by", "bz"]
+    head = blocks.sparkSession.createDataFrame([(-1, -1, -1, -1, str(blocks.count()))], "level int, bx long, by long, bz long, value string")
+    lines = head.unionByName(blocks.select(F.col("level").cast("int").alias("level"), *(F.col(c).cast("long").alias(c) for c in order[1:]), F.concat_ws(" ", *order).alias("value")))
+    lines.repartitionByRange(1, *order).sortWithinPartitions(*order).select("value").write.mode("overwrite").text(path)
