@@ -375,6 +375,31 @@ def _lu_steps() -> str:
 _F = f"f{N_LU - 1}"
 _PRODUCT = "SELECT a.i, b.j, round(sum(a.v * b.v), 3) AS v FROM a JOIN a b ON a.j = b.i GROUP BY a.i, b.j"
 
+
+def _eliminated(n: int, start: str) -> str:
+    """Matrices e0, e1, ...: elimination without pivoting of ``start``; the last has U above the diagonal."""
+    steps = [f"e0 AS MATERIALIZED ({start})"]
+    for k in range(n - 1):
+        steps.append(
+            f"""e{k + 1} AS MATERIALIZED (SELECT s.i, s.j, CASE WHEN s.i > {k} THEN s.v - f.v * r.v / (SELECT v FROM e{k} WHERE i = {k} AND j = {k}) ELSE s.v END AS v
+FROM e{k} s JOIN e{k} r ON r.i = {k} AND r.j = s.j JOIN e{k} f ON f.j = {k} AND f.i = s.i)"""
+        )
+    return ", ".join(steps)
+
+
+def _cleared(n: int) -> str:
+    """Matrices e0, e1, ...: the positive matrix beside the identity, cleared column by column."""
+    steps = [f"e0 AS MATERIALIZED (SELECT i, j, v FROM p UNION ALL SELECT a.i, b.j + {n}, CASE WHEN a.i = b.j THEN 1.0::DOUBLE ELSE 0 END FROM range({n}) a(i), range({n}) b(j))"]
+    for k in range(n):
+        pivot = f"(SELECT v FROM e{k} WHERE i = {k} AND j = {k})"
+        steps.append(
+            f"""e{k + 1} AS MATERIALIZED (SELECT s.i, s.j, CASE WHEN s.i = {k} THEN s.v / {pivot} ELSE s.v - f.v * r.v / {pivot} END AS v
+FROM e{k} s JOIN e{k} r ON r.i = {k} AND r.j = s.j JOIN e{k} f ON f.j = {k} AND f.i = s.i)"""
+        )
+    return ", ".join(steps)
+
+
+_GRAM = """SELECT i - 1 AS i, j - 1 AS j, sum(CAST(embedding[i] AS DOUBLE) * CAST(embedding[j] AS DOUBLE)) AS v FROM embeddings, range(1, 65) a(i), range(1, 65) b(j) GROUP BY 1, 2"""
 _SPD = "p AS (SELECT i, j, CAST((i + j) % 7 / 10.0 AS DOUBLE) + CASE WHEN i = j THEN 16 ELSE 0 END AS v FROM range(16) a(i), range(16) b(j))"
 _KNOWN = "SELECT i, 1.0::DOUBLE + i % 7 AS x FROM range(16) t(i)"
 
@@ -448,4 +473,9 @@ SELECT i, j, round(CAST(((i * 7 + j * 5) % 11 - 5.5) / 11 AS DOUBLE) + CASE WHEN
     "cholesky_update": f"WITH {_SPD} SELECT i, j, round(v + (1.0 + i % 7) * (1.0 + j % 7), 6) AS v FROM p",
     "permuted_symmetric": f"""WITH {_SPD} SELECT least((i * 7 + 3) % 16, (j * 7 + 3) % 16) AS i, greatest((i * 7 + 3) % 16, (j * 7 + 3) % 16) AS j, round(v, 6) AS v
 FROM p WHERE i <= j AND v <> 0""",
+    "cholesky": f"""WITH {_SPD}, {_eliminated(16, 'SELECT i, j, v FROM p')}
+SELECT u.j AS i, u.i AS j, round(u.v / sqrt(d.v), 6) AS v FROM e15 u JOIN e15 d ON d.i = u.i AND d.j = u.i WHERE u.i <= u.j""",
+    "spd_inverse": f"WITH {_SPD}, {_cleared(16)} SELECT i, j - 16 AS j, round(v, 8) AS v FROM e16 WHERE j >= 16",
+    "tall_qr": f"""WITH {_eliminated(64, _GRAM)}
+SELECT u.i, u.j, round(u.v / sqrt(d.v), 5) AS v FROM e63 u JOIN e63 d ON d.i = u.i AND d.j = u.i WHERE u.i <= u.j""",
 }
