@@ -113,3 +113,64 @@ def test_empty_matrices(spark):
     assert m.multiply(empty, empty).count() == 0
     assert m.row_norm(empty).first()[0] == 0.0
     assert m.running_sum(spark.createDataFrame([], "i long, x double")).count() == 0
+
+
+def test_blocks_follow_a_target(spark):
+    mesh = meshes.MESH
+    ball = spark.createDataFrame(meshes.BALL, meshes.COLUMNS)
+    cells = meshes._cells(spark)
+    marked = amr.marks(amr.touched_blocks(amr.blocks_of(cells), ball, mesh), mesh)
+    start = marked.count()
+    split = marked.where("mark = 1").count()
+
+    def after(frame):
+        return sum({1: 8.0, 0: 1.0, -1: 1 / 8}[r.mark] for r in frame.collect())
+
+    plain = after(marked)
+    assert plain == start + 7 * split
+    assert 0 <= after(amr.aimed(marked, int(plain) + 20, 1 << 40, mesh)) - (plain + 20) < 7
+    assert 0 <= (plain - 10) - after(amr.aimed(marked, 0, int(plain) - 10, mesh)) < 7
+    assert after(amr.aimed(marked, 0, 1 << 40, mesh)) == plain
+    fine = amr.marks(amr.touched_blocks(amr.blocks_of(amr.split(cells)), ball, mesh), mesh).selectExpr("level", "bx", "by", "bz", "0 AS mark")
+    assert after(amr.aimed(fine, 0, fine.count() - 14, mesh)) == fine.count() - 14
+    refined = amr.refine(cells, ball, mesh, least=int(plain) + 20)
+    assert amr.block_counts(refined).agg(F.sum("blocks")).first()[0] >= plain + 14
+
+
+def test_means_of_27_need_one_level(spark):
+    with pytest.raises(ValueError, match="one level"):
+        amr.smooth(meshes._mixed(spark), meshes.MESH, 27)
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    from gridloom.operators import points
+
+    rng = np.random.default_rng(9)
+    vectors = rng.integers(0, 4, (90, 3)).astype(float)
+    frame = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(vectors)], "id long, vec array<double>, label int")
+    whole = {(r.query, r.train, r.rank) for r in points.nearest(frame.where("id < 20"), frame, 6).collect()}
+    monkeypatch.setattr(points, "BLOCK", 25)
+    assert {(r.query, r.train, r.rank) for r in points.nearest(frame.where("id < 20"), frame, 6).collect()} == whole
+    centres = frame.where("id < 5").selectExpr("id AS cid", "vec AS centre")
+    near = {(r.id, r.cid, r.distance) for r in points.assign(frame, centres).collect()}
+    monkeypatch.setattr(points, "MANY_CENTRES", 2)
+    assert {(r.id, r.cid, r.distance) for r in points.assign(frame, centres).collect()} == near
+
+
+@pytest.mark.parametrize(("n", "block"), [(7, 3), (8, 8), (5, 2)])
+def test_gauss_seidel_by_blocks(spark, n, block):
+    start = np.random.default_rng(13).random((n + 2, n + 2))
+    cells = [(i - 1, j - 1, float(start[i, j])) for i in range(n + 2) for j in range(n + 2)]
+    grid = grids.gauss_seidel_sweep(spark.createDataFrame(cells, "i long, j long, u double"), n, block)
+    plain_sweep(start, 1, 1, n, n)
+    got = {(r.i, r.j): r.u for r in grid.collect()}
+    assert all(got[i - 1, j - 1] == start[i, j] for i in range(n + 2) for j in range(n + 2))
+
+
+def test_numeric_operators_on_nothing(spark):
+    from gridloom.operators import tiles
+
+    none = spark.createDataFrame([], "i long, j long, v double")
+    assert m.multiply(none, none).count() == 0 and m.row_norm(none).first().norm == 0.0
+    assert tiles.to_tiles(none, 4).count() == 0 and tiles.product(tiles.to_tiles(none, 4), tiles.to_tiles(none, 4), 4).count() == 0
+    assert m.sum_duplicates(spark.createDataFrame([(1, 1, None), (1, 1, 2.0)], none.schema)).first().v == 2.0

@@ -129,3 +129,17 @@ def test_simulation_script(spark, tmp_path):
     (tmp_path / "in.lj").write_text("# melt\nunits lj\npair_style lj/cut 2.5\npair_coeff 1 1 1.0 1.5 2.5\n  read_dump  start.dump 0 x y z  # begin\ntimestep 0.005\nrun 100\n")
     got = simulations.read_script(spark, f"{tmp_path}/in.lj")
     assert got == {"cutoff": 2.5, "run": 100, "timestep": 0.005, "dump": "start.dump", "pair_coeff": (1.0, 1.5)}
+
+
+def test_mesh_files(spark, tmp_path):
+    numbers_ = [*range(1500), *(10 * x for x in range(7)), *(x / 4 for x in range(25))]
+    (tmp_path / "mesh").write_text("\n".join(f" {a} " for a in map(str, numbers_)))
+    points, masses = simulations.read_mesh(spark, f"{tmp_path}/mesh", 1, 7)
+    first = points.where("p = 1").first()
+    assert list(first.jacobian) == [float(x) for x in range(12, 21)] and (first.kappa, first.mu, first.iglob) == (21.0, 22.0, 22)
+    assert points.count() == 125 and {r.iglob: r.rmass for r in masses.collect()} == {x: 10.0 * x for x in range(7)}
+    h = simulations.read_derivatives(spark, f"{tmp_path}/mesh", 1, 7)
+    assert {(r.i, r.j): r.v for r in h.collect()} == {(x // 5, x % 5): x / 4 for x in range(25)}
+    blocks = spark.createDataFrame([(1, 2, 3, 4), (0, 5, 6, 7)], "level int, bx long, by long, bz long")
+    simulations.write_blocks(blocks, f"{tmp_path}/blocks")
+    assert "".join(p.read_text() for p in sorted((tmp_path / "blocks").glob("part-*"))) == "2\n0 5 6 7\n1 2 3 4\n"
