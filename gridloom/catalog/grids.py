@@ -46,7 +46,7 @@ def heat_residual(spark, sf_dir):
 
 
 def heat_gauss_seidel(spark, sf_dir):
-    return _rounded(_swept(spark, lambda grid, n: g.gauss_seidel_sweep(grid, n, 5)))
+    return _rounded(_swept(spark, lambda grid, n: g.gauss_seidel_sweep(grid, n, 8)))
 
 
 def heat_red_black(spark, sf_dir):
