@@ -400,7 +400,7 @@ FROM e{k} s JOIN e{k} r ON r.i = {k} AND r.j = s.j JOIN e{k} f ON f.j = {k} AND
 
 
 _GRAM = """SELECT i - 1 AS i, j - 1 AS j, sum(CAST(embedding[i] AS DOUBLE) * CAST(embedding[j] AS DOUBLE)) AS v FROM embeddings, range(1, 65) a(i), range(1, 65) b(j) GROUP BY 1, 2"""
-_SPD = "p AS (SELECT i, j, CAST((i + j) % 7 / 10.0 AS DOUBLE) + CASE WHEN i = j THEN 16 ELSE 0 END AS v FROM range(16) a(i), range(16) b(j))"
+_POSITIVE = "p AS (SELECT i, j, CAST((i + j) % 7 / 10.0 AS DOUBLE) + CASE WHEN i = j THEN 16 ELSE 0 END AS v FROM range(16) a(i), range(16) b(j))"
 _KNOWN = "SELECT i, 1.0::DOUBLE + i % 7 AS x FROM range(16) t(i)"
 
 ORACLE_SQL = {
@@ -453,14 +453,14 @@ FROM f0 a FULL JOIN pr b ON a.i = b.i AND a.j = b.j GROUP BY 1, 2""",
     "inverse_residual": "SELECT true AS ok",
     "tall_qr_q": "SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0 END AS v FROM range(64) a(i), range(64) b(j)",
     "triangular_inverse": "SELECT i, i AS j, 1.0::DOUBLE AS v FROM range(16) t(i)",
-    "trmm": f"WITH {_SPD} SELECT x.j AS i, y.j, round(sum(2 * x.v * y.v), 6) AS v FROM p x JOIN p y ON y.i = x.i WHERE x.i >= x.j GROUP BY 1, 2 HAVING abs(sum(x.v * y.v)) > 1e-9",
-    "trsm": f"WITH {_SPD} SELECT i, j, round(v, 6) AS v FROM p WHERE v <> 0",
-    "gemm": f"""WITH {_SPD}, q AS (SELECT x.j AS i, y.j, 2 * sum(x.v * y.v) AS v FROM p x JOIN p y ON y.i = x.i WHERE x.i < 9 GROUP BY 1, 2)
+    "trmm": f"WITH {_POSITIVE} SELECT x.j AS i, y.j, round(sum(2 * x.v * y.v), 6) AS v FROM p x JOIN p y ON y.i = x.i WHERE x.i >= x.j GROUP BY 1, 2 HAVING abs(sum(x.v * y.v)) > 1e-9",
+    "trsm": f"WITH {_POSITIVE} SELECT i, j, round(v, 6) AS v FROM p WHERE v <> 0",
+    "gemm": f"""WITH {_POSITIVE}, q AS (SELECT x.j AS i, y.j, 2 * sum(x.v * y.v) AS v FROM p x JOIN p y ON y.i = x.i WHERE x.i < 9 GROUP BY 1, 2)
 SELECT q.i, q.j, round(q.v - CASE WHEN q.i < 9 THEN p.v ELSE 0 END, 6) AS v FROM q JOIN p USING (i, j) WHERE abs(q.v - CASE WHEN q.i < 9 THEN p.v ELSE 0 END) > 1e-9""",
-    "syrk": f"""WITH {_SPD}, q AS (SELECT x.i, y.i AS j, sum(x.v * y.v) AS v FROM p x JOIN p y ON y.j = x.j GROUP BY 1, 2)
+    "syrk": f"""WITH {_POSITIVE}, q AS (SELECT x.i, y.i AS j, sum(x.v * y.v) AS v FROM p x JOIN p y ON y.j = x.j GROUP BY 1, 2)
 SELECT q.i, q.j, round(q.v + 0.5 * p.v, 6) AS v FROM q JOIN p USING (i, j) WHERE q.i >= q.j""",
-    "lauum": f"WITH {_SPD} SELECT x.j AS i, y.j, round(sum(x.v * y.v), 6) AS v FROM p x JOIN p y ON y.i = x.i WHERE x.i >= x.j AND y.i >= y.j GROUP BY 1, 2 HAVING abs(sum(x.v * y.v)) > 1e-9",
-    "block_qr": f"""WITH {_SPD} SELECT 'qr' AS part, i, j, round(v, 6) AS v FROM p WHERE v <> 0
+    "lauum": f"WITH {_POSITIVE} SELECT x.j AS i, y.j, round(sum(x.v * y.v), 6) AS v FROM p x JOIN p y ON y.i = x.i WHERE x.i >= x.j AND y.i >= y.j GROUP BY 1, 2 HAVING abs(sum(x.v * y.v)) > 1e-9",
+    "block_qr": f"""WITH {_POSITIVE} SELECT 'qr' AS part, i, j, round(v, 6) AS v FROM p WHERE v <> 0
 UNION ALL SELECT 'qq', i, i, 1.0::DOUBLE FROM range(16) t(i)""",
     "block_lu_product": """WITH c AS (SELECT i, j, i // 4 AS bi, j // 4 AS bj FROM range(96) a(i), range(96) b(j)),
 k AS (SELECT * FROM c WHERE abs(bi - bj) <= 1 OR NOT ((bi < bj AND bi % 3 <> 0) OR (bi > bj AND bj % 3 <> 0) OR bi % 2 = 1 OR bj % 2 = 1))
@@ -470,12 +470,12 @@ SELECT i, j, round(CAST(((i * 7 + j * 5) % 11 - 5.5) / 11 AS DOUBLE) + CASE WHEN
     "qr_solve": _KNOWN,
     "triangular_solves": f"SELECT kind, i, x FROM ({_KNOWN}), (VALUES ('lower'), ('upper'), ('lower_transposed'), ('upper_transposed')) t(kind)",
     "incomplete_lu": "SELECT i, j, CASE WHEN i = j THEN 20.0::DOUBLE ELSE -1 END AS v FROM range(8) a(i), range(8) b(j) WHERE abs(i - j) <= 1 OR (i + j) % 3 = 0",
-    "cholesky_update": f"WITH {_SPD} SELECT i, j, round(v + (1.0 + i % 7) * (1.0 + j % 7), 6) AS v FROM p",
-    "permuted_symmetric": f"""WITH {_SPD} SELECT least((i * 7 + 3) % 16, (j * 7 + 3) % 16) AS i, greatest((i * 7 + 3) % 16, (j * 7 + 3) % 16) AS j, round(v, 6) AS v
+    "cholesky_update": f"WITH {_POSITIVE} SELECT i, j, round(v + (1.0 + i % 7) * (1.0 + j % 7), 6) AS v FROM p",
+    "permuted_symmetric": f"""WITH {_POSITIVE} SELECT least((i * 7 + 3) % 16, (j * 7 + 3) % 16) AS i, greatest((i * 7 + 3) % 16, (j * 7 + 3) % 16) AS j, round(v, 6) AS v
 FROM p WHERE i <= j AND v <> 0""",
-    "cholesky": f"""WITH {_SPD}, {_eliminated(16, 'SELECT i, j, v FROM p')}
+    "cholesky": f"""WITH {_POSITIVE}, {_eliminated(16, 'SELECT i, j, v FROM p')}
 SELECT u.j AS i, u.i AS j, round(u.v / sqrt(d.v), 6) AS v FROM e15 u JOIN e15 d ON d.i = u.i AND d.j = u.i WHERE u.i <= u.j""",
-    "spd_inverse": f"WITH {_SPD}, {_cleared(16)} SELECT i, j - 16 AS j, round(v, 8) AS v FROM e16 WHERE j >= 16",
+    "spd_inverse": f"WITH {_POSITIVE}, {_cleared(16)} SELECT i, j - 16 AS j, round(v, 8) AS v FROM e16 WHERE j >= 16",
     "tall_qr": f"""WITH {_eliminated(64, _GRAM)}
 SELECT u.i, u.j, round(u.v / sqrt(d.v), 5) AS v FROM e63 u JOIN e63 d ON d.i = u.i AND d.j = u.i WHERE u.i <= u.j""",
 }

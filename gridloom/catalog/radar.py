@@ -109,7 +109,7 @@ def ambiguity_removal(spark, sf_dir):
 
 
 #: Gate, angle and velocity bin of the planted target, and its amplitude.
-TARGET, AMPLITUDE = (4, 2, 3), 1e7
+TARGET, AMPLITUDE = (4, 2, 3), 1e4
 
 
 def _echo(spark):
@@ -126,13 +126,14 @@ def _echo(spark):
 
 
 def _burst_signal(spark, sf_dir):
-    """All events' values, added up in the cells of a burst by their number, around the echo of one target."""
+    """All events' values, their means in the cells of a burst by their number, around the echo of one target."""
     n = RADAR.antennas * RECEIVED * 24
     at = F.col("event_id") % n
     noise = table(spark, sf_dir, "events").select(
         F.expr(f"event_id % {n} div {RECEIVED * 24}").alias("ant"), F.expr(f"event_id % {n} div 24 % {RECEIVED}").alias("pulse"), (at % 24).alias("gate"),
         F.col("value").alias("re"), (F.col("value") * ((F.col("event_id") % 7) - 3)).alias("im"),
     )
+    noise = noise.groupBy("ant", "pulse", "gate").agg(F.avg("re").alias("re"), F.avg("im").alias("im"))
     return noise.unionByName(_echo(spark)).groupBy("ant", "pulse", "gate").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
 
 
