@@ -11,6 +11,8 @@ from gridloom.llm.html_extract import main_text
 from gridloom.llm.line_dedup import dedup_lines
 from gridloom.llm.minhash import near_duplicates
 from gridloom.llm.packing import pack_documents
+from gridloom.llm.phrases import collocations
+from gridloom.llm.prefix_trie import shared_opening_trie
 from gridloom.llm.sharding import shard_documents
 from gridloom.llm.tokens import token_counts
 from gridloom.llm.toxicity import fit_toxicity, score_toxicity
@@ -58,6 +60,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), capacity=4096, end_id=2)
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of two or three words of each language."""
+    return collocations(table(spark, sf_dir, "documents"), max_n=3, least=10, contained_percent=50, top=2000)
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of the conversations that begin like the first one of their hundred."""
+    return shared_opening_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_sharding": op2_sharding,
@@ -69,6 +81,8 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_packing": op10_packing,
+    "op11_phrases": op11_phrases,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 ORACLE_SQL = {
@@ -151,5 +165,67 @@ SELECT doc_id,
        coalesce(doc_id = max(doc_id) OVER g, false) AS kept,
        sha256(norm) AS text_sha256
 FROM t WINDOW g AS (PARTITION BY norm)
+""",
+    "op11_phrases": """
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents WHERE text IS NOT NULL),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p),
+g AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS pos FROM w),
+s AS (SELECT lang, k, ws[pos:pos + k - 1] AS words FROM g, range(1, 4) t(k) WHERE pos + k - 1 <= len(ws)),
+f AS (SELECT lang, k, array_to_string(words, ' ') AS phrase, any_value(words) AS words, count(*) AS f FROM s GROUP BY lang, k, phrase),
+tot AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, words, f AS a FROM f WHERE k > 1 AND f >= 10),
+cuts AS (
+  SELECT lang, phrase, a, j, lang || chr(10) || array_to_string(words[1:j], ' ') AS one, lang || chr(10) || array_to_string(words[j + 1:], ' ') AS two
+  FROM c, range(1, 3) t(j) WHERE j < k),
+keyed AS (SELECT lang || chr(10) || phrase AS key, f FROM f WHERE f >= 10),
+sc AS (
+  SELECT lang, phrase, a, j, x.f AS l, y.f AS r,
+         CAST((CAST(1000000 AS HUGEINT) * a * a) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM cuts JOIN keyed x ON x.key = one JOIN keyed y ON y.key = two),
+worst AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inside AS (
+  SELECT lang, part, max(a) AS longer FROM (
+    SELECT lang, a, unnest([array_to_string(words[1:2], ' '), array_to_string(words[2:3], ' ')]) AS part FROM c WHERE k = 3)
+  GROUP BY lang, part),
+kept AS (
+  SELECT worst.* FROM worst LEFT JOIN inside ON inside.lang = worst.lang AND part = phrase
+  WHERE longer IS NULL OR 100 * longer < 50 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN tot USING (lang) WHERE rank <= 2000
+""",
+    "op13_conversation_trie": """
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS txt,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+steps AS (
+  SELECT DISTINCT c, flatten(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: [CAST(ascii(x) AS BIGINT), 0, 0, 0, 0, 0, 0, 0])) AS steps
+  FROM (SELECT DISTINCT c FROM t)),
+h AS (
+  SELECT c, xor(list_reduce([CAST(4294967295 AS BIGINT)] || steps,
+                lambda crc, s: xor(xor(crc, s) >> 1, xor(crc, s) % 2 * 3988292384)), 4294967295) % 6 AS h
+  FROM steps),
+r AS (
+  SELECT t.c, 1 AS part, pos, role, txt FROM t JOIN h USING (c) WHERE pos > h
+  UNION ALL SELECT h.c, 0, pos, role, txt FROM h JOIN t ON t.c = h.c - h.c % 100 AND pos <= h),
+l AS (
+  SELECT h.c, CASE WHEN turns IS NULL THEN [] ELSE turns END AS turns
+  FROM h LEFT JOIN (SELECT c, list(struct_pack(role := role, txt := txt) ORDER BY part, pos) AS turns FROM r GROUP BY c) g USING (c)),
+m AS (SELECT c, len(turns) AS n, unnest(range(len(turns) + 1)) AS d, turns FROM l),
+nodes AS (
+  SELECT turns[1:d] AS k, d, min(c) AS conv_id, count(*) AS n_convs,
+         coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE n = d), '') AS ends
+  FROM m GROUP BY ALL),
+kids AS (SELECT k[1:d - 1] AS k, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+full_nodes AS (
+  SELECT nodes.*, coalesce(n_children, 0) AS n_children, CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * length(k[d].txt) END AS own
+  FROM nodes LEFT JOIN kids USING (k)),
+up AS (SELECT k[1:e] AS k, n_children, own FROM (SELECT *, unnest(range(d + 1)) AS e FROM full_nodes)),
+sums AS (SELECT k, count(*) FILTER (WHERE n_children = 0) AS n_leaves, CAST(sum(own) AS BIGINT) AS saved_tokens FROM up GROUP BY k)
+SELECT x.conv_id, x.d AS depth, p.conv_id AS parent_conv_id, x.n_convs, x.n_children, n_leaves, saved_tokens, sha256(x.ends) AS ends_sha256
+FROM full_nodes x JOIN sums ON sums.k = x.k LEFT JOIN nodes p ON x.d > 0 AND p.k = x.k[1:x.d - 1]
 """,
 }
