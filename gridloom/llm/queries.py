@@ -9,6 +9,7 @@ from gridloom.llm.decontaminate import decontaminate
 from gridloom.llm.exact_dedup import exact_dedup
 from gridloom.llm.html_extract import main_text
 from gridloom.llm.line_dedup import dedup_lines
+from gridloom.llm.metric_join import similarity_components
 from gridloom.llm.minhash import near_duplicates
 from gridloom.llm.packing import pack_documents
 from gridloom.llm.phrases import collocations
@@ -65,6 +66,11 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"), max_n=3, least=10, contained_percent=50, top=2000)
 
 
+def op12_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of each document under Jaccard similarity of five-word shingles of 0.8 or more."""
+    return similarity_components(table(spark, sf_dir, "documents"), words=5, percent=80)
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trie of the conversations that begin like the first one of their hundred."""
     return shared_opening_trie(table(spark, sf_dir, "conversations"))
@@ -82,10 +88,36 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_packing": op10_packing,
     "op11_phrases": op11_phrases,
+    "op12_metric_join": op12_metric_join,
     "op13_conversation_trie": op13_conversation_trie,
 }
 
+
+
+def components_sql(words: int, percent: int, more: str = "") -> str:
+    """SQL for documents that Jaccard similarity of word shingles links: all pairs that share a shingle, then what is reachable."""
+    return f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\\x20\\x09-\\x0D]+') AS ws
+  FROM documents),
+p AS (SELECT doc_id, ws, least({words}, len(ws)) AS k, unnest(range(1, greatest(len(ws) - {words - 1}, 1) + 1)) AS pos FROM d WHERE len(ws) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[pos:pos + k - 1], ' ') AS g FROM p),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (
+  SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= {percent} * (a.n + b.n - c)),
+sym AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, sym.y FROM r JOIN sym ON sym.x = r.y),
+least_one AS (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id{more}
+FROM d JOIN least_one USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+
 ORACLE_SQL = {
+    "op6_minhash": components_sql(3, 85, ", component_id = doc_id AS kept"),
+    "op12_metric_join": components_sql(5, 80),
     "op1_line_dedup": """
 WITH l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos
