@@ -27,6 +27,7 @@ exact, whatever pivots are chosen. Equal sets are one document from the start.
 
 from __future__ import annotations
 
+import functools
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -170,28 +171,25 @@ def _links(texts: DataFrame, words: int, percent: int) -> DataFrame:
         windows.append(window)
         listed = cut(_several(rest))
 
-    def joined(parts: list[DataFrame]) -> DataFrame:
-        whole = parts[0]
-        for part in parts[1:]:
-            whole = whole.union(part)
-        return cut(whole)
+    none = texts.select(F.col("id").alias("a"), F.col("id").alias("b")).where("false")
 
-    if not links:
-        return texts.select(F.col("id").alias("a"), F.col("id").alias("b")).where("false")
+    def joined(parts: list[DataFrame]) -> DataFrame:
+        return cut(functools.reduce(DataFrame.union, parts))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         return distances(pairs, texts, words).where(100 * F.col("common") >= percent * F.col("total")).select("a", "b")
 
     def groups() -> DataFrame:
-        return cut(connected_components(joined(links), "a", "b").withColumnRenamed("node", "id"))
+        return cut(connected_components(joined([none, *links]), "a", "b").withColumnRenamed("node", "id"))
 
-    # cells of the lists' levels do not meet: a pivot leaves its list with its level
-    within = F.col("x.d") + (100 - percent) / 100 + SLACK >= F.col("y.d")
-    links.append(confirmed(_crossing(joined(cores), joined(windows), ["token", "p"], groups(), percent, within)))
+    if cores:
+        # cells of a list's levels do not meet: a pivot leaves its list with its level
+        within = F.col("x.d") + (100 - percent) / 100 + SLACK >= F.col("y.d")
+        links.append(confirmed(_crossing(joined(cores), joined(windows), ["token", "p"], groups(), percent, within)))
     if not listed.isEmpty():
         left = listed.drop("pivots")
         links.append(confirmed(_crossing(left, left, ["token"], groups(), percent, F.col("x.id") < F.col("y.id"))))
-    return joined(links)
+    return joined([none, *links])
 
 
 @tidy

@@ -27,9 +27,9 @@ from gridloom.llm.common import ASCII_LOWER, ASCII_UPPER, as_bytes, map_arrow, m
 from gridloom.plans.durable import cut, tidy
 
 #: Words of a task that are counted together before they are sent, and that a bucket receives, about.
-BLOCK_WORDS, BUCKET_WORDS = 2_000_000, 1_000_000
+BLOCK_WORDS, BUCKET_WORDS = 1_000_000, 1_000_000
 #: Bytes of text taken apart at once, and different words remembered before they are sent.
-SLICE_BYTES, MEMORY_WORDS = 1 << 21, 250_000
+SLICE_BYTES, MEMORY_WORDS = 1 << 20, 200_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[list(ASCII_UPPER.encode())] = list(ASCII_LOWER.encode())
@@ -155,8 +155,10 @@ def suffix_blocks(texts: DataFrame, seed: int, max_n: int, buckets: int, heavy:
         size = 0
 
         def blocks() -> Iterator[pa.RecordBatch]:
-            for lang, parts in waiting.items():
+            while waiting:
+                lang, parts = waiting.popitem()
                 hashes, pieces = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+                parts.clear()
                 # a word's rank in the block is short enough to sort suffixes as one number
                 known, rank = np.unique(hashes, return_inverse=True)
                 columns = []
@@ -173,6 +175,7 @@ def suffix_blocks(texts: DataFrame, seed: int, max_n: int, buckets: int, heavy:
                 else:
                     columns, counts = _counted(columns, np.ones(len(hashes), dtype=np.int64))
                 words = [np.concatenate(([0], known))[c] for c in columns]
+                del hashes, pieces, rank, columns
                 by = mixed(words[0])
                 names, shares = split.get(lang, (np.empty(0, dtype=np.int64),) * 2)
                 if len(names):
@@ -181,7 +184,8 @@ def suffix_blocks(texts: DataFrame, seed: int, max_n: int, buckets: int, heavy:
                     by = by + (mixed(words[1]) % share.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
                 bucket = (mixed(by.view(np.int64)) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
-                table = np.column_stack([*(w[order] for w in words), counts[order]]).astype("<i8")
+                table = np.column_stack([*(w[order] for w in words), counts[order]]).astype("<i8", copy=False)
+                del words, by
                 edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
                 ends = np.append(edges[1:], len(order))
                 names_ = bucket[order][edges]
@@ -191,7 +195,6 @@ def suffix_blocks(texts: DataFrame, seed: int, max_n: int, buckets: int, heavy:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([lang] * len(block), pa.string()), pa.array(names_[part]), pa.array(block, pa.binary())], ["lang", "bucket", "block"]
                     )
-            waiting.clear()
 
         for batch in batches:
             for lang, text in _by_language(batch):
