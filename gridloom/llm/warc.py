@@ -34,8 +34,8 @@ ARCHIVE_BYTES = 16 << 20
 REVISIT_BYTES = 100
 #: Rows of 32-byte keys with an id and a count that are broadcast: some 20 MB. Of more, those with the highest counts are.
 BROADCAST_ROWS = 200_000
-#: Bytes that are inflated at a time, and the longest header that is looked for.
-CHUNK, LONGEST_HEADER = 1 << 20, 1 << 16
+#: Bytes that are inflated at a time.
+CHUNK = 1 << 20
 #: Pages carry no time of capture.
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -196,11 +196,11 @@ def parse_records(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], byt
                 return
             continue
         del data[: start + 1]
-        end = data.find(b"\r\n\r\n")
-        while end < 0 and len(data) <= LONGEST_HEADER:
+        end, seen = data.find(b"\r\n\r\n"), len(data)
+        while end < 0:
             if not more():
                 return
-            end = data.find(b"\r\n\r\n")
+            end, seen = data.find(b"\r\n\r\n", max(0, seen - 3)), len(data)
         fields: dict[str, str] = {}
         for line in bytes(data[: max(end, 0)]).decode("utf-8", "replace").split("\r\n")[1:]:
             name, _, value = line.partition(":")

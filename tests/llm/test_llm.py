@@ -350,6 +350,17 @@ def test_line_dedup_of_odd_rows(spark):
     assert got == {("b", "", 3, 2), ("a", "Four  three two one\n ", 3, 1), (None, "LES.", 1, 0), ("c", None, 0, 0), ("c", "", 1, 0)}
 
 
+def test_line_dedup_of_rows_that_share_an_id(spark):
+    """Texts of one id are told apart whole; of these two 31 bits of a hash are equal."""
+    texts = [f"row number {k}\nsecond line of {k} with words {k * 3}" for k in (64106, 177235)]
+    more = [f"alpha{k} beta{k} gamma{k}\nx{k} y{k} z{k}" for k in range(40)]
+    rows = [(None, t) for t in texts + more] + [(7, t.upper() + " seven") for t in texts] + [(None, texts[0])]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    kept = [r for r in got if r.doc_id is None]
+    assert len(got) == len(rows) and min(r.n_removed for r in got) == 0
+    assert Counter(r.text for r in kept) == Counter(texts + more + [texts[0]])
+
+
 def test_line_dedup_of_a_hot_line(spark):
     words = [f"w{i}" for i in range(12)]
     rows = [(i, "\n".join([" ".join(words), " ".join(words[: 10 + i % 3]), f"only {i} here at all", "yes"])) for i in range(400)]
@@ -683,6 +694,18 @@ def test_warc_malformed_records(spark, tmp_path):
         assert [f["warc-record-id"] for f, b in warc.parse_records(pieces) if b] == ["<1>", "<2>"]
 
 
+def test_warc_of_long_urls(spark):
+    """Headers of any length, within and across the pieces in which a file is read."""
+    sizes = [10, 60_000, 100_000, 300_000, 1 << 20, 2_000_000]
+    frame = spark.createDataFrame([(i, f"http://h/{i}/" + "u" * n, f"<p>{i}</p>" * 30) for i, n in enumerate(sizes)], "page_id long, url string, html string")
+    got = warc.archive_pages(frame.coalesce(1)).collect()
+    assert sorted(r.page_id for r in got) == list(range(len(sizes))) and {r.record_type for r in got} == {"response"}
+    for n in (60_000, 100_000, 2_000_000):
+        records = [x for i in range(10) for x in warc.capture_records(f"n{i}", str(i), "http://h/" + "u" * n, "body", "d", None, False)]
+        whole = "\r\n".join(records).encode() + b"\r\n"
+        assert len(list(warc.parse_records([whole[at : at + warc.CHUNK] for at in range(0, len(whole), warc.CHUNK)]))) == 30
+
+
 def test_warc_of_a_long_payload(spark):
     frame = spark.createDataFrame([(1, "u", "é<p>" * 6_000_000), (2, "u", "é<p>" * 6_000_000)], "page_id long, url string, html string")
     got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.archive_pages(frame).collect()}
