@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridloom.llm.common import numbered
 from gridloom.plans.durable import cut, scratch, tidy
 
 #: Similarity as a fraction: 4/5.
@@ -197,8 +198,19 @@ def _ordered(docs: DataFrame) -> DataFrame:
     return docs.join(numbers, F.col("d").eqNullSafe(F.col("d2"))).drop("d2")
 
 
-def _text_bits(text: Column) -> Column:
-    return F.xxhash64(F.coalesce(text, F.lit(""))).bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
+def _told_apart(rows: DataFrame, text: Column) -> DataFrame:
+    """``rows`` of ``o`` with ``h``: 0, or where several rows share ``o`` a number of their own for each text, in the order of its digest."""
+    several = rows.groupBy("o").agg(F.count(F.lit(1)).alias("line_dedup__n")).where("line_dedup__n > 1")
+    several = cut(several)
+    largest = several.agg(F.max("line_dedup__n")).first()[0]
+    alone = F.lit(0).cast("long").alias("h")
+    if largest is None:
+        return rows.select("*", alone)
+    digest = F.sha2(F.coalesce(text, F.lit("")), 256).alias("line_dedup__digest")
+    shared = rows.join(_broadcast_if_few(several.select("o")), "o", "left_semi").select("*", digest)
+    numbers = numbered(cut(shared.select("o", "line_dedup__digest").distinct()), ["o"], ["line_dedup__digest"], "h", largest)
+    told = shared.join(cut(numbers), ["o", "line_dedup__digest"]).select(*rows.columns, "h")
+    return rows.join(_broadcast_if_few(several.select("o")), "o", "left_anti").select(*rows.columns, alone).union(told)
 
 
 @tidy
@@ -214,7 +226,7 @@ def kept_lines(docs: DataFrame) -> DataFrame:
         split = docs.select("o", "h", F.posexplode(F.split(F.lower("text"), "\n")).alias("at", "line")).where(~_blank(F.col("line")))
         place = F.call_function("shiftleft", F.col("h"), F.lit(_PLACE_BITS)).bitwiseOR(F.col("at").cast("long"))
         named = split.select("o", place.alias("x"), "line", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"))
-        # equal lines by 128 bits
+        # lines whose 128 bits are equal count as equal
         classes = named.groupBy("k1", "k2").agg(F.min(F.struct("o", "x")).alias("first"), F.first("line").alias("line"))
         lines = stored(classes.select("first.o", "first.x", "line"), "lines")
 
@@ -236,7 +248,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Lines end at newlines. A line goes if an equal or similar one (4/5 of the
     words of both in common) comes before it, in an earlier row by id or
     earlier in the same text, whether that one stays or not. Lines without
-    words always stay. Rows that repeat an id are ordered by a hash of their
+    words always stay. Rows that share an id are ordered by digests of their
     texts, rows equal in both count as one. Null ids come first. A null text
     stays null and has no lines; an empty text is one empty line. A text that
     loses all lines becomes empty. Columns named like the two counts give way
@@ -253,8 +265,8 @@ def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
 def _cleaned(docs: DataFrame, own: list[str], id_col: str, text_col: str) -> DataFrame:
     """The columns ``own`` and the counts as ``line_dedup__...``."""
-    keyed = _ordered(docs.select(F.col(id_col).alias("d"), _text_bits(F.col(text_col)).alias("h"), F.struct(*(F.col(f"`{c}`") for c in own)).alias("row")))
     text = F.col("row").getField(text_col)
+    keyed = _told_apart(_ordered(docs.select(F.col(id_col).alias("d"), F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"))), text)
     kept = kept_lines(keyed.select("o", "h", text.alias("text")))
     lines = F.split(text, "\n")
     blanks = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda at: _blank(F.get("line_dedup", at)))
