@@ -51,17 +51,55 @@ BROADCAST_IDS = 500_000
 SLACK = 1e-9
 
 
+def bitmap(shingles: np.ndarray) -> bytes:
+    """A bit for each shingle, two bits or more of room for each."""
+    size = 1 << max(6, (2 * len(shingles) - 1).bit_length())
+    bits = np.zeros(size, dtype=np.uint8)
+    bits[(shingles & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """How many bits of two bitmaps differ, the larger folded to the size of the smaller: no more than shingles do."""
+    one, two = np.frombuffer(a, dtype="<u8"), np.frombuffer(b, dtype="<u8")
+    if len(one) < len(two):
+        one, two = two, one
+    while len(one) > len(two):
+        one = one[: len(one) // 2] | one[len(one) // 2 :]
+    return int(np.bitwise_count(one ^ two).sum())
+
+
 def set_keys(source: DataFrame, words: int) -> DataFrame:
-    """``id, n_shingles, set_key`` of ``id, text``; the key is a 128-bit hash of the set, null for an empty one."""
+    """``id, n_shingles, set_key, bits`` of ``id, text``: a 128-bit hash and a bitmap of the set, both null for an empty one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, keys, bits = [], [], []
+            for text in as_bytes(batch.column(1)):
+                shingles = shingle_set(text, words)
+                sizes.append(len(shingles))
+                keys.append(xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None)
+                bits.append(bitmap(shingles) if len(shingles) else None)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bits, pa.binary())], ["id", "n_shingles", "set_key", "bits"]
+            )
+
+    binary = [T.StructField(c, T.BinaryType()) for c in ("set_key", "bits")]
+    return map_arrow(source, run, T.StructType([source.schema["id"], T.StructField("n_shingles", T.LongType()), *binary]))
+
+
+def not_ruled_out(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of which the bitmaps ``id, n_shingles, bits`` allow a similarity of ``percent``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(text, words) for text in as_bytes(batch.column(1))]
-            keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(keys, pa.binary())], ["id", "n_shingles", "set_key"])
+            rows = zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True)
+            keep = pa.array([apart(x, y) * (100 + percent) <= (100 - percent) * n for x, y, n in rows], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    schema = T.StructType([source.schema["id"], T.StructField("n_shingles", T.LongType()), T.StructField("set_key", T.BinaryType())])
-    return map_arrow(source, run, schema)
+    one, two = (sketches.select(F.col("id").alias(c), F.col("bits").alias(f"bits_{c}"), F.col("n_shingles").alias(f"n_{c}")) for c in "ab")
+    joined = pairs.join(two, "b").join(one, "a").select("a", "b", "bits_a", "bits_b", (F.col("n_a") + F.col("n_b")).alias("n"))
+    return cut(map_arrow(joined, run, T.StructType([pairs.schema["a"], pairs.schema["b"]])))
 
 
 def _few(ids: DataFrame) -> DataFrame:
@@ -117,7 +155,7 @@ def _several(rows: DataFrame) -> DataFrame:
     return rows.join(lists.drop("c"), "token")
 
 
-def _level(listed: DataFrame, texts: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _level(listed: DataFrame, texts: DataFrame, sketches: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Links to pivots, cores and windows of the cells of lists, and the rows that are left."""
     far = 2 * (100 - percent)
     met = listed.select("token", "id", "n", "at", F.explode("pivots").alias("p"))
@@ -127,7 +165,7 @@ def _level(listed: DataFrame, texts: DataFrame, words: int, percent: int) -> tup
     near = shared * (200 - far) >= (F.col("n") + F.col("p.n")) * (100 - far)
     met = met.where((F.col("id") != F.col("p.id")) & near).select("token", "id", "n", "at", F.col("p.id").alias("p"))
     pairs = cut(met.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct())
-    known = distances(pairs, texts, words)
+    known = distances(not_ruled_out(pairs, sketches, 100 - far), texts, words)
     links = known.where(100 * F.col("common") >= percent * F.col("total")).select("a", "b")
     d = (1 - F.col("common") / F.col("total")).alias("d")
     is_link = (100 * F.col("common") >= percent * F.col("total")).alias("is_link")
@@ -155,8 +193,8 @@ def _crossing(left: DataFrame, right: DataFrame, keys: list[str], groups: DataFr
     return cut(joined.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
 
 
-def _links(texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links that join what similar sets join; ``texts`` have different ids and sets."""
+def _links(texts: DataFrame, sketches: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links that join what similar sets join; ``texts`` and ``sketches`` have different ids and sets."""
     with scratch(texts.sparkSession) as folder:
         _prefixes(texts, words, percent).write.option("compression", "zstd").parquet(f"{folder}/prefixes")
         rows = texts.sparkSession.read.parquet(f"{folder}/prefixes")
@@ -165,7 +203,7 @@ def _links(texts: DataFrame, words: int, percent: int) -> DataFrame:
     for _ in range(LEVELS):
         if listed.isEmpty():
             break
-        found, core, window, rest = _level(listed, texts, words, percent)
+        found, core, window, rest = _level(listed, texts, sketches, words, percent)
         links.append(found)
         cores.append(core)
         windows.append(window)
@@ -177,7 +215,7 @@ def _links(texts: DataFrame, words: int, percent: int) -> DataFrame:
         return cut(functools.reduce(DataFrame.union, parts))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        return distances(pairs, texts, words).where(100 * F.col("common") >= percent * F.col("total")).select("a", "b")
+        return distances(not_ruled_out(pairs, sketches, percent), texts, words).where(100 * F.col("common") >= percent * F.col("total")).select("a", "b")
 
     def groups() -> DataFrame:
         return cut(connected_components(joined([none, *links]), "a", "b").withColumnRenamed("node", "id"))
@@ -212,8 +250,9 @@ def similarity_components(docs: DataFrame, words: int = 5, percent: int = 80, id
     sets = cut(set_keys(known, words))
     classes = cut(sets.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("id").alias("rep")))
     copies = sets.join(classes, "set_key").where("rep <> id").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    texts = known.join(_few(classes.select(F.col("rep").alias("id"))), "id", "left_semi")
-    edges = _links(texts, words, percent).union(copies)
+    reps = _few(classes.select(F.col("rep").alias("id")))
+    sketches = sets.select("id", "n_shingles", "bits").join(reps, "id", "left_semi")
+    edges = _links(known.join(reps, "id", "left_semi"), sketches, words, percent).union(copies)
     if number is None:
         groups, sizes = connected_components(edges, "a", "b"), sets.select("id", "n_shingles")
         sizes = sizes.union(set_keys(source.where("id IS NULL"), words).select("id", "n_shingles"))

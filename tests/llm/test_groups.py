@@ -168,6 +168,17 @@ def empty_docs(spark):
     return spark.createDataFrame([], DOCS)
 
 
+def test_bitmaps_rule_nothing_out_that_is_near():
+    draw = np.random.default_rng(3)
+    for n in (1, 5, 40, 700):
+        a = draw.integers(0, 1 << 63, n).astype(np.uint64)
+        for size in (n, 3 * n):
+            b = np.unique(np.concatenate((a[: n // 2], draw.integers(0, 1 << 63, size).astype(np.uint64))))
+            differ = len(np.setxor1d(a, b))
+            assert metric_join.apart(metric_join.bitmap(a), metric_join.bitmap(b)) <= differ
+            assert metric_join.apart(metric_join.bitmap(b), metric_join.bitmap(b)) == 0
+
+
 def components_by_hand(rows, words, percent):
     sets = defaultdict(list)
     for i, text in rows:
