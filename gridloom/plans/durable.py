@@ -8,6 +8,7 @@ Iterative plans and results that several later steps read are cut with
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 import tempfile
 import uuid
@@ -81,3 +82,22 @@ def scratch(spark: SparkSession) -> Iterator[str]:
     finally:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def written(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A function that computes a frame once as a written table of the shared folder; the tables go on leaving, what leaves has to be cut.
+
+    For loops that join what they have made with itself: a checkpoint keeps
+    the planner's estimate of a frame's size, which such joins square in each
+    round, a table has the size of its files and is broadcast while small.
+    """
+    with scratch(spark) as folder:
+        names = itertools.count()
+
+        def keep(df: DataFrame) -> DataFrame:
+            path = f"{folder}/{next(names)}"
+            df.write.parquet(path)
+            return spark.read.schema(df.schema).parquet(path)
+
+        yield keep
