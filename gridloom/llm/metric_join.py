@@ -28,6 +28,7 @@ exact, whatever pivots are chosen. Equal sets are one document from the start.
 from __future__ import annotations
 
 import functools
+import zlib
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -37,9 +38,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from gridloom.llm.common import as_bytes, map_arrow
-from gridloom.llm.minhash import _prefixes, shingle_set
+from gridloom.llm.minhash import BUCKETS, _buckets, shingle_set
 from gridloom.plans.components import connected_components
 from gridloom.plans.durable import cut, scratch, tidy
 
@@ -70,22 +72,73 @@ def apart(a: bytes, b: bytes) -> int:
 
 
 def set_keys(source: DataFrame, words: int) -> DataFrame:
-    """``id, n_shingles, set_key, bits`` of ``id, text``: a 128-bit hash and a bitmap of the set, both null for an empty one."""
+    """``id, n_shingles, set_key, bits, counts`` of ``id, text``: a 128-bit hash and a bitmap of the set, both null for an empty one.
+
+    Each task adds a row of its own, whose ``counts`` say how many shingles of
+    its texts fall into each bucket of their hashes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(2 * BUCKETS, dtype=np.int64)
+        names = ["id", "n_shingles", "set_key", "bits", "counts"]
+        for batch in batches:
+            sets = [shingle_set(text, words) for text in as_bytes(batch.column(1))]
+            for bucket in _buckets(np.concatenate(sets)) if sets else ():
+                counts += np.bincount(bucket, minlength=2 * BUCKETS)
+            keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+            bits = [bitmap(s) if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(keys, pa.binary()), pa.array(bits, pa.binary()), pa.nulls(len(sets), pa.binary())], names
+            )
+        own = [pa.array([None], source_type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([zlib.compress(counts.astype("<i8").tobytes(), 1)])]
+        yield pa.RecordBatch.from_arrays(own, names)
+
+    source_type = to_arrow_type(source.schema["id"].dataType)
+    binary = [T.StructField(c, T.BinaryType()) for c in ("set_key", "bits", "counts")]
+    return map_arrow(source, run, T.StructType([T.StructField("id", source.schema["id"].dataType), T.StructField("n_shingles", T.LongType()), *binary]))
+
+
+def rarity_levels(keyed: DataFrame) -> np.ndarray:
+    """For the buckets of both parts of a hash, the logarithm of how often their shingles occur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(2 * BUCKETS, dtype=np.int64)
         for batch in batches:
-            sizes, keys, bits = [], [], []
+            for counts in batch.column(0).to_pylist():
+                total += np.frombuffer(zlib.decompress(counts), dtype="<i8")
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["b", "n"])
+
+    levels = np.zeros(2 * BUCKETS, dtype=np.uint8)
+    counted = map_arrow(keyed.where("counts IS NOT NULL").select("counts"), run, "b long, n long").groupBy("b").agg(F.sum("n").alias("n"))
+    for b, n in counted.collect():  # at most twice BUCKETS rows
+        levels[b] = int(n).bit_length()
+    return levels
+
+
+def rare_prefixes(texts: DataFrame, levels: np.ndarray, words: int, percent: int) -> DataFrame:
+    """``id, n, at, token``: of each set the rarest shingles, as many as a similar set cannot miss all of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths, sizes, tokens = [], [], [np.empty(0, dtype=np.uint64)]
             for text in as_bytes(batch.column(1)):
                 shingles = shingle_set(text, words)
-                sizes.append(len(shingles))
-                keys.append(xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None)
-                bits.append(bitmap(shingles) if len(shingles) else None)
+                n = len(shingles)
+                one, two = _buckets(shingles)
+                lengths.append(n - -(-percent * n // 100) + 1 if n else 0)
+                sizes.append(n)
+                tokens.append(shingles[np.lexsort((shingles, np.minimum(levels[one], levels[two])))[: lengths[-1]]])
+            length = np.array(lengths, dtype=np.int64)
+            row = np.repeat(np.arange(len(lengths)), length)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bits, pa.binary())], ["id", "n_shingles", "set_key", "bits"]
+                [batch.column(0).take(pa.array(row)), pa.array(np.array(sizes, dtype=np.int32)[row]), pa.array(at.astype(np.int32)), pa.array(np.concatenate(tokens).view(np.int64))],
+                ["id", "n", "at", "token"],
             )
 
-    binary = [T.StructField(c, T.BinaryType()) for c in ("set_key", "bits")]
-    return map_arrow(source, run, T.StructType([source.schema["id"], T.StructField("n_shingles", T.LongType()), *binary]))
+    fields = [T.StructField("n", T.IntegerType()), T.StructField("at", T.IntegerType()), T.StructField("token", T.LongType())]
+    return map_arrow(texts, run, T.StructType([texts.schema["id"], *fields]))
 
 
 def not_ruled_out(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -148,11 +201,13 @@ def _possible(one: str, two: str, percent: int) -> F.Column:
 
 def _several(rows: DataFrame) -> DataFrame:
     """Rows of shingles in two documents or more, with the pivots of their lists: the first by hash of each of PIVOTS parts."""
+    shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
+    shared = rows.join(shared.hint("shuffle_hash"), "token", "left_semi")
     first = F.min(F.struct(F.xxhash64("id").alias("by"), "id", "n", "at")).alias("pivot")
     part = F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(PIVOTS))
-    pivots = rows.groupBy("token", part.alias("part")).agg(F.count(F.lit(1)).alias("c"), first)
-    lists = pivots.groupBy("token").agg(F.sum("c").alias("c"), F.collect_list(F.col("pivot").dropFields("by")).alias("pivots")).where("c > 1")
-    return rows.join(lists.drop("c"), "token")
+    shared = cut(shared)
+    pivots = shared.groupBy("token", part.alias("part")).agg(first)
+    return shared.join(pivots.groupBy("token").agg(F.collect_list(F.col("pivot").dropFields("by")).alias("pivots")), "token")
 
 
 def _level(listed: DataFrame, texts: DataFrame, sketches: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -193,13 +248,27 @@ def _crossing(left: DataFrame, right: DataFrame, keys: list[str], groups: DataFr
     return cut(joined.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
 
 
-def _links(texts: DataFrame, sketches: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links that join what similar sets join; ``texts`` and ``sketches`` have different ids and sets."""
+def merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """``id, component`` after more links; only components that these join are looked at."""
+    ends = [groups.select(F.col("id").alias(side), F.col("component").alias(f"of_{side}")) for side in "ab"]
+    between = links.join(ends[0], "a", "left").join(ends[1], "b", "left")
+    between = cut(between.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).where("a <> b").distinct())
+    if between.isEmpty():
+        return groups
+    joined = connected_components(between, "a", "b")
+    moved = joined.select(F.col("node").alias("component"), F.col("component").alias("new"))
+    old = groups.join(moved, "component", "left").select("id", F.coalesce("new", "component").alias("component"))
+    fresh = joined.select(F.col("node").alias("id"), "component").join(groups.select("id"), "id", "left_anti")
+    return cut(old.union(fresh))
+
+
+def _groups(texts: DataFrame, sketches: DataFrame, levels: np.ndarray, words: int, percent: int) -> DataFrame:
+    """``id, component`` of what similar sets join; ``texts`` and ``sketches`` have different ids and sets."""
     with scratch(texts.sparkSession) as folder:
-        _prefixes(texts, words, percent).write.option("compression", "zstd").parquet(f"{folder}/prefixes")
-        rows = texts.sparkSession.read.parquet(f"{folder}/prefixes")
-        listed = cut(_several(rows))
-    links, cores, windows = [], [], []
+        rare_prefixes(texts, levels, words, percent).write.option("compression", "zstd").parquet(f"{folder}/prefixes")
+        listed = cut(_several(texts.sparkSession.read.parquet(f"{folder}/prefixes")))
+    links = [texts.select(F.col("id").alias("a"), F.col("id").alias("b")).where("false")]
+    cores, windows = [], []
     for _ in range(LEVELS):
         if listed.isEmpty():
             break
@@ -209,25 +278,23 @@ def _links(texts: DataFrame, sketches: DataFrame, words: int, percent: int) -> D
         windows.append(window)
         listed = cut(_several(rest))
 
-    none = texts.select(F.col("id").alias("a"), F.col("id").alias("b")).where("false")
-
     def joined(parts: list[DataFrame]) -> DataFrame:
         return cut(functools.reduce(DataFrame.union, parts))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
+        if pairs.isEmpty():
+            return links[0]
         return distances(not_ruled_out(pairs, sketches, percent), texts, words).where(100 * F.col("common") >= percent * F.col("total")).select("a", "b")
 
-    def groups() -> DataFrame:
-        return cut(connected_components(joined([none, *links]), "a", "b").withColumnRenamed("node", "id"))
-
+    groups = cut(connected_components(joined(links), "a", "b").withColumnRenamed("node", "id"))
     if cores:
         # cells of a list's levels do not meet: a pivot leaves its list with its level
         within = F.col("x.d") + (100 - percent) / 100 + SLACK >= F.col("y.d")
-        links.append(confirmed(_crossing(joined(cores), joined(windows), ["token", "p"], groups(), percent, within)))
+        groups = merged(groups, confirmed(_crossing(joined(cores), joined(windows), ["token", "p"], groups, percent, within)))
     if not listed.isEmpty():
         left = listed.drop("pivots")
-        links.append(confirmed(_crossing(left, left, ["token"], groups(), percent, F.col("x.id") < F.col("y.id"))))
-    return joined([none, *links])
+        groups = merged(groups, confirmed(_crossing(left, left, ["token"], groups, percent, F.col("x.id") < F.col("y.id"))))
+    return groups
 
 
 @tidy
@@ -247,19 +314,20 @@ def similarity_components(docs: DataFrame, words: int = 5, percent: int = 80, id
     if not known.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
         number = cut(known.withColumn("row", F.monotonically_increasing_id()))
         known = number.select(F.col("row").alias("id"), "text")
-    sets = cut(set_keys(known, words))
+    keyed = cut(set_keys(known, words))
+    sets = keyed.where("counts IS NULL").drop("counts")
     classes = cut(sets.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("id").alias("rep")))
-    copies = sets.join(classes, "set_key").where("rep <> id").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     reps = _few(classes.select(F.col("rep").alias("id")))
     sketches = sets.select("id", "n_shingles", "bits").join(reps, "id", "left_semi")
-    edges = _links(known.join(reps, "id", "left_semi"), sketches, words, percent).union(copies)
-    if number is None:
-        groups, sizes = connected_components(edges, "a", "b"), sets.select("id", "n_shingles")
-        sizes = sizes.union(set_keys(source.where("id IS NULL"), words).select("id", "n_shingles"))
-    else:
+    groups = _groups(known.join(reps, "id", "left_semi"), sketches, rarity_levels(keyed), words, percent)
+    # equal sets have the group of their smallest id, which is the smallest of the group if that one is
+    of_rep = classes.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
+    placed = sets.join(of_rep, "set_key", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    nameless = set_keys(source.where("id IS NULL"), words).where("counts IS NULL").select("id", "n_shingles", F.col("id").alias("component_id"))
+    if number is not None:
         names = number.select("row", F.col("id").alias("name"))
-        edges = edges.join(names, F.col("a") == F.col("row")).select(F.col("name").alias("a"), "b")
-        edges = edges.join(names, F.col("b") == F.col("row")).select("a", F.col("name").alias("b"))
-        groups, sizes = connected_components(edges, "a", "b"), set_keys(source, words).select("id", "n_shingles")
-    found = sizes.join(groups.withColumnRenamed("node", "id"), "id", "left")
-    return found.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
+        edges = placed.join(names, F.col("id") == F.col("row")).select(F.col("name").alias("a"), "component_id", "n_shingles")
+        edges = cut(edges.join(names, F.col("component_id") == F.col("row")).select("a", F.col("name").alias("b"), "n_shingles"))
+        joined = connected_components(edges, "a", "b")
+        placed = edges.join(joined.withColumnRenamed("node", "a"), "a").select(F.col("a").alias("id"), "n_shingles", F.col("component").alias("component_id"))
+    return placed.union(nameless).select(F.col("id").alias(id_col), "n_shingles", "component_id")
