@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.catalog.tables import table
+from gridloom.operators import matching
 from gridloom.operators import sparse_direct as m
 
 CUSTOMERS, NATIONS, REGIONS = 10**15, 2 * 10**15, 3 * 10**15
@@ -70,7 +71,12 @@ def sparse_lower_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.triangular_solve(network_matrix(spark, sf_dir), partial).select("i", _rounded("x", 4))
 
 
-QUERIES = {q.__name__: q for q in (sparse_forest, sparse_factor_product, sparse_cholesky_solve, sparse_lower_solve)}
+def order_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coarse and fine blocks of the pattern of orders (rows) and their customers (columns)."""
+    return matching.dulmage_mendelsohn(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("i"), F.col("o_custkey").alias("j")))
+
+
+QUERIES = {q.__name__: q for q in (sparse_forest, sparse_factor_product, sparse_cholesky_solve, sparse_lower_solve, order_blocks)}
 
 _EDGES = f"""ties AS (
   SELECT o_orderkey AS x, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS y FROM orders
@@ -110,4 +116,8 @@ terms(step, i, x) AS (
   UNION ALL
   SELECT step + 1, edges.i, sum(x / v) FROM terms JOIN edges ON edges.j = terms.i JOIN diagonal ON diagonal.i = edges.i GROUP BY step, edges.i)
 SELECT i, round(sum(x), 4) AS x FROM terms GROUP BY i""",
+    # a customer of one order is a block of its own, one of several has more rows than columns
+    "order_blocks": """WITH t AS (SELECT o_custkey AS c, count(*) AS n FROM orders GROUP BY 1)
+SELECT 'column' AS side, c AS node, CASE n WHEN 1 THEN 'square' ELSE 'over' END AS part, CASE n WHEN 1 THEN c END AS block FROM t
+UNION ALL SELECT 'row', o_orderkey, CASE n WHEN 1 THEN 'square' ELSE 'over' END, CASE n WHEN 1 THEN c END FROM orders JOIN t ON c = o_custkey""",
 }
