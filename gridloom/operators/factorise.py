@@ -11,7 +11,7 @@ together.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -142,24 +142,31 @@ def tiled_cholesky(a: DataFrame, n: int, tile: int) -> DataFrame:
 def tall_qr(rows: DataFrame, columns: int, parts: int = 8) -> tuple[DataFrame, DataFrame]:
     """Q (``id, q``) and R (``i, j, v``) of rows ``id, vec`` with ``columns`` numbers each.
 
-    Diagonal entries of R are not negative. The second stage holds ``parts``
-    triangles of the size of R.
+    Diagonal entries of R are not negative. A task reads its rows in batches
+    and keeps one triangle; triangles are stacked and reduced ``parts`` at a
+    time until one is left, so a task never holds more than a batch and
+    ``columns`` rows. Q needs a matrix of full rank.
     """
     ship(rows.sparkSession)
-    dealt = cut(rows.select("id", F.col("vec").cast("array<double>").alias("vec"), F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part")))
-
-    def triangle(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = np.linalg.qr(np.stack(pdf.sort_values("id").vec.to_numpy()), mode="r")
-        return pd.DataFrame({"part": pdf.part.iloc[0], "at": range(len(r)), "row": list(r)})
-
-    triangles = dealt.groupBy("part").applyInPandas(triangle, "part long, at int, row array<double>")
-    stacked = triangles.orderBy("part", "at").toPandas()  # parts * columns rows
-    r = np.linalg.qr(np.stack(stacked.row.to_numpy()), mode="r")
+    vectors = cut(rows.select("id", F.col("vec").cast("array<double>").alias("vec")))
+
+    def triangle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        r = np.empty((0, columns))
+        for batch in batches:
+            if len(batch):
+                r = np.linalg.qr(np.vstack([r, np.stack(batch["vec"].to_numpy())]), mode="r")
+        yield pd.DataFrame({"vec": list(r)})
+
+    level = vectors.select("vec")
+    while (left := level.rdd.getNumPartitions()) > 1:
+        level = cut(level.mapInPandas(triangle, "vec array<double>")).coalesce(-(-left // parts))
+    last = level.mapInPandas(triangle, "vec array<double>").collect()  # as many rows as columns
+    r = np.linalg.qr(np.array([row.vec for row in last]).reshape(-1, columns), mode="r")
     r = r * np.where(np.diag(r) < 0, -1.0, 1.0)[:, None]
     upper = rows.sparkSession.createDataFrame(sparse(r), "i long, j long, v double").where("i <= j")
 
     def back(a: pd.Series) -> pd.Series:
         return pd.Series(list(solve_lower(r.T, np.stack(a.to_numpy()).T).T)) if len(a) else a
 
-    q = dealt.select("id", F.pandas_udf(back, "array<double>")("vec").alias("q"))
+    q = vectors.select("id", F.pandas_udf(back, "array<double>")("vec").alias("q"))
     return q, upper
