@@ -249,19 +249,19 @@ def aimed(marked: DataFrame, least: int, most: int, mesh: Mesh) -> DataFrame:
     blocks = marked.agg(F.sum(F.when(F.col("mark") == 1, 8.0).when(F.col("mark") == -1, 0.125).otherwise(1.0))).first()[0] or 0
     if blocks < least:
         more = marked.where((F.col("mark") == 0) & (F.col("level") < mesh.deepest)).orderBy(*keys).limit(-(-int(least - blocks) // 7)).select(*keys, F.lit(1).alias("new"))
-        return marked.join(F.broadcast(more), keys, "left").select(*keys, F.coalesce("new", "mark").alias("mark"))
+        return marked.join(broadcast_if_small(cut(more)), keys, "left").select(*keys, F.coalesce("new", "mark").alias("mark"))
     if blocks <= most:
         return marked
     surplus = -(-int(blocks - most) // 7)
     fewer = cut(marked.where("mark = 1").orderBy(F.desc("level"), *keys[1:]).limit(surplus).select(*keys, F.lit(0).alias("new")))
-    kept = marked.join(F.broadcast(fewer), keys, "left").select(*keys, F.coalesce("new", "mark").alias("mark"))
+    kept = marked.join(broadcast_if_small(fewer), keys, "left").select(*keys, F.coalesce("new", "mark").alias("mark"))
     surplus -= fewer.count()
     if surplus <= 0:
         return kept
     family = ["level", *(F.expr(f"b{a} div 2").alias(f"p{a}") for a in AXES)]
     idle = kept.where("level > 0").groupBy(*family).agg(F.count(F.lit(1)).alias("n"), F.max(F.abs("mark")).alias("most")).where("n = 8 and most = 0")
     joined = idle.orderBy(F.desc("level"), "px", "py", "pz").limit(surplus).select("level", "px", "py", "pz", F.lit(-1).alias("new"))
-    placed = kept.withColumns({f"p{a}": F.expr(f"b{a} div 2") for a in AXES}).join(F.broadcast(joined), ["level", "px", "py", "pz"], "left")
+    placed = kept.withColumns({f"p{a}": F.expr(f"b{a} div 2") for a in AXES}).join(broadcast_if_small(cut(joined)), ["level", "px", "py", "pz"], "left")
     return placed.select(*keys, F.coalesce("new", "mark").alias("mark"))
 
 
