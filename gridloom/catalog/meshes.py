@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gridloom.catalog.tables import table
 from gridloom.operators import amr
 from gridloom.operators import meshes as m
 
@@ -34,6 +35,35 @@ def amr_mean27(spark, sf_dir):
     return _rounded(amr.smooth(_cells(spark), MESH, 27), "v")
 
 
+#: Order keys to a cell along x of the mesh of order lines; cells along y and z.
+KEYS, WIDE = 512, 8
+
+
+def _line_mesh(spark, sf_dir):
+    """Quantities of all order lines by order, part and supplier; blocks with more than the mean are split."""
+    items = table(spark, sf_dir, "lineitem")
+    last = items.agg(F.max("l_orderkey")).first()[0] or 0
+    mesh = amr.Mesh((last // (KEYS * amr.SIDE) + 1, WIDE // amr.SIDE, WIDE // amr.SIDE), 1)
+    at = F.expr(f"l_orderkey div {KEYS}").alias("x"), (F.col("l_partkey") % WIDE).alias("y"), (F.col("l_suppkey") % WIDE).alias("z")
+    sums = items.groupBy(*at).agg(F.sum("l_quantity").cast("double").alias("q"))
+    cells = amr.first_cells(spark, mesh, lambda i: F.lit(0.0)).join(sums, [*amr.AXES], "left")
+    cells = amr.cut(cells.select("level", *amr.AXES, F.coalesce("q", "v").alias("v")))
+    totals = cells.groupBy("level", *(F.expr(f"{a} div {amr.SIDE}").alias(f"b{a}") for a in amr.AXES)).agg(F.sum("v").alias("q"))
+    mean = totals.agg(F.sum("q").alias("all"), F.count(F.lit(1)).alias("n"))
+    marked = totals.crossJoin(F.broadcast(mean)).select("level", "bx", "by", "bz", (F.col("q") * F.col("n") > F.col("all")).cast("int").alias("mark"))
+    return amr.cut(amr.remeshed(cells, marked)), mesh
+
+
+def amr_mean7_lines(spark, sf_dir):
+    """Means over faces on the mesh of all order lines, of two levels."""
+    return _rounded(amr.smooth(*_line_mesh(spark, sf_dir), 7), "v")
+
+
+def amr_mean27_lines(spark, sf_dir):
+    """Means over all directions on the mesh of all order lines, of two levels."""
+    return _rounded(amr.smooth(*_line_mesh(spark, sf_dir), 27), "v")
+
+
 def amr_checksum(spark, sf_dir):
     return _rounded(amr.checksum(_cells(spark)), "total", places=6)
 
@@ -185,7 +215,7 @@ def mesh_connectivity(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        amr_cells, amr_mean7, amr_mean27, amr_checksum, amr_split, amr_consolidate, amr_ghosts, amr_ghosts_uniform, amr_object_motion, amr_touched,
+        amr_cells, amr_mean7, amr_mean27, amr_mean7_lines, amr_mean27_lines, amr_checksum, amr_split, amr_consolidate, amr_ghosts, amr_ghosts_uniform, amr_object_motion, amr_touched,
         amr_refined, amr_mean7_mixed, amr_variables, amr_block_counts, amr_touched_round, mesh_predictor, mesh_gather, mesh_scatter, mesh_stress, mesh_stress_mapped, mesh_step, mesh_corrector, mesh_largest, mesh_connectivity,
     )
 }
@@ -202,6 +232,28 @@ JOIN c n ON n.x = least(greatest(c.x + o.x, 0), {NX - 1}) AND n.y = least(greate
 GROUP BY c.level, c.x, c.y, c.z"""
 
 
+def _lines_sql(points: int) -> str:
+    """Every direction's neighbour by level: itself, a share of a coarser one, the finer ones at the border of the block."""
+    near = "abs(i) + abs(j) + abs(k) <= 1" if points == 7 else "true"
+    wide = {"x": "nx * 4", "y": f"{WIDE}", "z": f"{WIDE}"}
+    target = ", ".join(f"least(greatest({a} + {o}, 0), {wide[a]} * (1 << level) - 1) AS t{a}" for a, o in zip("xyz", "ijk", strict=True))
+    along = " + ".join(f"CAST(f.t{a} // 4 = f.{a} // 4 AS INTEGER)" for a in "xyz")
+    border = " AND ".join(f"CASE WHEN f.t{a} // 4 > f.{a} // 4 THEN n.{a} % 2 = 0 WHEN f.t{a} // 4 < f.{a} // 4 THEN n.{a} % 2 = 1 ELSE true END" for a in "xyz")
+    return f"""WITH w AS (SELECT max(l_orderkey) // {4 * KEYS} + 1 AS nx FROM lineitem),
+q AS (SELECT l_orderkey // {KEYS} AS x, l_partkey % {WIDE} AS y, l_suppkey % {WIDE} AS z, CAST(sum(l_quantity) AS DOUBLE) AS q FROM lineitem GROUP BY 1, 2, 3),
+c AS (SELECT a.x, b.y, d.z, coalesce(q, 0) AS v FROM (SELECT unnest(range(nx * 4)) AS x FROM w) a CROSS JOIN range({WIDE}) b(y) CROSS JOIN range({WIDE}) d(z)
+  LEFT JOIN q ON q.x = a.x AND q.y = b.y AND q.z = d.z),
+b AS (SELECT x // 4 AS bx, y // 4 AS by_, z // 4 AS bz, sum(v) AS total FROM c GROUP BY 1, 2, 3),
+s AS (SELECT c.*, total * (SELECT count(*) FROM b) > (SELECT sum(total) FROM b) AS busy FROM c JOIN b ON bx = x // 4 AND by_ = y // 4 AND bz = z // 4),
+m AS (SELECT 0 AS level, x, y, z, v FROM s WHERE NOT busy
+  UNION ALL SELECT 1, x * 2 + i, y * 2 + j, z * 2 + k, v / 8 FROM s, range(2) o(i), range(2) p(j), range(2) r(k) WHERE busy),
+f AS (SELECT level, x, y, z, {target} FROM m, w, range(-1, 2) o(i), range(-1, 2) p(j), range(-1, 2) r(k) WHERE {near}),
+g AS (SELECT f.*, n.v AS seen FROM f JOIN m n ON n.level = f.level AND n.x = tx AND n.y = ty AND n.z = tz
+  UNION ALL SELECT f.*, n.v / pow(2, {along}) FROM f JOIN m n ON f.level = 1 AND n.level = 0 AND n.x = tx // 2 AND n.y = ty // 2 AND n.z = tz // 2
+  UNION ALL SELECT f.*, n.v FROM f JOIN m n ON f.level = 0 AND n.level = 1 AND n.x // 2 = tx AND n.y // 2 = ty AND n.z // 2 = tz AND {border})
+SELECT level, x, y, z, round(sum(seen) / {points}, 9) + 0.0 AS v FROM g GROUP BY 1, 2, 3, 4"""
+
+
 _MIXED = f"""{_CELLS}, m AS (SELECT level, x, y, z, v FROM c WHERE x >= {NX // 2}
 UNION ALL SELECT 1, x * 2 + i, y * 2 + j, z * 2 + k, v / 8 FROM c, range(2) o(i), range(2) p(j), range(2) q(k) WHERE x < {NX // 2}),
 o AS (SELECT CAST(x AS INTEGER) AS ox, CAST(y AS INTEGER) AS oy, CAST(z AS INTEGER) AS oz FROM range(-1, 2) a(x), range(-1, 2) b(y), range(-1, 2) d(z) WHERE abs(x) + abs(y) + abs(z) = 1),
@@ -270,6 +322,8 @@ ORACLE_SQL = {
     "amr_cells": f"WITH {_CELLS} SELECT level, x, y, z, round(v, 9) + 0.0 AS v FROM c",
     "amr_mean7": _mean_sql(7),
     "amr_mean27": _mean_sql(27),
+    "amr_mean7_lines": _lines_sql(7),
+    "amr_mean27_lines": _lines_sql(27),
     "amr_checksum": f"WITH {_CELLS} SELECT round(sum(v), 6) + 0.0 AS total FROM c",
     "amr_split": f"""WITH {_CELLS} SELECT 1 AS level, x * 2 + i AS x, y * 2 + j AS y, z * 2 + k AS z, round(v / 8, 9) + 0.0 AS v
 FROM c, range(2) o(i), range(2) p(j), range(2) q(k)""",

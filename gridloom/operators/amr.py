@@ -49,24 +49,84 @@ def _offsets(spark: SparkSession, faces_only: bool) -> DataFrame:
 
 
 def smooth(cells: DataFrame, mesh: Mesh, points: int, by: tuple[str, ...] = ()) -> DataFrame:
-    """Mean of 7 or 27 values around each cell, for each value of ``by`` (variables).
+    """Mean of 7 or 27 values around each cell, for each value of ``by`` (variables), whatever the levels around it.
 
-    Seven values are the cell's and what it sees over its faces, whatever the
-    levels there. For 27, all cells have to be of one level; beyond the
-    domain the nearest cell inside stands in.
+    Seven values are the cell's and what it sees over its faces; 27 those of
+    all directions (:func:`seen_around`). The sum is always divided by ``points``.
     """
     if points == 7:
         seen = face_ghosts(cells, mesh, by).groupBy("level", *by, *AXES).agg(F.sum("ghost").alias("s"))
-        return cells.join(seen, ["level", *by, *AXES]).select("level", *by, *AXES, ((F.col("v") + F.col("s")) / points).alias("v"))
-    if cells.select("level").distinct().limit(2).count() > 1:
-        raise ValueError("a mean of 27 values needs cells of one level")
-    reach = cells.crossJoin(_offsets(cells.sparkSession, False))
-    target = [
-        F.least(F.greatest(F.col(a) + F.col(f"o{a}"), F.lit(0)), mesh.cells(i, F.col("level")) - 1).alias(a) for i, a in enumerate(AXES)
-    ]
-    wanted = reach.select("level", *by, *(F.col(a).alias(f"own_{a}") for a in AXES), *target)
-    sums = wanted.join(cells, ["level", *by, *AXES]).groupBy("level", *by, *(f"own_{a}" for a in AXES)).agg((F.sum("v") / points).alias("v"))
-    return sums.select("level", *by, *(F.col(f"own_{a}").alias(a) for a in AXES), "v")
+    else:
+        seen = seen_around(cells, mesh, by)
+    return cells.join(seen, ["level", *by, *AXES]).select("level", *by, *AXES, ((F.col("v") + F.col("s")) / points).alias("v"))
+
+
+def _across(own: dict[str, Column]) -> dict[str, Column]:
+    """-1, 0 or 1 along each axis: whether ``own`` and what lies at its offset are in different blocks."""
+    return {a: F.floor((own[a] + F.col(f"o{a}")) / SIDE) - F.floor(own[a] / SIDE) for a in AXES}
+
+
+def _times(own: dict[str, Column], level: Column, mesh: Mesh) -> Column:
+    """How many of the 27 directions end at this offset: beyond the domain the nearest value inside stands in."""
+    times = F.lit(1)
+    for i, a in enumerate(AXES):
+        at_walls = (own[a] == 0).cast("int") + (own[a] == mesh.cells(i, level) - 1).cast("int")
+        times = times * F.when(F.col(f"o{a}") == 0, 1 + at_walls).otherwise(1)
+    return times
+
+
+def seen_around(cells: DataFrame, mesh: Mesh, by: tuple[str, ...] = ()) -> DataFrame:
+    """``level, *by, x, y, z, s``: the sum of what each cell sees in 26 directions.
+
+    A neighbour of the same level is seen as it is. Others are seen across a
+    face, an edge or a corner of the cell's block: with ``z`` axes along which
+    that does not leave the block (2, 1, 0) and ``d`` levels between, a coarser
+    cell is seen as one part of 2^(z d), and of finer ones the sum of the
+    2^(z d) that are next to the face, edge or corner. Blocks that meet in an edge or
+    corner may be any number of levels apart.
+
+    Equal and finer cells send their value to where they would be seen, which
+    is summed before the shuffle; only cells at a block's border ask for
+    coarser ones. What is sent to places without a cell is not returned.
+    """
+    spark, keys = cells.sparkSession, ["level", *by, *AXES]
+    away = _offsets(spark, False).where("ox <> 0 or oy <> 0 or oz <> 0")
+    steps = F.broadcast(spark.range(mesh.deepest + 1).select(F.col("id").cast("int").alias("d")))
+    pairs = cells.crossJoin(away).crossJoin(steps).where("level >= d").withColumn("width", F.pow(F.lit(2), F.col("d")).cast("long"))
+
+    def above(a: str) -> Column:
+        return F.floor(F.col(a) / F.col("width"))
+
+    # a cell or its ancestor d levels up is seen from there, against the offset
+    viewer = {a: above(a) - F.col(f"o{a}") for a in AXES}
+    next_to = F.lit(True)
+    for a, c in _across(viewer).items():
+        edge = F.when(c > 0, 0).otherwise(F.col("width") - 1)
+        next_to = next_to & ((c == 0) | (F.col(a) % F.col("width") == edge))
+    sent = pairs.where(next_to).select(
+        (F.col("level") - F.col("d")).alias("level"), *by, *(viewer[a].alias(a) for a in AXES), (F.col("v") * _times(viewer, F.col("level") - F.col("d"), mesh)).alias("s")
+    )
+
+    own = {a: F.col(a) for a in AXES}
+    across = _across(own)
+    inside, along, leaves = F.lit(True), F.lit(0), F.lit(False)
+    for i, a in enumerate(AXES):
+        there = F.col(a) + F.col(f"o{a}")
+        inside = inside & (there >= 0) & (there < mesh.cells(i, F.col("level")))
+        along = along + (across[a] == 0).cast("int")
+        leaves = leaves | (across[a] != 0)
+    share = _times(own, F.col("level"), mesh) / F.pow(F.lit(2.0), along * F.col("d"))
+    asked = pairs.where((F.col("d") > 0) & inside & leaves).select(
+        *keys, share.alias("share"), (F.col("level") - F.col("d")).alias("up"), *(F.floor((F.col(a) + F.col(f"o{a}")) / F.col("width")).alias(f"u{a}") for a in AXES)
+    )
+    coarse = cells.select(F.col("level").alias("up"), *by, *(F.col(a).alias(f"u{a}") for a in AXES), "v")
+    answered = asked.join(coarse, ["up", *by, "ux", "uy", "uz"]).select(*keys, (F.col("v") * F.col("share")).alias("s"))
+
+    # the directions that end at the cell itself
+    none = {f"o{a}": F.lit(0) for a in AXES}
+    walls = cells.withColumns(none).select(*keys, (F.col("v") * (_times(own, F.col("level"), mesh) - 1)).alias("s"))
+    total = sent.unionByName(answered).unionByName(walls).groupBy(*keys).agg(F.sum("s").alias("s"))
+    return total.join(cells.select(*keys), keys, "left_semi")
 
 
 def face_ghosts(cells: DataFrame, mesh: Mesh, by: tuple[str, ...] = ()) -> DataFrame:

@@ -1,5 +1,7 @@
 """Operators without SQL, against numpy or brute force."""
 
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -137,9 +139,48 @@ def test_blocks_follow_a_target(spark):
     assert amr.block_counts(refined).agg(F.sum("blocks")).first()[0] >= plain + 14
 
 
-def test_means_of_27_need_one_level(spark):
-    with pytest.raises(ValueError, match="one level"):
-        amr.smooth(meshes._mixed(spark), meshes.MESH, 27)
+def plain_seen(values, wide, cell):
+    """What a cell of ``values`` (level, x, y, z) -> v sees in 26 directions, looked up one by one."""
+    level, *at = cell
+    total = 0.0
+    for o in itertools.product((-1, 0, 1), repeat=3):
+        if o == (0, 0, 0):
+            continue
+        to = [min(max(p + q, 0), (w << level) - 1) for p, q, w in zip(at, o, wide, strict=True)]
+        if (level, *to) in values:
+            total += values[level, *to]
+            continue
+        out = [p // amr.SIDE - q // amr.SIDE for p, q in zip(to, at, strict=True)]
+        for d in range(1, level + 1):
+            total += values.get((level - d, *(p >> d for p in to)), 0.0) / 2 ** (d * out.count(0))
+        for d in range(1, 3):
+            n = 1 << d
+            ranges = [range(p * n, p * n + n) if c == 0 else [p * n if c > 0 else p * n + n - 1] for p, c in zip(to, out, strict=True)]
+            total += sum(values.get((level + d, *f), 0.0) for f in itertools.product(*ranges))
+    return total
+
+
+def test_means_of_27_across_levels(spark):
+    """Four blocks of three levels, of which two meet in an edge two levels apart; two variables."""
+    mesh = amr.Mesh((2, 2, 1), 2)
+    cells = amr.first_cells(spark, mesh, lambda i: (i * 37 % 101) / 101.0)
+    low = (F.col("x") < 4) & (F.col("y") < 4)
+    high = (F.col("x") >= 4) & (F.col("y") >= 4)
+    mixed = cells.where(low).unionByName(amr.split(cells.where(~low & ~high))).unionByName(amr.split(amr.split(cells.where(high))))
+    both = mixed.withColumn("var", F.lit(0)).unionByName(mixed.withColumn("var", F.lit(1)).withColumn("v", F.col("v") * -2))
+    got = {(r["var"], r.level, r.x, r.y, r.z): r.v for r in amr.smooth(both, mesh, 27, ("var",)).collect()}
+    values = {(r.level, r.x, r.y, r.z): r.v for r in mixed.collect()}
+    assert len(got) == 2 * len(values)
+    wide = [b * amr.SIDE for b in mesh.blocks]
+    for cell, v in values.items():
+        mean = (v + plain_seen(values, wide, cell)) / 27
+        assert got[0, *cell] == pytest.approx(mean, abs=1e-12)
+        assert got[1, *cell] == pytest.approx(-2 * mean, abs=1e-12)
+
+
+def test_means_of_no_cells(spark):
+    none = meshes._cells(spark).where("false")
+    assert amr.smooth(none, meshes.MESH, 27).count() == 0
 
 
 def test_nearest_in_blocks(spark, monkeypatch):
