@@ -6,6 +6,8 @@ are its own; a block is refined or coarsened as a whole.
 
 from __future__ import annotations
 
+import functools
+import operator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,7 +28,7 @@ class Mesh:
     deepest: int
 
     def cells(self, axis: int, level: Column) -> Column:
-        return F.lit(self.blocks[axis] * SIDE) * F.pow(F.lit(2), level).cast("long")
+        return F.call_function("shiftleft", F.lit(self.blocks[axis] * SIDE).cast("long"), level)
 
 
 def first_cells(spark: SparkSession, mesh: Mesh, value) -> DataFrame:
@@ -63,7 +65,7 @@ def smooth(cells: DataFrame, mesh: Mesh, points: int, by: tuple[str, ...] = ())
 
 def _across(own: dict[str, Column]) -> dict[str, Column]:
     """-1, 0 or 1 along each axis: whether ``own`` and what lies at its offset are in different blocks."""
-    return {a: F.floor((own[a] + F.col(f"o{a}")) / SIDE) - F.floor(own[a] / SIDE) for a in AXES}
+    return {a: ((own[a] + F.col(f"o{a}") + SIDE) / SIDE).cast("long") - ((own[a] + SIDE) / SIDE).cast("long") for a in AXES}
 
 
 def _times(own: dict[str, Column], level: Column, mesh: Mesh) -> Column:
@@ -89,43 +91,41 @@ def seen_around(cells: DataFrame, mesh: Mesh, by: tuple[str, ...] = ()) -> DataF
     is summed before the shuffle; only cells at a block's border ask for
     coarser ones. What is sent to places without a cell is not returned.
     """
-    spark, keys = cells.sparkSession, ["level", *by, *AXES]
-    away = _offsets(spark, False).where("ox <> 0 or oy <> 0 or oz <> 0")
-    steps = F.broadcast(spark.range(mesh.deepest + 1).select(F.col("id").cast("int").alias("d")))
-    pairs = cells.crossJoin(away).crossJoin(steps).where("level >= d").withColumn("width", F.pow(F.lit(2), F.col("d")).cast("long"))
-
-    def above(a: str) -> Column:
-        return F.floor(F.col(a) / F.col("width"))
-
-    # a cell or its ancestor d levels up is seen from there, against the offset
-    viewer = {a: above(a) - F.col(f"o{a}") for a in AXES}
-    next_to = F.lit(True)
-    for a, c in _across(viewer).items():
-        edge = F.when(c > 0, 0).otherwise(F.col("width") - 1)
-        next_to = next_to & ((c == 0) | (F.col(a) % F.col("width") == edge))
-    sent = pairs.where(next_to).select(
-        (F.col("level") - F.col("d")).alias("level"), *by, *(viewer[a].alias(a) for a in AXES), (F.col("v") * _times(viewer, F.col("level") - F.col("d"), mesh)).alias("s")
-    )
-
+    keys = ["level", *by, *AXES]
+    away = _offsets(cells.sparkSession, False).where("ox <> 0 or oy <> 0 or oz <> 0")
     own = {a: F.col(a) for a in AXES}
-    across = _across(own)
-    inside, along, leaves = F.lit(True), F.lit(0), F.lit(False)
+    at_border = functools.reduce(operator.or_, ((F.col(a) % SIDE).isin(0, SIDE - 1) for a in AXES))
+
+    # a cell, or its ancestor d levels up, is seen from there against the offset
+    sent = []
+    for d in range(mesh.deepest + 1):
+        viewer = {a: F.shiftright(a, d) - F.col(f"o{a}") for a in AXES}
+        level = F.col("level") - d
+        pairs = cells.crossJoin(away)
+        if d:
+            next_to = F.lit(True)
+            for a, c in _across(viewer).items():
+                next_to = next_to & ((c == 0) | (F.col(a) % (1 << d) == F.when(c > 0, 0).otherwise((1 << d) - 1)))
+            pairs = cells.where((F.col("level") >= d) & at_border).crossJoin(away).where(next_to)
+        sent.append(pairs.select(level.alias("level"), *by, *(viewer[a].alias(a) for a in AXES), (F.col("v") * _times(viewer, level, mesh)).alias("s")))
+
+    across, inside = _across(own), F.lit(True)
     for i, a in enumerate(AXES):
         there = F.col(a) + F.col(f"o{a}")
         inside = inside & (there >= 0) & (there < mesh.cells(i, F.col("level")))
-        along = along + (across[a] == 0).cast("int")
-        leaves = leaves | (across[a] != 0)
-    share = _times(own, F.col("level"), mesh) / F.pow(F.lit(2.0), along * F.col("d"))
-    asked = pairs.where((F.col("d") > 0) & inside & leaves).select(
-        *keys, share.alias("share"), (F.col("level") - F.col("d")).alias("up"), *(F.floor((F.col(a) + F.col(f"o{a}")) / F.col("width")).alias(f"u{a}") for a in AXES)
-    )
-    coarse = cells.select(F.col("level").alias("up"), *by, *(F.col(a).alias(f"u{a}") for a in AXES), "v")
-    answered = asked.join(coarse, ["up", *by, "ux", "uy", "uz"]).select(*keys, (F.col("v") * F.col("share")).alias("s"))
+    along = sum((across[a] == 0).cast("int") for a in AXES)
+    asking = cells.where((F.col("level") > 0) & at_border).crossJoin(away).where(inside & (along < 3))
+    for d in range(1, mesh.deepest + 1):
+        share = _times(own, F.col("level"), mesh) / F.call_function("shiftleft", F.lit(1), along * d)
+        beyond = (F.shiftright(F.col(a) + F.col(f"o{a}"), d).alias(f"u{a}") for a in AXES)
+        asked = asking.where(F.col("level") >= d).select(*keys, share.alias("share"), (F.col("level") - d).alias("up"), *beyond)
+        coarse = cells.select(F.col("level").alias("up"), *by, *(F.col(a).alias(f"u{a}") for a in AXES), "v")
+        sent.append(asked.join(coarse, ["up", *by, "ux", "uy", "uz"]).select(*keys, (F.col("v") * F.col("share")).alias("s")))
 
     # the directions that end at the cell itself
     none = {f"o{a}": F.lit(0) for a in AXES}
     walls = cells.withColumns(none).select(*keys, (F.col("v") * (_times(own, F.col("level"), mesh) - 1)).alias("s"))
-    total = sent.unionByName(answered).unionByName(walls).groupBy(*keys).agg(F.sum("s").alias("s"))
+    total = functools.reduce(DataFrame.unionByName, sent, walls).groupBy(*keys).agg(F.sum("s").alias("s"))
     return total.join(cells.select(*keys), keys, "left_semi")
 
 
