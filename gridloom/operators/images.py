@@ -96,7 +96,7 @@ def dft(signal: DataFrame, n: int, inverse: bool = False, by: tuple[str, ...] =
     """``k, re, im`` of ``i, re, im``, by definition, without scaling; for short signals, one for each value of ``by``."""
     sign = 2 * math.pi / n * (1 if inverse else -1)
     outputs = signal.sparkSession.range(n).select(F.col("id").alias("k"))
-    terms = signal.crossJoin(F.broadcast(outputs)).withColumn("t", ((F.col("i") * F.col("k")) % n) * sign)
+    terms = signal.crossJoin(broadcast_if_small(outputs)).withColumn("t", ((F.col("i") * F.col("k")) % n) * sign)
     re = F.col("re") * F.cos("t") - F.col("im") * F.sin("t")
     im = F.col("re") * F.sin("t") + F.col("im") * F.cos("t")
     return terms.groupBy(*by, "k").agg(F.sum(re).alias("re"), F.sum(im).alias("im"))

@@ -146,9 +146,10 @@ def inverses(matrices: DataFrame) -> DataFrame:
 
 def filter_weights(inverse: DataFrame, vectors: DataFrame) -> DataFrame:
     """``gate, th, v, k, re, im``: the inverse applied to each steering vector, scaled to gain one."""
-    met = inverse.alias("c").join(F.broadcast(vectors.alias("s")), F.col("c.i") == F.col("s.k"))
+    vectors = broadcast_if_small(vectors)
+    met = inverse.alias("c").join(vectors.alias("s"), F.col("c.i") == F.col("s.k"))
     w = met.groupBy(F.col("c.gate"), F.col("s.th"), F.col("s.v"), F.col("c.j").alias("k")).agg(*_summed(_times_conjugate("c", "s")))
-    gained = w.alias("w").join(F.broadcast(vectors.alias("s")), ["th", "v", "k"])
+    gained = w.alias("w").join(vectors.alias("s"), ["th", "v", "k"])
     gain = gained.groupBy("gate", "th", "v").agg(F.sum(_times("w", "s")[0]).alias("gain"))
     return w.join(gain, ["gate", "th", "v"]).select("gate", "th", "v", "k", (F.col("re") / F.col("gain")).alias("re"), (F.col("im") / F.col("gain")).alias("im"))
 
@@ -164,7 +165,7 @@ def apply_filter(signal: DataFrame, weights: DataFrame, radar: Radar, received:
 
 def integrate(trains: DataFrame, table: DataFrame) -> DataFrame:
     """``th, rg, v, re, im``: each train against the phases of its velocity."""
-    met = trains.alias("t").join(F.broadcast(table.alias("d")), ["v", "k"])
+    met = trains.alias("t").join(broadcast_if_small(table).alias("d"), ["v", "k"])
     return met.groupBy("th", F.col("gate").alias("rg"), "v").agg(*_summed(_times_conjugate("t", "d")))
 
 
@@ -182,7 +183,7 @@ def padded(cube: DataFrame, gates: int, velocities: int) -> DataFrame:
     frame = _grid(cube.sparkSession, rg=gates + 2 * rim_g, v=velocities + 2 * rim_v)
     moved = cube.select("th", (F.col("rg") + rim_g).alias("rg"), (F.col("v") + rim_v).alias("v"), "re", "im")
     inside = F.col("rg").between(rim_g, gates + rim_g - 1) & F.col("v").between(rim_v, velocities + rim_v - 1)
-    level = mean_power(cube).crossJoin(F.broadcast(frame.where(~inside)))
+    level = mean_power(cube).crossJoin(broadcast_if_small(frame.where(~inside)))
     return moved.unionByName(level.select("th", "rg", "v", F.sqrt("power").alias("re"), F.lit(0.0).alias("im")))
 
 
