@@ -215,3 +215,42 @@ def test_numeric_operators_on_nothing(spark):
     assert m.multiply(none, none).count() == 0 and m.row_norm(none).first().norm == 0.0
     assert tiles.to_tiles(none, 4).count() == 0 and tiles.product(tiles.to_tiles(none, 4), tiles.to_tiles(none, 4), 4).count() == 0
     assert m.sum_duplicates(spark.createDataFrame([(1, 1, None), (1, 1, 2.0)], none.schema)).first().v == 2.0
+
+
+def test_nearest_rules_out_only_what_is_far(spark, monkeypatch):
+    """Blocks of both sides, copies, and vectors that are missing, shorter or have a missing number, against brute force."""
+    from gridloom.operators import points
+
+    rng = np.random.default_rng(21)
+    vectors = np.repeat(rng.random((120, 5)), 2, axis=0) + rng.integers(0, 2, (240, 1)) * 1e-11
+    rows = [(i, v.tolist(), i % 3) for i, v in enumerate(vectors)] + [(240, None, 1), (241, [1.0, 2.0], 1), (242, [0.5, None, 0.5, 0.5, 0.5], 2)]
+    frame = spark.createDataFrame(rows, "id long, vec array<double>, label int")
+    monkeypatch.setattr(points, "BLOCK", 60)
+    monkeypatch.setattr(points, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(points, "ROUGH_CELLS", 150)
+
+    def measured(a, b):
+        if a is None or b is None or len(a) != len(b) or None in a or None in b:
+            return None
+        return round(sum((x - y) * (x - y) for x, y in zip(a, b, strict=True)), 9)
+
+    queries, known = [*rows[:20], *rows[240:]], {(q[0], t[0]): measured(q[1], t[1]) for q in rows for t in rows}
+    both = frame.where("id < 20 OR id >= 240"), frame
+    assert {(r.query, r.train): r.distance for r in points.distances(*both).collect()} == {(q[0], t[0]): known[q[0], t[0]] for q in queries for t in rows}
+    expected = set()
+    for q in queries:
+        order = sorted(rows, key=lambda t: (known[q[0], t[0]] is None, known[q[0], t[0]] or 0.0, t[0]))
+        expected |= {(q[0], t[0], rank, known[q[0], t[0]]) for rank, t in enumerate(order[:4], 1)}
+    assert {(r.query, r.train, r.rank, r.distance) for r in points.nearest(*both, 4).collect()} == expected
+
+
+def test_nearest_leaves_pairs_to_matrix_products():
+    """Of 2,000 pairs a query a few are measured exactly."""
+    from gridloom.operators import points
+
+    rng = np.random.default_rng(22)
+    a, b = rng.random((8, 20)), rng.random((8, 2000))
+    left, right = points._near_pairs(a, b, 5)
+    exact = points._squares(a[:, :, None], b[:, None, :])
+    assert len(left) < 20 * 200
+    assert all(set(np.argsort(exact[i])[:5]) <= set(right[left == i]) for i in range(20))
