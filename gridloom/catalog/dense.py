@@ -333,8 +333,7 @@ def tall_qr_q(spark, sf_dir):
     """Products of the columns of Q: the identity."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     q, _ = factorise.tall_qr(rows, 64)
-    spread = q.select("id", F.posexplode("q").alias("i", "x"))
-    pairs = spread.join(spread.select("id", F.col("i").alias("j"), F.col("x").alias("y")), "id")
+    pairs = q.select("q", F.posexplode("q").alias("i", "x")).select("i", "x", F.posexplode("q").alias("j", "y"))
     return pairs.groupBy("i", "j").agg((F.round(F.sum(F.col("x") * F.col("y")), 6) + 0.0).alias("v"))
 
 

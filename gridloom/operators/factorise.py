@@ -155,7 +155,8 @@ def tall_qr(rows: DataFrame, columns: int, parts: int = 8) -> tuple[DataFrame, D
         for batch in batches:
             if len(batch):
                 r = np.linalg.qr(np.vstack([r, np.stack(batch["vec"].to_numpy())]), mode="r")
-        yield pd.DataFrame({"vec": list(r)})
+        if len(r):  # partitions may be empty
+            yield pd.DataFrame({"vec": list(r)})
 
     level = vectors.select("vec")
     while (left := level.rdd.getNumPartitions()) > 1:

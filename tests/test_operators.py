@@ -254,3 +254,11 @@ def test_nearest_leaves_pairs_to_matrix_products():
     exact = points._squares(a[:, :, None], b[:, None, :])
     assert len(left) < 20 * 200
     assert all(set(np.argsort(exact[i])[:5]) <= set(right[left == i]) for i in range(20))
+
+
+def test_qr_of_empty_partitions(spark):
+    matrix = np.random.default_rng(23).random((6, 3))
+    frame = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(matrix)], "id long, vec array<double>")
+    q, r = factorise.tall_qr(frame.repartitionByRange(20, "id").union(frame.where("id > 99")), 3)
+    q = np.stack([np.array(x.q) for x in q.orderBy("id").collect()])
+    assert np.allclose(q @ to_numpy(r, 3), matrix)
