@@ -85,8 +85,10 @@ def stream_kernels(spark, sf_dir):
 
 
 def stream_recurrence(spark, sf_dir):
+    """Sums of what ten rounds make, which are whole numbers: added up as decimals, as sums of doubles depend on the order."""
     start = _numbers(spark, sf_dir).select("id", F.lit(1.0).alias("a"), F.lit(2.0).alias("b"), F.lit(0.0).alias("c"))
-    return g.stream_rounds(start, 3.0, 10).agg(*((F.sum(c) / 1e9).cast("long").alias(c) for c in ("a", "b", "c")))
+    sums = g.stream_rounds(start, 3.0, 10).agg(*(F.sum(F.col(c).cast("decimal(20,0)")).alias(c) for c in ("a", "b", "c")))
+    return sums.select(*(F.expr(f"{c} div 1000000000").cast("long").alias(c) for c in ("a", "b", "c")))
 
 
 def vector_sum(spark, sf_dir):

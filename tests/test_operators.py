@@ -262,3 +262,12 @@ def test_qr_of_empty_partitions(spark):
     q, r = factorise.tall_qr(frame.repartitionByRange(20, "id").union(frame.where("id > 99")), 3)
     q = np.stack([np.array(x.q) for x in q.orderBy("id").collect()])
     assert np.allclose(q @ to_numpy(r, 3), matrix)
+
+
+def test_stream_sums_do_not_depend_on_the_order(spark, monkeypatch):
+    """The sum of 15^10 over 36 million rows is past 2^53: added up as doubles it would be off."""
+    from gridloom.catalog import grids as queries
+
+    monkeypatch.setattr(queries, "_numbers", lambda spark, sf_dir: spark.range(36_000_000))
+    got = queries.stream_recurrence(spark, "").first()
+    assert tuple(got) == tuple(36_000_000 * v // 10**9 for v in (15**10, 3 * 15**9, 4 * 15**9))
