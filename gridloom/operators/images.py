@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,21 +103,36 @@ def dft(signal: DataFrame, n: int, inverse: bool = False, by: tuple[str, ...] =
     return terms.groupBy(*by, "k").agg(F.sum(re).alias("re"), F.sum(im).alias("im"))
 
 
+def _transformed(re: np.ndarray, im: np.ndarray, sizes: np.ndarray, inverse: bool) -> np.ndarray:
+    """Transforms of lines that lie one after the other; lines of one size are one call."""
+    values, out = re + 1j * im, np.empty(len(re), np.complex128)
+    starts = np.cumsum(sizes) - sizes
+    for n in np.unique(sizes[sizes > 0]):
+        at = starts[sizes == n][:, None] + np.arange(n)
+        out[at] = np.fft.ifft(values[at]) * n if inverse else np.fft.fft(values[at])
+    return out
+
+
 def fft_lines(signal: DataFrame, line: str, place: str, inverse: bool = False) -> DataFrame:
-    """Transform of each line of ``line, place, re, im``; one line in one task.
+    """Transform of each line of ``line, place, re, im``; one line in one task, many lines in one call.
 
     Two- and three-dimensional transforms are one call for each axis.
     """
     ship(signal.sparkSession)
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("place")
-        values = rows.re.to_numpy() + 1j * rows.im.to_numpy()
-        out = np.fft.ifft(values) * len(values) if inverse else np.fft.fft(values)
-        return rows.assign(re=out.real, im=out.imag)
-
-    named = signal.select(F.col(line).cast("string").alias("line"), F.col(place).alias("place"), "re", "im")
-    return named.groupBy("line").applyInPandas(run, "line string, place long, re double, im double").withColumnsRenamed({"line": line, "place": place})
+    point = F.struct(F.col(place).cast("long").alias("place"), F.col("re").cast("double").alias("re"), F.col("im").cast("double").alias("im"))
+    lines = signal.groupBy(F.col(line).alias("line")).agg(F.array_sort(F.collect_list(point)).alias("points"))
+    kind = lines.schema["line"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch["points"].value_lengths().to_numpy(zero_copy_only=False)
+            place_, re, im = batch["points"].flatten().flatten()
+            out = _transformed(re.to_numpy(zero_copy_only=False), im.to_numpy(zero_copy_only=False), sizes, inverse)
+            named = batch["line"].take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+            yield pa.RecordBatch.from_arrays([named, place_, pa.array(out.real), pa.array(out.imag)], ["line", "place", "re", "im"])
+
+    made = lines.mapInArrow(run, f"line {kind}, place long, re double, im double")
+    return made.withColumnsRenamed({"line": line, "place": place})
 
 
 def fft_axes(signal: DataFrame, axes: tuple[str, ...], inverse: bool = False) -> DataFrame:

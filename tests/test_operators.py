@@ -271,3 +271,21 @@ def test_stream_sums_do_not_depend_on_the_order(spark, monkeypatch):
     monkeypatch.setattr(queries, "_numbers", lambda spark, sf_dir: spark.range(36_000_000))
     got = queries.stream_recurrence(spark, "").first()
     assert tuple(got) == tuple(36_000_000 * v // 10**9 for v in (15**10, 3 * 15**9, 4 * 15**9))
+
+
+def test_transforms_of_many_lines_in_one_call(spark):
+    from gridloom.operators import images
+
+    rng = np.random.default_rng(24)
+    lines = {i: rng.random((5 + i % 3, 2)) for i in range(12)}
+    points = [(i, j, float(p[0]), float(p[1])) for i, rows in lines.items() for j, p in enumerate(rows)]
+    rng.shuffle(points)
+    signal = spark.createDataFrame([(int(a), int(b), c, d) for a, b, c, d in points], "line long, i long, re double, im double")
+    for inverse in (False, True):
+        out = images.fft_lines(signal, "line", "i", inverse)
+        assert "MapInArrow" in out._jdf.queryExecution().toString()
+        got = {(r.line, r.i): complex(r.re, r.im) for r in out.collect()}
+        for i, rows in lines.items():
+            values = rows[:, 0] + 1j * rows[:, 1]
+            expected = np.fft.ifft(values) * len(values) if inverse else np.fft.fft(values)
+            assert np.allclose([got[i, j] for j in range(len(rows))], expected)
