@@ -37,6 +37,8 @@ def amr_mean27(spark, sf_dir):
 
 #: Order keys to a cell along x of the mesh of order lines; cells along y and z.
 KEYS, WIDE = 512, 8
+#: Blocks along x of that mesh to a task of its means.
+LENGTH = 256
 
 
 def _line_mesh(spark, sf_dir):
@@ -51,7 +53,9 @@ def _line_mesh(spark, sf_dir):
     totals = cells.groupBy("level", *(F.expr(f"{a} div {amr.SIDE}").alias(f"b{a}") for a in amr.AXES)).agg(F.sum("v").alias("q"))
     mean = totals.agg(F.sum("q").alias("all"), F.count(F.lit(1)).alias("n"))
     marked = totals.crossJoin(F.broadcast(mean)).select("level", "bx", "by", "bz", (F.col("q") * F.col("n") > F.col("all")).cast("int").alias("mark"))
-    return amr.cut(amr.remeshed(cells, marked)), mesh
+    # as many tasks as the length of the mesh asks for, so that one's share does not grow with it
+    tasks = max(spark.sparkContext.defaultParallelism, mesh.blocks[0] // LENGTH)
+    return amr.cut(amr.remeshed(cells, marked).repartition(tasks)), mesh
 
 
 def amr_mean7_lines(spark, sf_dir):

@@ -56,10 +56,7 @@ def smooth(cells: DataFrame, mesh: Mesh, points: int, by: tuple[str, ...] = ())
     Seven values are the cell's and what it sees over its faces; 27 those of
     all directions (:func:`seen_around`). The sum is always divided by ``points``.
     """
-    if points == 7:
-        seen = face_ghosts(cells, mesh, by).groupBy("level", *by, *AXES).agg(F.sum("ghost").alias("s"))
-    else:
-        seen = seen_around(cells, mesh, by)
+    seen = seen_over_faces(cells, mesh, by) if points == 7 else seen_around(cells, mesh, by)
     return cells.join(seen, ["level", *by, *AXES]).select("level", *by, *AXES, ((F.col("v") + F.col("s")) / points).alias("v"))
 
 
@@ -129,6 +126,33 @@ def seen_around(cells: DataFrame, mesh: Mesh, by: tuple[str, ...] = ()) -> DataF
     return total.join(cells.select(*keys), keys, "left_semi")
 
 
+def seen_over_faces(cells: DataFrame, mesh: Mesh, by: tuple[str, ...] = ()) -> DataFrame:
+    """``level, *by, x, y, z, s``: the sum of the six :func:`face_ghosts` of each cell.
+
+    Each cell sends its value over its faces to cells of its own level and, as
+    one of four, to those of the level above it, where values are summed before
+    the shuffle; only cells at a block's border ask for a coarser one. What is
+    sent to places without a cell is not returned.
+    """
+    keys = ["level", *by, *AXES]
+    pairs = cells.crossJoin(_offsets(cells.sparkSession, True)).where("ox <> 0 or oy <> 0 or oz <> 0")
+    outside, near, leaves = F.lit(False), F.lit(True), F.lit(False)
+    for i, a in enumerate(AXES):
+        there, o = F.col(a) + F.col(f"o{a}"), F.col(f"o{a}")
+        outside = outside | (there < 0) | (there >= mesh.cells(i, F.col("level")))
+        # of finer cells those at the face: against the offset, as they send
+        near = near & F.when(o == 0, True).otherwise(F.col(a) % 2 == F.when(o > 0, 0).otherwise(1))
+        leaves = leaves | ((o > 0) & (F.col(a) % SIDE == SIDE - 1)) | ((o < 0) & (F.col(a) % SIDE == 0))
+    edge = pairs.where(outside).select(*keys, F.col("v").alias("s"))
+    same = pairs.select("level", *by, *((F.col(a) - F.col(f"o{a}")).alias(a) for a in AXES), F.col("v").alias("s"))
+    fine = pairs.where((F.col("level") > 0) & near).select((F.col("level") - 1).alias("level"), *by, *((F.expr(f"{a} div 2") - F.col(f"o{a}")).alias(a) for a in AXES), F.col("v").alias("s"))
+    asked = pairs.where((F.col("level") > 0) & leaves & ~outside).select(*keys, (F.col("level") - 1).alias("up"), *(F.expr(f"({a} + o{a}) div 2").alias(f"u{a}") for a in AXES))
+    above = cells.select(F.col("level").alias("up"), *by, *(F.col(a).alias(f"u{a}") for a in AXES), (F.col("v") / 4).alias("s"))
+    coarse = asked.join(above, ["up", *by, "ux", "uy", "uz"]).select(*keys, "s")
+    total = edge.unionByName(same).unionByName(fine).unionByName(coarse).groupBy(*keys).agg(F.sum("s").alias("s"))
+    return total.join(cells.select(*keys), keys, "left_semi")
+
+
 def face_ghosts(cells: DataFrame, mesh: Mesh, by: tuple[str, ...] = ()) -> DataFrame:
     """``level, *by, x, y, z, ox, oy, oz, ghost``: what each cell sees over each face.
 

@@ -273,6 +273,24 @@ def test_stream_sums_do_not_depend_on_the_order(spark, monkeypatch):
     assert tuple(got) == tuple(36_000_000 * v // 10**9 for v in (15**10, 3 * 15**9, 4 * 15**9))
 
 
+def test_sums_over_faces_are_those_of_the_ghosts(spark):
+    cells = meshes._mixed(spark).select("level", F.lit(3).alias("var"), *amr.AXES, "v")
+    keys = ["level", "var", *amr.AXES]
+    ghosts = amr.face_ghosts(cells, meshes.MESH, ("var",)).groupBy(*keys).agg(F.sum("ghost").alias("s"))
+    expected = {tuple(r)[:5]: r.s for r in ghosts.select(*keys, "s").collect()}
+    got = {tuple(r)[:5]: r.s for r in amr.seen_over_faces(cells, meshes.MESH, ("var",)).select(*keys, "s").collect()}
+    assert got.keys() == expected.keys() and all(abs(got[k] - expected[k]) < 1e-9 for k in got)
+
+
+def test_tasks_of_the_line_mesh_grow_with_it(spark, monkeypatch):
+    from conftest import SF
+
+    assert meshes._line_mesh(spark, SF)[0].rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(meshes, "KEYS", 8)
+    monkeypatch.setattr(meshes, "LENGTH", 1)
+    assert meshes._line_mesh(spark, SF)[0].rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+
+
 def test_transforms_of_many_lines_in_one_call(spark):
     from gridloom.operators import images
 
