@@ -9,6 +9,8 @@ few levels as many, which is what :mod:`fill_order` is for.
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
@@ -18,21 +20,43 @@ from gridloom.plans.durable import cut, written
 from gridloom.plans.ordering import dense_order
 
 Keep = Callable[[DataFrame], DataFrame]
+#: Rounds take columns or leaves off while that is one of so many or more of what is left.
+SHARE = 8
+#: Rows in a row that are summed together.
+BLOCK = 4096
 
 
 def factor_pattern(a: DataFrame) -> DataFrame:
     """``i, j`` with ``i > j``: the entries of the Cholesky factor below its diagonal, fill-in among them.
 
-    Rows below the first of a column are rows of that first one's column too;
-    columns whose rows have grown hand theirs on until nothing is new.
+    A column that is no row of another has all its rows; it hands those below
+    its first on to the first one's column and is put aside, so that a round
+    moves only what is left. Where too few columns are ready (a chain), all of
+    the rest hand theirs on until nothing is new.
     """
     with written(a.sparkSession) as keep:
-        return cut(_pattern(a, keep))
+        return cut(_pattern(a, keep).select("i", "j"))
 
 
 def _pattern(a: DataFrame, keep: Keep) -> DataFrame:
+    """``i, j, round``: the round in which a column was put aside, null for those that no round has."""
     ends = F.greatest("i", "j").alias("i"), F.least("i", "j").alias("j")
-    known = keep(a.where("i <> j").select(*ends).distinct())
+    raw = keep(a.where("i <> j").select(*ends).distinct())
+    done = raw.where("false").select("i", "j", F.lit(0).alias("round"))
+    for number in itertools.count():
+        rows = raw.select(F.col("i").alias("j"), F.lit(True).alias("waits")).distinct()
+        first = F.min("i").over(Window.partitionBy("j")).alias("first")
+        marked = keep(raw.distinct().join(rows, "j", "left").select("i", "j", first, F.col("waits").isNotNull().alias("waits")))
+        total, ready = marked.agg(F.count(F.lit(1)), F.count_if(~F.col("waits"))).first()
+        if ready * SHARE < total:
+            return done.union(_handed_on(marked.select("i", "j"), keep).select("i", "j", F.lit(None).cast("int")))
+        if total == 0:
+            return done
+        done = done.union(marked.where("NOT waits").select("i", "j", F.lit(number)))
+        raw = marked.where("waits").select("i", "j").union(marked.where("NOT waits AND i > first").select("i", F.col("first").alias("j")))
+
+
+def _handed_on(known: DataFrame, keep: Keep) -> DataFrame:
     grown = known
     while not grown.isEmpty():
         columns = known.join(grown.select("j").distinct(), "j", "left_semi")
@@ -52,32 +76,91 @@ def elimination_parents(a: DataFrame, pattern: DataFrame) -> DataFrame:
 def tour_ranks(forest: DataFrame) -> DataFrame:
     """``node, post, depth`` of a forest ``node, parent``: children by number, roots too.
 
+    Leaves are taken off in rounds and add their sizes to their parents, so a
+    round moves only what is left; where too few are leaves (a chain), the
+    sizes of the rest come from its Euler tour. A running sum over all
+    siblings tells how many nodes are in the trees of earlier ones; from the
+    roots down, that and where the parent's tree begins is where a node's does.
+    """
+    with written(forest.sparkSession) as keep:
+        return cut(_tour_ranks(forest, keep))
+
+
+def _tour_ranks(forest: DataFrame, keep: Keep) -> DataFrame:
+    inner = forest.where("parent IS NOT NULL").select(F.col("parent").alias("node")).distinct().withColumn("inner", F.lit(True))
+    left = forest.join(inner, "node", "left").select("node", "parent", F.lit(1).cast("long").alias("size"), F.col("inner").isNull().alias("leaf"))
+    sized, rounds = [], 0
+    while True:
+        left = keep(left)
+        total, leaves = left.agg(F.count(F.lit(1)), F.count_if("leaf")).first()
+        if leaves * SHARE < total:
+            sized.append(left.join(_tour_sizes(left, keep), "node").select("node", "parent", "total", F.lit(None).cast("int").alias("round")))
+        if leaves * SHARE < total or total == 0:
+            break
+        sized.append(left.where("leaf").select("node", "parent", "size", F.lit(rounds).alias("round")))
+        come = left.where("parent IS NOT NULL").groupBy(F.col("parent").alias("node")).agg(F.sum(F.when(F.col("leaf"), F.col("size")).otherwise(0)).alias("more"), F.every("leaf").alias("bare"))
+        left = left.where("NOT leaf").join(come, "node").select("node", "parent", (F.col("size") + F.col("more")).alias("size"), F.col("bare").alias("leaf"))
+        rounds += 1
+    if not sized:
+        return left.select("node", F.col("size").alias("post"), F.col("size").alias("depth"))
+    placed = _sums_before(functools.reduce(DataFrame.union, sized), keep)
+    # where the tree of a node's first child begins is base before that of the sum
+    firsts = placed.where("parent IS NOT NULL").groupBy(F.col("parent").alias("node")).agg(F.min("before").alias("base"))
+    placed = keep(placed.join(firsts, "node", "left"))
+    core = placed.where("round IS NULL")
+    bases = core.select(F.col("node").alias("parent"), F.col("base").alias("less"))
+    known = core.join(bases, "parent", "left").select("node", F.col("parent").alias("up"), "size", "base", (F.col("before") - F.coalesce("less", F.lit(0))).alias("start"), F.col("parent").isNotNull().cast("long").alias("depth"))
+    known = keep(known)
+    while not known.where("up IS NOT NULL").isEmpty():
+        above = known.select(F.col("node").alias("up"), F.col("up").alias("further"), F.col("start").alias("begins"), F.col("depth").alias("more"))
+        jumped = known.where("up IS NOT NULL").join(above, "up").select("node", F.col("further").alias("up"), "size", "base", (F.col("start") + F.col("begins")).alias("start"), (F.col("depth") + F.col("more")).alias("depth"))
+        known = keep(known.where("up IS NULL").union(jumped))
+    known = known.select("node", "size", "base", "start", "depth")
+    for number in range(rounds - 1, -1, -1):
+        above = known.where("base IS NOT NULL").select(F.col("node").alias("parent"), (F.col("start") - F.col("base")).alias("shift"), F.col("depth").alias("more"))
+        here = placed.where(F.col("round") == number).join(above, "parent", "left")
+        here = here.select("node", "size", "base", (F.col("before") + F.coalesce("shift", F.lit(0))).alias("start"), F.coalesce(F.col("more") + 1, F.lit(0)).alias("depth"))
+        known = known.union(keep(here))
+    return known.select("node", (F.col("start") + F.col("size") - 1).alias("post"), "depth")
+
+
+def _sums_before(sized: DataFrame, keep: Keep) -> DataFrame:
+    """``node, parent, size, round, before``: the sum of the sizes of all before, by parent, then by number, roots first."""
+    numbered = dense_order(sized.toDF("node", "parent", "size", "round"), [F.col("parent").asc_nulls_first(), "node"], "at")
+    numbered = numbered.withColumn("block", F.expr(f"at div {BLOCK}"))
+    earlier = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = numbered.groupBy("block").agg(F.sum("size").alias("s")).select("block", F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("shift"))
+    inside = Window.partitionBy("block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    summed = numbered.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    return keep(summed.join(blocks, "block").select("node", "parent", "size", "round", (F.col("inside") + F.col("shift")).alias("before")))
+
+
+def _tour_sizes(forest: DataFrame, keep: Keep) -> DataFrame:
+    """``node, total``: the sizes in the tree of each node of ``node, parent, size``.
+
     The Euler tour goes down to and up from every node. Each place of the tour
     knows its next; in every round it adds what its next has counted and
     skips to where that one points, so a tour of ``2 n`` places is ranked
     after ``log2(2 n)`` joins.
     """
-    with written(forest.sparkSession) as keep:
-        numbered = keep(dense_order(forest.select("node", "parent"), [F.col("parent").asc_nulls_last(), "node"], "at"))
-        firsts = numbered.where("parent IS NOT NULL").groupBy(F.col("parent").alias("node")).agg(F.min("at").alias("child"))
-        after = numbered.select((F.col("at") - 1).alias("at"), F.col("parent").alias("next_parent"), F.lit(True).alias("has_next"))
-        above = numbered.select(F.col("node").alias("parent"), F.col("at").alias("above"))
-        known = numbered.join(firsts, "node", "left").join(after, "at", "left").join(above, "parent", "left")
-        sibling = F.col("has_next") & F.col("parent").eqNullSafe(F.col("next_parent"))
-        down = known.select((2 * F.col("at")).alias("place"), F.coalesce(2 * F.col("child"), 2 * F.col("at") + 1).alias("next"))
-        up = known.select((2 * F.col("at") + 1).alias("place"), F.when(sibling, 2 * F.col("at") + 2).otherwise(2 * F.col("above") + 1).alias("next"))
-        # of the places after this one: how many go up, and how many more than go down
-        is_up = F.col("next") % 2
-        tour = down.union(up).select("place", "next", F.coalesce(is_up, F.lit(0)).alias("ups"), F.coalesce(2 * is_up - 1, F.lit(0)).alias("open"))
-        tour = keep(tour)
-        while not tour.where("next IS NOT NULL").isEmpty():
-            ahead = tour.select(F.col("place").alias("next"), F.col("next").alias("later"), F.col("ups").alias("ups_"), F.col("open").alias("open_"))
-            jumped = tour.where("next IS NOT NULL").join(ahead, "next")
-            jumped = jumped.select("place", F.col("later").alias("next"), (F.col("ups") + F.col("ups_")).alias("ups"), (F.col("open") + F.col("open_")).alias("open"))
-            tour = keep(tour.where("next IS NULL").union(jumped))
-        total = numbered.count()
-        ends = tour.where("place % 2 = 1").select(F.expr("place div 2").alias("at"), (total - 1 - F.col("ups")).alias("post"), F.col("open").alias("depth"))
-        return cut(numbered.join(ends, "at").select("node", "post", "depth"))
+    numbered = keep(dense_order(forest.select("node", "parent", "size"), [F.col("parent").asc_nulls_last(), "node"], "at"))
+    firsts = numbered.where("parent IS NOT NULL").groupBy(F.col("parent").alias("node")).agg(F.min("at").alias("child"))
+    after = numbered.select((F.col("at") - 1).alias("at"), F.col("parent").alias("next_parent"), F.lit(True).alias("has_next"))
+    above = numbered.select(F.col("node").alias("parent"), F.col("at").alias("above"))
+    known = numbered.join(firsts, "node", "left").join(after, "at", "left").join(above, "parent", "left")
+    sibling = F.col("has_next") & F.col("parent").eqNullSafe(F.col("next_parent"))
+    down = known.select((2 * F.col("at")).alias("place"), F.coalesce(2 * F.col("child"), 2 * F.col("at") + 1).alias("next"), F.lit(0).cast("long").alias("ups"))
+    up = known.select((2 * F.col("at") + 1).alias("place"), F.when(sibling, 2 * F.col("at") + 2).otherwise(2 * F.col("above") + 1).alias("next"), F.col("size").alias("ups"))
+    # the sizes of this place and those after it that go up
+    tour = keep(down.union(up))
+    while not tour.where("next IS NOT NULL").isEmpty():
+        ahead = tour.select(F.col("place").alias("next"), F.col("next").alias("later"), F.col("ups").alias("ups_"))
+        jumped = tour.where("next IS NOT NULL").join(ahead, "next").select("place", F.col("later").alias("next"), (F.col("ups") + F.col("ups_")).alias("ups"))
+        tour = keep(tour.where("next IS NULL").union(jumped))
+    # from going down to going up: all of the tree but the node itself
+    sign = F.when(F.col("place") % 2 == 0, F.col("ups")).otherwise(-F.col("ups"))
+    trees = tour.groupBy(F.expr("place div 2").alias("at")).agg(F.sum(sign).alias("below"))
+    return numbered.join(trees, "at").select("node", (F.col("below") + F.col("size")).alias("total"))
 
 
 def elimination_forest(a: DataFrame) -> DataFrame:
@@ -114,7 +197,7 @@ def cholesky(a: DataFrame) -> DataFrame:
     with written(a.sparkSession) as keep:
         lower = a.where("i >= j").groupBy("i", "j").agg(F.sum(F.col("v").cast("double")).alias("v"))
         lower = keep(lower)
-        tree = keep(_depths(elimination_parents(lower, _pattern(lower, keep)), keep))
+        tree = keep(_depths(elimination_parents(lower, _pattern(lower, keep).select("i", "j")), keep))
         own = keep(lower.join(tree.select(F.col("node").alias("j"), "depth"), "j"))
         deepest = tree.agg(F.max("depth")).first()[0]
         parts, left = [], None

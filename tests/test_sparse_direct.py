@@ -1,5 +1,7 @@
 """Sparse direct methods in frames against dense numpy and plain Python."""
 
+from contextlib import contextmanager
+
 import numpy as np
 import pytest
 
@@ -106,6 +108,35 @@ def test_tour_of_a_chain_and_a_star(spark):
     assert all(got[100 + k] == (40 + k, 1) for k in range(30)) and got[200] == (70, 0)
 
 
+def test_tour_moves_what_is_left(spark, monkeypatch):
+    """Rounds that carry all nodes along write 2 n rows each; here all of them together write a few n."""
+    n, draw, rows, made = 300, np.random.default_rng(5), [], m.written
+
+    @contextmanager
+    def counted(session):
+        with made(session) as keep:
+
+            def keep_counted(frame):
+                kept = keep(frame)
+                rows.append(kept.count())
+                return kept
+
+            yield keep_counted
+
+    monkeypatch.setattr(m, "written", counted)
+    parents = [int(draw.integers(k + 1, n)) if k < n - 1 else None for k in range(n)]
+    got = {r.node: (r.post, r.depth) for r in m.tour_ranks(spark.createDataFrame(list(enumerate(parents)), "node long, parent long")).collect()}
+    order, stack = [], [(n - 1, 0, False)]
+    while stack:
+        node, depth, left = stack.pop()
+        if left:
+            order.append((node, depth))
+        else:
+            stack += [(node, depth, True)] + [(c, depth + 1, False) for c in range(n - 1, -1, -1) if parents[c] == node]
+    assert [got[node] for node, _ in order] == [(k, depth) for k, (_, depth) in enumerate(order)]
+    assert sum(rows) < 10 * n
+
+
 def test_dense_order(spark):
     frame = spark.range(1000).selectExpr("id * 7919 % 1000 AS v", "id").repartition(7)
     got = dense_order(frame, ["v"], "at").collect()
