@@ -24,6 +24,8 @@ Keep = Callable[[DataFrame], DataFrame]
 SHARE = 8
 #: Rows in a row that are summed together.
 BLOCK = 4096
+#: Tables of rows that wait for their level, before those that still do are written together.
+TABLES = 8
 
 
 def factor_pattern(a: DataFrame) -> DataFrame:
@@ -184,39 +186,71 @@ def _depths(tree: DataFrame, keep: Keep) -> DataFrame:
     return known.select("node", "parent", "depth")
 
 
+def _levels(lower: DataFrame, pattern: DataFrame, keep: Keep) -> DataFrame:
+    """``node, level``: columns in an order in which all that a column needs have a lower level."""
+    nodes = lower.select(F.col("i").alias("node")).union(lower.select(F.col("j").alias("node"))).distinct()
+    columns = pattern.groupBy(F.col("j").alias("node")).agg(F.min("i").alias("parent"), F.max("round").alias("round"))
+    tree = keep(nodes.join(columns, "node", "left"))
+    rounds = tree.agg(F.coalesce(F.max("round") + 1, F.lit(0))).first()[0]
+    core = keep(_depths(tree.where("round IS NULL"), keep))
+    deepest = core.agg(F.coalesce(F.max("depth"), F.lit(0))).first()[0]
+    level = (F.lit(rounds + deepest) - F.col("depth")).cast("int").alias("level")
+    return tree.where("round IS NOT NULL").select("node", F.col("round").alias("level")).union(core.select("node", level))
+
+
+def _both_levels(entries: DataFrame, levels: DataFrame) -> DataFrame:
+    """``i, j, v, level, row_level``: entries with the levels of their columns and rows."""
+    column = levels.select(F.col("node").alias("j"), "level")
+    row = levels.select(F.col("node").alias("i"), F.col("level").alias("row_level"))
+    return entries.join(column, "j").join(row, "i").select("i", "j", "v", "level", "row_level")
+
+
+class _Later:
+    """Rows that wait for their level: written once, read again when it has come."""
+
+    def __init__(self, keep: Keep, column: str):
+        self.keep, self.column, self.tables = keep, column, []
+
+    def add(self, rows: DataFrame, level: int) -> None:
+        """More rows, all for levels beyond ``level``."""
+        self.tables.append(self.keep(rows))
+        if len(self.tables) > TABLES:
+            self.tables = [self.keep(functools.reduce(DataFrame.union, self.tables).where(F.col(self.column) > level))]
+
+    def of(self, level: int) -> DataFrame | None:
+        rows = [t.where(F.col(self.column) == level) for t in self.tables]
+        return functools.reduce(DataFrame.union, rows) if rows else None
+
+
 def cholesky(a: DataFrame) -> DataFrame:
     """``i, j, v``: the factor L of a positive definite A = L L' of which the lower half is read; repeated entries are summed.
 
-    Multifrontal: the front of a column is the triangle of its rows, as rows
-    ``f, i, k, v``. From the deepest level of the elimination tree up, all
-    fronts of a level are summed from the entries of A and from what their
-    children left, give their first column to L, and leave the rest to their
-    parents: the extend-add is the next level's sum. An entry is at home where
-    its column is, so a hub's large front is spread over tasks like any rows.
+    Right-looking: all columns of a level are summed from the entries of A and
+    from what earlier columns have left for them, and scaled. What the pairs
+    of a column's rows take off goes straight to its place, which waits for
+    the level of its column, so it is moved once, however far up the
+    elimination tree that is. Sums begin before the shuffle, so a hub's many
+    updates are spread over tasks.
     """
     with written(a.sparkSession) as keep:
-        lower = a.where("i >= j").groupBy("i", "j").agg(F.sum(F.col("v").cast("double")).alias("v"))
-        lower = keep(lower)
-        tree = keep(_depths(elimination_parents(lower, _pattern(lower, keep).select("i", "j")), keep))
-        own = keep(lower.join(tree.select(F.col("node").alias("j"), "depth"), "j"))
-        deepest = tree.agg(F.max("depth")).first()[0]
-        parts, left = [], None
-        for depth in range(-1 if deepest is None else deepest, -1, -1):
-            entries = own.where(F.col("depth") == depth).select(F.col("j").alias("f"), "i", F.col("j").alias("k"), "v")
-            if left is not None:
-                entries = entries.union(left)
-            front = entries.groupBy("f", "i", "k").agg(F.sum("v").alias("v"))
-            pivot = front.where("i = f AND k = f").select("f", F.col("v").alias("pivot"))
-            front = keep(front.join(pivot, "f"))
-            if not front.where("NOT pivot > 0").isEmpty():
+        lower = keep(a.where("i >= j").groupBy("i", "j").agg(F.sum(F.col("v").cast("double")).alias("v")))
+        levels = keep(_levels(lower, _pattern(lower, keep), keep))
+        own = keep(_both_levels(lower, levels))
+        last = levels.agg(F.max("level")).first()[0]
+        parts, later = [], _Later(keep, "level")
+        for level in range(0 if last is None else last + 1):
+            here, left = own.where(F.col("level") == level), later.of(level)
+            summed = (here if left is None else here.union(left)).groupBy("i", "j", "row_level").agg(F.sum("v").alias("v"))
+            pivot = F.max(F.when(F.col("i") == F.col("j"), F.col("v"))).over(Window.partitionBy("j")).alias("pivot")
+            front = keep(summed.select("i", "j", "row_level", "v", pivot))
+            if not front.where("pivot IS NULL OR NOT pivot > 0").isEmpty():
                 raise ValueError("the matrix is not positive definite")
-            scaled = front.where("k = f").select("f", "i", (F.col("v") / F.sqrt("pivot")).alias("v"))
-            parts.append(scaled.select("i", F.col("f").alias("j"), "v"))
-            below = scaled.where("i > f")
-            pairs = below.join(below.select("f", F.col("i").alias("k"), F.col("v").alias("w")), "f").where("i >= k")
-            rest = front.where("k > f").select("f", "i", "k", "v").union(pairs.select("f", "i", "k", -F.col("v") * F.col("w")))
-            parents = tree.where((F.col("depth") == depth) & F.col("parent").isNotNull()).select(F.col("node").alias("f"), "parent")
-            left = rest.join(parents, "f").select(F.col("parent").alias("f"), "i", "k", "v")
+            scaled = front.select("i", "j", "row_level", (F.col("v") / F.sqrt("pivot")).alias("v"))
+            parts.append(scaled.select("i", "j", "v"))
+            below = scaled.where("i > j")
+            other = below.select("j", F.col("i").alias("k"), F.col("row_level").alias("level"), F.col("v").alias("w"))
+            pairs = below.join(other, "j").where("i >= k")
+            later.add(pairs.select("i", F.col("k").alias("j"), (-F.col("v") * F.col("w")).alias("v"), "level", "row_level"), level)
         factor = lower.where("false").select("i", "j", "v")
         for part in parts:
             factor = factor.union(part)

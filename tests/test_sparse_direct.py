@@ -77,6 +77,11 @@ def test_cholesky_refuses_and_is_empty(spark):
     assert m.cholesky(entries(spark, np.eye(2)).where("false")).count() == 0
 
 
+def test_cholesky_refuses_a_column_without_diagonal(spark):
+    with pytest.raises(ValueError, match="positive definite"):
+        m.cholesky(spark.createDataFrame([(1, 0, 1.0), (1, 1, 3.0)], "i long, j long, v double"))
+
+
 @pytest.mark.parametrize("upper", [False, True])
 def test_triangular_solve_touches_the_reach(spark, upper):
     t = np.tril(random_spd(9, 20, 25))
