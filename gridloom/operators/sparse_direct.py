@@ -266,46 +266,79 @@ def column_reach(t: DataFrame, start: DataFrame) -> DataFrame:
 def _reach(t: DataFrame, start: DataFrame, keep: Keep) -> DataFrame:
     edges = keep(t.where("i <> j").select("i", "j"))
     seen = front = keep(start.select("i").distinct())
-    while not front.isEmpty():
-        front = keep(edges.join(front.withColumnRenamed("i", "j"), "j").select("i").distinct().join(seen, "i", "left_anti"))
+    total = edges.count()
+    while (ahead := front.count()) > 0:
+        met = front.select(F.col("i").alias("j"), F.lit(True).alias("met"))
+        if ahead * SHARE >= total:  # many edges have been gone along and need not be looked at again
+            marked = keep(edges.join(met, "j", "left"))
+            come, edges = marked.where("met").select("i"), marked.where("met IS NULL").select("i", "j")
+            total = edges.count()
+        else:
+            come = edges.join(met, "j").select("i")
+        front = keep(come.distinct().join(seen, "i", "left_anti"))
         seen = seen.union(front)
     return seen
 
 
+def _schedule(edges: DataFrame, keep: Keep) -> tuple[DataFrame, int]:
+    """``node, level`` of ends of ``i, j`` where ``i`` needs ``j``, and the level of those in no row: what a node needs has a lower level.
+
+    Nodes that need none that is left are taken from the front, those that
+    none needs from the back, so rounds move what is left in between,
+    whichever end of the pattern is the broad one.
+    """
+    front, back, rounds = [], [], 0
+    while not edges.isEmpty():
+        needing = edges.select(F.col("i").alias("j"), F.lit(True).alias("needs")).distinct()
+        needed = edges.select(F.col("j").alias("i"), F.lit(True).alias("is_needed")).distinct()
+        edges = edges.join(needing, "j", "left").join(needed, "i", "left")
+        edges = keep(edges.select("i", "j", F.col("needs").isNull().alias("first"), F.col("is_needed").isNull().alias("last")))
+        if edges.where("first OR last").isEmpty():
+            raise ValueError("the matrix is not triangular")
+        front.append(edges.where("first").select(F.col("j").alias("node")).distinct())
+        back.append(edges.where("last").select(F.col("i").alias("node")).distinct())
+        edges = edges.where("NOT first AND NOT last").select("i", "j")
+        rounds += 1
+    levels = [f.select("node", F.lit(k).alias("level")) for k, f in enumerate(front)]
+    levels += [f.select("node", F.lit(2 * rounds - k).alias("level")) for k, f in enumerate(back)]
+    none = edges.select(F.col("i").alias("node"), F.lit(0).alias("level")).where("false")
+    return functools.reduce(DataFrame.union, levels, none), rounds
+
+
 def triangular_solve(t: DataFrame, b: DataFrame) -> DataFrame:
     """``i, x`` of T x = b for a triangular ``i, j, v``, lower or upper, and a sparse right side ``i, x``.
 
-    Only the reach of the right side is touched. An unknown is ready when all
-    that its row needs are; all that are ready are divided, multiplied and
-    summed at once, so there are as many steps as levels of the pattern.
-    Repeated entries of ``t`` and ``b`` are summed; unknowns outside of the
-    reach are zero and not returned.
+    Only the reach of the right side is touched. Unknowns are dealt into
+    levels beforehand, so that an entry is moved when its column is known and
+    what it adds waits for the level of its row; there are as many steps as
+    levels of the pattern. Repeated entries of ``t`` and ``b`` are summed;
+    unknowns outside of the reach are zero and not returned.
     """
     with written(t.sparkSession) as keep:
         right = keep(b.groupBy("i").agg(F.sum(F.col("x").cast("double")).alias("x")))
-        whole = t.groupBy("i", "j").agg(F.sum(F.col("v").cast("double")).alias("v"))
+        whole = keep(t.groupBy("i", "j").agg(F.sum(F.col("v").cast("double")).alias("v")))
         reach = keep(_reach(whole, right, keep))
         inside = keep(whole.join(reach, "i", "left_semi").join(reach.withColumnRenamed("i", "j"), "j", "left_semi"))
         strict = inside.where("i <> j")
         diagonal = inside.where("i = j").select("i", F.col("v").alias("d"))
-        needs = strict.groupBy("i").agg(F.count(F.lit(1)).alias("needs"))
-        start = reach.join(right, "i", "left").join(needs, "i", "left").join(diagonal, "i", "left")
-        waiting = keep(start.select("i", "d", F.coalesce("needs", F.lit(0)).alias("needs"), F.coalesce("x", F.lit(0.0)).alias("x")))
-        if not waiting.where("d IS NULL OR d = 0").isEmpty():
+        start = keep(reach.join(right, "i", "left").join(diagonal, "i", "left").select("i", "d", F.coalesce("x", F.lit(0.0)).alias("x")))
+        if not start.where("d IS NULL OR d = 0").isEmpty():
             raise ValueError("the matrix is singular")
-        parts = [waiting.where("needs = 0").select("i", (F.col("x") / F.col("d")).alias("x"))]
-        while not waiting.where("needs > 0").isEmpty():
-            ready = parts[-1].select(F.col("i").alias("j"), F.col("x").alias("known"))
-            come = strict.join(ready, "j").groupBy("i").agg(F.count(F.lit(1)).alias("came"), F.sum(F.col("v") * F.col("known")).alias("sum"))
-            waiting = waiting.where("needs > 0").join(come, "i", "left")
-            waiting = keep(waiting.select("i", "d", (F.col("needs") - F.coalesce("came", F.lit(0))).alias("needs"), (F.col("x") - F.coalesce("sum", F.lit(0.0))).alias("x")))
-            parts.append(waiting.where("needs = 0").select("i", (F.col("x") / F.col("d")).alias("x")))
-            if parts[-1].isEmpty():
-                raise ValueError("the matrix is not triangular")
-        solved = parts[0]
-        for part in parts[1:]:
-            solved = solved.union(part)
-        return cut(solved)
+        levels, middle = _schedule(strict.select("i", "j"), keep)
+        levels = keep(reach.withColumnRenamed("i", "node").join(levels, "node", "left").select("node", F.coalesce("level", F.lit(middle)).alias("level")))
+        strict = keep(_both_levels(strict, levels))
+        start = keep(start.join(levels.withColumnRenamed("node", "i"), "i"))
+        parts, later = [start.where("false").select("i", "x")], _Later(keep, "row_level")
+        for level in range(2 * middle + 1):
+            here, come = start.where(F.col("level") == level), later.of(level)
+            x = F.col("x")
+            if come is not None:
+                here, x = here.join(come.groupBy("i").agg(F.sum("s").alias("s")), "i", "left"), x - F.coalesce("s", F.lit(0.0))
+            solved = keep(here.select("i", (x / F.col("d")).alias("x")))
+            parts.append(solved)
+            known = solved.select(F.col("i").alias("j"), "x")
+            later.add(strict.where(F.col("level") == level).join(known, "j").select("i", "row_level", (F.col("v") * F.col("x")).alias("s")), level)
+        return cut(functools.reduce(DataFrame.union, parts))
 
 
 def cholesky_solve(factor: DataFrame, b: DataFrame) -> DataFrame:
