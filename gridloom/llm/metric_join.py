@@ -14,7 +14,9 @@ of its nearest pivot. With ``e`` the largest distance of a link:
   of ``p``, and no further from it than ``2 e`` beyond the distance to the
   partner's own pivot: documents in that window are replicated to the cell,
   where they meet the core documents whose distance to ``p`` differs by ``e``
-  at most, unless both are in one component by then;
+  at most, unless both are in one component by then; a few of each core come
+  first, as what they link spares the rest, and bitmaps, sizes and places of
+  shingles rule pairs out before they are made;
 * the documents of no core stay, and the list without pivots and cores is
   joined the same way again. What is left of lists after ``LEVELS`` rounds is
   joined by pairs across components, with filters by size and position.
@@ -29,7 +31,6 @@ from __future__ import annotations
 
 import functools
 import zlib
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,25 +41,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from gridloom.llm.common import as_bytes, map_arrow
-from gridloom.llm.minhash import BUCKETS, _buckets, shingle_set
+from gridloom.llm.common import as_bytes, map_arrow, shingle_sets
+from gridloom.llm.minhash import BUCKETS, _buckets
 from gridloom.plans.components import connected_components
 from gridloom.plans.durable import cut, scratch, tidy
 
 #: Pivots of a list at each level, and levels before pairs are taken.
 PIVOTS, LEVELS = 2, 3
+#: Members of a core that the others meet before all do.
+HUBS = 4
+#: Numbers of 64 bits in the bitmaps of equal size by which pairs are ruled out where cores meet windows.
+FOLD = 16
 #: Ids of documents that may be broadcast (some MB).
 BROADCAST_IDS = 500_000
 #: Distances are fractions of whole numbers; windows are wider by so much than the rounding of two of them.
 SLACK = 1e-9
 
 
-def bitmap(shingles: np.ndarray) -> bytes:
-    """A bit for each shingle, two bits or more of room for each."""
-    size = 1 << max(6, (2 * len(shingles) - 1).bit_length())
-    bits = np.zeros(size, dtype=np.uint8)
-    bits[(shingles & np.uint64(size - 1)).astype(np.int64)] = 1
-    return np.packbits(bits, bitorder="little").tobytes()
+def bitmap(shingles: np.ndarray, size: int | None = None) -> bytes:
+    """For each of ``size`` parts of the hashes, or two parts or more for each shingle, whether an odd number of shingles falls into it."""
+    size = size or 1 << max(6, (2 * len(shingles) - 1).bit_length())
+    parity = np.bincount((shingles & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint8) & 1
+    return np.packbits(parity, bitorder="little").tobytes()
 
 
 def apart(a: bytes, b: bytes) -> int:
@@ -67,12 +71,12 @@ def apart(a: bytes, b: bytes) -> int:
     if len(one) < len(two):
         one, two = two, one
     while len(one) > len(two):
-        one = one[: len(one) // 2] | one[len(one) // 2 :]
+        one = one[: len(one) // 2] ^ one[len(one) // 2 :]
     return int(np.bitwise_count(one ^ two).sum())
 
 
 def set_keys(source: DataFrame, words: int) -> DataFrame:
-    """``id, n_shingles, set_key, bits, counts`` of ``id, text``: a 128-bit hash and a bitmap of the set, both null for an empty one.
+    """``id, n_shingles, set_key, bits, fold, counts`` of ``id, text``: a 128-bit hash, a bitmap and one of FOLD numbers of the set, null for an empty one.
 
     Each task adds a row of its own, whose ``counts`` say how many shingles of
     its texts fall into each bucket of their hashes.
@@ -80,22 +84,24 @@ def set_keys(source: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(2 * BUCKETS, dtype=np.int64)
-        names = ["id", "n_shingles", "set_key", "bits", "counts"]
+        names = ["id", "n_shingles", "set_key", "bits", "fold", "counts"]
         for batch in batches:
-            sets = [shingle_set(text, words) for text in as_bytes(batch.column(1))]
+            sets = shingle_sets(as_bytes(batch.column(1)), words)
             for bucket in _buckets(np.concatenate(sets)) if sets else ():
                 counts += np.bincount(bucket, minlength=2 * BUCKETS)
             keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             bits = [bitmap(s) if len(s) else None for s in sets]
+            folds = pa.array([np.frombuffer(bitmap(s, 64 * FOLD), dtype="<i8") if len(s) else None for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(keys, pa.binary()), pa.array(bits, pa.binary()), pa.nulls(len(sets), pa.binary())], names
+                [batch.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(keys, pa.binary()), pa.array(bits, pa.binary()), folds, pa.nulls(len(sets), pa.binary())], names
             )
-        own = [pa.array([None], source_type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([zlib.compress(counts.astype("<i8").tobytes(), 1)])]
+        own = [pa.array([None], source_type), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.list_(pa.int64())), pa.array([zlib.compress(counts.astype("<i8").tobytes(), 1)])]
         yield pa.RecordBatch.from_arrays(own, names)
 
     source_type = to_arrow_type(source.schema["id"].dataType)
-    binary = [T.StructField(c, T.BinaryType()) for c in ("set_key", "bits", "counts")]
-    return map_arrow(source, run, T.StructType([T.StructField("id", source.schema["id"].dataType), T.StructField("n_shingles", T.LongType()), *binary]))
+    key, bits, counts = (T.StructField(c, T.BinaryType()) for c in ("set_key", "bits", "counts"))
+    fold = T.StructField("fold", T.ArrayType(T.LongType()))
+    return map_arrow(source, run, T.StructType([T.StructField("id", source.schema["id"].dataType), T.StructField("n_shingles", T.LongType()), key, bits, fold, counts]))
 
 
 def rarity_levels(keyed: DataFrame) -> np.ndarray:
@@ -122,13 +128,13 @@ def rare_prefixes(texts: DataFrame, levels: np.ndarray, words: int, percent: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lengths, sizes, tokens = [], [], [np.empty(0, dtype=np.uint64)]
-            for text in as_bytes(batch.column(1)):
-                shingles = shingle_set(text, words)
+            for shingles in shingle_sets(as_bytes(batch.column(1)), words):
                 n = len(shingles)
                 one, two = _buckets(shingles)
                 lengths.append(n - -(-percent * n // 100) + 1 if n else 0)
                 sizes.append(n)
-                tokens.append(shingles[np.lexsort((shingles, np.minimum(levels[one], levels[two])))[: lengths[-1]]])
+                # in order already, so a stable order by level is one by level and hash
+                tokens.append(shingles[np.argsort(np.minimum(levels[one], levels[two]), kind="stable")[: lengths[-1]]])
             length = np.array(lengths, dtype=np.int64)
             row = np.repeat(np.arange(len(lengths)), length)
             at = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)
@@ -165,20 +171,13 @@ def distances(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     needed = texts.join(_few(cut(ends)), "id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: OrderedDict = OrderedDict()
-
-        def of(key, text: bytes) -> np.ndarray:
-            if key not in sets:
-                if len(sets) >= 64:
-                    sets.popitem(last=False)
-                sets[key] = shingle_set(text, words)
-            return sets[key]
-
         for batch in batches:
             common, total = [], []
             ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b, x, y in zip(*ids, as_bytes(batch.column(2)), as_bytes(batch.column(3)), strict=True):
-                one, two = of(a, x), of(b, y)
+            texts_of = dict(zip(ids[0] + ids[1], as_bytes(batch.column(2)) + as_bytes(batch.column(3)), strict=True))
+            sets = dict(zip(texts_of, shingle_sets(list(texts_of.values()), words), strict=True))
+            for a, b in zip(*ids, strict=True):
+                one, two = sets[a], sets[b]
                 at = np.searchsorted(two, one)
                 at[at == len(two)] = 0
                 both = int((two[at] == one).sum())
@@ -192,11 +191,22 @@ def distances(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     return cut(map_arrow(joined, run, T.StructType(fields)))
 
 
-def _possible(one: str, two: str, percent: int) -> F.Column:
-    """Size and position filters for rows ``n, at`` of a shingle in common: whether a similarity of ``percent`` is possible."""
+def _in_size(one: str, two: str, percent: int) -> F.Column:
+    """Whether sets of sizes ``n`` can have a similarity of ``percent``."""
     n_a, n_b = F.col(f"{one}.n"), F.col(f"{two}.n")
-    ahead = F.least(n_a - F.col(f"{one}.at"), n_b - F.col(f"{two}.at"))
-    return (ahead * (100 + percent) >= (n_a + n_b) * percent) & (100 * n_a >= percent * n_b) & (100 * n_b >= percent * n_a)
+    return (100 * n_a >= percent * n_b) & (100 * n_b >= percent * n_a)
+
+
+def _not_apart(one: str, two: str, percent: int) -> F.Column:
+    """Whether the bitmaps ``fold`` allow a similarity of ``percent``."""
+    bits = [F.bit_count(F.get(f"{one}.fold", F.lit(k)).bitwiseXOR(F.get(f"{two}.fold", F.lit(k)))) for k in range(FOLD)]
+    return functools.reduce(lambda a, b: a + b, bits) * (100 + percent) <= (F.col(f"{one}.n") + F.col(f"{two}.n")) * (100 - percent)
+
+
+def _in_place(one: str, two: str, percent: int) -> F.Column:
+    """The same for rows ``n, at`` of a shingle in common, by its places."""
+    n_a, n_b = F.col(f"{one}.n"), F.col(f"{two}.n")
+    return F.least(n_a - F.col(f"{one}.at"), n_b - F.col(f"{two}.at")) * (100 + percent) >= (n_a + n_b) * percent
 
 
 def _several(rows: DataFrame) -> DataFrame:
@@ -232,19 +242,25 @@ def _level(listed: DataFrame, texts: DataFrame, sketches: DataFrame, words: int,
     # a pivot is no document of another's cell: all of its pairs are measured
     cells = cut(cells.join(own, ["token", "id"], "left_anti"))
     cores = cells.where("home.is_link").select("token", "home.p", "id", "n", "at", "home.d")
-    window = cells.select("token", "id", "n", "at", "home", F.explode("pivots").alias("w")).where(F.col("w.d") <= F.col("home.d") + reach)
-    window = window.where(~(F.col("home.is_link") & (F.col("home.p") == F.col("w.p")))).select("token", "w.p", "id", "n", "at", "w.d")
+    window = cells.select("id", "n", "at", "home", F.explode("pivots").alias("w")).where(F.col("w.d") <= F.col("home.d") + reach)
+    window = window.where(~(F.col("home.is_link") & (F.col("home.p") == F.col("w.p")))).select("w.p", "id", "n", "at", "w.d")
     gone = cores.select("token", "id").union(own)
-    return links, cores, window, listed.drop("pivots").join(gone, ["token", "id"], "left_anti")
+    # the distance to a pivot is that of all lists it is in, so its cells of all lists are one
+    return links, cores.drop("token"), window, listed.drop("pivots").join(gone, ["token", "id"], "left_anti")
+
+
+def _hubs(rows: DataFrame, key: str) -> DataFrame:
+    """A few rows of each ``key``: the first by hash of each of HUBS parts."""
+    part = F.pmod(F.xxhash64(F.lit(2), "id"), F.lit(HUBS))
+    return rows.groupBy(key, part.alias("part")).agg(F.min(F.struct(F.xxhash64("id").alias("by"), *(c for c in rows.columns if c != key))).alias("hub")).select(key, "hub.*").drop("by")
 
 
-def _crossing(left: DataFrame, right: DataFrame, keys: list[str], groups: DataFrame, percent: int, more: F.Column | None = None) -> DataFrame:
-    """Distinct pairs of rows that agree in ``keys``, are in different components and pass the filters."""
+def _crossing(left: DataFrame, right: DataFrame, key: str, groups: DataFrame, percent: int, more: F.Column) -> DataFrame:
+    """Distinct pairs of rows that agree in ``key``, are in different components and pass the filters."""
     x, y = (
         side.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id")).alias(name) for side, name in ((left, "x"), (right, "y"))
     )
-    same = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys]
-    joined = x.join(y, [*same, F.col("x.component") != F.col("y.component"), _possible("x", "y", percent), *([more] if more is not None else [])])
+    joined = x.join(y, [F.col(f"x.{key}") == F.col(f"y.{key}"), F.col("x.component") != F.col("y.component"), _in_size("x", "y", percent), more])
     return cut(joined.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
 
 
@@ -288,12 +304,22 @@ def _groups(texts: DataFrame, sketches: DataFrame, levels: np.ndarray, words: in
 
     groups = cut(connected_components(joined(links), "a", "b").withColumnRenamed("node", "id"))
     if cores:
-        # cells of a list's levels do not meet: a pivot leaves its list with its level
-        within = F.col("x.d") + (100 - percent) / 100 + SLACK >= F.col("y.d")
-        groups = merged(groups, confirmed(_crossing(joined(cores), joined(windows), ["token", "p"], groups, percent, within)))
+        # a pivot's cells of all levels and lists meet; each pair that only some of them have to tell is told once
+        folds = sketches.select("id", "fold")
+
+        def told_once(parts: list[DataFrame]) -> DataFrame:
+            # the place of the first shingle in common is no lower than the least place of all lists
+            rows = joined(parts).groupBy("p", "id").agg(F.min("at").alias("at"), F.first("n").alias("n"), F.first("d").alias("d"))
+            return cut(rows.join(folds, "id"))
+
+        inside, around = told_once(cores), told_once(windows)
+        within = (F.col("x.d") + (100 - percent) / 100 + SLACK >= F.col("y.d")) & _in_place("x", "y", percent) & _not_apart("x", "y", percent)
+        # a few of each core first: what they link needs no more pairs
+        for core in (_hubs(inside, "p"), inside):
+            groups = merged(groups, confirmed(_crossing(core, around, "p", groups, percent, within)))
     if not listed.isEmpty():
         left = listed.drop("pivots")
-        groups = merged(groups, confirmed(_crossing(left, left, ["token"], groups, percent, F.col("x.id") < F.col("y.id"))))
+        groups = merged(groups, confirmed(_crossing(left, left, "token", groups, percent, _in_place("x", "y", percent) & (F.col("x.id") < F.col("y.id")))))
     return groups
 
 
@@ -318,7 +344,7 @@ def similarity_components(docs: DataFrame, words: int = 5, percent: int = 80, id
     sets = keyed.where("counts IS NULL").drop("counts")
     classes = cut(sets.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("id").alias("rep")))
     reps = _few(classes.select(F.col("rep").alias("id")))
-    sketches = sets.select("id", "n_shingles", "bits").join(reps, "id", "left_semi")
+    sketches = sets.select("id", "n_shingles", "bits", "fold").join(reps, "id", "left_semi")
     groups = _groups(known.join(reps, "id", "left_semi"), sketches, rarity_levels(keyed), words, percent)
     # equal sets have the group of their smallest id, which is the smallest of the group if that one is
     of_rep = classes.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_llm import DOCS, LONG, ODD
 
-from gridloom.llm import metric_join, phrases, prefix_trie
+from gridloom.llm import common, metric_join, minhash, phrases, prefix_trie
 
 TURNS = "conv_id long, turn long, role string, text string"
 
@@ -226,6 +226,40 @@ def test_components_at_every_level(spark, levels, monkeypatch):
     assert got == components_by_hand(rows, 5, 80)
 
 
+def test_shingles_of_a_batch_are_those_of_each_text():
+    long = "x" * 500
+    texts = [None, "", " \t", "A b", "a\x0bB", f"{long} y z w v u", f"{long}x y z w v u", "\u00c9t\u00e9 \x1c a", "a b c d e A B C D E a b c d e", "", "one two three four five six"] * 9
+    data = [t.encode() if t is not None else None for t in texts]
+    for words in (1, 3, 5):
+        got = common.shingle_sets(data, words)
+        assert [len(g) for g in got] == [len(minhash.shingle_set(t, words)) for t in data]
+        assert all(np.array_equal(g, common.shingle_sets([t], words)[0]) and np.array_equal(g, np.unique(g)) for g, t in zip(got, data, strict=True))
+        assert np.array_equal(got[3], got[4]) and not len(np.intersect1d(got[5][:1], got[6][:1]))
+
+
+def test_pairs_of_a_hot_core_do_not_grow_with_its_square(spark, monkeypatch):
+    """Copies of one text that differ from each other by more than a link allows: few pairs are made, though all are near a pivot."""
+    draw = np.random.default_rng(5)
+    base = [f"w{k}" for k in range(200)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 301):
+        words = list(base)
+        for at in draw.choice(40, 5, replace=False) * 5:
+            words[at] = f"c{i}_{at}"
+        rows.append((i, " ".join(words)))
+    made, crossing = [], metric_join._crossing
+
+    def counted(*args):
+        pairs = crossing(*args)
+        made.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(metric_join, "_crossing", counted)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in metric_join.similarity_components(frame).collect()}
+    assert got == components_by_hand(rows, 5, 80) and sum(made) < 10 * len(rows)
+
+
 def test_components_of_odd_rows(spark, empty_docs):
     rows = [r[:2] for r in ODD]
     got = metric_join.similarity_components(spark.createDataFrame(ODD, DOCS).repartition(3)).collect()
