@@ -8,11 +8,14 @@ words themselves. A line goes if a similar or equal one comes before it.
 
 A line's place (the order of its row, then its place in the text) is its name
 as well, so every pair is known in its order: only pairs whose later line is
-not known to go yet are met. Candidates come in two rounds, so that a cluster
-of many similar lines does not cost all its pairs: first the lines of long
-word lists with the earliest line of each list, then the rest. A bitmap of
-each line's words travels along and rules out nearly all other pairs before
-their texts are fetched; it never rules out a similar one.
+not known to go yet are met. Lines of long word lists first meet a few
+random lines of each list. Lists in which that finds many pairs hold a cluster of
+lines alike; these meet sixteen times as many in each further round, those that
+go being left out, until all of the list is met. So a line finds a few similar
+ones at a time however large its cluster is. All other lists are met whole. A
+bitmap of each line's words travels along, in hot lists the hashes of all of
+them, and rules out nearly all other pairs before their texts are fetched; it
+never rules out a similar one.
 
 Where candidates are sought words are told apart by the rarity and 58 bits of
 their hash.
@@ -21,7 +24,6 @@ their hash.
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,26 +40,35 @@ BUCKETS = 1 << 20
 PACKED = 12
 #: The level from which on words may be in many prefixes: in 32 lines or more.
 LONG_LEVEL = 6
+#: Lines drawn from each long list at first, at most, about.
+DRAWN = 4
+#: A word list in which they make so many pairs is met in rounds.
+HOT_PAIRS = 16
+#: In each round a line meets so many times as many lines of a list.
+GROWTH = 16
 #: Ids that may be broadcast to filter by.
 BROADCAST_ROWS = 1_000_000
 #: The words are dealt with in so many parts, so that only one part's exchange is on disk at a time.
-WORD_PARTS = 4
-#: Lines of more words have a bitmap of four parts, 64 bits each; that of others is the four on top of each other.
-SHORT_LINE = 64
+WORD_PARTS = 2
+#: Lines of more words have a bitmap of two parts, 64 bits each; that of others is the two added up.
+SHORT_LINE = 90
 #: What is told about each text besides its lines.
 COUNTS = ("n_lines", "n_removed")
-PARTS = ("bits0", "bits1", "bits2", "bits3")
 _HASH_BITS = 58
 #: White space in a line besides the blank.
 _ODD_SPACE = "\t\x0b\x0c\r"
 _PLACE_BITS = 31
 
 
-def line_words(line: Column) -> Column:
-    """The words of a line, which may repeat; they end at ASCII white space."""
+def _spaced(line: Column) -> Column:
+    """``line`` with all white space as blanks."""
     odd = functools.reduce(lambda a, b: a | b, (F.contains(line, F.lit(c)) for c in _ODD_SPACE))
-    split = F.when(odd, F.split(line, "[\\x09-\\x0D\\x20]+")).otherwise(F.split(line, " "))
-    return F.array_remove(split, "")
+    return F.when(odd, F.translate(line, _ODD_SPACE, " " * len(_ODD_SPACE))).otherwise(line)
+
+
+def line_words(line: Column) -> Column:
+    """The words of a line, which may repeat; they end at blanks."""
+    return F.array_remove(F.split(line, " "), "")
 
 
 def _blank(line: Column) -> Column:
@@ -86,41 +97,39 @@ def rarity_levels(lines: DataFrame) -> bytes:
     return bytes(levels[:BUCKETS])
 
 
+def _hashes(words: Column) -> Column:
+    return F.array_distinct(F.transform(words, lambda word: F.xxhash64(word)))
+
+
 def rarest_first(words: Column, levels: bytes) -> Column:
     """The different words as numbers that sort by rarity level, then by hash."""
 
-    def number(word: Column) -> Column:
-        at = (_bucket(word) + 1).cast("int")
+    def number(hashed: Column) -> Column:
+        at = (hashed.bitwiseAND(F.lit(BUCKETS - 1)) + 1).cast("int")
         level = F.ascii(F.substring(F.lit(levels), at, F.lit(1)).cast("string"))
-        return F.shiftleft(level.cast("long"), _HASH_BITS).bitwiseOR(F.shiftrightunsigned(F.xxhash64(word), 64 - _HASH_BITS))
+        return F.shiftleft(level.cast("long"), _HASH_BITS).bitwiseOR(F.shiftrightunsigned(hashed, 64 - _HASH_BITS))
 
-    return F.sort_array(F.array_distinct(F.transform(words, number)))
+    return F.sort_array(F.transform(_hashes(words), number))
 
 
 def _bitmaps(words: Column) -> list[Column]:
-    """The columns of a line's bitmap: a word's bit is its last six of the hash, its part the two before; short lines have the first only."""
+    """The columns of a line's bitmap: a word turns over the bit of its last six of the hash, in the part of the one before; short lines have one part only."""
     none, long = F.lit(0).cast("long"), F.size(words) > SHORT_LINE
 
-    def bit(word: Column) -> Column:
-        return F.call_function("shiftleft", F.lit(1).cast("long"), word.bitwiseAND(F.lit(63)).cast("int"))
+    def turned(seen: Column, word: Column) -> Column:
+        return seen.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), word.bitwiseAND(F.lit(63)).cast("int")))
 
     def of(part: int) -> Column:
-        here = F.lit(len(PARTS) - 1 << 6)
-        return F.aggregate(words, none, lambda seen, w: F.when(w.bitwiseAND(here) == part << 6, seen.bitwiseOR(bit(w))).otherwise(seen))
+        return F.aggregate(words, none, lambda seen, w: F.when(w.bitwiseAND(F.lit(64)) == part << 6, turned(seen, w)).otherwise(seen))
 
-    whole = F.aggregate(words, none, lambda seen, w: seen.bitwiseOR(bit(w)))
-    return [F.when(long, of(k)).otherwise(whole if k == 0 else F.lit(None).cast("long")).alias(c) for k, c in enumerate(PARTS)]
+    return [F.when(long, of(0)).otherwise(F.aggregate(words, none, turned)).alias("bits"), F.when(long, of(1)).alias("more")]
 
 
 def _apart(a: str, b: str) -> Column:
-    """How many bits of the bitmaps differ: no more than words do."""
-
-    def folded(side: str) -> Column:
-        parts = [F.col(f"{side}.{c}") for c in PARTS]
-        return F.when(parts[1].isNull(), parts[0]).otherwise(functools.reduce(Column.bitwiseOR, parts))
-
-    by_part = sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in PARTS), F.lit(0))
-    return F.coalesce(by_part, F.bit_count(folded(a).bitwiseXOR(folded(b))))
+    """How many bits of the bitmaps differ: no more than words do, as a word not in common turns over one."""
+    bits, more = (F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")) for c in ("bits", "more"))
+    whole = (F.col(f"{side}.bits").bitwiseXOR(F.coalesce(F.col(f"{side}.more"), F.lit(0).cast("long"))) for side in (a, b))
+    return F.when(more.isNotNull(), F.bit_count(bits) + F.bit_count(more)).otherwise(F.bit_count(functools.reduce(Column.bitwiseXOR, whole)))
 
 
 def _prefix(words: Column) -> Column:
@@ -131,47 +140,96 @@ def _prefix(words: Column) -> Column:
     return F.when(equal, F.array(F.xxhash64(words))).otherwise(F.slice(words, F.lit(1), length))
 
 
+def _enough(common: Column, a: str, b: str) -> Column:
+    """Whether so many words in common may be NUMERATOR / DENOMINATOR of those of both sides."""
+    return common * (NUMERATOR + DENOMINATOR) >= (F.col(f"{a}.n") + F.col(f"{b}.n")) * NUMERATOR
+
+
 def _candidate(a: str, b: str) -> Column:
     """``a`` before ``b``, length filter, positional filter for a first word in common, and the bitmaps' bound on the words not in common."""
     n_a, n_b = F.col(f"{a}.n"), F.col(f"{b}.n")
     before = (F.col(f"{a}.o") < F.col(f"{b}.o")) | ((F.col(f"{a}.o") == F.col(f"{b}.o")) & (F.col(f"{a}.x") < F.col(f"{b}.x")))
     in_size = (n_a * DENOMINATOR >= n_b * NUMERATOR) & (n_b * DENOMINATOR >= n_a * NUMERATOR)
-    # words in common at least: both times NUMERATOR by NUMERATOR + DENOMINATOR, rounded up in whole numbers
-    common = F.expr(f"((`{a}`.n + `{b}`.n) * {NUMERATOR} + {NUMERATOR + DENOMINATOR - 1}) div {NUMERATOR + DENOMINATOR}")
-    ahead = F.least(n_a - F.col(f"{a}.at"), n_b - F.col(f"{b}.at")) >= common
-    return in_size & ahead & before & (_apart(a, b) <= n_a + n_b - 2 * common)
+    ahead = _enough(F.least(n_a - F.col(f"{a}.at"), n_b - F.col(f"{b}.at")), a, b)
+    few_apart = _apart(a, b) * (NUMERATOR + DENOMINATOR) <= (n_a + n_b) * (DENOMINATOR - NUMERATOR)
+    return before & in_size & ahead & few_apart
 
 
 def _broadcast_if_few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def _index(prefixes: DataFrame, part: int, *more: str) -> DataFrame:
-    rows = prefixes.select("o", "x", "n", *PARTS, *more, F.posexplode("prefix").alias("at", "word"))
-    return rows.where(F.pmod("word", F.lit(WORD_PARTS)) == part)
+def _index(prefixes: DataFrame, *more: str) -> DataFrame:
+    return prefixes.select("o", "x", "n", "bits", "more", *more, F.posexplode("prefix").alias("at", "word"))
 
 
-def _in_parts(pairs_of: Callable[[int], DataFrame]) -> DataFrame:
-    """Candidate pairs of all words, a part of the words at a time."""
-    met = [F.col(f"{side}.{c}").alias(f"{c}_{side}") for side in "ab" for c in "ox"]
-    parts = [cut(pairs_of(k).select(*met).distinct()) for k in range(WORD_PARTS)]
-    return functools.reduce(DataFrame.union, parts).distinct()
+def _met() -> list[Column]:
+    return [F.col(f"{side}.{c}").alias(f"{c}_{side}") for side in "ab" for c in "ox"]
 
 
-def _leader_pairs(prefixes: DataFrame, part: int) -> DataFrame:
-    """Lines with the earliest one of each long word list they are in."""
-    long = F.shiftrightunsigned("word", _HASH_BITS) >= LONG_LEVEL
-    # words that stand for whole sets have no level; their lists are those of equal lines
-    rows = _index(prefixes, part).where(long | (F.col("n") < NUMERATOR))
-    first = rows.groupBy("word").agg(F.min(F.struct("o", "x", "n", "at", *PARTS)).alias("f")).select("word", "f.*")
-    return rows.alias("b").join(first.alias("a"), (F.col("a.word") == F.col("b.word")) & _candidate("a", "b"))
+def _level(word: Column) -> Column:
+    return F.shiftrightunsigned(word, _HASH_BITS).cast("int")
 
 
-def _other_pairs(prefixes: DataFrame, removed: DataFrame, part: int) -> DataFrame:
-    """Pairs that share a prefix word and whose later line is not removed yet."""
-    rows = _index(prefixes.join(removed.withColumn("gone", F.lit(True)), ["o", "x"], "left"), part, "gone")
-    both = (F.col("a.word") == F.col("b.word")) & F.col("b.gone").isNull()
-    return rows.alias("a").join(rows.alias("b"), both & _candidate("a", "b"))
+def _drawn(rows: DataFrame, low: int, high: int) -> DataFrame:
+    """Of each word's list those ``low`` to ``high`` of a random order, about: a list has no more rows than its level says."""
+    drawn = F.shiftrightunsigned(F.xxhash64("word", "o", "x"), 33)
+
+    def below(count: int) -> Column:
+        return drawn < F.call_function("shiftright", F.lit(count << 31).cast("long"), _level(F.col("word")))
+
+    return rows.where(below(high) & ~below(low))
+
+
+def _same_short(prefixes: DataFrame) -> DataFrame:
+    """Lines so short that similar ones have equal sets of words, with the first one of their set."""
+    rows = _index(prefixes.where(F.col("n") < NUMERATOR))
+    first = rows.groupBy("word").agg(F.min(F.struct("o", "x", "n", "at", "bits", "more")).alias("f")).select("word", "f.*")
+    return rows.alias("b").join(first.alias("a"), (F.col("a.word") == F.col("b.word")) & _candidate("a", "b")).select(*_met())
+
+
+def _clustered(prefixes: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``o, x`` of lines that go for a line of the same set or of a hot word list, and the hot words, none of whose pairs is left to meet."""
+    long = _index(prefixes.where(F.col("n") >= NUMERATOR)).where(_level(F.col("word")) >= LONG_LEVEL)
+    meets = (F.col("a.word") == F.col("b.word")) & _candidate("a", "b")
+    met = cut(long.alias("b").join(_broadcast_if_few(_drawn(long, 0, DRAWN)).alias("a"), meets).select("b.word", *_met()))
+
+    def often(rows: DataFrame) -> DataFrame:
+        return cut(rows.groupBy("word").agg(F.count(F.lit(1)).alias("often")).where(F.col("often") >= HOT_PAIRS).select("word"))
+
+    # what the lines of a hot list often have besides is as hot, though nothing may have been drawn from its list
+    inside = met.join(_broadcast_if_few(often(met)), "word", "left_semi").select(F.col("o_b").alias("o"), F.col("x_b").alias("x"))
+    hot = often(long.join(_broadcast_if_few(cut(inside.distinct())), ["o", "x"], "left_semi"))
+    removed = _removed(met.drop("word").union(_same_short(prefixes)).distinct(), lines)
+    highest = hot.agg(F.max(_level(F.col("word")))).first()[0]
+    if highest is None:
+        return removed, None
+    long = cut(long.join(_broadcast_if_few(hot), "word", "left_semi"))
+    inside = lines.join(_broadcast_if_few(cut(long.select("o", "x").distinct())), ["o", "x"], "left_semi")
+    long = cut(long.join(inside.select("o", "x", _hashes(line_words(F.col("line"))).alias("words")), ["o", "x"]))
+    meets &= _enough(F.size(F.array_intersect("a.words", "b.words")), "a", "b")
+    count = DRAWN
+    while count < 1 << highest:
+        drawn = _drawn(long, count, min(count * GROWTH, 1 << highest))
+        stay = long.join(_broadcast_if_few(removed), ["o", "x"], "left_anti")
+        met = stay.alias("b").join(drawn.alias("a"), meets).select(*_met()).distinct()
+        removed = cut(removed.union(_removed(met, lines)).distinct())
+        count *= GROWTH
+    return removed, hot
+
+
+def _other_pairs(prefixes: DataFrame, removed: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """Pairs that share a prefix word that is not hot and whose later line is not removed yet, a part of the words at a time."""
+    marked = prefixes.join(_broadcast_if_few(removed).withColumn("gone", F.lit(1)), ["o", "x"], "left").fillna(0, "gone")
+    parts = []
+    for part in range(WORD_PARTS):
+        rows = _index(marked, "gone").where(F.pmod("word", F.lit(WORD_PARTS)) == part)
+        rows = rows if hot is None else rows.join(_broadcast_if_few(hot), "word", "left_anti")
+        # true where b stays; as it names both sides it is not pushed below the join, whose sides are then one exchange
+        stays = F.col("a.n") + F.col("a.gone") > F.col("b.gone") * F.lit((1 << 31) - 1)
+        pairs = rows.alias("a").join(rows.alias("b"), (F.col("a.word") == F.col("b.word")) & stays & _candidate("a", "b"))
+        parts.append(cut(pairs.select(*_met()).distinct()))
+    return functools.reduce(DataFrame.union, parts).distinct()
 
 
 def _removed(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -228,15 +286,13 @@ def kept_lines(docs: DataFrame) -> DataFrame:
         named = split.select("o", place.alias("x"), "line", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"))
         # lines whose 128 bits are equal count as equal
         classes = named.groupBy("k1", "k2").agg(F.min(F.struct("o", "x")).alias("first"), F.first("line").alias("line"))
-        lines = stored(classes.select("first.o", "first.x", "line"), "lines")
+        lines = stored(classes.select("first.o", "first.x", _spaced(F.col("line")).alias("line")), "lines")
 
         ordered = lines.select("o", "x", rarest_first(line_words(F.col("line")), rarity_levels(lines)).alias("w"))
         prefixes = stored(ordered.select("o", "x", F.size("w").alias("n"), *_bitmaps(F.col("w")), _prefix(F.col("w")).alias("prefix")), "prefixes")
 
-        first = _removed(_in_parts(functools.partial(_leader_pairs, prefixes)), lines)
-        known = _broadcast_if_few(first)
-        rest = _removed(_in_parts(functools.partial(_other_pairs, prefixes, known)), lines)
-        removed = cut(first.union(rest).distinct())
+        first, hot = _clustered(prefixes, lines)
+        removed = cut(first.union(_removed(_other_pairs(prefixes, first, hot), lines)).distinct())
         stay = prefixes.select("o", "x").join(_broadcast_if_few(removed), ["o", "x"], "left_anti")
         at = F.col("x").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)).cast("int")
         return cut(stay.groupBy("o", F.shiftright("x", _PLACE_BITS).alias("h")).agg(F.collect_list(at).alias("kept")))
@@ -270,7 +326,7 @@ def _cleaned(docs: DataFrame, own: list[str], id_col: str, text_col: str) -> Dat
     kept = kept_lines(keyed.select("o", "h", text.alias("text")))
     lines = F.split(text, "\n")
     blanks = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda at: _blank(F.get("line_dedup", at)))
-    marked = keyed.join(kept, ["o", "h"], "left").withColumn("line_dedup", lines)
+    marked = keyed.join(kept.hint("shuffle_hash"), ["o", "h"], "left").withColumn("line_dedup", lines)
     places = F.sort_array(F.concat(F.coalesce("kept", F.array().cast("array<int>")), blanks))
     marked = marked.withColumn("left", F.transform(places, lambda at: F.get("line_dedup", at)))
     out = [F.array_join("left", "\n").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in own]

@@ -386,6 +386,27 @@ def test_line_dedup_of_a_cluster(spark):
         assert (got[i] == "") == gone
 
 
+def test_line_dedup_pairs_of_a_cluster_and_a_passage(spark, monkeypatch):
+    """Pairs whose texts are compared grow with the lines of a cluster or of a passage, not with their square."""
+    rng = np.random.default_rng(9)
+    words, passage = [f"w{i}" for i in range(40)], [f"p{i}" for i in range(45)]
+    lines = [" ".join(f"x{i}_{at}" if rng.random() < 0.07 else w for at, w in enumerate(words)) for i in range(300)]
+    lines += [" ".join(passage + [f"y{i}_{k}" for k in range(8)]) for i in range(300)]
+    pairs, removed = [], line_dedup._removed
+
+    def counted(met, texts):
+        pairs.append(met.count())
+        return removed(met, texts)
+
+    monkeypatch.setattr(line_dedup, "_removed", counted)
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
+    sets = [set(t.split()) for t in lines]
+    for i, own in enumerate(sets):
+        assert (got[i] == "") == any(5 * len(own & s) >= 4 * len(own | s) for s in sets[:i])
+    assert sum(pairs) < 12 * len(lines)
+
+
 def test_line_dedup_of_short_lines(spark):
     rng = np.random.default_rng(8)
     lines = [" ".join(f"w{k}" for k in rng.integers(0, 7, rng.integers(1, 8))) for _ in range(400)] + ["Les.", "les.", "", "", " "]
