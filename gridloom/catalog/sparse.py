@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from gridloom.catalog.tables import table
 from gridloom.operators import matching
 from gridloom.operators import sparse_direct as m
+from gridloom.plans.durable import cut, written
 
 CUSTOMERS, NATIONS, REGIONS = 10**15, 2 * 10**15, 3 * 10**15
 
@@ -59,10 +60,11 @@ def sparse_factor_product(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sparse_cholesky_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A x for the solution x of A x = b, b being the prices of the orders."""
-    matrix = network_matrix(spark, sf_dir)
-    x = m.cholesky_solve(m.cholesky(matrix), _prices(spark, sf_dir)).select(F.col("i").alias("j"), "x")
-    full = matrix.union(matrix.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "v"))
-    return full.join(x, "j").groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("b")).select("i", _rounded("b", 4))
+    with written(spark) as keep:
+        matrix = keep(network_matrix(spark, sf_dir))
+        x = m.positive_solve(matrix, _prices(spark, sf_dir)).select(F.col("i").alias("j"), "x")
+        full = matrix.union(matrix.where("i <> j").select(F.col("j").alias("i"), F.col("i").alias("j"), "v"))
+        return cut(full.join(x, "j").groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("b")).select("i", _rounded("b", 4)))
 
 
 def sparse_lower_solve(spark: SparkSession, sf_dir: str) -> DataFrame:

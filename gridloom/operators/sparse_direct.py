@@ -1,10 +1,13 @@
 """Direct methods on one large sparse symmetric or triangular matrix ``i, j, v``, all of them frames.
 
-Indices are any numbers; their order is the order of elimination. Every step is
-a join or an aggregate over the entries that it concerns, so no task holds a
-matrix, a tree or a front. Steps that depend on each other follow the levels of
-the elimination tree: a chain of ``n`` columns needs ``n`` steps, a tree of a
-few levels as many, which is what :mod:`fill_order` is for.
+Indices are any numbers; their order is the order of elimination. Small
+subtrees of the elimination tree do not depend on each other, so the columns of
+each are eliminated where they lie, many subtrees to a task; what they leave for
+the columns above is a smaller matrix that is dealt with alike. For the rest
+every step is a join or an aggregate over the entries that it concerns, so no
+task holds a matrix, a tree or a front, and steps that depend on each other
+follow the levels of the elimination tree: a chain of ``n`` columns needs ``n``
+steps, a tree of a few levels as many, which is what :mod:`fill_order` is for.
 """
 
 from __future__ import annotations
@@ -13,11 +16,16 @@ import functools
 import itertools
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
+from gridloom.plans.components import connected_components
 from gridloom.plans.durable import cut, written
 from gridloom.plans.ordering import dense_order
+from gridloom.plans.shipping import ship
 
 Keep = Callable[[DataFrame], DataFrame]
 #: Rounds take columns or leaves off while that is one of so many or more of what is left.
@@ -26,6 +34,10 @@ SHARE = 8
 BLOCK = 4096
 #: Tables of rows that wait for their level, before those that still do are written together.
 TABLES = 8
+#: Entries of a subtree that one task takes whole, and of a bucket of such subtrees, about.
+PART, BUCKET = 512, 50_000
+#: A task with a bucket looks at so many updates at once.
+UPDATES = 1 << 21
 
 
 def factor_pattern(a: DataFrame) -> DataFrame:
@@ -222,39 +234,239 @@ class _Later:
         return functools.reduce(DataFrame.union, rows) if rows else None
 
 
+def _parts(entries: DataFrame, keep: Keep) -> DataFrame:
+    """``j, bucket``: the columns of subtrees with at most PART entries, whole subtrees to a bucket, from ``i, j`` with ``i >= j``; columns above them are in none.
+
+    What hangs together among columns below a number is a subtree of the
+    elimination tree. So the last columns are taken out, and of what still
+    hangs together in too many entries twice as large a share in each round.
+    """
+    total = entries.count()
+    if total <= PART:
+        return keep(entries.select("j", F.lit(0).alias("bucket")).distinct())
+    bucket = F.pmod(F.xxhash64("name"), F.lit(-(-total // BUCKET))).cast("int").alias("bucket")
+    done, share, left = [], total**-0.5, entries.select("i", "j", F.lit(0).alias("name"))
+    while True:
+        limit = F.percentile_approx("j", F.lit(1 - share), F.lit(int(4 / share))).alias("limit")
+        limits = keep(left.where("i = j").groupBy("name").agg(limit))
+        left = left.join(limits, "name").where("j < limit").select("i", "j", (F.col("i") < F.col("limit")).alias("inside"))
+        # named after the last column it is tied to: in a tree with a hub, that is all
+        named = F.coalesce(F.max(F.when(F.col("inside"), F.col("i"))), F.col("j")).alias("name")
+        columns = keep(left.groupBy("j").agg(F.count(F.lit(1)).alias("entries"), named))
+        other = columns.select(F.col("j").alias("i"), F.col("name").alias("other"))
+        tied = left.where("inside AND i > j").join(columns.select("j", "name"), "j").join(other, "i", "left")
+        apart = keep(tied.select("name", F.coalesce("other", "i").alias("other")).where("name <> other").distinct())
+        if not apart.isEmpty():
+            found = connected_components(apart, "name", "other").withColumnRenamed("node", "name")
+            columns = keep(columns.join(found, "name", "left").select("j", "entries", F.coalesce("component", "name").alias("name")))
+        large = keep(columns.groupBy("name").agg(F.sum("entries").alias("entries")).where(F.col("entries") > PART).select("name"))
+        if large.isEmpty():
+            break
+        done.append(columns.join(large, "name", "left_anti").select("j", bucket))
+        left = keep(left.select("i", "j").join(columns.join(large, "name", "left_semi").select("j", "name"), "j"))
+        share = min(2 * share, 0.5)
+    return functools.reduce(DataFrame.union, done, columns.select("j", bucket))
+
+
+def _dealt(entries: DataFrame, keep: Keep) -> DataFrame:
+    """``i, j, v, bucket``: entries with the bucket of their column, if it is in one; a right side is a row without number."""
+    parts = _parts(entries.where("i IS NOT NULL").select("i", "j"), keep)
+    return keep(entries.join(parts, "j", "left").select("i", "j", "v", "bucket"))
+
+
+def _numbered(table: pa.Table) -> tuple[np.ndarray, int, np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of a bucket's own columns and then of its other rows, how many are its own, and rows, columns and values by places in them; the right side comes last."""
+    columns, at = np.unique(table["j"].to_numpy(), return_inverse=True)
+    right = table["i"].is_null().to_numpy()
+    rows = table["i"].filter(pa.array(~right)).to_numpy()
+    numbers = np.concatenate([columns, np.setdiff1d(rows, columns)])
+    order = np.argsort(numbers, kind="stable")
+    place = np.full(len(right), len(numbers))
+    place[~right] = order[np.searchsorted(numbers, rows, sorter=order)]
+    return numbers, len(columns), place, at, table["v"].to_numpy()
+
+
+def _summed(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries by column and row, those of one place added up."""
+    places = columns * width + rows
+    order = np.argsort(places, kind="stable")
+    places = places[order]
+    firsts = np.flatnonzero(np.diff(places, prepend=-1))
+    columns, rows = np.divmod(places[firsts], width)
+    return rows, columns, np.add.reduceat(values[order], firsts) if len(firsts) else values
+
+
+def _eliminated(own: int, width: int, rows: np.ndarray, columns: np.ndarray, values: np.ndarray) -> tuple[list, tuple] | None:
+    """Columns of the factor in the order of elimination, all that are ready at once, and what they leave for rows from ``own`` on; none if a pivot is not positive."""
+    found, above = [], [(rows[:0], rows[:0], values[:0])]
+    while len(columns):
+        waits = np.zeros(width, dtype=bool)
+        waits[rows[rows > columns]] = True
+        ready = ~waits[columns]
+        r, c, v = _summed(rows[ready], columns[ready], values[ready], width)
+        begins = np.flatnonzero(np.diff(c, prepend=-1))
+        if not ((r[begins] == c[begins]) & (v[begins] > 0)).all():
+            return None
+        begin = np.repeat(begins, np.diff(begins, append=len(c)))
+        v = v / np.sqrt(v[begin])
+        found.append((r, c, v, begins))
+        rest = [(rows[~ready], columns[~ready], values[~ready])]
+        # each row of a column with those up to it
+        pairs = np.arange(len(c)) - begin
+        ends = np.cumsum(pairs)
+        for some in np.split(np.arange(len(c)), np.searchsorted(ends, np.arange(UPDATES, ends[-1], UPDATES))):
+            one = np.repeat(some, pairs[some])
+            other = one - np.arange(len(one)) + np.repeat(np.cumsum(pairs[some]) - pairs[some], pairs[some])
+            left = r[one], r[other], -v[one] * v[other]
+            for mask, where in ((left[1] < own, rest), ((left[1] >= own) & (left[1] < width - 1), above)):
+                where.append(tuple(x[mask] for x in left))
+        rows, columns, values = (np.concatenate(x) for x in zip(*rest, strict=True))
+    return found, _summed(*(np.concatenate(x) for x in zip(*above, strict=True)), width)
+
+
+def _entries(numbers: np.ndarray, own: int, rows: np.ndarray, columns: np.ndarray, values: np.ndarray, kind: pa.DataType) -> list[pa.Array]:
+    right = rows == len(numbers)
+    at = np.where(right, 0, rows)
+    return [pa.array(numbers[at], kind, mask=right), pa.array(numbers[columns], kind), pa.array(values)]
+
+
+def _entry_schema(entries: DataFrame, *more: StructField) -> StructType:
+    ship(entries.sparkSession)
+    return StructType([StructField(c, entries.schema[c].dataType) for c in ("i", "j")] + [StructField("v", DoubleType()), *more])
+
+
+def _refused(table: pa.Table) -> list[pa.Array]:
+    """An entry without a value: the matrix is not positive definite."""
+    return [pa.nulls(1, table["i"].type), pa.nulls(1, table["j"].type), pa.nulls(1, pa.float64())]
+
+
+def _check(made: DataFrame) -> None:
+    if not made.where("v IS NULL").isEmpty():
+        raise ValueError("the matrix is not positive definite")
+
+
+def _above(dealt: DataFrame, left: DataFrame, keep: Keep) -> tuple[DataFrame, int, bool]:
+    """The entries of columns in no bucket with what those in buckets leave for them, how many are on the diagonal, and whether these are few."""
+    above = dealt.where("bucket IS NULL").select("i", "j", "v").union(left.select("i", "j", "v"))
+    above = keep(above.groupBy("i", "j").agg(F.sum("v").alias("v")))
+    before, now = (f.where("i = j").count() for f in (dealt, above))
+    none = above.isEmpty()
+    if not (now or none):
+        raise ValueError("the matrix is not positive definite")
+    return above, none, 2 * now <= before
+
+
 def cholesky(a: DataFrame) -> DataFrame:
-    """``i, j, v``: the factor L of a positive definite A = L L' of which the lower half is read; repeated entries are summed.
+    """``i, j, v``: the factor L of a positive definite A = L L' of which the lower half is read; repeated entries are summed."""
+    with written(a.sparkSession) as keep:
+        lower = keep(a.where("i >= j").groupBy("i", "j").agg(F.sum(F.col("v").cast("double")).alias("v")))
+        return cut(_factor(lower, keep))
 
-    Right-looking: all columns of a level are summed from the entries of A and
+
+def _factor(lower: DataFrame, keep: Keep) -> DataFrame:
+    """Subtrees where they lie, then the matrix that they leave for the columns above."""
+    schema = _entry_schema(lower, StructField("done", BooleanType()))
+
+    def eliminate(table: pa.Table) -> pa.Table:
+        numbers, own, *entries = _numbered(table)
+        result = _eliminated(own, len(numbers) + 1, *entries)
+        if result is None:
+            return pa.table([*_refused(table), pa.array([True])], names=schema.names)
+        found, above = result
+        parts = [(x[:3], True) for x in found] + [(above, False)]
+        tables = [pa.table([*_entries(numbers, own, *x, table["j"].type), pa.array(np.full(len(x[0]), done))], names=schema.names) for x, done in parts]
+        return pa.concat_tables(tables)
+
+    dealt = _dealt(lower, keep)
+    made = keep(dealt.where("bucket IS NOT NULL").groupBy("bucket").applyInArrow(eliminate, schema))
+    _check(made)
+    above, none, few = _above(dealt, made.where("NOT done"), keep)
+    factor = made.where("done").select("i", "j", "v")
+    return factor if none else factor.union(_factor(above, keep) if few else _factor_by_levels(above, keep))
+
+
+def _factor_by_levels(lower: DataFrame, keep: Keep) -> DataFrame:
+    """Right-looking: all columns of a level are summed from the entries of A and
     from what earlier columns have left for them, and scaled. What the pairs
     of a column's rows take off goes straight to its place, which waits for
     the level of its column, so it is moved once, however far up the
     elimination tree that is. Sums begin before the shuffle, so a hub's many
     updates are spread over tasks.
     """
+    levels = keep(_levels(lower, _pattern(lower, keep), keep))
+    own = keep(_both_levels(lower, levels))
+    last = levels.agg(F.max("level")).first()[0]
+    parts, later = [], _Later(keep, "level")
+    for level in range(0 if last is None else last + 1):
+        here, left = own.where(F.col("level") == level), later.of(level)
+        summed = (here if left is None else here.union(left)).groupBy("i", "j", "row_level").agg(F.sum("v").alias("v"))
+        pivot = F.max(F.when(F.col("i") == F.col("j"), F.col("v"))).over(Window.partitionBy("j")).alias("pivot")
+        front = keep(summed.select("i", "j", "row_level", "v", pivot))
+        if not front.where("pivot IS NULL OR NOT pivot > 0").isEmpty():
+            raise ValueError("the matrix is not positive definite")
+        scaled = front.select("i", "j", "row_level", (F.col("v") / F.sqrt("pivot")).alias("v"))
+        parts.append(scaled.select("i", "j", "v"))
+        below = scaled.where("i > j")
+        other = below.select("j", F.col("i").alias("k"), F.col("row_level").alias("level"), F.col("v").alias("w"))
+        pairs = below.join(other, "j").where("i >= k")
+        later.add(pairs.select("i", F.col("k").alias("j"), (-F.col("v") * F.col("w")).alias("v"), "level", "row_level"), level)
+    factor = lower.where("false").select("i", "j", "v")
+    for part in parts:
+        factor = factor.union(part)
+    return factor
+
+
+def positive_solve(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``i, x`` of A x = b for a positive definite A of which the lower half is read; unknowns not returned are zero. Repeated entries are summed.
+
+    The right side is a last row of the matrix: its row of the factor solves
+    L y = b. Subtrees are factored twice, for what they leave for the columns
+    above and, once the unknowns of those are known, for their own, so no factor is moved.
+    """
     with written(a.sparkSession) as keep:
-        lower = keep(a.where("i >= j").groupBy("i", "j").agg(F.sum(F.col("v").cast("double")).alias("v")))
-        levels = keep(_levels(lower, _pattern(lower, keep), keep))
-        own = keep(_both_levels(lower, levels))
-        last = levels.agg(F.max("level")).first()[0]
-        parts, later = [], _Later(keep, "level")
-        for level in range(0 if last is None else last + 1):
-            here, left = own.where(F.col("level") == level), later.of(level)
-            summed = (here if left is None else here.union(left)).groupBy("i", "j", "row_level").agg(F.sum("v").alias("v"))
-            pivot = F.max(F.when(F.col("i") == F.col("j"), F.col("v"))).over(Window.partitionBy("j")).alias("pivot")
-            front = keep(summed.select("i", "j", "row_level", "v", pivot))
-            if not front.where("pivot IS NULL OR NOT pivot > 0").isEmpty():
-                raise ValueError("the matrix is not positive definite")
-            scaled = front.select("i", "j", "row_level", (F.col("v") / F.sqrt("pivot")).alias("v"))
-            parts.append(scaled.select("i", "j", "v"))
-            below = scaled.where("i > j")
-            other = below.select("j", F.col("i").alias("k"), F.col("row_level").alias("level"), F.col("v").alias("w"))
-            pairs = below.join(other, "j").where("i >= k")
-            later.add(pairs.select("i", F.col("k").alias("j"), (-F.col("v") * F.col("w")).alias("v"), "level", "row_level"), level)
-        factor = lower.where("false").select("i", "j", "v")
-        for part in parts:
-            factor = factor.union(part)
-        return cut(factor)
+        lower = a.where("i >= j").select("i", "j", F.col("v").cast("double").alias("v"))
+        right = b.select(F.lit(None).cast(lower.schema["i"].dataType).alias("i"), F.col("i").alias("j"), F.coalesce(F.col("x").cast("double"), F.lit(0.0)).alias("v"))
+        system = keep(lower.union(right).groupBy("i", "j").agg(F.sum("v").alias("v")))
+        return cut(_solved(system, keep))
+
+
+def _solved(system: DataFrame, keep: Keep) -> DataFrame:
+    schema = _entry_schema(system)
+    solution = StructType([StructField("i", schema["j"].dataType), StructField("x", DoubleType())])
+
+    def eliminate(table: pa.Table) -> pa.Table:
+        numbers, own, *entries = _numbered(table)
+        result = _eliminated(own, len(numbers) + 1, *entries)
+        return pa.table(_refused(table) if result is None else _entries(numbers, own, *result[1], table["j"].type), names=schema.names)
+
+    def solve(table: pa.Table) -> pa.Table:
+        numbers, own, rows, columns, values = _numbered(table)
+        last = rows == len(numbers)
+        inside = last | (rows < own)
+        rows = np.where(last, own, rows)
+        x = np.zeros(own + 1)
+        x[own] = -1.0
+        found, _ = _eliminated(own, own + 1, rows[inside], columns[inside], values[inside])
+        for r, c, v, begins in reversed(found):
+            terms = v * x[r]
+            terms[begins] = 0.0
+            x[c[begins]] = -np.add.reduceat(terms, begins) / v[begins]
+        return pa.table([pa.array(numbers[:own], table["j"].type), pa.array(x[:own])], names=solution.names)
+
+    dealt = _dealt(system, keep)
+    inside = dealt.where("bucket IS NOT NULL")
+    left = keep(inside.groupBy("bucket").applyInArrow(eliminate, schema))
+    _check(left)
+    above, none, few = _above(dealt, left, keep)
+    if none:
+        return keep(inside.groupBy("bucket").applyInArrow(solve, solution))
+    if few:
+        known = _solved(above, keep)
+    else:
+        right = above.where("i IS NULL").select(F.col("j").alias("i"), F.col("v").alias("x"))
+        known = keep(cholesky_solve(_factor_by_levels(above.where("i IS NOT NULL"), keep), right))
+    come = inside.join(known, "i").select(F.lit(None).cast(schema["i"].dataType).alias("i"), "j", (-F.col("v") * F.col("x")).alias("v"), "bucket")
+    return known.union(keep(inside.union(come).groupBy("bucket").applyInArrow(solve, solution)))
 
 
 def column_reach(t: DataFrame, start: DataFrame) -> DataFrame:

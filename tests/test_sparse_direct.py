@@ -70,6 +70,47 @@ def test_cholesky_and_solve(spark, matrix):
     assert np.allclose([x.get(i, 0.0) for i in range(n)], np.linalg.solve(matrix, b))
 
 
+@pytest.mark.parametrize("part, bucket, updates", [(512, 50_000, 1 << 21), (24, 8, 4)])
+def test_subtrees_and_what_is_above(spark, matrix, monkeypatch, part, bucket, updates):
+    """The factor and the solution do not depend on how much one task takes."""
+    for name, value in (("PART", part), ("BUCKET", bucket), ("UPDATES", updates)):
+        monkeypatch.setattr(m, name, value)
+    n, a = len(matrix), entries(spark, matrix, lower=False)
+    got = m.cholesky(a)
+    assert np.allclose(dense(got, n), np.linalg.cholesky(matrix))
+    assert got.count() == got.select("i", "j").distinct().count() == (np.abs(np.linalg.cholesky(matrix)) > 1e-14).sum()
+    b = np.arange(n) % 5 - 1.0
+    right = spark.createDataFrame([(i, float(x) / 2) for i, x in enumerate(b) if x] * 2 + [(3, None)], "i long, x double")
+    x = {r.i: r.x for r in m.positive_solve(a, right).collect()}
+    assert np.allclose([x.get(i, 0.0) for i in range(n)], np.linalg.solve(matrix, b))
+
+
+def test_solve_refuses_and_is_empty(spark):
+    right = spark.createDataFrame([(0, 1.0), (1, 1.0)], "i long, x double")
+    for rows in ([(0, 0, 1.0), (1, 0, 2.0), (1, 1, 1.0)], [(1, 0, 1.0), (1, 1, 3.0)], [(1, 0, 1.0), (0, 0, 1.0)], [(0, 0, 1.0)]):
+        with pytest.raises(ValueError, match="positive definite"):
+            m.positive_solve(spark.createDataFrame(rows, "i long, j long, v double"), right)
+    none = spark.createDataFrame([], "i long, j long, v double")
+    assert m.positive_solve(none, right.where("false")).count() == 0
+
+
+def test_chains_take_no_step_a_column(spark, monkeypatch):
+    """40 chains of 12 columns, each tied to the one before: by levels these are twelve steps of some tables each."""
+    n, tables, made = 480, [], m.written
+
+    @contextmanager
+    def counted(session):
+        with made(session) as keep:
+            yield lambda frame: tables.append(1) or keep(frame)
+
+    monkeypatch.setattr(m, "written", counted)
+    a = np.diag(np.full(n, 3.0))
+    for k in range(40, n):
+        a[k, k - 40] = a[k - 40, k] = -1.0
+    assert np.allclose(dense(m.cholesky(entries(spark, a)), n), np.linalg.cholesky(a))
+    assert len(tables) < 20
+
+
 def test_cholesky_refuses_and_is_empty(spark):
     a = np.array([[1.0, 2.0], [2.0, 1.0]])
     with pytest.raises(ValueError, match="positive definite"):
