@@ -1,6 +1,7 @@
 """Operators without SQL, against numpy or brute force."""
 
 import itertools
+import math
 
 import numpy as np
 import pytest
@@ -217,6 +218,30 @@ def test_numeric_operators_on_nothing(spark):
     assert m.sum_duplicates(spark.createDataFrame([(1, 1, None), (1, 1, 2.0)], none.schema)).first().v == 2.0
 
 
+def test_distances_move_few_rows(spark, monkeypatch):
+    """720,000 vectors in blocks of 1024 and 2048 move 69,000,000 rows; the result does not depend on groups and pieces."""
+    from gridloom.operators import points
+
+    queries, train = 72_000, 648_000
+    qbs, tbs = points._group_counts(queries, train)
+    assert queries * tbs + train * qbs < 10_000_000 and train / tbs <= points.ROWS and queries / qbs <= points.ROWS
+    assert points._group_counts(0, 0) == (1, 1) and points._group_counts(1, 10**9)[1] >= 10**9 / points.ROWS
+    rng = np.random.default_rng(22)
+    rows = [(i, v.tolist(), i % 3) for i, v in enumerate(rng.random((90, 3)))] + [(90, None, 1), (91, [1.0], 1), (92, [0.5, None, 0.5], 2)]
+    frame = spark.createDataFrame(rows, "id long, vec array<double>, label int")
+    for name, value in (("GROUPS", 12), ("FEW_PAIRS", 4), ("CELLS", 20), ("RETURNED", 50)):
+        monkeypatch.setattr(points, name, value)
+    assert math.prod(points._group_counts(20, 93)) >= 12
+    got = points.distances(frame.where("id < 17 OR id >= 90"), frame).collect()
+    assert len(got) == 20 * 93 == len({(r.query, r.train) for r in got})
+    for r in got:
+        a, b = rows[r.query][1], rows[r.train][1]
+        known = a is not None and b is not None and len(a) == len(b) and None not in a + b
+        assert r.label == r.train % 3 or r.train >= 90
+        assert r.distance == (round(sum((x - y) * (x - y) for x, y in zip(a, b, strict=True)), 9) if known else None)
+    assert points.distances(frame.where("false"), frame).count() == 0
+
+
 def test_nearest_rules_out_only_what_is_far(spark, monkeypatch):
     """Blocks of both sides, copies, and vectors that are missing, shorter or have a missing number, against brute force."""
     from gridloom.operators import points
