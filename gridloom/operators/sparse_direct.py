@@ -234,62 +234,61 @@ class _Later:
         return functools.reduce(DataFrame.union, rows) if rows else None
 
 
-def _parts(entries: DataFrame, keep: Keep) -> DataFrame:
-    """``j, bucket``: the columns of subtrees with at most PART entries, whole subtrees to a bucket, from ``i, j`` with ``i >= j``; columns above them are in none.
+def _dealt(entries: DataFrame, keep: Keep) -> DataFrame:
+    """``i, j, v, bucket``: entries with ``i >= j``, or no ``i`` for a right side, with the bucket of their column.
 
-    What hangs together among columns below a number is a subtree of the
-    elimination tree. So the last columns are taken out, and of what still
-    hangs together in too many entries twice as large a share in each round.
+    Columns of a subtree with at most PART entries are in one bucket, columns
+    above such subtrees in none. What hangs together among columns below a
+    number is a subtree of the elimination tree. So the last columns are taken
+    out, and of what still hangs together in too many entries twice as large a
+    share in each round.
     """
-    total = entries.count()
+    total = entries.where("i IS NOT NULL").count()
     if total <= PART:
-        return keep(entries.select("j", F.lit(0).alias("bucket")).distinct())
+        return entries.select("i", "j", "v", F.lit(0).alias("bucket"))
     bucket = F.pmod(F.xxhash64("name"), F.lit(-(-total // BUCKET))).cast("int").alias("bucket")
-    done, share, left = [], total**-0.5, entries.select("i", "j", F.lit(0).alias("name"))
+    done, share, left = [], total**-0.5, entries.select("i", "j", "v", F.lit(0).alias("name"))
     while True:
         limit = F.percentile_approx("j", F.lit(1 - share), F.lit(int(4 / share))).alias("limit")
         limits = keep(left.where("i = j").groupBy("name").agg(limit))
-        left = left.join(limits, "name").where("j < limit").select("i", "j", (F.col("i") < F.col("limit")).alias("inside"))
+        cut_off = left.join(limits, "name", "left")
+        done.append(cut_off.where("NOT coalesce(j < limit, false)").select("i", "j", "v", F.lit(None).cast("int").alias("bucket")))
+        low, inside = cut_off.where("j < limit"), F.col("i") < F.col("limit")
         # named after the last column it is tied to: in a tree with a hub, that is all
-        named = F.coalesce(F.max(F.when(F.col("inside"), F.col("i"))), F.col("j")).alias("name")
-        columns = keep(left.groupBy("j").agg(F.count(F.lit(1)).alias("entries"), named))
-        other = columns.select(F.col("j").alias("i"), F.col("name").alias("other"))
-        tied = left.where("inside AND i > j").join(columns.select("j", "name"), "j").join(other, "i", "left")
+        last = F.max(F.when(inside, F.col("i"))).over(Window.partitionBy("j"))
+        named = keep(low.select("i", "j", "v", inside.alias("inside"), F.coalesce(last, F.col("j")).alias("name")))
+        other = named.where("i = j").select("i", F.col("name").alias("other")).distinct()
+        tied = named.where("inside AND i > j").select("i", "name").join(other, "i", "left")
         apart = keep(tied.select("name", F.coalesce("other", "i").alias("other")).where("name <> other").distinct())
         if not apart.isEmpty():
-            found = connected_components(apart, "name", "other").withColumnRenamed("node", "name")
-            columns = keep(columns.join(found, "name", "left").select("j", "entries", F.coalesce("component", "name").alias("name")))
-        large = keep(columns.groupBy("name").agg(F.sum("entries").alias("entries")).where(F.col("entries") > PART).select("name"))
+            found = keep(connected_components(apart, "name", "other").withColumnRenamed("node", "name"))
+            named = named.join(found, "name", "left").select("i", "j", "v", F.coalesce("component", "name").alias("name"))
+        large = keep(named.groupBy("name").agg(F.count("i").alias("entries")).where(F.col("entries") > PART).select("name"))
+        done.append(named.join(large, "name", "left_anti").select("i", "j", "v", bucket))
         if large.isEmpty():
-            break
-        done.append(columns.join(large, "name", "left_anti").select("j", bucket))
-        left = keep(left.select("i", "j").join(columns.join(large, "name", "left_semi").select("j", "name"), "j"))
+            return functools.reduce(DataFrame.union, done)
+        left = keep(named.join(large, "name", "left_semi").select("i", "j", "v", "name"))
         share = min(2 * share, 0.5)
-    return functools.reduce(DataFrame.union, done, columns.select("j", bucket))
-
-
-def _dealt(entries: DataFrame, keep: Keep) -> DataFrame:
-    """``i, j, v, bucket``: entries with the bucket of their column, if it is in one; a right side is a row without number."""
-    parts = _parts(entries.where("i IS NOT NULL").select("i", "j"), keep)
-    return keep(entries.join(parts, "j", "left").select("i", "j", "v", "bucket"))
 
 
 def _numbered(table: pa.Table) -> tuple[np.ndarray, int, np.ndarray, np.ndarray, np.ndarray]:
     """Numbers of a bucket's own columns and then of its other rows, how many are its own, and rows, columns and values by places in them; the right side comes last."""
-    columns, at = np.unique(table["j"].to_numpy(), return_inverse=True)
     right = table["i"].is_null().to_numpy()
-    rows = table["i"].filter(pa.array(~right)).to_numpy()
-    numbers = np.concatenate([columns, np.setdiff1d(rows, columns)])
-    order = np.argsort(numbers, kind="stable")
+    columns, rows = table["j"].to_numpy(), table["i"].filter(pa.array(~right)).to_numpy()
+    numbers, at = np.unique(np.concatenate([columns, rows]), return_inverse=True)
+    own = np.zeros(len(numbers), dtype=bool)
+    own[at[: len(columns)]] = True
+    count = own.sum()
+    at = np.where(own, np.cumsum(own) - 1, count + np.cumsum(~own) - 1)[at]
     place = np.full(len(right), len(numbers))
-    place[~right] = order[np.searchsorted(numbers, rows, sorter=order)]
-    return numbers, len(columns), place, at, table["v"].to_numpy()
+    place[~right] = at[len(columns) :]
+    return np.concatenate([numbers[own], numbers[~own]]), int(count), place, at[: len(columns)], table["v"].to_numpy()
 
 
 def _summed(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Entries by column and row, those of one place added up."""
     places = columns * width + rows
-    order = np.argsort(places, kind="stable")
+    order = np.argsort(places)
     places = places[order]
     firsts = np.flatnonzero(np.diff(places, prepend=-1))
     columns, rows = np.divmod(places[firsts], width)
@@ -426,8 +425,7 @@ def positive_solve(a: DataFrame, b: DataFrame) -> DataFrame:
     with written(a.sparkSession) as keep:
         lower = a.where("i >= j").select("i", "j", F.col("v").cast("double").alias("v"))
         right = b.select(F.lit(None).cast(lower.schema["i"].dataType).alias("i"), F.col("i").alias("j"), F.coalesce(F.col("x").cast("double"), F.lit(0.0)).alias("v"))
-        system = keep(lower.union(right).groupBy("i", "j").agg(F.sum("v").alias("v")))
-        return cut(_solved(system, keep))
+        return cut(_solved(keep(lower.union(right)), keep))
 
 
 def _solved(system: DataFrame, keep: Keep) -> DataFrame:
